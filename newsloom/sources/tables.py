@@ -166,6 +166,15 @@ ADAPTERS = {
               FROM (SELECT event_id AS article_id, EACH12 AS k FROM @events))
         GROUP BY article_id, event_id""",
     "page_art": "SELECT page_id, url, html FROM @pages",
+    # raw model replies for triage, some of them broken
+    "replies": """
+        SELECT doc_id AS article_id, CASE WHEN doc_id%8 = 0 THEN 'I cannot score this.'
+            WHEN doc_id%8 = 1 THEN concat('```json', chr(10), body, chr(10), '```')
+            WHEN doc_id%8 = 2 THEN replace(body, '"impact": ', '"impact": 1')
+            WHEN doc_id%8 = 3 THEN concat('json ', body) ELSE body END AS reply
+        FROM (SELECT doc_id, concat('{"impact": ', CAST(doc_id%10 AS STRING), ', "novelty": ', CAST((doc_id*3)%11 AS STRING),
+                     ', "significance": ', CAST((doc_id*7)%11 AS STRING), ', "action": "process", "reason": "r"}') AS body
+              FROM @documents WHERE doc_id%13 <> 5)""",
     # one usage row per conversation turn
     "usage": """
         SELECT conv_id, turn, role,
