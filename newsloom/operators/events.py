@@ -169,8 +169,12 @@ def extract_entities(articles: DataFrame, id_col: str, c: str, top: int = 15) ->
         (r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})", "PERSON", 0.6),
         (r"(\$[A-Z]{2,6})", "FINANCIAL_ASSET", 0.95),
     ]
-    found = F.concat(*[F.transform(F.regexp_extract_all(c, F.lit(p), 1), lambda n, k=k, w=w: F.struct(
-        F.trim(n).alias("name"), F.lit(k).alias("type"), F.lit(w).alias("confidence"))) for p, k, w in kinds])
+
+    def labelled(pattern: str, kind: str, confidence: float) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda n: F.struct(
+            F.trim(n).alias("name"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence")))
+
+    found = F.concat(*[labelled(*k) for k in kinds])
     rows = articles.select(id_col, F.explode(found).alias("e")).select(id_col, "e.*")
     counts = rows.groupBy(id_col, "name").agg(F.count("*").alias("mentions"), F.min("type").alias("type"), F.max("confidence").alias("confidence"))
     return top_k(counts, [id_col], [F.desc("mentions"), F.asc("name")], top)

@@ -228,9 +228,9 @@ def _(t):
 
 
 @query("orphan_events", uses="evt art_evt", sql="""
-SELECT event_id FROM evt WHERE event_id NOT IN (SELECT event_id FROM art_evt WHERE relevance > 99e-2)""")
+SELECT event_id FROM evt WHERE event_id NOT IN (SELECT event_id FROM art_evt WHERE relevance > 975e-3)""")
 def _(t):
-    return t.evt.join(t.art_evt.filter("relevance > 0.99"), "event_id", "left_anti").select("event_id")
+    return t.evt.join(t.art_evt.filter("relevance > 0.975"), "event_id", "left_anti").select("event_id")
 
 
 @query("orphans", sql="""

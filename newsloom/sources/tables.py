@@ -61,16 +61,18 @@ ADAPTERS = {
                     ELSE 'algorithmic' END AS triage_method,
                CASE WHEN doc_id%4 = 0 THEN (doc_id%9)/1000e0 END AS triage_cost,
                doc_id%11 = 0 AS is_top_headline,
-               CASE WHEN (doc_id*3)%8 = 0 THEN 'pending' WHEN (doc_id*3)%8 = 1 THEN 'fetching'
+               CASE WHEN doc_id%4 = 1 OR (doc_id*3)%8 = 0 THEN 'pending' WHEN (doc_id*3)%8 = 1 THEN 'fetching'
                     WHEN (doc_id*3)%8 = 2 THEN 'failed' ELSE 'completed' END AS fetch_status,
-               CASE WHEN (doc_id*5)%9 = 0 THEN 'processing' WHEN (doc_id*5)%9 = 1 THEN 'failed'
+               CASE WHEN doc_id%4 = 1 THEN 'pending' WHEN (doc_id*5)%9 = 0 THEN 'processing' WHEN (doc_id*5)%9 = 1 THEN 'failed'
                     WHEN (doc_id*5)%9 < 4 THEN 'pending' ELSE 'completed' END AS process_status,
-               CASE WHEN (doc_id*7)%9 = 0 THEN 'processing' WHEN (doc_id*7)%9 = 1 THEN 'failed'
+               CASE WHEN doc_id%4 = 1 THEN 'pending' WHEN (doc_id*7)%9 = 0 THEN 'processing' WHEN (doc_id*7)%9 = 1 THEN 'failed'
                     WHEN (doc_id*7)%9 < 4 THEN 'pending' ELSE 'completed' END AS summary_status,
-               CASE WHEN (doc_id*11)%9 = 0 THEN 'processing' WHEN (doc_id*11)%9 = 1 THEN 'failed'
+               CASE WHEN doc_id%4 = 1 THEN 'pending' WHEN (doc_id*11)%9 = 0 THEN 'processing' WHEN (doc_id*11)%9 = 1 THEN 'failed'
                     WHEN (doc_id*11)%9 < 4 THEN 'pending' ELSE 'completed' END AS analyzer_status,
-               doc_id%5 AS fetch_attempts, (doc_id+1)%5 AS process_attempts,
-               (doc_id+2)%5 AS summary_attempts, (doc_id+3)%5 AS analyzer_attempts,
+               CASE WHEN doc_id%4 = 1 THEN 0 ELSE doc_id%5 END AS fetch_attempts,
+               CASE WHEN doc_id%4 = 1 THEN 0 ELSE (doc_id+1)%5 END AS process_attempts,
+               CASE WHEN doc_id%4 = 1 THEN 0 ELSE (doc_id+2)%5 END AS summary_attempts,
+               CASE WHEN doc_id%4 = 1 THEN 0 ELSE (doc_id+3)%5 END AS analyzer_attempts,
                CASE WHEN doc_id%7 = 0 THEN NULL
                     ELSE TS_S((1706659200 - (doc_id*613)%90000)) END AS last_attempt_at,
                CASE WHEN doc_id%6 = 0 THEN 'Skipped: content too short'
