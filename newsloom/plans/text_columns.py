@@ -280,15 +280,6 @@ def _(t):
                           n(F.lower("html"), "track").alias("track_terms"), F.length("html").cast("bigint").alias("chars"))
 
 
-@query("embedding_text", uses="art", sql="""
-SELECT article_id, CASE WHEN triage_status = 'accepted' AND description <> '' THEN concat(title, '. ', description)
-   WHEN title <> '' THEN title ELSE content END AS embedding_text FROM art""")
-def _(t):
-    return t.art.select("article_id", F.when((F.col("triage_status") == "accepted") & (F.col("description") != ""),
-                        F.concat("title", F.lit(". "), "description")).when(F.col("title") != "", F.col("title"))
-                        .otherwise(F.col("content")).alias("embedding_text"))
-
-
 @query("region_by_name", uses="pub", sql="""
 SELECT publication_id, CASE WHEN contains(lower(name),'#000000001') THEN 'us' WHEN contains(lower(name),'#00000000') THEN 'br'
    ELSE region_code END AS region_code FROM pub""")
