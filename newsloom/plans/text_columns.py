@@ -225,10 +225,11 @@ SELECT article_id, round(CASE WHEN greatest(la,lb) = 0 THEN 0e0 ELSE least(la,lb
   round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0e0 ELSE i/(len(a)+len(b)-i)::DOUBLE END,6) AS token_jaccard FROM c""")
 def _(t):
     la, lb = F.length("description"), F.length("content")
-    return t.art.select(
+    sets = t.art.select("article_id", "description", "content", text.token_set("description").alias("a"), text.token_set("content").alias("b"))
+    return sets.select(
         "article_id",
         F.round(F.when(F.greatest(la, lb) == 0, 0.0).otherwise(F.least(la, lb) / F.greatest(la, lb)), 6).alias("char_ratio"),
-        F.round(text.jaccard(text.token_set("description"), text.token_set("content")), 6).alias("token_jaccard"))
+        F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("token_jaccard"))
 
 
 # Lines that belong to the page frame, not to the article.
