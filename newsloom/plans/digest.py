@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
@@ -183,9 +184,8 @@ def _(t):
 @query("digest_user_topics", uses="users user_topic", sql="""
 SELECT user_id, topic_id, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, topic_id) AS position FROM user_topic JOIN users USING (user_id) QUALIFY position <= max(max_topics) OVER (PARTITION BY user_id)""")
 def _(t):
-    # nobody may ask for more than ten topics, which bounds the cut before each user's own limit
-    own = top_k(t.user_topic, ["user_id"], [F.desc("weight"), F.asc("topic_id")], 10, rank="position")
-    return own.join(t.users.select("user_id", "max_topics"), "user_id").filter("position <= max_topics").select(
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("weight"), F.asc("topic_id")))
+    return t.user_topic.join(t.users.select("user_id", "max_topics"), "user_id").withColumn("position", place).filter("position <= max_topics").select(
         "user_id", "topic_id", F.col("position").cast("long").alias("position"))
 
 
