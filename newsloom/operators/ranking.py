@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def top_k(df: DataFrame, keys: list, order: list[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -53,3 +54,21 @@ def rolling_count(df: DataFrame, id_col: str, key: str, ts: str, counted: Column
         .groupBy(id_col, key)
         .agg(F.sum((F.col("run") + F.col("prev")) * F.col("sign")).alias(out))
     )
+
+
+def as_of_join(probes: DataFrame, states: DataFrame, key: str, ts: str, valid_from: str, value: str, id_col: str,
+               bucket_s: int = 86400) -> DataFrame:
+    """``(id, key, value)``: for each probe the state of its key that was newest at the probe's time, null if none.
+
+    Running maxima inside (key, day) plus one carried maximum per earlier day, so a hot key spreads over its days.
+    """
+    shape = StructType([StructField("t", LongType()), StructField("v", states.schema[value].dataType)]).simpleString()
+    s = states.select(F.col(key).alias("k"), F.unix_micros(valid_from).alias("t"), F.lit(None).cast(probes.schema[id_col].dataType).alias("id"),
+                      F.struct(F.unix_micros(valid_from).alias("t"), F.col(value).alias("v")).alias("s"))
+    p = probes.select(F.col(key).alias("k"), F.unix_micros(ts).alias("t"), F.col(id_col).alias("id"), F.lit(None).cast(shape).alias("s"))
+    rows = s.unionByName(p).withColumn("b", F.floor(F.col("t") / (bucket_s * 1000000)))
+    inside = W.partitionBy("k", "b").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy("k", "b").agg(F.max("s").alias("day_s")).withColumn("carry", F.max("day_s").over(before)).select("k", "b", "carry")
+    found = rows.withColumn("near", F.max("s").over(inside)).filter("id IS NOT NULL").join(days, ["k", "b"])
+    return found.select(F.col("id").alias(id_col), F.col("k").alias(key), F.coalesce("near", "carry")["v"].alias(value))
