@@ -235,17 +235,17 @@ def sentence_rank(docs: DataFrame, id_col: str, c: str, ratio: float = 0.3, min_
     the sum of all unit vectors, less one.
     """
     parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    s = docs.select(id_col, parts.alias("parts")).filter(F.size("parts") >= min_sentences).select(id_col, F.posexplode("parts").alias("sentence", "s"))
-    tf = s.select(id_col, "sentence", F.explode(F.filter(text.tokens("s"), lambda w: F.length(w).between(2, 15))).alias("w")).groupBy(
-        id_col, "sentence", "w").agg(F.count("*").alias("tf"))
-    n = s.groupBy(id_col).agg(F.count("*").alias("n_s"))
-    df = tf.groupBy(id_col, "w").agg(F.count("*").alias("df"))
-    v = tf.join(df, [id_col, "w"]).join(n, id_col).withColumn("x", F.col("tf") * F.log2(F.col("n_s") / F.col("df"))).filter("x > 0")
-    norm = v.groupBy(id_col, "sentence").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    u = v.join(norm, [id_col, "sentence"]).withColumn("u", F.col("x") / F.col("len")).select(id_col, "sentence", "w", "u")
-    total = u.groupBy(id_col, "w").agg(F.sum("u").alias("all"))
-    score = u.join(total, [id_col, "w"]).groupBy(id_col, "sentence").agg((F.sum(F.col("u") * F.col("all")) - 1.0).alias("score"))
-    ranked = s.select(id_col, "sentence").join(score, [id_col, "sentence"], "left").join(n, id_col).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    # hashed by document once: every count, norm and sum below is within a document and keeps that layout
+    s = docs.select(id_col, c).repartition(id_col).select(id_col, parts.alias("parts")).filter(F.size("parts") >= min_sentences).select(
+        id_col, F.size("parts").alias("n_s"), F.posexplode("parts").alias("sentence", "s"))
+    words = F.filter(text.tokens("s"), lambda w: F.length(w).between(2, 15))
+    tf = s.select(id_col, "sentence", "n_s", F.explode_outer(words).alias("w")).groupBy(id_col, "n_s", "sentence", "w").agg(F.count("*").alias("tf"))
+    per_word, per_sentence = W.partitionBy(id_col, "w"), W.partitionBy(id_col, "sentence")
+    x = F.when(F.col("w").isNotNull(), F.col("tf") * F.log2(F.col("n_s") / F.count("*").over(per_word))).otherwise(0.0)
+    v = tf.withColumn("x", x).withColumn("len", F.sqrt(F.sum(F.col("x") * F.col("x")).over(per_sentence)))
+    u = v.withColumn("u", F.when(F.col("len") > 0, F.col("x") / F.col("len")).otherwise(0.0)).withColumn("all", F.sum("u").over(per_word))
+    score = F.when(F.max("len") > 0, F.sum(F.col("u") * F.col("all")) - 1.0).otherwise(0.0)
+    ranked = u.groupBy(id_col, "n_s", "sentence").agg(F.round(score, 6).alias("score"))
     place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), F.asc("sentence")))  # one document's sentences
     return ranked.withColumn("kept", place <= F.greatest(F.lit(1), F.floor(F.col("n_s") * F.lit(ratio)))).select(id_col, "sentence", "score", "kept")
 

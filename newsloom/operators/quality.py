@@ -21,11 +21,14 @@ def long_tokens(c) -> Column:
 
 
 def token_f1(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:
-    """``(id, precision, recall, f1)`` over token multisets: one shuffle by (id, token), one by id."""
-    def side(c: str, a: int, b: int) -> DataFrame:
-        return df.select(id_col, F.explode(long_tokens(c)).alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-
-    words = side(extracted, 1, 0).unionByName(side(truth, 0, 1)).groupBy(id_col, "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """``(id, precision, recall, f1)`` over token multisets. Rows are hashed by id once; counting words per row and
+    summing per row both keep that layout, so the exploded words are never shuffled."""
+    def marked(c: str, a: int, b: int) -> Column:
+        return F.transform(long_tokens(c), lambda w: F.struct(w.alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+
+    both = df.select(id_col, extracted, truth).repartition(id_col)
+    words = both.select(id_col, F.explode(F.concat(marked(extracted, 1, 0), marked(truth, 0, 1))).alias("x")).select(id_col, "x.*").groupBy(
+        id_col, "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = words.groupBy(id_col).agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p, r = F.col("both") / F.col("na"), F.col("both") / F.col("nb")
     some = F.coalesce(F.col("both") > 0, F.lit(False))

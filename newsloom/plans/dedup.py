@@ -8,6 +8,7 @@ from newsloom.functions import text, url
 from newsloom.operators import dedup
 from newsloom.operators.ranking import latest_by
 from newsloom.plans.registry import query
+from newsloom.session import spread
 
 W = r"[\p{L}\p{N}_]+"
 
@@ -122,7 +123,7 @@ def timed(t):
 @query("fuzzy_title_pairs", uses="art", sql=f"""
 WITH {TIMED.replace('TS AS', _TS_DUCK + ' AS').replace('SRC', 'art')}, {_SIM} SELECT article_id, first_id AS duplicate_of FROM near""")
 def _(t):
-    return dedup.near_title(timed(t).select("article_id", "publication_id", "title", "published_at"), "article_id", "publication_id",
+    return dedup.near_title(spread(timed(t).select("article_id", "publication_id", "title", "published_at"), "article_id"), "article_id", "publication_id",
                             "title", "published_at", "duplicate_of").filter("duplicate_of is not null").select("article_id", "duplicate_of")
 
 
@@ -134,6 +135,6 @@ m AS (SELECT k.article_id, CASE WHEN u < k.article_id THEN u END AS u, CASE WHEN
 SELECT article_id, coalesce(u, h, first_id) AS duplicate_of, CASE WHEN u IS NOT NULL THEN 'url' WHEN h IS NOT NULL THEN 'hash' ELSE 'title' END AS layer
 FROM m WHERE coalesce(u, h, first_id) IS NOT NULL""")
 def _(t):
-    rows = timed(t).select("article_id", "publication_id", "title", "published_at", url.normalize_url("url").alias("url_norm"),
+    rows = spread(timed(t), "article_id").select("article_id", "publication_id", "title", "published_at", url.normalize_url("url").alias("url_norm"),
                            text.content_hash("title", "description", "content").alias("content_hash"))
     return dedup.three_layers(rows, "article_id", "url_norm", "content_hash", "publication_id", "title", "published_at")

@@ -12,6 +12,7 @@ from newsloom.functions import text
 from newsloom.operators import events, graph, vectors
 from newsloom.operators.ranking import first_rows, top_k
 from newsloom.plans.registry import query
+from newsloom.session import spread
 from newsloom.sources.tables import as_of
 
 DIST = 0.75
@@ -248,7 +249,7 @@ x AS (SELECT doc_id, unnest(regexp_extract_all(s,'[A-Z][a-zA-Z0-9\s]+\s+(?:Inc\.
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(s,'[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}')) FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(s,'\$[A-Z]{2,6}')) FROM d)
 SELECT doc_id, trim(name) AS name, count(*) AS mentions FROM x GROUP BY doc_id, trim(name) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, trim(name)) <= 15""")
 def _(t):
-    planted = t.documents.select("doc_id", F.replace(F.replace("text", F.lit(", "), F.lit(" $ACME ")), F.lit(". "), F.lit(" Holdings Inc. ")).alias("s"))
+    planted = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.replace(F.replace("text", F.lit(", "), F.lit(" $ACME ")), F.lit(". "), F.lit(" Holdings Inc. ")).alias("s"))
     return events.extract_entities(planted, "doc_id", "s").select("doc_id", "name", "mentions")
 
 

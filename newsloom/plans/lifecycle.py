@@ -195,7 +195,7 @@ def _(t):
 WITH r AS (SELECT topic_id, article_id, content, row_number() OVER (PARTITION BY topic_id ORDER BY published_at DESC, article_id) AS rn FROM art QUALIFY rn <= 5),
 l AS (SELECT topic_id, rn, unnest(string_split(content, chr(10))) AS fact, generate_subscripts(string_split(content, chr(10)),1) AS i FROM r),
 d AS (SELECT topic_id, fact, min((rn, i)) AS pos FROM l GROUP BY topic_id, fact)
-SELECT topic_id, md5(string_agg(fact, chr(10) ORDER BY at)) AS facts, count(*) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY pos) <= 8) GROUP BY topic_id""")
+SELECT topic_id, md5(string_agg(fact, chr(10) ORDER BY pos)) AS facts, count(*) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY pos) <= 8) GROUP BY topic_id""")
 def _(t):
     # five recent articles per topic bound the lists
     recent = top_k(t.art.select("topic_id", "article_id", "published_at", "content"), ["topic_id"], [F.desc("published_at"), F.asc("article_id")], 5, rank="rn")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import html, text
 from newsloom.operators import pages, quality
 from newsloom.plans.registry import query
+from newsloom.session import cut_lineage, spread
+from newsloom.sources.entries import project
+from newsloom.sources.tables import as_of
 
 STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(X,'<[^>]+>',' ','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&#x27;',''''),'&nbsp;',' '),'&amp;','&'),'[\s ]+',' ','g'))"""
 VIS = r"regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g')"
@@ -92,12 +95,13 @@ def _(t):
 
 @query("page_blocks")
 def _(t):
-    return pages.blocks(html.page_nodes(t.pages)).select("page_id", "position", "type", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+    return pages.blocks(html.page_nodes(spread(t.pages, "page_id"))).select("page_id", "position", "type", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
 @query("page_clean")
 def _(t):
-    kept, removed = pages.clean(html.page_nodes(t.pages))
+    # parsed once, read by every pass
+    kept, removed = pages.clean(cut_lineage(html.page_nodes(spread(t.pages, "page_id"))))
     n = kept.groupBy("page_id").agg(F.sum(F.length("body")).alias("kept_chars"))
     r = removed.groupBy("page_id").agg(*[F.sum(F.when(F.col("reason") == k, F.col("n")).otherwise(0)).alias(f"removed_{k}") for k in ("tag", "comment", "mark", "links")])
     size = t.pages.select("page_id", F.length("html").alias("html_chars"))
@@ -107,7 +111,7 @@ def _(t):
 
 @query("container_scores")
 def _(t):
-    out = pages.best_container(html.page_nodes(t.pages))
+    out = pages.best_container(html.page_nodes(spread(t.pages, "page_id")))
     return out.select("page_id", "tag", F.round("score", 4).alias("score"), (F.col("score") >= 1600).alias("good_enough"))
 
 
@@ -258,10 +262,6 @@ def _(t):
         F.when(i % 5 != 4, at).otherwise("soon").alias("published")))
     shape = ("title string, summary string, content array<struct<value:string>>, media_thumbnail array<struct<url:string>>, "
              "enclosures array<struct<type:string,href:string>>, published string")
-    from newsloom.sources.entries import project
-
     e = t.art.select("article_id", F.from_json(raw, shape).alias("e"))
-    from newsloom.sources.tables import as_of
-
     return project(e, "article_id", "e", as_of()).select("article_id", "title", "description", F.md5("content").alias("content_md5"),
                                                           F.coalesce("image_url", F.lit("")).alias("image_url"), F.unix_seconds("published_at").alias("published_s"))

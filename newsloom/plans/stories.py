@@ -8,6 +8,7 @@ from newsloom.functions import scoring
 from newsloom.functions.stopwords import TITLE_STOPWORDS
 from newsloom.operators import stories
 from newsloom.plans.registry import query
+from newsloom.session import spread
 from newsloom.sources.tables import as_of
 
 W = r"[\p{L}\p{N}_]+"
@@ -29,13 +30,14 @@ vocab AS (SELECT term, ln((n+1)/(df+1)) + 1e0 AS idf FROM (SELECT term, count(*)
 WITH {VOCAB}, r AS (SELECT article_id, term, (1e0+ln(tf))*idf AS w FROM tt JOIN vocab USING (term))
 SELECT article_id, term, round(w/sqrt(sum(w*w) OVER (PARTITION BY article_id)), 6) AS weight FROM r""")
 def _(t):
-    titles = t.art.select("article_id", "title")
+    titles = spread(t.art.select("article_id", "title"), "article_id")
     vocab = stories.fit_vocabulary(titles, "article_id", "title")
     return stories.tfidf(titles, "article_id", "title", vocab).select("article_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _body(t):
-    return t.art.select("article_id", "language", "published_at", "title", F.concat("title", F.lit(" "), "description").alias("body"))
+    b = t.art.select("article_id", "language", "published_at", "title", F.concat("title", F.lit(" "), "description").alias("body"))
+    return spread(b, "article_id")
 
 
 PAIRS = f"""{VOCAB}, body AS (SELECT article_id, language, epoch(published_at)::BIGINT AS t, concat(title,' ',description) AS body FROM art),

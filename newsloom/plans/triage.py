@@ -85,7 +85,7 @@ SC = "CASE WHEN pub_adj <= -1e0 THEN base_score ELSE base_score + pub_adj END"
 
 @query("triage_tier1", uses="art art_topic", sql=f"""
 WITH {PUB}, {TOP}, {TADJ}, {ADJ}, s AS (SELECT *, {SC} AS s FROM adj)
-SELECT article_id, publication_id, round(s,6) AS triage_score,
+SELECT article_id, publication_id, round(s,6) + 0e0 AS triage_score,
   CASE WHEN pub_adj <= -1e0 THEN 'rejected' WHEN s >= 5e-1 THEN 'accepted' WHEN s < 25e-2 THEN 'rejected' ELSE 'pending_llm' END AS status,
   CASE WHEN pub_adj <= -1e0 THEN 'publisher_cap: 25 accepted/24h exceeded'
     WHEN s >= 5e-1 THEN printf('algorithmic_accept: score=%.3f (headline=%.3f, title=%+.3f, topic=%+.3f, pub=%+.3f)', s, headline_score, title_adj, topic_adj, pub_adj)
