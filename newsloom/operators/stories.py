@@ -10,6 +10,7 @@ from newsloom.functions import scoring, text
 from newsloom.functions.stopwords import TITLE_STOPWORDS
 from newsloom.operators import graph
 from newsloom.operators.ranking import top_k
+from newsloom.session import cut_lineage
 
 
 def title_words(c) -> Column:
@@ -34,7 +35,7 @@ def fit_vocabulary(titles: DataFrame, id_col: str, c: str, max_features: int = 2
     n = titles.agg(F.count("*")).scalar()
     stats = term_counts(titles, id_col, c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter(F.col("df") <= n * F.lit(max_df)).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    return kept.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
+    return cut_lineage(kept.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1.0).alias("idf")))
 
 
 def tfidf(df: DataFrame, id_col: str, c: str, vocabulary: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def similar_coverage(variants: DataFrame, vocabulary: DataFrame, threshold: floa
     vectors share must sit, in both, where the squared weights from it onward still reach threshold squared.
     Only those terms are joined, keyed by (language, span, term) against the same and the next span.
     """
-    weights = tfidf(variants, "variant", "body", vocabulary)
+    weights = cut_lineage(tfidf(variants, "variant", "body", vocabulary))  # read four times below
     onward = W.partitionBy("variant").orderBy(F.asc("idf"), F.desc("term")).rowsBetween(W.unboundedPreceding, W.currentRow)
     tail = F.sum(F.col("weight") * F.col("weight")).over(onward)
     heads = weights.withColumn("tail", tail).filter(F.col("tail") >= threshold * threshold - 1e-9).select("variant", "term")

@@ -8,7 +8,7 @@ from newsloom.functions import scoring
 from newsloom.functions.stopwords import TITLE_STOPWORDS
 from newsloom.operators import stories
 from newsloom.plans.registry import query
-from newsloom.session import spread
+from newsloom.session import cut_lineage, spread
 from newsloom.sources.tables import as_of
 
 W = r"[\p{L}\p{N}_]+"
@@ -54,7 +54,7 @@ pairs AS (SELECT a, b, round(sum(x.w*y.w),6) AS similarity FROM cand JOIN vw x O
 def _(t):
     b = _body(t)
     vocab = stories.fit_vocabulary(b, "article_id", "title")
-    variants = stories.coverage_variants(b, "article_id", "body", "language", "published_at")
+    variants = cut_lineage(stories.coverage_variants(b, "article_id", "body", "language", "published_at"))
     return stories.similar_coverage(variants, vocab)
 
 
@@ -66,7 +66,7 @@ SELECT b.article_id, c.story_id FROM body b JOIN variants v ON v.language = b.la
 def _(t):
     b = _body(t)
     vocab = stories.fit_vocabulary(b, "article_id", "title")
-    variants = stories.coverage_variants(b, "article_id", "body", "language", "published_at")
+    variants = cut_lineage(stories.coverage_variants(b, "article_id", "body", "language", "published_at"))
     pairs = stories.similar_coverage(variants, vocab)
     return stories.story_clusters(b, variants, pairs, "article_id", "body", "language", "published_at")
 
