@@ -153,10 +153,10 @@ def _(t):
 
 
 @query("enhance_needed", uses="art_evt", sql="""
-WITH st AS (SELECT event_id, article_id FROM art_evt WHERE NOT (event_id%3 = 0 AND relevance > 9e-1)), d AS (SELECT event_id, count(*) FILTER (s.article_id IS NULL) AS changed FROM art_evt c LEFT JOIN st s USING (event_id, article_id) GROUP BY event_id)
+WITH st AS (SELECT event_id, article_id FROM art_evt WHERE relevance <= 9e-1 OR event_id < 300), d AS (SELECT event_id, count(*) FILTER (s.article_id IS NULL) AS changed FROM art_evt c LEFT JOIN st s USING (event_id, article_id) GROUP BY event_id)
 SELECT event_id, NOT (changed = 0 AND (event_id%12) < 6) AS needed FROM d""")
 def _(t):
-    stored = t.art_evt.filter("NOT (event_id%3 = 0 AND relevance > 0.9)")
+    stored = t.art_evt.filter("relevance <= 0.9 OR event_id < 300")
     at = t.art_evt.select("event_id").distinct().withColumn("stored_s", F.unix_seconds(as_of()) - (F.col("event_id") % 12) * 3600)
     return digest.needs_enhancing(stored, t.art_evt, at, F.unix_seconds(as_of()))
 

@@ -63,7 +63,7 @@ WITH r AS (SELECT event_id%200 AS k, epoch_us(ts) AS t, row_number() OVER (PARTI
 SELECT k AS key, min(t) AS first_us, CASE WHEN max(t) FILTER (rn = 3) - min(t) < 3600000000 THEN 1e0 WHEN max(t) FILTER (rn = 3) - min(t) < 7200000000 THEN 8e-1 ELSE 0e0 END AS burst FROM r GROUP BY k""")
 def _(t):
     e = _events(t).withColumn("k", F.col("event_id") % 200)
-    spark, out = jobs.run_batches(jobs.bursts(e, "k", "ts"), lambda rows, folder: rows.write.mode("overwrite").parquet(folder), mode="update")
+    spark, out = jobs.run_batches(jobs.bursts(e, "k", "ts"), jobs.save, mode="update")
     rows = spark.read.parquet(out)
     # the newest batch holds a key's latest answer
     return rows.groupBy("key").agg(F.max_by(F.struct("first_us", "burst"), "batch").alias("x")).select("key", "x.*")
@@ -95,7 +95,7 @@ def _(t):
     topics = triage.accepted_by_topic(t.art, t.art_topic, day_start())
     pubs = triage.accepted_by_publisher(t.art, day_start())
 
-    def decide(rows, folder):
+    def decide(rows, folder, before):
         adjusted = triage.with_adjustments(rows, t.art_topic, topics, pubs)
         triage.tier1(adjusted).write.mode("overwrite").parquet(folder)
 

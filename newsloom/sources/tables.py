@@ -110,18 +110,18 @@ ADAPTERS = {
     "pub_topic": """
         SELECT DISTINCT publication_id, (s_suppkey*k)%7 AS topic_id
         FROM (SELECT concat('src', CAST(s_suppkey AS STRING)) AS publication_id, s_suppkey, EACH123 AS k
-              FROM @supplier WHERE s_suppkey%6 <> 5)""",
+              FROM @supplier WHERE s_acctbal > 500)""",
     "pub_region": """
         SELECT concat('src', CAST(s_suppkey AS STRING)) AS publication_id,
                CASE WHEN s_nationkey%5 = 0 THEN 'us' WHEN s_nationkey%5 = 1 THEN 'br'
                     WHEN s_nationkey%5 = 2 THEN 'de' WHEN s_nationkey%5 = 3 THEN 'fr'
                     ELSE 'es' END AS region_code
-        FROM @supplier WHERE s_suppkey%8 <> 7""",
+        FROM @supplier WHERE s_acctbal < 9000""",
     "pub_lang": """
         SELECT concat('src', CAST(s_suppkey AS STRING)) AS publication_id,
                CASE WHEN s_suppkey%4 = 0 THEN 'en' WHEN s_suppkey%4 = 1 THEN 'fr'
                     WHEN s_suppkey%4 = 2 THEN 'de' ELSE 'es' END AS language
-        FROM @supplier WHERE s_suppkey%9 <> 4""",
+        FROM @supplier WHERE s_nationkey <> 4""",
     "users": """
         SELECT c_custkey AS user_id, c_name AS user_name,
                CASE WHEN c_custkey%4 = 0 THEN 'America/New_York' WHEN c_custkey%4 = 1 THEN 'UTC'
@@ -134,15 +134,15 @@ ADAPTERS = {
     "user_topic": """
         SELECT user_id, topic_id, max(weight) AS weight
         FROM (SELECT user_id, (user_id*k)%7 AS topic_id, ((user_id+k)%5 + 1)/5e0 AS weight
-              FROM (SELECT c_custkey AS user_id, EACH123 AS k FROM @customer WHERE c_custkey%10 <> 9))
+              FROM (SELECT c_custkey AS user_id, EACH123 AS k FROM @customer WHERE c_acctbal > 0))
         GROUP BY user_id, topic_id""",
     "user_pub": """
         SELECT DISTINCT user_id, concat('src', CAST((user_id*k)%20 AS STRING)) AS publication_id
-        FROM (SELECT c_custkey AS user_id, EACH123 AS k FROM @customer WHERE c_custkey%3 = 0)""",
+        FROM (SELECT c_custkey AS user_id, EACH123 AS k FROM @customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING'))""",
     "user_lang": """
         SELECT DISTINCT user_id, CASE WHEN (user_id+k)%4 = 0 THEN 'en' WHEN (user_id+k)%4 = 1 THEN 'fr'
                     WHEN (user_id+k)%4 = 2 THEN 'de' ELSE 'es' END AS language
-        FROM (SELECT c_custkey AS user_id, EACH12 AS k FROM @customer WHERE c_custkey%2 = 0)""",
+        FROM (SELECT c_custkey AS user_id, EACH12 AS k FROM @customer WHERE c_nationkey < 13)""",
     # timed arrivals
     "arrivals": """
         SELECT event_id AS article_id, AS_TS(ts) AS published_at, user_id AS publication_id,
@@ -176,7 +176,7 @@ ADAPTERS = {
             WHEN doc_id%8 = 3 THEN concat('json ', body) ELSE body END AS reply
         FROM (SELECT doc_id, concat('{"impact": ', CAST(doc_id%10 AS STRING), ', "novelty": ', CAST((doc_id*3)%11 AS STRING),
                      ', "significance": ', CAST((doc_id*7)%11 AS STRING), ', "action": "process", "reason": "r"}') AS body
-              FROM @documents WHERE doc_id%13 <> 5)""",
+              FROM @documents WHERE source <> 'src5')""",
     # one usage row per conversation turn
     "usage": """
         SELECT conv_id, turn, role,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators import graph, stories
-from newsloom.session import checkpoint_root
+from newsloom.session import checkpoint_root, cut_lineage
 
 LATE = "2 hours"
 
@@ -29,24 +29,30 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is available and return the sink's rows; files and progress live in the shared folder."""
+def run_to_table(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Process what is available and return the sink's rows; files and progress live in the shared folder.
+    With the same ``root`` a later run goes on where this one stopped."""
     spark = stream.sparkSession
-    root = fresh_folder(spark)
+    root = root or fresh_folder(spark)
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, str], None], mode: str = "append") -> tuple[SparkSession, str]:
-    """Process what is available through ``each(rows, folder)``. The folder is named by batch id and overwritten,
-    so a batch that is run again after a failure leaves the same result."""
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, str, str | None], None], mode: str = "append",
+                root: str | None = None) -> tuple[SparkSession, str]:
+    """Process what is available through ``each(rows, folder, folder of the batch before)``.
+
+    Folders are named by batch id and overwritten, so a batch that runs again after a failure leaves the same
+    result and always builds on the batch before it, in this run or an earlier one.
+    """
     spark = stream.sparkSession
-    root = fresh_folder(spark)
+    root = root or fresh_folder(spark)
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        each(rows, f"{root}/out/batch={batch_id:09d}")
+        before = f"{root}/out/batch={batch_id - 1:09d}" if batch_id else None
+        each(rows, f"{root}/out/batch={batch_id:09d}", before)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", f"{root}/progress")
          .trigger(availableNow=True).start())
@@ -54,6 +60,10 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, str], None], mode:
     return spark, f"{root}/out"
 
 
+def save(rows: DataFrame, folder: str, before: str | None = None) -> None:
+    rows.write.mode("overwrite").parquet(folder)
+
+
 def dedup(stream: DataFrame, ts: str, keys: list[str]) -> DataFrame:
     """First arrival of a key; state is dropped once the watermark has passed."""
     return stream.withWatermark(ts, LATE).dropDuplicatesWithinWatermark(keys)
@@ -112,7 +122,7 @@ def bursts(stream: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def story_updates(stream: DataFrame, vocabulary: DataFrame, id_col: str, body: str, language: str, ts: str,
-                  expiry_s: int = 12 * 3600) -> tuple[SparkSession, str]:
+                  expiry_s: int = 12 * 3600, root: str | None = None) -> tuple[SparkSession, str]:
     """Story groups kept up to date by micro-batch.
 
     The state is a table of active coverage variants and their stories, one version per batch in the shared
@@ -120,22 +130,21 @@ def story_updates(stream: DataFrame, vocabulary: DataFrame, id_col: str, body: s
     version; variants older than the expiry stay behind. No key holds all of a language.
     """
     spark = stream.sparkSession
-    version: dict[str, str | None] = {"last": None}
 
-    def each(rows: DataFrame, folder: str) -> None:
+    def each(rows: DataFrame, folder: str, before: str | None) -> None:
         new = stories.coverage_variants(rows, id_col, body, language, ts).withColumn("story_id", F.col("variant"))
-        if version["last"] is not None and version["last"] != folder:
-            newest = rows.agg(F.max(F.unix_seconds(ts)).alias("t")).first()["t"]
-            old = spark.read.parquet(version["last"]).filter(F.col("last_s") >= (newest or 0) - expiry_s)
+        if before:
+            newest = rows.agg(F.coalesce(F.max(F.unix_seconds(ts)), F.lit(0))).scalar()
+            old = spark.read.parquet(before).filter(F.col("last_s") >= newest - expiry_s)
             new = new.unionByName(old.select(new.columns))
             new = new.groupBy("language", "span", "body").agg(
                 F.min("variant").alias("variant"), F.sum("copies").alias("copies"), F.min("first_s").alias("first_s"),
                 F.max("last_s").alias("last_s"), F.min("story_id").alias("story_id"))
+        new = cut_lineage(new)  # read three times below
         pairs = stories.similar_coverage(new, vocabulary).select("a", "b")
         bonds = new.filter("variant <> story_id").select(F.col("variant").alias("a"), F.col("story_id").alias("b"))
         comp = graph.components(pairs.unionByName(bonds)).withColumnRenamed("id", "variant")
         new.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component").write.mode(
             "overwrite").parquet(folder)
-        version["last"] = folder
 
-    return run_batches(stream, each)
+    return run_batches(stream, each, root=root)
