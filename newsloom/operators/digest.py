@@ -41,6 +41,16 @@ def wishes(users: DataFrame, user_topic: DataFrame, user_lang: DataFrame) -> Dat
         langs, "user_id", "left").fillna("*", ["lang_key"])
 
 
+def near_date(articles: DataFrame, target_date: str, hours: int = 72) -> DataFrame:
+    """Articles that any user's window for the date can hold, whatever the time zone (UTC-12 to UTC+14).
+
+    The bounds are literals, so they reach the scan and its partitions, and history is left unread.
+    """
+    close = F.lit(target_date).cast("timestamp") + F.expr("INTERVAL 1 DAY")
+    t = F.col("published_at")
+    return articles.filter((t >= close - F.expr(f"INTERVAL {hours + 14} HOURS")) & (t < close + F.expr("INTERVAL 12 HOURS")))
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lang_key", F.explode(F.array(F.lit("*"), F.col("language"))))
 

@@ -12,6 +12,7 @@ from newsloom.plans.events import DIST, PAIRS, RELATED
 from newsloom.plans.registry import query
 from newsloom.sources.tables import as_of
 
+TARGET = "2024-01-30"
 MODE = """CASE WHEN user_id%5 = 0 THEN 'full_previous_day' WHEN user_id%5 = 1 THEN 'full_previous_2_days' WHEN user_id%5 = 2 THEN '24h' WHEN user_id%5 = 3 THEN '72h' ELSE 'weekly' END"""
 
 
@@ -25,7 +26,7 @@ WINDOW = f"""win AS (SELECT user_id, CASE m WHEN 'full_previous_day' THEN {_mid(
 
 
 def _windows(t):
-    return digest.windows(t.users.withColumn("window_mode", F.expr(MODE)), F.lit("2024-01-30").cast("date"))
+    return digest.windows(t.users.withColumn("window_mode", F.expr(MODE)), F.lit(TARGET).cast("date"))
 
 
 @query("digest_window", uses="users", sql=f"WITH {WINDOW} SELECT * FROM win")
@@ -43,7 +44,7 @@ ELIGIBLE = """hits AS (SELECT DISTINCT u.user_id, l.topic_id, a.article_id, a.t,
 WITH {WINDOW}, {ELIGIBLE.replace('SUMMARY', "analyzer_status = 'completed'")}
 SELECT user_id, topic_id, count(*) AS n, arg_max(article_id, (t, article_id)) AS newest FROM hits WHERE lang_ok GROUP BY 1, 2""")
 def _(t):
-    done = t.art.filter("analyzer_status = 'completed'").select("article_id", "language", "published_at")
+    done = digest.near_date(t.art, TARGET).filter("analyzer_status = 'completed'").select("article_id", "language", "published_at")
     return digest.article_counts(done, t.art_topic, digest.wishes(_windows(t), t.user_topic, t.user_lang))
 
 
@@ -52,7 +53,7 @@ WITH {WINDOW}, {ELIGIBLE.replace('SUMMARY', "summary_status = 'completed'")},
 own AS (SELECT *, bool_or(own = topic_id) OVER (PARTITION BY user_id, topic_id) AS has_own FROM hits)
 SELECT user_id, topic_id, article_id, row_number() OVER (PARTITION BY user_id, topic_id ORDER BY t DESC, article_id) AS position FROM own WHERE lang_ok AND (own = topic_id OR NOT has_own) QUALIFY position <= 30""")
 def _(t):
-    done = t.art.filter("summary_status = 'completed'").select("article_id", "language", "published_at", "topic_id")
+    done = digest.near_date(t.art, TARGET).filter("summary_status = 'completed'").select("article_id", "language", "published_at", "topic_id")
     out = digest.fallback_articles(done, t.art_topic, digest.wishes(_windows(t), t.user_topic, t.user_lang))
     return out.select("user_id", "topic_id", "article_id", F.col("position").cast("long").alias("position"))
 
@@ -68,7 +69,7 @@ b AS (SELECT s.topic_id, start_s, end_s, event_id, score + 5e-1*coalesce(related
 r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, start_s, end_s ORDER BY score DESC, event_id) AS position FROM b QUALIFY position <= 3)
 SELECT user_id, topic_id, event_id, score, position FROM user_topic JOIN win USING (user_id) JOIN r USING (topic_id, start_s, end_s)""")
 def _(t):
-    a = t.arrivals.select("article_id", "published_at", F.expr(TOPIC_NO).cast("long").alias("topic_id"))
+    a = digest.near_date(t.arrivals, TARGET).select("article_id", "published_at", F.expr(TOPIC_NO).cast("long").alias("topic_id"))
     related = events.related_counts(t.evt, t.art_evt, as_of(), DIST)
     out = digest.top_events(a, t.art_evt, digest.wishes(_windows(t), t.user_topic, t.user_lang), related)
     return out.withColumn("position", F.col("position").cast("long"))

@@ -55,6 +55,11 @@ def test_no_cross_join_in_plan(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["topic_recent_20", "recommended_articles", "personal_feed", "triage_tier1_live"])
+def test_top_k_is_cut_before_the_shuffle(spark, name):
+    assert "WindowGroupLimit" in registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_feed_scan_is_pruned_and_filtered(spark):
     plan = registry.QUERIES["feed_since_count"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     scan = [x for x in plan.splitlines() if "FileScan" in x][0]
