@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,30 +35,39 @@ def token_f1(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFram
         F.when(some, p * r * 2.0 / (p + r)).otherwise(0.0).alias("f1"))
 
 
-def _paragraphs(t: str) -> list[str]:
-    parts = [p.strip() for p in t.split("\n\n") if p.strip()]
-    if len(parts) <= 1:
-        parts = [p.strip() for p in t.splitlines() if p.strip()]
-    return [p for p in parts if len(p.split()) >= 10]
+def paragraph_words(c) -> Column:
+    """Distinct words of every paragraph of ten or more words; blank lines part paragraphs, or line ends where none do."""
+    def pieces(sep: str) -> Column:
+        return F.filter(F.split(text.nz(c), sep), lambda p: F.rlike(p, F.lit(r"\S")))
+
+    by_blank = pieces("\n\n")
+    chosen = F.when(F.size(by_blank) > 1, by_blank).otherwise(pieces("\r\n|\r|\n"))
+    wide = F.filter(chosen, lambda p: F.regexp_count(p, F.lit(r"\S+")) >= 10)
+    return F.transform(wide, lambda p: F.array_distinct(long_tokens(p)))
+
+
+@F.pandas_udf(T.LongType())
+def greedy_matches(extracted: pd.Series, truth: pd.Series) -> pd.Series:
+    """How many truth paragraphs, taken in order, find a free extracted one that overlaps enough (best first)."""
 
+    def one(have, want) -> int:
+        free = {j: set(h) for j, h in enumerate(have)}
+        n = 0
+        for w in map(set, want):
+            overlap = [(len(w & h) / len(w | h), -j) for j, h in free.items() if w and h]
+            if overlap and max(overlap)[0] >= PARAGRAPH_MATCH:
+                del free[-max(overlap)[1]]
+                n += 1
+        return n
 
-def _match(extracted: str, truth: str) -> tuple[int, int, int]:
-    bags = [[{w for w in re.findall(r"\w+", p.lower()) if len(w) > 1} for p in _paragraphs(t or "")] for t in (truth, extracted)]
-    free = dict(enumerate(bags[1]))
-    matched = 0
-    for want in bags[0]:
-        score = {j: len(want & have) / len(want | have) if want and have else 0.0 for j, have in free.items()}
-        best = max(score, key=lambda j: (score[j], -j), default=None)
-        if best is not None and score[best] >= PARAGRAPH_MATCH:
-            matched += 1
-            del free[best]
-    return len(bags[0]) - matched, len(free), matched
+    return pd.Series([one(a, b) for a, b in zip(extracted, truth)])
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.LongType()) for k in ("missing", "noise", "matched")]))
-def paragraph_diff(extracted: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    """Greedy one-to-one paragraph matching of two texts, in the order of the truth."""
-    return pd.DataFrame([_match(a, b) for a, b in zip(extracted, truth)], columns=["missing", "noise", "matched"])
+def paragraph_diff(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:
+    """``(id, missing, noise, matched)``: one-to-one paragraph matching of two texts."""
+    words = df.select(id_col, paragraph_words(extracted).alias("x"), paragraph_words(truth).alias("y"))
+    m = words.select(id_col, F.size("x").alias("nx"), F.size("y").alias("ny"), greedy_matches("x", "y").alias("matched"))
+    return m.select(id_col, (F.col("ny") - F.col("matched")).alias("missing"), (F.col("nx") - F.col("matched")).alias("noise"), "matched")
 
 
 def verdict(f1: Column, missing: Column, success: Column) -> Column:

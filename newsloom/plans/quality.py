@@ -40,7 +40,7 @@ def _(t):
 
 @query("paragraph_diff")
 def _(t):
-    return _pairs(t).select("article_id", quality.paragraph_diff("extracted", "content").alias("d")).select("article_id", "d.*")
+    return quality.paragraph_diff(_pairs(t), "article_id", "extracted", "content")
 
 
 @query("extraction_report", uses="art", sql=f"""

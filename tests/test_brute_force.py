@@ -207,8 +207,8 @@ def test_replies(spark):
 
 def test_paragraph_diff(spark):
     p = [" ".join(f"word{i}{j}" for j in range(12)) for i in range(4)]
-    df = spark.createDataFrame([("\n\n".join([p[0], p[2], p[3]]), "\n\n".join([p[0], p[1], p[2]]))], "x string, y string")
-    d = df.select(quality.paragraph_diff("x", "y").alias("d")).select("d.*").first()
+    df = spark.createDataFrame([(1, "\n\n".join([p[0], p[2], p[3]]), "\n\n".join([p[0], p[1], p[2]]))], "id long, x string, y string")
+    d = quality.paragraph_diff(df, "id", "x", "y").first()
     assert (d["missing"], d["noise"], d["matched"]) == (1, 1, 2)
 
 
@@ -226,6 +226,12 @@ def test_page_rows(spark):
     assert {r["reason"]: r["n"] for r in removed.collect()}["comment"] == 1
 
 
+def test_same_occurrence(spark):
+    shape = "array<struct<title:string,abstract:string>>"
+    df = spark.createDataFrame([([("Storm hits Lisbon coast", "A"), ("Storm hits Lisbon coasts", "B")],), ([("Storm hits Lisbon", "wind"), ("Bank cuts rates", "money")],)], f"e {shape}")
+    assert [r["x"] for r in df.select(replies.near_duplicate_events(F.col("e")).alias("x")).collect()] == [True, False]
+
+
 def test_text(spark):
     r = _one(spark, text.word_count(F.lit("Été à l'aube")).alias("n"), text.title_similarity(F.lit("A b c"), F.lit(" a B c ")).alias("s"),
              text.looks_truncated(F.lit("<p>More to come... </p>")).alias("t"))
