@@ -1,4 +1,4 @@
-"""Wall seconds of the headline queries, warm session, best effort median of BENCH_REPEAT runs; prints one JSON line."""
+"""Wall seconds of the headline queries in a warm session, median of BENCH_REPEAT runs; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -31,7 +31,8 @@ def main() -> None:
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()
+    for warm in ("stage_status", "title_ratio"):  # JVM, parquet reader and Python workers; not timed
+        registry.QUERIES[warm](spark, folder).write.format("noop").mode("overwrite").save()
     took: dict[str, float] = {}
     for n in names:
         runs = []
