@@ -1,0 +1,46 @@
+"""Compare the llm queries with their SQL: ``python tools/check_llm.py NAME... [--sf 0.01]``."""
+
+import sys
+import time
+
+import duckdb
+
+sys.path.insert(0, "/root/repo")
+sys.path.insert(0, "/root/repo/tools")
+from check import rows  # noqa: E402
+
+from newsloom.llm import queries  # noqa: E402
+from newsloom.session import get_session  # noqa: E402
+from newsloom.sources.tables import BASE  # noqa: E402
+
+
+def main():
+    args = sys.argv[1:]
+    sf = "0.01"
+    if "--sf" in args:
+        i = args.index("--sf")
+        sf = args[i + 1]
+        del args[i : i + 2]
+    d = f"/root/testdata/sf{sf}"
+    spark = get_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+                                                "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for n in args or list(queries.QUERIES):
+        t0 = time.time()
+        df = queries.QUERIES[n](spark, d)
+        sc, sr = rows(df.columns, [tuple(r) for r in df.collect()])
+        print(n, df.dtypes, len(sr), f"{time.time() - t0:.1f}s", flush=True)
+        for r in sr[:3]:
+            print("   ", str(dict(zip(sc, r)))[:400])
+        if n in queries.ORACLES:
+            cur = con.execute(queries.ORACLES[n])
+            dc, dr = rows([x[0] for x in cur.description], cur.fetchall())
+            diff = [(a, b) for a, b in zip(sr, dr) if repr(a) != repr(b)]
+            print("   SQL", "EQUAL" if sc == dc and len(sr) == len(dr) and not diff else f"DIFFERENT {sc} {dc} {len(sr)} {len(dr)} {len(diff)} {diff[:2]}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
