@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import pareto_mix
+from newsloom.llm import chat_format, label_shards, pareto_mix, url_automaton
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,54 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, ((whole + hits) * size
 def op2_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     mix = pareto_mix.pareto_mix(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+_CHATS = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM (VALUES (0), (1)) v(k)),
+r AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w IS DISTINCT FROM role AS opens FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+l AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', '')) + length(text) - length(replace(text, '<', '')) AS c,
+  length(role) + length(role) - length(replace(role, '\\', '')) + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, chr(10), '')) AS rc,
+  CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY n)) AS loss_sha256,
+  sum(c + CASE WHEN role = 'assistant' THEN 11 ELSE 0 END + CASE WHEN opens THEN 15 + rc ELSE 5 END)::BIGINT AS formatted_chars FROM l GROUP BY conv_id"""
+
+
+@query("op5_chat_format", _CHATS)
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    chats = chat_format.format_chats(turns.unionByName(planted))
+    back = chats.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"),
+                        F.array_join(chat_format.read_loss(F.col("formatted")), "").alias("loss"))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _glob_sql(glob: str) -> str:
+    host, path = (g.translate(str.maketrans({"*": ".*", "?": ".", ".": "[.]"})) for g in glob.split(" ", 1))
+    return f"(regexp_full_match(host, '{host}', 'si') AND regexp_full_match(path, '{path}', 'si'))"
+
+
+_RULE_SQL = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
+                     for v, h, p in sorted(url_automaton.RULES, key=lambda r: -len(r[1] + r[2])))
+_URLS = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT *, CASE {_RULE_SQL} END AS hit FROM h)
+SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1)
+  WHEN {' OR '.join(_glob_sql(g) for g in url_automaton.BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+@query("op7_url_automaton", _URLS)
+def op7_url_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return url_automaton.judge_urls(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_label_shards")
+def op8_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return label_shards.balanced_shards(table(spark, folder, "documents"))
