@@ -92,7 +92,10 @@ def pareto_mix(docs: DataFrame, cap: int = CAP, share: float = 1.0, seed: str =
     rows = rows.withColumn("whole", F.floor(F.least(mean, F.lit(float(cap)))).cast("long"))
     rows = rows.withColumn("p", F.least(mean, F.lit(float(cap))) - F.col("whole"))
     odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))).otherwise(F.lit(1e300))
-    rows = rows.withColumn("rank", odds).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
+    # Bins are even in u where all odds of a source are alike; else ranks would crowd in a few bins when p is near 0 or 1.
+    part = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("target") / F.greatest("source_size", F.lit(1)) % 1.0))
+    scaled = F.col("rank") * part / (1 - part)
+    rows = rows.withColumn("rank", odds).withColumn("bin", F.floor(scaled / (1 + scaled) * BINS).cast("int"))
     rows = rows.withColumn("free", F.col("whole") < cap).withColumn("copies", F.col("whole"))
     for _ in range(PASSES):
         used = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
