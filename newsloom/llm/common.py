@@ -41,3 +41,33 @@ def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         F.col("p._part").alias("_part"),
         F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_part"] < F.col("p._part"), x["_n"]).otherwise(0)).alias("_before"))
     return dealt.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def per_batch(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
+    """Runs ``make()`` once per task and the function it returns on slices of ``rows`` rows.
+
+    The function takes a dict of column lists and returns a dict of output lists, so that what a task holds is one Arrow
+    batch of input and one slice of output, whatever the table's size.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = work({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def stable_sample(rows: DataFrame, key: Column, most: int, total: int, salt: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, chosen by a hash of the key: the same rows in every run, without a shuffle."""
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * most / total))

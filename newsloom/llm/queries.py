@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, label_shards, pareto_mix, url_automaton
+from newsloom.llm import chat_format, forced_bpe, label_shards, pareto_mix, url_automaton
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,12 @@ def op7_url_automaton(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_label_shards")
 def op8_label_shards(spark: SparkSession, folder: str) -> DataFrame:
     return label_shards.balanced_shards(table(spark, folder, "documents"))
+
+
+@query("op4_forced_bpe")
+def op4_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = forced_bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
