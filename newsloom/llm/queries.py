@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, forced_bpe, label_shards, pareto_mix, url_automaton
+from newsloom.llm import chat_format, forced_bpe, label_shards, lang_ftrl, pareto_mix, quality_fm, url_automaton
+from newsloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,17 @@ def op4_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = forced_bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op1_quality_fm")
+def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality_fm.score_column(docs, quality_fm.train(docs, table(spark, folder, "labels")), ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_lang_ftrl")
+def op3_lang_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    judged = lang_ftrl.predict(docs, lang_ftrl.train(docs), ["doc_id"])
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
