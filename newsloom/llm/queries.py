@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, pareto_mix, quality_fm, url_automaton
+from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, multiprobe_lsh, pareto_mix, quality_fm, url_automaton
 from newsloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op9_crf_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     judged = crf_lines.judge_documents(docs, crf_lines.train(docs, table(spark, folder, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+@query("op6_multiprobe_lsh")
+def op6_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe_lsh.search(table(spark, folder, "embeddings"))
