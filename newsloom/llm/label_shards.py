@@ -23,6 +23,7 @@ from newsloom.session import cut_lineage
 
 SHARDS = 16
 ROUNDS = 8
+SALTS = 32
 KEY = ["h", "text_crc32", "size"]
 
 
@@ -72,7 +73,10 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> Da
     sizes = rows.groupBy(*KEY).agg(F.count("*").alias("members")).filter("members > 1")
     start = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(shards)).cast("int")
     parts = F.ceil(F.col("members") / largest)
-    rows = rows.join(sizes, KEY, "left").withColumn("part", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), parts)))
+    # A hot text would bring all its rows to one task of this join; a salt spreads them, against copies of the few sizes.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(SALTS)).cast("int"))
+    rows = rows.join(salted, [*KEY, "salt"], "left").drop("salt").withColumn("part", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), parts)))
     rows = cut_lineage(rows.withColumn("shard", start).drop("members"))
     linked = propagate(rows.filter(F.col("part").isNotNull()), [*KEY, "part"], total // shards, shards)
     labelled = linked.unionByName(rows.filter(F.col("part").isNull()))
