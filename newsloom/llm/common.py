@@ -71,3 +71,35 @@ def stable_sample(rows: DataFrame, key: Column, most: int, total: int, salt: int
     if total <= most:
         return rows
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+
+
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Joins rows whose key may be hot with a side that has few rows and each key once, which is copied per salt."""
+    salt = F.pmod(F.xxhash64(spread, F.lit(13)), F.lit(salts)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``(id, root)``: the least id of the connected component of every node that has an edge.
+
+    A round takes the least label around each node and then that label's own label, so paths are halved and rounds grow
+    with the logarithm of a component's width. A hub's edges are pre-aggregated; the jump's join, in which all
+    nodes of a large component look up one label, is salted and holds only labels that have moved. What each round
+    leaves is written to the shared checkpoint folder.
+    """
+    both = cut_lineage(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(
+        edges.select(F.col(b).alias("id"), F.col(a).alias("other"))).distinct())
+    labels = both.groupBy("id").agg(F.min("other").alias("near")).select("id", F.least("id", "near").alias("root"))
+    labels = cut_lineage(labels)
+    while True:
+        near = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        step = cut_lineage(step)
+        moved = step.filter(F.col("id") != F.col("root")).select(F.col("id").alias("root"), F.col("root").alias("next"))
+        moved = moved.join(step.select("root").distinct(), "root", "left_semi")
+        jumped = salted_join(step, moved, ["root"], F.col("id"), "left").select("id", "was", F.coalesce("next", "root").alias("root"))
+        jumped = cut_lineage(jumped)
+        labels = jumped.select("id", "root")
+        if jumped.filter(F.col("was") != F.col("root")).isEmpty():
+            return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, multiprobe_lsh, pareto_mix, quality_fm, url_automaton
+from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, quality_fm, url_automaton
 from newsloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,21 @@ def op9_crf_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_multiprobe_lsh")
 def op6_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return multiprobe_lsh.search(table(spark, folder, "embeddings"))
+
+
+_NEAR = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+t AS (SELECT text, min(doc_id) AS id, count(*) AS copies, any_value(w) AS w FROM d GROUP BY text),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM (
+  SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT id, id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
+k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+m AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, copies FROM d JOIN t USING (text) JOIN k USING (id) LEFT JOIN m USING (id)"""
+
+
+@query("op10_lsh_forest", _NEAR)
+def op10_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("node")
