@@ -43,27 +43,35 @@ def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return dealt.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def per_batch(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
+def per_batch(df: DataFrame, make, schema: str, rows: int = 512, keep: str | None = None) -> DataFrame:
     """Runs ``make()`` once per task and the function it returns on slices of ``rows`` rows.
 
     The function takes a dict of column lists and returns a dict of output lists, so that what a task holds is one Arrow
-    batch of input and one slice of output, whatever the table's size.
+    batch of input and one slice of output, whatever the table's size. A column ``keep`` is passed on untouched.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    made = StructType.fromDDL(schema)
+    arrow = list(to_arrow_schema(made))
 
     def run(batches):
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out = work({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                out = work({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True) if n != keep})
+                arrays = [part.column(keep)] if keep else []
+                names = [keep] if keep else []
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(out[f.name], f.type) for f in arrow]], names=[*names, *[f.name for f in arrow]])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*([df.schema[keep]] if keep else []), *made]))
+
+
+def as_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Columns as one struct named ``row``: whatever their names, they clash with nothing beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row")
 
 
 def stable_sample(rows: DataFrame, key: Column, most: int, total: int, salt: int) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import held_out, per_batch
+from newsloom.llm.common import as_row, held_out, per_batch
 
 SAMPLE, BITS, BLOCK, EPOCHS = 4000, 16, 1 << 20, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -194,16 +194,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Regression:
     return model.fit(rows).calibrate(back)
 
 
-def predict(docs: DataFrame, model: Regression, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every row."""
+def judge_rows(docs: DataFrame, model: Regression, keep: list[str] | None = None) -> DataFrame:
+    """``(row, lang_pred, score)``: the ``keep`` columns of a document (all by default) as a struct, and its language."""
 
     def make():
         def work(rows: dict) -> dict:
-            out = [model.judge(t) for t in rows["_text"]]
-            return {k: rows[k] for k in keep} | {"lang_pred": [a for a, _ in out], "score": [p for _, p in out]}
+            out = [model.judge(t) for t in rows["text"]]
+            return {"lang_pred": [a for a, _ in out], "score": [p for _, p in out]}
 
         return work
 
-    picked = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("_text"))
-    ddl = ", ".join([*[f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep], "lang_pred string, score double"])
-    return per_batch(picked, make, ddl)
+    return per_batch(docs.select(as_row(docs, keep), "text"), make, "lang_pred string, score double", keep="row")

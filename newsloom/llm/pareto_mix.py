@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from newsloom.llm.common import unit_random, with_position, word_count
+from newsloom.llm.common import as_row, unit_random, with_position, word_count
 from newsloom.session import cut_lineage
 
 CAP = 3
@@ -109,9 +109,8 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in id, source and text are numbered, so that n equal rows meet their n numbers and not n * n.
     """
-    equal = W.partitionBy("_digest").orderBy(F.lit(1))
     mix = pareto_mix(docs, **how).select(F.col("digest").alias("_digest"), "copies")
-    mix = mix.withColumn("_k", F.row_number().over(W.partitionBy("_digest").orderBy(F.desc("copies"))))
-    rows = docs.withColumn("_digest", _digest()).withColumn("_k", F.row_number().over(equal))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return rows.join(mix.filter("copies > 0"), ["_digest", "_k"]).withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mix = mix.withColumn("_k", F.row_number().over(W.partitionBy("_digest").orderBy(F.desc("copies")))).filter("copies > 0")
+    rows = docs.select(as_row(docs), _digest().alias("_digest"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_digest").orderBy(F.lit(1))))
+    return rows.join(mix, ["_digest", "_k"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

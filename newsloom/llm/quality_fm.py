@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import held_out, per_batch, stable_sample
+from newsloom.llm.common import as_row, held_out, per_batch, stable_sample
 
 SAMPLE, BITS, FACTORS, EPOCHS, RATE, SHRINK = 6000, 17, 8, 6, 0.1, 1e-5
 BINS = 24
@@ -126,7 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     made = made.groupBy("doc_id").agg(F.min(F.struct("at", "x", "y")).alias("r")).select("doc_id", "r.*")
     got = sorted(made.collect(), key=lambda r: r["doc_id"])
     machine = Machine()
-    return machine.fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in got]) if got else machine
+    if not got:
+        machine.v[:] = 0
+        return machine
+    return machine.fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in got])
 
 
 def stated_length(docs: DataFrame) -> Column:
@@ -134,10 +137,8 @@ def stated_length(docs: DataFrame) -> Column:
     return known.alias("n_chars")
 
 
-def score_column(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``score`` of every row."""
-    from pyspark.sql.types import StructField, StructType
-
+def score_rows(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
+    """``(row, score)``: the ``keep`` columns of a document (all by default) as a struct, and its score."""
     weights = (machine.w0, machine.w, machine.v)
 
     def make():
@@ -145,12 +146,8 @@ def score_column(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFram
         m.w0, m.w, m.v = weights
 
         def work(rows: dict) -> dict:
-            out = {k: rows[k] for k in keep}
-            return out | {"score": [m.score(*inputs(t, n)) for t, n in zip(rows["_text"], rows["_n"], strict=True)]}
+            return {"score": [m.score(*inputs(t, n)) for t, n in zip(rows["text"], rows["n_chars"], strict=True)]}
 
         return work
 
-    picked = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("_text"), stated_length(docs).alias("_n"))
-    kept = StructType([StructField(k, docs.schema[k].dataType) for k in keep])
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"])
-    return per_batch(picked, make, ddl)
+    return per_batch(docs.select(as_row(docs, keep), "text", stated_length(docs)), make, "score double", keep="row")

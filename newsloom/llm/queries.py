@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, quality_fm, url_automaton
 from newsloom.llm.common import held_out
 
@@ -120,15 +121,15 @@ def op4_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_quality_fm")
 def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    scored = quality_fm.score_column(docs, quality_fm.train(docs, table(spark, folder, "labels")), ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = quality_fm.score_rows(docs, quality_fm.train(docs, table(spark, folder, "labels")), ["doc_id"])
+    return scored.select("row.*", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op3_lang_ftrl")
 def op3_lang_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    judged = lang_ftrl.predict(docs, lang_ftrl.train(docs), ["doc_id"])
-    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    judged = lang_ftrl.judge_rows(docs, lang_ftrl.train(docs), ["doc_id"])
+    return judged.select("row.*", "lang_pred", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 @query("op9_crf_lines")
@@ -159,3 +160,8 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, copies FROM d JOIN t U
 @query("op10_lsh_forest", _NEAR)
 def op10_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("node")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
