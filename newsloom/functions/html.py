@@ -54,6 +54,7 @@ def paywall_signs(html, literal_repeats: bool = False) -> Column:
     n = text.count_any(low, PAYWALL_TEXT + (["paywall"] if literal_repeats else []))
     for c in PAYWALL_CLASSES:
         n = n + F.rlike(low, F.lit(rf'class=["\'][^"\']*\b{c}\b')).cast("int")
+    n = n + F.rlike(low, F.lit(r"<[a-z][^>]*\sdata-paywall(?![a-z0-9_-])")).cast("int")
     return n + text.count_any(body, [t for t in TRUNCATION_TEXT if literal_repeats or t not in PAYWALL_TEXT])
 
 

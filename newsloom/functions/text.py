@@ -200,3 +200,21 @@ def flesch(c) -> Column:
     """Reading ease from words, sentences and vowel groups; null for a text without words."""
     w, s, y = word_count(c), sentence_count(c), syllables(c)
     return F.when(w > 0, F.lit(206.835) - F.lit(1.015) * (w / s) - F.lit(84.6) * (y / w))
+
+
+# Blocks of characters counted as Chinese, Japanese or Korean, and the bands of their share.
+CJK = ("[\\x{2E80}-\\x{2EFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{3100}-\\x{312F}\\x{3200}-\\x{32FF}\\x{3400}-\\x{4DBF}"
+       "\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}\\x{2F800}-\\x{2FA1F}]")
+CJK_BANDS = [(0.8, 3.6), (0.5, 3.0), (0.2, 1.5)]
+
+
+def cjk_ratio(c) -> Column:
+    """Share of such characters in the whole text; null for an empty one."""
+    return F.regexp_count(c, F.lit(CJK)) / F.nullif(F.length(c), F.lit(0))
+
+
+def cjk_multiplier(ratio: Column) -> Column:
+    out = F.lit(1.0)
+    for least, value in reversed(CJK_BANDS):
+        out = F.when(ratio >= least, value).otherwise(out)
+    return out

@@ -77,7 +77,7 @@ def diversify_fold(pool: DataFrame, keys: list[str], order_cols: list[str], asce
     """First-wins walk down each ranked pool: skip a story already kept and a source at its cap.
 
     A story counts as seen only when one of its articles was kept, which windows cannot say. The caller
-    bounds every pool (top_k or first_rows), so a group always fits a task.
+    bounds every pool (``walk_pool``), so a group always fits a task.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,28 +99,44 @@ def diversify_fold(pool: DataFrame, keys: list[str], order_cols: list[str], asce
     return pool.groupBy(*keys).applyInPandas(walk, schema=schema)
 
 
+def walk_pool(ranked: DataFrame, keys: list[str], order: list[Column], wanted: int, per_source: int) -> DataFrame:
+    """The rows that the first ``wanted`` positions of the first-wins walk can depend on, whatever the table's size.
+
+    Of a story's articles from one source only the best counts: if it is passed over, so are the others. Before the
+    walk has kept ``wanted`` articles it can pass over at most ``wanted`` rows of a source for their stories, and at most
+    ``wanted / per_source`` rows of a story for their sources; so those many rows of each, and of the whole at most
+    as many as all such sources and stories hold together, are enough.
+    """
+    full = wanted // per_source + 1
+    one = top_k(ranked, [*keys, "publication_id", "cluster_id"], order, 1)
+    few = top_k(one, [*keys, "publication_id"], order, wanted + per_source)
+    few = top_k(few, [*keys, "cluster_id"], order, full + 1)
+    return top_k(few, keys, order, full * (wanted + per_source) + wanted * (full + 1) + wanted)
+
+
 def relevance_page(articles: DataFrame, publications: DataFrame, as_of: Column, page: int = 1, size: int = 20,
-                   pool: int = 5000, per_source: int = 5) -> DataFrame:
-    """One page of the feed: newest ``pool`` rows, ranked, diversified, sliced."""
-    recent = first_rows(articles, [F.desc("published_at"), F.asc("article_id")], pool)
-    ranked = relevance(recent, publications, as_of).withColumn("page_no", F.lit(page))
-    kept = diversify_fold(
-        ranked.select("page_no", "article_id", "publication_id", "cluster_id", "published_at", "rank_score"),
-        ["page_no"], ["rank_score", "published_at", "article_id"], [False, False, True], per_source)
+                   per_source: int = 5) -> DataFrame:
+    """One page of the feed over all articles, ranked and diversified; ``has_next`` tells whether the walk goes on."""
+    ranked = relevance(articles, publications, as_of).withColumn("page_no", F.lit(page)).select(
+        "page_no", "article_id", "publication_id", "cluster_id", "published_at", "rank_score")
+    pool = walk_pool(ranked, ["page_no"], rank_order(), page * size + 1, per_source)
+    kept = diversify_fold(pool, ["page_no"], ["rank_score", "published_at", "article_id"], [False, False, True], per_source)
+    kept = kept.filter(F.col("position") <= page * size + 1)
+    kept = kept.withColumn("has_next", F.max("position").over(W.partitionBy("page_no")) > page * size)
     return kept.filter(F.col("position").between((page - 1) * size + 1, page * size))
 
 
 def diversified_page(articles: DataFrame, order: list[Column], page: int, size: int, per_source: int = 5,
-                     scan_limit: int = 200) -> DataFrame:
-    """A page read from a bounded scan window plus one row that only tells whether more follow."""
-    window = min(max(size * 6, size), scan_limit)
-    rows = articles.orderBy(*order).offset((page - 1) * size).limit(window + 1)
-    rows = rows.withColumn("scan", F.row_number().over(W.orderBy(*order)))
-    more = F.max("scan").over(W.partitionBy()) > window
-    rows = rows.withColumn("more_source", more).filter(F.col("scan") <= window)
-    kept = diversify_windows(rows, [], [F.asc("scan")], per_source)
-    kept = kept.withColumn("position", F.row_number().over(W.orderBy("scan")))
-    kept = kept.withColumn("has_next", F.col("more_source") | (F.count("*").over(W.partitionBy()) > size))
+                     id_col: str = "article_id") -> DataFrame:
+    """A diversified page of what comes after the pages before it, and whether more would follow.
+
+    The rows of earlier pages are at most ``(page - 1) * size``; of the rest, only the first ``size + 1`` after
+    diversification meet in one task.
+    """
+    earlier = first_rows(articles, order, (page - 1) * size).select(id_col) if page > 1 else None
+    rest = articles.join(earlier, id_col, "left_anti") if earlier is not None else articles
+    kept = first_rows(diversify_windows(rest, [], order, per_source), order, size + 1, rank="position")
+    kept = kept.withColumn("has_next", F.max("position").over(W.partitionBy()) > size)
     return kept.filter(F.col("position") <= size)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators.ranking import first_rows
+from newsloom.operators.ranking import first_rows, top_k
 
 MAX_ATTEMPTS = 3
 STAGES = ["fetch", "process", "summary", "analyzer"]
@@ -134,3 +134,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataF
         same = same & F.coalesce(f"n_{v}", f"o_{v}").eqNullSafe(F.col(f"o_{v}"))
     what = F.when(F.col("had").isNull(), "created").when(F.col("came").isNull() | same, "kept").otherwise("updated")
     return o.join(n, key, "full_outer").select(key, *[F.coalesce(f"n_{v}", f"o_{v}").alias(v) for v in values], what.alias("action"))
+
+
+def unique_facts(articles: DataFrame, topic: str, content: str, k: int) -> DataFrame:
+    """``(topic, facts)``: the first ``k`` different lines of a topic's articles, newest article first.
+
+    A line's place is its least (age, article, line) anywhere in the topic, a partial minimum; no topic is collected.
+    """
+    lines = articles.select(topic, (-F.unix_micros("published_at")).alias("age"), "article_id", F.posexplode(F.split(content, "\n")).alias("i", "fact"))
+    first = lines.groupBy(topic, "fact").agg(F.min(F.struct("age", "article_id", "i")).alias("place"))
+    few = top_k(first, [topic], [F.asc("place")], k)
+    pairs = F.array_sort(F.collect_list(F.struct("place", "fact")))
+    return few.groupBy(topic).agg(F.transform(pairs, lambda x: x["fact"]).alias("facts"))

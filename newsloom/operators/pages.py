@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.functions.stopwords import ENGLISH
 from newsloom.operators.ranking import latest_by
 
 # Elements that never hold the article, and class or id words that speak against a block.
@@ -228,17 +229,18 @@ def unique_blocks(rows: DataFrame) -> DataFrame:
     return firsts.select("page_id", "position")
 
 
-def sentence_rank(docs: DataFrame, id_col: str, c: str, ratio: float = 0.3, min_sentences: int = 6) -> DataFrame:
-    """``(id, sentence, score, kept)``: sentences by summed cosine to the others.
+def sentence_rank(docs: DataFrame, id_col: str, c: str, ratio: float = 0.3, whole_below: int = 6,
+                  stop_words: list[str] = ENGLISH) -> DataFrame:
+    """``(id, sentence, score, kept)``: sentences by summed cosine to the others, stop words left out; texts of fewer
+    than ``whole_below`` sentences are kept whole.
 
     The sum over all pairs is never formed: a unit vector's summed similarity to the rest is its product with
     the sum of all unit vectors, less one.
     """
     parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    # hashed by document once: every count, norm and sum below is within a document and keeps that layout
-    s = docs.select(id_col, c).repartition(id_col).select(id_col, parts.alias("parts")).filter(F.size("parts") >= min_sentences).select(
+    s = docs.select(id_col, parts.alias("parts")).select(
         id_col, F.size("parts").alias("n_s"), F.posexplode("parts").alias("sentence", "s"))
-    words = F.filter(text.tokens("s"), lambda w: F.length(w).between(2, 15))
+    words = F.filter(text.tokens("s"), lambda w: F.length(w).between(2, 15) & ~w.isin(stop_words))
     tf = s.select(id_col, "sentence", "n_s", F.explode_outer(words).alias("w")).groupBy(id_col, "n_s", "sentence", "w").agg(F.count("*").alias("tf"))
     per_word, per_sentence = W.partitionBy(id_col, "w"), W.partitionBy(id_col, "sentence")
     x = F.when(F.col("w").isNotNull(), F.col("tf") * F.log2(F.col("n_s") / F.count("*").over(per_word))).otherwise(0.0)
@@ -247,7 +249,7 @@ def sentence_rank(docs: DataFrame, id_col: str, c: str, ratio: float = 0.3, min_
     score = F.when(F.max("len") > 0, F.sum(F.col("u") * F.col("all")) - 1.0).otherwise(0.0)
     ranked = u.groupBy(id_col, "n_s", "sentence").agg(F.round(score, 6).alias("score"))
     place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), F.asc("sentence")))  # one document's sentences
-    return ranked.withColumn("kept", place <= F.greatest(F.lit(1), F.floor(F.col("n_s") * F.lit(ratio)))).select(id_col, "sentence", "score", "kept")
+    return ranked.withColumn("kept", (F.col("n_s") < whole_below) | (place <= F.greatest(F.lit(1), F.floor(F.col("n_s") * F.lit(ratio))))).select(id_col, "sentence", "score", "kept")
 
 
 def section_budget(sections: DataFrame, id_col: str, budget: int) -> DataFrame:

@@ -27,14 +27,17 @@ def term_counts(df: DataFrame, id_col: str, c: str) -> DataFrame:
     return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_vocabulary(titles: DataFrame, id_col: str, c: str, max_features: int = 20000, max_df: float = 0.95) -> DataFrame:
-    """``(term, idf)``: the most frequent terms of the titles with smoothed inverse document frequency.
+def fit_vocabulary(titles: DataFrame, id_col: str, c: str, max_features: int | None = None, max_df: float = 0.95) -> DataFrame:
+    """``(term, idf)``: all terms of the texts with smoothed inverse document frequency.
 
-    ``max_features`` is the vectoriser's own setting and bounds the table for every later join.
+    Fit on the texts that are compared: rare terms are what tells stories apart and what keeps the joins selective.
+    ``max_features`` keeps the most frequent terms only, for callers who want a vectoriser of fixed size.
     """
     n = titles.agg(F.count("*")).scalar()
     stats = term_counts(titles, id_col, c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.filter(F.col("df") <= n * F.lit(max_df)).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    kept = stats.filter(F.col("df") <= n * F.lit(max_df))
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     return cut_lineage(kept.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1.0).alias("idf")))
 
 
@@ -121,7 +124,7 @@ def market_feeds(feeds: DataFrame, languages: DataFrame, default: int = 15) -> D
 
 def rescore_members(articles: DataFrame, clusters: DataFrame, publications: DataFrame, markets: DataFrame,
                     cluster: str = "cluster_id") -> DataFrame:
-    """New headline score of every member from its cluster's present size and burst, with neutral feed signals."""
+    """New headline score of every member from its cluster's present size and burst, with neutral feed signals; ``was`` is the old flag."""
     rows = (
         articles.join(clusters.select(cluster, "article_count", "burst"), cluster)
         .join(publications.select("publication_id", "authority"), "publication_id", "left")
@@ -130,5 +133,5 @@ def rescore_members(articles: DataFrame, clusters: DataFrame, publications: Data
     new = scoring.headline_score(
         scoring.authority01("authority"), scoring.centrality("article_count"), F.lit(0.5), F.col("burst"),
         F.col("article_count"), F.coalesce("active_feeds", F.lit(15)))
-    return rows.select("article_id", F.col("headline_score").alias("old_score"), new.alias("new_score"),
+    return rows.select("article_id", F.col("headline_score").alias("old_score"), F.col("is_top_headline").alias("was"), new.alias("new_score"),
                        (new >= scoring.HEADLINE_THRESHOLD).alias("is_top_headline"))

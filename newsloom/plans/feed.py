@@ -114,21 +114,21 @@ w AS (SELECT g, 0::BIGINT AS i, NULL::BIGINT AS article_id, false AS keep, []::B
 kept AS (SELECT g, article_id, row_number() OVER (PARTITION BY g ORDER BY i) AS position FROM w WHERE keep)"""
 
 
-@query("relevance_page", uses="art pub", sql=_fold_sql("1", f"SELECT * FROM base ORDER BY {NEWEST} LIMIT 5000", 5, BASE_SQL + ", ") + """
-SELECT k.article_id, position, rank_score FROM kept k JOIN ranked USING (article_id) WHERE position <= 20""")
+@query("relevance_page", uses="art pub", sql=_fold_sql("1", "SELECT * FROM base", 5, BASE_SQL + ", ") + """
+SELECT k.article_id, position, rank_score, (SELECT max(position) FROM kept) > 40 AS has_next FROM kept k JOIN ranked USING (article_id) WHERE position BETWEEN 21 AND 40""")
 def _(t):
-    return feed.relevance_page(feed.base(t.art), t.pub, as_of()).select("article_id", "position", "rank_score")
+    return feed.relevance_page(feed.base(t.art), t.pub, as_of(), page=2).select("article_id", "position", "rank_score", "has_next")
 
 
 @query("diversify_fold", uses="art pub", sql=_fold_sql(
-    "language", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY {NEWEST}) AS rn FROM art) WHERE rn <= 300", 2, "") + """
-SELECT g AS language, article_id, position FROM kept""")
+    "language", "SELECT * FROM art", 2, "") + """
+SELECT g AS language, article_id, position FROM kept WHERE position <= 30""")
 def _(t):
-    pool = top_k(t.art.select("article_id", "publication_id", "cluster_id", "published_at", "language", "headline_score"),
-                 ["language"], newest(), 300)
-    ranked = feed.relevance(pool, t.pub, as_of()).drop("headline_score")
-    return feed.diversify_fold(ranked, ["language"], ["rank_score", "published_at", "article_id"], [False, False, True], 2).select(
-        "language", "article_id", "position")
+    rows = t.art.select("article_id", "publication_id", "cluster_id", "published_at", "language", "headline_score")
+    ranked = feed.relevance(rows, t.pub, as_of()).drop("headline_score")
+    pool = feed.walk_pool(ranked, ["language"], feed.rank_order(), 30, 2)
+    kept = feed.diversify_fold(pool, ["language"], ["rank_score", "published_at", "article_id"], [False, False, True], 2)
+    return kept.filter("position <= 30").select("language", "article_id", "position")
 
 
 @query("diversify_windows", uses="art pub", sql=f"""
@@ -143,11 +143,10 @@ def _(t):
 
 @query("diversified_page", uses="art", sql=f"""
 WITH {BASE_SQL}, s AS (SELECT article_id, publication_id, cluster_id, row_number() OVER (ORDER BY {NEWEST}) AS scan FROM base
-   QUALIFY scan > 20 AND scan <= 20 + 121),
-m AS (SELECT *, max(scan) OVER () > 140 AS more FROM s), w AS (SELECT * FROM m WHERE scan <= 140),
-a AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY scan) = 1),
+   QUALIFY scan > 20),
+a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY scan) = 1),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY publication_id ORDER BY scan) <= 5),
-p AS (SELECT article_id, row_number() OVER (ORDER BY scan) AS position, more OR count(*) OVER () > 20 AS has_next FROM b)
+p AS (SELECT article_id, row_number() OVER (ORDER BY scan) AS position, count(*) OVER () > 20 AS has_next FROM b)
 SELECT * FROM p WHERE position <= 20""")
 def _(t):
     return feed.diversified_page(feed.base(t.art), newest(), page=2, size=20).select(

@@ -192,16 +192,11 @@ def _(t):
 
 
 @query("unique_facts", uses="art", sql="""
-WITH r AS (SELECT topic_id, article_id, content, row_number() OVER (PARTITION BY topic_id ORDER BY published_at DESC, article_id) AS rn FROM art QUALIFY rn <= 5),
-l AS (SELECT topic_id, rn, unnest(string_split(content, chr(10))) AS fact, generate_subscripts(string_split(content, chr(10)),1) AS i FROM r),
-d AS (SELECT topic_id, fact, min((rn, i)) AS pos FROM l GROUP BY topic_id, fact)
-SELECT topic_id, md5(string_agg(fact, chr(10) ORDER BY pos)) AS facts, count(*) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY pos) <= 8) GROUP BY topic_id""")
+WITH l AS (SELECT topic_id, -epoch_us(published_at) AS age, article_id, unnest(string_split(content, chr(10))) AS fact, generate_subscripts(string_split(content, chr(10)),1) AS i FROM art),
+d AS (SELECT topic_id, fact, min((age, article_id, i)) AS pos FROM l GROUP BY topic_id, fact)
+SELECT topic_id, md5(string_agg(fact, chr(10) ORDER BY pos)) AS facts, count(*) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY pos) <= 20) GROUP BY topic_id""")
 def _(t):
-    # five recent articles per topic bound the lists
-    recent = top_k(t.art.select("topic_id", "article_id", "published_at", "content"), ["topic_id"], [F.desc("published_at"), F.asc("article_id")], 5, rank="rn")
-    lists = recent.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.split("content", "\n").alias("facts")))).alias("xs"))
-    facts = F.slice(F.array_distinct(F.flatten(F.transform("xs", lambda x: x["facts"]))), 1, 8)
-    return lists.select("topic_id", F.md5(F.array_join(facts, "\n")).alias("facts"), F.size(facts).cast("long").alias("n"))
+    return lifecycle.unique_facts(t.art, "topic_id", "content", 20).select("topic_id", F.md5(F.array_join("facts", "\n")).alias("facts"), F.size("facts").cast("long").alias("n"))
 
 
 @query("sample_per_class", sql="""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import html, text
+from newsloom.functions.stopwords import ENGLISH
 from newsloom.operators import pages, quality
 from newsloom.plans.registry import query
-from newsloom.session import cut_lineage, spread
+from newsloom.session import cut_lineage
 from newsloom.sources.entries import project
 from newsloom.sources.tables import as_of
 
@@ -37,9 +38,9 @@ def _(t):
     return p.select("page_id", "h1", F.size("p").cast("long").alias("paragraphs"), F.md5(F.array_join("p", "\n")).alias("body_md5"))
 
 
-TEASED = "CASE WHEN page_id%4 = 0 THEN replace(html, '</article>', '<div class=\"box paywall\">Subscribe to continue reading</div></article>') WHEN page_id%4 = 1 THEN replace(html, '</article>', '<p>Read more</p></article>') ELSE html END"
+TEASED = "CASE WHEN page_id%4 = 0 THEN replace(html, '</article>', '<div class=\"box paywall\">Subscribe to continue reading</div></article>') WHEN page_id%4 = 1 THEN replace(html, '</article>', '<p>Read more</p></article>') WHEN page_id%4 = 2 THEN replace(html, '</article>', '<div data-paywall=\"1\">x</div></article>') ELSE html END"
 _PW = " + ".join(f"contains(low, '{x}')::INT" for x in html.PAYWALL_TEXT) + "".join(
-    f" + regexp_matches(low, 'class=[\"''][^\"'']*\\b{c}\\b')::INT" for c in html.PAYWALL_CLASSES) + "".join(
+    f" + regexp_matches(low, 'class=[\"''][^\"'']*\\b{c}\\b')::INT" for c in html.PAYWALL_CLASSES) + " + regexp_matches(low, '<[a-z][^>]*\\sdata-paywall([^a-z0-9_-]|$)')::INT" + "".join(
     f" + contains(body, '{x}')::INT" for x in html.TRUNCATION_TEXT if x not in html.PAYWALL_TEXT)
 
 
@@ -95,13 +96,13 @@ def _(t):
 
 @query("page_blocks")
 def _(t):
-    return pages.blocks(html.page_nodes(spread(t.pages, "page_id"))).select("page_id", "position", "type", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+    return pages.blocks(html.page_nodes(t.pages)).select("page_id", "position", "type", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
 @query("page_clean")
 def _(t):
     # parsed once, read by every pass
-    kept, removed = pages.clean(cut_lineage(html.page_nodes(spread(t.pages, "page_id"))))
+    kept, removed = pages.clean(cut_lineage(html.page_nodes(t.pages)))
     n = kept.groupBy("page_id").agg(F.sum(F.length("body")).alias("kept_chars"))
     r = removed.groupBy("page_id").agg(*[F.sum(F.when(F.col("reason") == k, F.col("n")).otherwise(0)).alias(f"removed_{k}") for k in ("tag", "comment", "mark", "links")])
     size = t.pages.select("page_id", F.length("html").alias("html_chars"))
@@ -111,7 +112,7 @@ def _(t):
 
 @query("container_scores")
 def _(t):
-    out = pages.best_container(html.page_nodes(spread(t.pages, "page_id")))
+    out = pages.best_container(html.page_nodes(t.pages))
     return out.select("page_id", "tag", F.round("score", 4).alias("score"), (F.col("score") >= 1600).alias("good_enough"))
 
 
@@ -190,12 +191,12 @@ def _(t):
 
 @query("sentence_rank", sql=r"""
 WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text,'([.!?])\s+','\1'||chr(1),'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM documents),
-s AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts,1) - 1 AS i, len(parts) AS n FROM p WHERE len(parts) >= 6),
-tf AS (SELECT doc_id, i, n, w, count(*) AS tf FROM (SELECT doc_id, i, n, unnest(list_filter(regexp_extract_all(lower(s),'[\p{L}\p{N}_]+'), lambda w: length(w) BETWEEN 2 AND 15)) AS w FROM s) GROUP BY ALL),
+s AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts,1) - 1 AS i, len(parts) AS n FROM p),
+tf AS (SELECT doc_id, i, n, w, count(*) AS tf FROM (SELECT doc_id, i, n, unnest(list_filter(regexp_extract_all(lower(s),'[\p{L}\p{N}_]+'), lambda w: length(w) BETWEEN 2 AND 15 AND NOT list_contains(string_split('STOP', ' '), w))) AS w FROM s) GROUP BY ALL),
 v AS (SELECT *, tf*log2(n/(count(*) OVER (PARTITION BY doc_id, w))::DOUBLE) AS x FROM tf), u AS (SELECT *, x/sqrt(sum(x*x) OVER (PARTITION BY doc_id, i)) AS u FROM v WHERE x > 0),
 a AS (SELECT *, sum(u) OVER (PARTITION BY doc_id, w) AS allu FROM u), sc AS (SELECT doc_id, i, sum(u*allu) - 1e0 AS score FROM a GROUP BY doc_id, i),
 r AS (SELECT s.doc_id, s.i, n, round(coalesce(score,0e0),6) + 0e0 AS score FROM s LEFT JOIN sc ON sc.doc_id = s.doc_id AND sc.i = s.i)
-SELECT doc_id, i AS sentence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) <= greatest(1, floor(n*3e-1)) AS kept FROM r""")
+SELECT doc_id, i AS sentence, score, n <= 5 OR row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) <= greatest(1, floor(n*3e-1)) AS kept FROM r""".replace("STOP", " ".join(ENGLISH)))
 def _(t):
     return pages.sentence_rank(t.documents, "doc_id", "text").withColumn("sentence", F.col("sentence").cast("long"))
 

@@ -65,11 +65,11 @@ PRE = f"""pre AS (SELECT doc_id, CASE WHEN n < 100 THEN -8e-1 WHEN ratio > 100 T
     WHEN n > 3000 AND tl > 10 AND ratio < 5 AND words > 300 THEN 'excellent_indicators_long_clean_content' WHEN n > 1500 AND tl > 10 AND ratio < 10 AND blocks > 3 THEN 'good_indicators_structured_content'
     ELSE 'uncertain_quality_needs_llm' END AS reason
  FROM (SELECT doc_id, length(text) AS n, length(html)/greatest(length(text),1)::DOUBLE AS ratio, length(trim(split_part(text,'.',1))) AS tl, len(regexp_extract_all(text,'{W}')) AS words,
-   len(string_split(text, chr(10))) AS blocks FROM documents JOIN pages ON page_id = doc_id%200))"""
+   len(string_split(text, chr(10))) AS blocks FROM documents JOIN pages ON page_id = doc_id%(SELECT count(*) FROM pages)))"""
 
 
 def _prefiltered(t):
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 200).alias("page_id")).join(t.pages.select("page_id", F.length("html").alias("hn")), "page_id")
+    d = t.documents.select("doc_id", "text", (F.col("doc_id") % t.pages.agg(F.count("*")).scalar()).alias("page_id")).join(t.pages.select("page_id", F.length("html").alias("hn")), "page_id")
     p = quality.prefilter(F.length("text"), F.col("hn"), F.split_part("text", F.lit("."), F.lit(1)), F.col("doc_id") % 7 == 0,
                           text.word_count("text"), F.size(F.split("text", "\n")))
     return d.select("doc_id", p.alias("p")).select("doc_id", "p.*")

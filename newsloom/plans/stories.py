@@ -8,7 +8,7 @@ from newsloom.functions import scoring
 from newsloom.functions.stopwords import TITLE_STOPWORDS
 from newsloom.operators import stories
 from newsloom.plans.registry import query
-from newsloom.session import cut_lineage, spread
+from newsloom.session import cut_lineage
 from newsloom.sources.tables import as_of
 
 W = r"[\p{L}\p{N}_]+"
@@ -21,26 +21,25 @@ def _terms_sql(src: str, key: str, c: str) -> str:
       lambda x: length(x) >= 2 AND NOT list_contains(string_split('{STOP}',' '), x)) AS w FROM {src})) GROUP BY {key}, term)"""
 
 
-VOCAB = f"""tt AS {_terms_sql('art', 'article_id', 'title')}, nn AS (SELECT count(*) AS n FROM art),
-vocab AS (SELECT term, ln((n+1)/(df+1)) + 1e0 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM tt GROUP BY term), nn
-   WHERE df <= n*95e-2 ORDER BY cf DESC, term LIMIT 20000)"""
+def _vocab(src: str, c: str) -> str:
+    return f"""tt AS {_terms_sql(src, 'article_id', c)}, nn AS (SELECT count(*) AS n FROM {src}),
+vocab AS (SELECT term, ln((n+1)/(df+1)) + 1e0 AS idf FROM (SELECT term, count(*) AS df FROM tt GROUP BY term), nn WHERE df <= n*95e-2)"""
 
 
 @query("tfidf_weights", uses="art", sql=f"""
-WITH {VOCAB}, r AS (SELECT article_id, term, (1e0+ln(tf))*idf AS w FROM tt JOIN vocab USING (term))
+WITH {_vocab('art', 'title')}, r AS (SELECT article_id, term, (1e0+ln(tf))*idf AS w FROM tt JOIN vocab USING (term))
 SELECT article_id, term, round(w/sqrt(sum(w*w) OVER (PARTITION BY article_id)), 6) AS weight FROM r""")
 def _(t):
-    titles = spread(t.art.select("article_id", "title"), "article_id")
+    titles = t.art.select("article_id", "title")
     vocab = stories.fit_vocabulary(titles, "article_id", "title")
     return stories.tfidf(titles, "article_id", "title", vocab).select("article_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _body(t):
-    b = t.art.select("article_id", "language", "published_at", "title", F.concat("title", F.lit(" "), "description").alias("body"))
-    return spread(b, "article_id")
+    return t.art.select("article_id", "language", "published_at", F.concat("title", F.lit(" "), "description").alias("body"))
 
 
-PAIRS = f"""{VOCAB}, body AS (SELECT article_id, language, epoch(published_at)::BIGINT AS t, concat(title,' ',description) AS body FROM art),
+PAIRS = f"""body AS (SELECT article_id, language, epoch(published_at)::BIGINT AS t, concat(title,' ',description) AS body FROM art), {_vocab('body', 'body')},
 variants AS (SELECT language, t//21600 AS span, body, min(article_id) AS variant, count(*) AS copies, min(t) AS first_s, max(t) AS last_s FROM body GROUP BY ALL),
 vt AS {_terms_sql('variants', 'variant', 'body')}, vr AS (SELECT variant, term, (1e0+ln(tf))*idf AS w FROM vt JOIN vocab USING (term)),
 vw AS (SELECT variant, term, w/sqrt(sum(w*w) OVER (PARTITION BY variant)) AS w FROM vr),
@@ -53,7 +52,7 @@ pairs AS (SELECT a, b, round(sum(x.w*y.w),6) AS similarity FROM cand JOIN vw x O
 @query("story_pairs", uses="art", sql=f"WITH {PAIRS} SELECT * FROM pairs")
 def _(t):
     b = _body(t)
-    vocab = stories.fit_vocabulary(b, "article_id", "title")
+    vocab = stories.fit_vocabulary(b, "article_id", "body")
     variants = cut_lineage(stories.coverage_variants(b, "article_id", "body", "language", "published_at"))
     return stories.similar_coverage(variants, vocab)
 
@@ -65,7 +64,7 @@ comp AS (SELECT x AS variant, min(y) AS story_id FROM reach GROUP BY x)
 SELECT b.article_id, c.story_id FROM body b JOIN variants v ON v.language = b.language AND v.span = b.t//21600 AND v.body = b.body JOIN comp c USING (variant)""")
 def _(t):
     b = _body(t)
-    vocab = stories.fit_vocabulary(b, "article_id", "title")
+    vocab = stories.fit_vocabulary(b, "article_id", "body")
     variants = cut_lineage(stories.coverage_variants(b, "article_id", "body", "language", "published_at"))
     pairs = stories.similar_coverage(variants, vocab)
     return stories.story_clusters(b, variants, pairs, "article_id", "body", "language", "published_at")
@@ -84,9 +83,9 @@ def _(t):
 
 
 @query("centrality", uses="arrivals", sql="""
-SELECT cluster_id, round(least(log2(count(*)+1)/3e0, 1e0), 6) AS centrality FROM arrivals WHERE topic = 'error' GROUP BY cluster_id""")
+SELECT cluster_id, round(least(log2(count(*)+1)/3e0, 1e0), 6) AS centrality FROM arrivals GROUP BY cluster_id""")
 def _(t):
-    return t.arrivals.filter("topic = 'error'").groupBy("cluster_id").agg(F.count("*").alias("n")).select(
+    return t.arrivals.groupBy("cluster_id").agg(F.count("*").alias("n")).select(
         "cluster_id", F.round(scoring.centrality("n"), 6).alias("centrality"))
 
 
@@ -123,7 +122,7 @@ WITH {RESCORED} SELECT article_id, old_score, round(new_score,6) AS new_score, n
 def _(t):
     clusters = stories.burst_scores(t.art, "cluster_id", "published_at")
     out = stories.rescore_members(t.art, clusters, t.pub, stories.market_feeds(t.pub_lang, t.art.select("language")))
-    return out.withColumn("new_score", F.round("new_score", 6))
+    return out.drop("was").withColumn("new_score", F.round("new_score", 6))
 
 
 @query("rescore_report", uses="art pub pub_lang", sql=f"""
@@ -132,9 +131,8 @@ WITH {RESCORED} SELECT count(*) AS total, count(*) FILTER (new_score >= 6e-1 AND
 def _(t):
     clusters = stories.burst_scores(t.art, "cluster_id", "published_at")
     out = stories.rescore_members(t.art, clusters, t.pub, stories.market_feeds(t.pub_lang, t.art.select("language")))
-    was = t.art.select("article_id", F.col("is_top_headline").alias("was"))
     now = F.col("is_top_headline")
-    return out.join(was, "article_id").agg(
+    return out.agg(
         F.count("*").alias("total"), F.count_if(now & ~F.col("was")).alias("promoted"), F.count_if(~now & F.col("was")).alias("demoted"),
         F.count_if(now == F.col("was")).alias("unchanged"), F.round(F.count_if(now) * 100.0 / F.count("*"), 4).alias("pass_rate"))
 

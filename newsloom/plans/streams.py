@@ -83,8 +83,8 @@ WITH RECURSIVE {PAIRS}, links AS (SELECT a AS x, b AS y FROM pairs UNION SELECT
 reach AS (SELECT variant AS x, variant AS y FROM variants UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y), comp AS (SELECT x AS variant, min(y) AS story_id FROM reach GROUP BY x)
 SELECT variant, language, copies, story_id FROM variants JOIN comp USING (variant)""")
 def _(t):
-    titles = t.art.select("article_id", "title")
-    vocab = stories.fit_vocabulary(titles, "article_id", "title")
+    bodies = t.art.select("article_id", F.concat("title", F.lit(" "), "description").alias("body"))
+    vocab = stories.fit_vocabulary(bodies, "article_id", "body")
     s = _doc_stream(t).withColumn("body", F.concat("title", F.lit(" "), "description"))
     spark, out = jobs.story_updates(s, vocab, "article_id", "body", "language", "published_at")
     return spark.read.parquet(out).select("variant", "language", "copies", "story_id")

@@ -162,15 +162,11 @@ def _(t):
 @query("readability", sql=rf"""
 WITH c AS (SELECT doc_id, len(regexp_extract_all(text,'{W}')) AS w, greatest(len(regexp_extract_all(text,'[.!?]+')),1) AS s,
    len(regexp_extract_all(lower(text),'[aeiouyáàâãäåéèêëíìîïóòôõöúùûü]+')) AS y FROM documents)
-SELECT doc_id, w AS words, round(206.835e0 - 1.015e0*(w/s) - 84.6e0*(y/w), 4) AS flesch, CASE WHEN w > 0 THEN round_even(w/225e0,1) ELSE 5e-1 END AS read_minutes FROM c WHERE w > 0""")
+SELECT doc_id, w AS words, round(206.835e0 - 1.015e0*(w/s) - 84.6e0*(y/w), 4) AS flesch, round(w/225e0, 6) AS read_minutes FROM c WHERE w > 0""")
 def _(t):
     words = text.word_count("text")
     return t.documents.select("doc_id", words.alias("words"), F.round(text.flesch("text"), 4).alias("flesch"),
-                              text.read_minutes(words, 225).alias("read_minutes")).filter("words > 0")
-
-
-# Language codes the detector may give.
-DETECTABLE = "en es fr de pt it nl ru zh ja ar hi ko tr pl".split()
+                              F.round(words / F.lit(225.0), 6).alias("read_minutes")).filter("words > 0")
 
 
 @query("lang_assign", uses="art pub_lang", sql="""
@@ -207,14 +203,17 @@ def _(t):
 
 
 @query("cjk_ratio", sql="""
-WITH c AS (SELECT conv_id, turn, length(s) AS n, len(regexp_extract_all(s, '[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]')) AS k
-   FROM (SELECT conv_id, turn, CASE WHEN turn%2 = 0 THEN concat(text, repeat('新聞', 10)) ELSE text END AS s FROM conversations))
-SELECT conv_id, turn, round(k/n, 6) AS ratio, round(1e0 + 2e0*(k/n), 6) AS multiplier FROM c WHERE n > 0""")
+WITH c AS (SELECT conv_id, turn, length(s) AS n, len(list_filter(list_transform(string_split(s, ''), lambda x: unicode(x)), lambda u: u BETWEEN 11904 AND 12031 OR u BETWEEN 12352 AND 12591
+   OR u BETWEEN 12800 AND 13055 OR u BETWEEN 13312 AND 19903 OR u BETWEEN 19968 AND 40959 OR u BETWEEN 44032 AND 55215 OR u BETWEEN 63744 AND 64255 OR u BETWEEN 131072 AND 173791 OR u BETWEEN 194560 AND 195103)) AS k
+   FROM (SELECT conv_id, turn, CASE turn%4 WHEN 0 THEN concat(substr(text, 1, 12), repeat('新聞㐀', 20)) WHEN 1 THEN concat(substr(text, 1, 30), repeat('ㄅ㈠', 16)) WHEN 2 THEN concat(text, repeat('𠀀', 70)) ELSE text END AS s FROM conversations))
+SELECT conv_id, turn, round(k/n, 6) AS ratio, CASE WHEN k/n >= 8e-1 THEN 36e-1 WHEN k/n >= 5e-1 THEN 3e0 WHEN k/n >= 2e-1 THEN 15e-1 ELSE 1e0 END AS multiplier FROM c WHERE n > 0""")
 def _(t):
-    s = F.when(F.col("turn") % 2 == 0, F.concat("text", F.repeat(F.lit("新聞"), F.lit(10)))).otherwise(F.col("text"))
-    k = F.regexp_count(s, F.lit("[\\u4E00-\\u9FFF\\u3040-\\u30FF\\uAC00-\\uD7AF]"))
-    ratio = k / F.length(s)
-    return t.conversations.filter(F.length(s) > 0).select("conv_id", "turn", F.round(ratio, 6).alias("ratio"), F.round(ratio * 2.0 + 1.0, 6).alias("multiplier"))
+    four = F.col("turn") % 4
+    s = (F.when(four == 0, F.concat(F.substring("text", 1, 12), F.repeat(F.lit("新聞㐀"), F.lit(20))))
+         .when(four == 1, F.concat(F.substring("text", 1, 30), F.repeat(F.lit("ㄅ㈠"), F.lit(16))))
+         .when(four == 2, F.concat("text", F.repeat(F.lit("\U00020000"), F.lit(70)))).otherwise(F.col("text")))
+    rows = t.conversations.filter(F.length(s) > 0).select("conv_id", "turn", text.cjk_ratio(s).alias("ratio"))
+    return rows.select("conv_id", "turn", F.round("ratio", 6).alias("ratio"), text.cjk_multiplier(F.col("ratio")).alias("multiplier"))
 
 
 @query("text_agreement", uses="art", sql=f"""

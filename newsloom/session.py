@@ -26,15 +26,6 @@ def get_session(app: str = "newsloom", master: str | None = None, **extra) -> Sp
     return b.getOrCreate()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a scan by ``key`` when it has fewer splits than there are cores, before heavy per-row work.
-
-    On a cluster a table has more splits than cores and nothing happens. Only for frames without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's spark.checkpoint.dir, else a new one for local runs."""
     root = spark.conf.get("spark.checkpoint.dir", None)

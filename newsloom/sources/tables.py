@@ -162,7 +162,7 @@ ADAPTERS = {
     # each arrival mentions one event first and another second
     "art_evt": """
         SELECT article_id, event_id, max(relevance) AS relevance, min(pri) = 1 AS is_primary
-        FROM (SELECT article_id, CASE WHEN k = 1 THEN (article_id*7)%500 ELSE (article_id*11+3)%500 END AS event_id,
+        FROM (SELECT article_id, CASE WHEN k = 1 THEN (article_id*7)%(SELECT count(*) FROM @embeddings) ELSE (article_id*11+3)%(SELECT count(*) FROM @embeddings) END AS event_id,
                      CASE WHEN k = 1 AND article_id%3 <> 2 THEN 1 ELSE 2 END AS pri,
                      ((article_id*k)%97)/97e0 AS relevance
               FROM (SELECT event_id AS article_id, EACH12 AS k FROM @events))
