@@ -63,7 +63,7 @@ CLOSES_P = {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockqu
 
 
 class _Walker(HTMLParser):
-    """Rows (kind, id, ids, tags, marks, text, src, width, height) of one page, in document order."""
+    """Rows (kind, id, ids, tags, marks, text, src, width, height) of one page, in document order; a mark is class, tab, id."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -77,7 +77,7 @@ class _Walker(HTMLParser):
         a = dict(attrs)
         if tag in CLOSES_P and any(x[1] == "p" for x in self.stack):
             self.handle_endtag("p")
-        node = (self.next_id, tag, f"{a.get('class') or ''} {a.get('id') or ''}".strip())
+        node = (self.next_id, tag, "\t".join(" ".join((a.get(k) or "").split()) for k in ("class", "id")))
         self.next_id += 1
 
         def size(k: str) -> int:
@@ -102,6 +102,8 @@ class _Walker(HTMLParser):
         self._row("comment", None)
 
 
+#: Nodes that leave the walker together, so that a batch of pages is never held as one table.
+NODES_AT_ONCE = 20_000
 NODE_SCHEMA = ("page_id long, seq int, kind string, ids array<int>, tags array<string>, marks array<string>, body string, "
                "src string, width int, height int")
 
@@ -109,14 +111,19 @@ NODE_SCHEMA = ("page_id long, seq int, kind string, ids array<int>, tags array<s
 def page_nodes(pages: DataFrame) -> DataFrame:
     """One row per element, text node and comment of ``pages(page_id, html)``, each with the path that leads to it."""
 
+    names = ["page_id", "seq", "kind", "ids", "tags", "marks", "body", "src", "width", "height"]
+
     def walk(batches):
         for pdf in batches:
-            out = []
+            out: list = []
             for page_id, source in zip(pdf["page_id"], pdf["html"]):
                 w = _Walker()
                 w.feed(source or "")
                 w.close()
                 out.extend((page_id, i, *r) for i, r in enumerate(w.rows))
-            yield pd.DataFrame(out, columns=["page_id", "seq", "kind", "ids", "tags", "marks", "body", "src", "width", "height"])
+                if len(out) >= NODES_AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(walk, NODE_SCHEMA)

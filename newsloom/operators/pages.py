@@ -74,6 +74,16 @@ def keep_media(kind: Column, src: Column, alt: Column, width: Column, height: Co
     return F.when(kind == "image", image).when(kind.isin("video", "video_embed"), video).otherwise(F.lit(True))
 
 
+def _names(mark: Column) -> list[Column]:
+    """Class and id of a node's mark."""
+    return [F.split_part(mark, F.lit("\t"), F.lit(k)) for k in (1, 2)]
+
+
+def _named(mark: Column, pattern: str) -> Column:
+    a, b = _names(mark)
+    return a.rlike("(?i)" + pattern) | b.rlike("(?i)" + pattern)
+
+
 def _elements(nodes: DataFrame) -> DataFrame:
     """Text, link text, paragraphs and protected children of every element with text, from the surviving nodes."""
     n = F.length(F.trim("body"))
@@ -107,8 +117,8 @@ def clean(nodes: DataFrame, link_density: float = 0.6, min_link_text: int = 60)
     by_comment = nodes.filter("kind = 'comment'").groupBy("page_id").agg(F.lit("comment").alias("reason"), F.count("*").alias("n"))
     e = _elements(step)
     prose = (F.col("chars") >= 200) & (F.col("n_p") >= 2)
-    against = F.col("mark").rlike("(?i)" + NEVER) | (
-        F.col("mark").rlike("(?i)" + AGAINST) & ~F.col("tag").isin("article", "main") & ~F.col("guarded") & ~prose)
+    against = _named(F.col("mark"), NEVER) | (
+        _named(F.col("mark"), AGAINST) & ~F.col("tag").isin("article", "main") & ~F.col("guarded") & ~prose)
     marked = e.filter(against).select("page_id", "id")
     step = _without(step, marked)
     lists = _elements(step).filter(
@@ -120,8 +130,9 @@ def clean(nodes: DataFrame, link_density: float = 0.6, min_link_text: int = 60)
     return step, counts
 
 
-def best_container(nodes: DataFrame, cjk: Column | None = None, power: float = 1.25, min_chars: int = 20) -> DataFrame:
-    """``(page_id, id, tag, score)``: the container whose direct and inner text scores highest.
+def best_container(nodes: DataFrame, power: float = 1.25, min_chars: int = 20) -> DataFrame:
+    """``(page_id, id, tag, score)``: the container whose direct and inner text scores highest. A score is multiplied for
+    scripts that say more in fewer characters, by the share of such characters in the container's text.
 
     Every text node of 20 or more characters gives length^1.25 to each container around it, times a multiplier
     for what the containers on its path are called.
@@ -130,15 +141,18 @@ def best_container(nodes: DataFrame, cjk: Column | None = None, power: float = 1
     boxes = F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag")), lambda p: p["tag"].isin("div", "section", "article", "main", "td"))
     depth = F.transform(boxes, lambda b: F.struct(b["id"].alias("id"), b["tag"].alias("tag"),
                         F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag"), F.col("marks").alias("mark")), lambda p: p["id"] <= b["id"]).alias("up")))
-    rows = nodes_ok.select("page_id", F.length("body").alias("n"), F.explode(depth).alias("b")).select("page_id", "n", "b.*")
+    dense = F.regexp_count("body", F.lit(text.CJK)).alias("dense")
+    rows = nodes_ok.select("page_id", F.length("body").alias("n"), dense, F.explode(depth).alias("b")).select("page_id", "n", "dense", "b.*")
 
     def weight(p: Column) -> Column:
-        m = F.when(p["mark"].rlike("(?i)" + FOR), 0.5).otherwise(0.0) - F.when(p["mark"].rlike("(?i)" + AGAINST), 0.75).otherwise(0.0)
+        m = F.lit(0.0)
+        for name in _names(p["mark"]):  # class and id count one by one
+            m = m + F.when(name.rlike("(?i)" + FOR), 0.5).otherwise(0.0) - F.when(name.rlike("(?i)" + AGAINST), 0.75).otherwise(0.0)
         m = m + F.when(p["tag"].isin("article", "main"), 0.75).otherwise(0.0)
         return m - F.when(p["tag"].isin("nav", "aside", "header", "footer"), 0.75).otherwise(0.0)
 
     mult = F.greatest(F.lit(0.1), F.aggregate(F.col("up"), F.lit(1.0), lambda s, p: s + weight(p)))
-    score = F.sum(F.pow(F.col("n").cast("double"), F.lit(power)) * F.col("mult"))
+    score = F.sum(F.pow(F.col("n").cast("double"), F.lit(power)) * F.col("mult")) * text.cjk_multiplier(F.sum("dense") / F.sum("n"))
     scored = rows.withColumn("mult", mult).groupBy("page_id", "id", "tag").agg(score.alias("score"))
     return latest_by(scored, ["page_id"], ["score", "id"]).select("page_id", "id", "tag", "score")
 
@@ -203,6 +217,20 @@ def block_score(kind: Column, position: Column, total: Column) -> Column:
     return base + bonus
 
 
+def block_density(blocks_: DataFrame, stop_words: list[str] = ENGLISH) -> DataFrame:
+    """``(page_id, position, density)``: five times the mean TF-IDF weight of a block's terms among its page's blocks.
+
+    Weights have unit length per block; terms that every block of the page has weigh nothing and do not count.
+    """
+    n = blocks_.groupBy("page_id").agg(F.count("*").alias("blocks"))
+    words = F.filter(text.tokens("content"), lambda w: F.length(w).between(2, 15) & ~w.isin(stop_words))
+    tf = blocks_.select("page_id", "position", F.explode(words).alias("w")).groupBy("page_id", "position", "w").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("page_id", "w").agg(F.count("*").alias("df"))
+    x = tf.join(df, ["page_id", "w"]).join(n, "page_id").withColumn("x", F.col("tf") * F.log2(F.col("blocks") / F.col("df"))).filter("x > 0")
+    unit = F.sum("x") / F.sqrt(F.sum(F.col("x") * F.col("x"))) / F.count("*")
+    return x.groupBy("page_id", "position").agg((unit * 5.0).alias("density"))
+
+
 def choose_blocks(scored: DataFrame, budget: int) -> DataFrame:
     """``(page_id, position)`` of the blocks kept: headings first, then by score, skipping what does not fit, until
     four fifths of the budget are full. One page's blocks are folded in an array."""

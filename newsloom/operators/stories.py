@@ -56,25 +56,31 @@ def coverage_variants(df: DataFrame, id_col: str, c: str, language: str, ts: str
         F.min(id_col).alias("variant"), F.count("*").alias("copies"), F.min(t).alias("first_s"), F.max(t).alias("last_s"))
 
 
-def similar_coverage(variants: DataFrame, vocabulary: DataFrame, threshold: float = 0.45, window_s: int = 6 * 3600) -> DataFrame:
+def similar_coverage(variants: DataFrame, vocabulary: DataFrame, threshold: float = 0.45, window_s: int = 6 * 3600,
+                     fresh: str | None = None) -> DataFrame:
     """``(a, b, similarity)`` for variants of one language with cosine at or above the threshold whose times
     come within the window.
 
     Exact prefix filter for unit vectors: with terms in one global order, rarest first, the rarest term two
     vectors share must sit, in both, where the squared weights from it onward still reach threshold squared.
-    Only those terms are joined, keyed by (language, span, term) against the same and the next span.
+    Only those terms are joined, keyed by (language, span, term) against the same and the next span. With ``fresh``, a
+    boolean column of the variants, pairs of two rows that are not fresh are left out before the join.
     """
     weights = cut_lineage(tfidf(variants, "variant", "body", vocabulary))  # read four times below
     onward = W.partitionBy("variant").orderBy(F.asc("idf"), F.desc("term")).rowsBetween(W.unboundedPreceding, W.currentRow)
     tail = F.sum(F.col("weight") * F.col("weight")).over(onward)
     heads = weights.withColumn("tail", tail).filter(F.col("tail") >= threshold * threshold - 1e-9).select("variant", "term")
-    heads = heads.join(variants.select("variant", "language", "span", "first_s", "last_s"), "variant")
+    new = F.col(fresh) if fresh else F.lit(True)
+    heads = heads.join(variants.select("variant", "language", "span", "first_s", "last_s", new.alias("new")), "variant")
     left = heads.withColumn("meet", F.explode(F.array(F.col("span"), F.col("span") + 1)))
     right = heads.select("language", F.col("span").alias("meet"), "term", F.col("variant").alias("v2"), F.col("span").alias("span2"),
-                         F.col("first_s").alias("first2"), F.col("last_s").alias("last2"))
+                         F.col("first_s").alias("first2"), F.col("last_s").alias("last2"), F.col("new").alias("new2"))
     later = (F.col("span2") > F.col("span")) | (F.col("variant") < F.col("v2"))
     close = F.greatest(F.col("first2") - F.col("last_s"), F.col("first_s") - F.col("last2")) <= window_s
-    pairs = left.join(right, ["language", "meet", "term"]).filter(later & close & (F.col("variant") != F.col("v2"))).select(
+    met = left.filter("new").join(right, ["language", "meet", "term"])
+    if fresh:
+        met = met.unionByName(left.filter("NOT new").join(right.filter("new2"), ["language", "meet", "term"]))
+    pairs = met.filter(later & close & (F.col("variant") != F.col("v2"))).select(
         F.least("variant", "v2").alias("a"), F.greatest("variant", "v2").alias("b")).distinct()
     wa = weights.select(F.col("variant").alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col("variant").alias("b"), "term", F.col("weight").alias("wb"))

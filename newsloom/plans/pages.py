@@ -159,13 +159,24 @@ def _(t):
     return a.select("page_id", F.round(quality.basic_quality(F.col("w"), F.col("b"), F.col("k")), 6).alias("quality"))
 
 
-SCORED = f"""{BLK}, sc AS (SELECT *, CASE type WHEN 'quote' THEN 7e0 WHEN 'image' THEN 4e0 ELSE 3e0 END + CASE WHEN position <= 3 THEN 3e0 WHEN position >= n-3 THEN 2e0
-   WHEN position <= n*1e-1 THEN 1e0 WHEN position >= n*9e-1 THEN 1e0 ELSE 0e0 END AS score FROM blk)"""
+SCORED = f"""{BLK}, scb AS (SELECT *, CASE type WHEN 'quote' THEN 7e0 WHEN 'image' THEN 4e0 ELSE 3e0 END + CASE WHEN position <= 3 THEN 3e0 WHEN position >= n-3 THEN 2e0
+   WHEN position <= n*1e-1 THEN 1e0 WHEN position >= n*9e-1 THEN 1e0 ELSE 0e0 END AS base FROM blk),
+btf AS (SELECT page_id, position, n, w, count(*) AS tf FROM (SELECT page_id, position, n, unnest(list_filter(regexp_extract_all(lower(content),'[\\p{{L}}\\p{{N}}_]+'),
+   lambda w: length(w) BETWEEN 2 AND 15 AND NOT list_contains(string_split('{" ".join(ENGLISH)}', ' '), w))) AS w FROM blk) GROUP BY ALL),
+bx AS (SELECT page_id, position, tf*log2(n/(count(*) OVER (PARTITION BY page_id, w))::DOUBLE) AS x FROM btf),
+den AS (SELECT page_id, position, sum(x)/sqrt(sum(x*x))/count(*)*5e0 AS density FROM bx WHERE x > 0 GROUP BY page_id, position),
+sc AS (SELECT scb.*, round(base + coalesce(density, 0e0), 6) AS score FROM scb LEFT JOIN den USING (page_id, position))"""
+
+
+def _scored(b):
+    base = pages.block_score(F.col("type"), F.col("position"), F.col("n"))
+    rows = b.join(pages.block_density(b), ["page_id", "position"], "left")
+    return rows.select("page_id", "position", "type", F.length("content").alias("chars"), F.round(base + F.coalesce("density", F.lit(0.0)), 6).alias("score"))
 
 
 @query("block_scores", sql=f"WITH {SCORED} SELECT page_id, position, score FROM sc")
 def _(t):
-    return _blocks(t).select("page_id", F.col("position").cast("long").alias("position"), pages.block_score(F.col("type"), F.col("position"), F.col("n")).alias("score"))
+    return _scored(_blocks(t)).select("page_id", F.col("position").cast("long").alias("position"), "score")
 
 
 @query("block_budget", sql=f"""
@@ -175,9 +186,7 @@ w AS (SELECT DISTINCT page_id, 0::BIGINT AS i, NULL::BIGINT AS position, false A
  FROM w JOIN o ON o.page_id = w.page_id AND o.i = w.i + 1)
 SELECT page_id, position FROM w WHERE keep""")
 def _(t):
-    b = _blocks(t)
-    scored = b.select("page_id", "position", "type", F.length("content").alias("chars"), pages.block_score(F.col("type"), F.col("position"), F.col("n")).alias("score"))
-    return pages.choose_blocks(scored, 1500).withColumn("position", F.col("position").cast("long"))
+    return pages.choose_blocks(_scored(_blocks(t)), 1500).withColumn("position", F.col("position").cast("long"))
 
 
 @query("block_dedup", sql=rf"""

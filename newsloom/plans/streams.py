@@ -12,10 +12,15 @@ from newsloom.plans.triage import day_start
 from newsloom.streaming import jobs
 
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 2 HOURS"
+CLOSED_ACCEPTED = "(SELECT max(ts) FROM events WHERE event_id%3 <> 2) - INTERVAL 2 HOURS"
 
 
 def _events(t):
-    return jobs.read_table(t.spark, t.dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.replay(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+
+
+def _accepted(t):
+    return _events(t).filter("event_id % 3 <> 2")
 
 
 def _seconds(df):
@@ -24,21 +29,21 @@ def _seconds(df):
 
 @query("st_dedup", sql="SELECT DISTINCT user_id, event_type, props FROM events")
 def _(t):
-    return jobs.run_to_table(jobs.dedup(_events(t), "ts", ["user_id", "event_type", "props"])).select("user_id", "event_type", "props")
+    return jobs.dedup(_events(t), "ts", ["user_id", "event_type", "props"]).select("user_id", "event_type", "props")
 
 
 @query("st_publisher_counts", sql=f"""
-WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (k) HOUR AS s FROM events, (SELECT unnest(range(24)) AS k))
-SELECT user_id, count(*) AS n, epoch(s)::BIGINT AS start_s, epoch(s)::BIGINT + 86400 AS end_s FROM w WHERE s + INTERVAL 24 HOURS <= {CLOSED} GROUP BY user_id, s""")
+WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (k) HOUR AS s FROM events, (SELECT unnest(range(24)) AS k) WHERE event_id%3 <> 2)
+SELECT user_id, count(*) AS n, epoch(s)::BIGINT AS start_s, epoch(s)::BIGINT + 86400 AS end_s FROM w WHERE s + INTERVAL 24 HOURS <= {CLOSED_ACCEPTED} GROUP BY user_id, s""")
 def _(t):
-    return _seconds(jobs.run_to_table(jobs.sliding_counts(_events(t), "ts", "user_id")))
+    return _seconds(jobs.run_to_table(jobs.sliding_counts(_accepted(t), "ts", "user_id")))
 
 
 @query("st_topic_daily", sql=f"""
 SELECT event_type, count(*) AS n, epoch(date_trunc('day', ts))::BIGINT AS start_s, epoch(date_trunc('day', ts))::BIGINT + 86400 AS end_s FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY event_type, date_trunc('day', ts)""")
+WHERE event_id%3 <> 2 AND date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED_ACCEPTED} GROUP BY event_type, date_trunc('day', ts)""")
 def _(t):
-    return _seconds(jobs.run_to_table(jobs.tumbling_counts(_events(t), "ts", "event_type")))
+    return _seconds(jobs.run_to_table(jobs.tumbling_counts(_accepted(t), "ts", "event_type")))
 
 
 @query("st_sessions", sql=f"""
@@ -70,12 +75,13 @@ def _(t):
 
 
 def _doc_stream(t):
-    docs = jobs.read_table(t.spark, t.dir, "documents")
+    docs = t.documents
     age = (F.col("doc_id") * 7919) % 259200
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").alias("article_id"), F.col("lang").alias("language"), F.col("source").alias("publication_id"),
         F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("title"), F.trim(F.regexp_extract("text", r"^[^\n]*", 0)).alias("description"),
         (((F.col("doc_id") * 31) % 100) / 100.0).alias("headline_score"), F.timestamp_seconds(F.lit(1706659200) - age).alias("published_at"))
+    return jobs.replay(rows, "published_at")
 
 
 @query("st_story_clusters", uses="art", sql=f"""
@@ -87,7 +93,7 @@ def _(t):
     vocab = stories.fit_vocabulary(bodies, "article_id", "body")
     s = _doc_stream(t).withColumn("body", F.concat("title", F.lit(" "), "description"))
     spark, out = jobs.story_updates(s, vocab, "article_id", "body", "language", "published_at")
-    return spark.read.parquet(out).select("variant", "language", "copies", "story_id")
+    return jobs.stories_now(spark, out).select("variant", "language", "copies", "story_id")
 
 
 @query("st_triage", sql=ORACLES["triage_tier1"])

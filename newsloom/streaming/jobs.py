@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators import graph, stories
+from newsloom.operators.ranking import latest_by
 from newsloom.session import checkpoint_root, cut_lineage
 
 LATE = "2 hours"
@@ -60,23 +61,54 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, str, str | None],
     return spark, f"{root}/out"
 
 
+def replay(df: DataFrame, ts: str, batches: int = 4, root: str | None = None) -> DataFrame:
+    """A table as a stream of that many micro-batches in order of time: one written slice is one batch."""
+    spark = df.sparkSession
+    folder = f"{root or fresh_folder(spark)}/in"
+    lo, hi = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    width = ((hi or 0) - (lo or 0)) // batches + 1
+    slot = F.coalesce(F.floor((F.unix_micros(ts) - F.lit(lo or 0)) / width), F.lit(0))
+    for k in range(batches):
+        df.filter(slot == k).coalesce(1).write.parquet(f"{folder}/slice{k:04d}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def save(rows: DataFrame, folder: str, before: str | None = None) -> None:
     rows.write.mode("overwrite").parquet(folder)
 
 
-def dedup(stream: DataFrame, ts: str, keys: list[str]) -> DataFrame:
-    """First arrival of a key; state is dropped once the watermark has passed."""
-    return stream.withWatermark(ts, LATE).dropDuplicatesWithinWatermark(keys)
+def dedup(stream: DataFrame, ts: str, keys: list[str], root: str | None = None, parts: int = 16) -> DataFrame:
+    """First arrival of every key ever, however late a copy comes and however the input is cut into batches.
 
+    What earlier batches let through is the table of known keys, kept in the shared folder by hash of the key; a batch is
+    reduced to its own first arrivals and joined against it. A batch that runs again reads earlier batches only.
+    """
 
-def sliding_counts(stream: DataFrame, ts: str, key: str, size: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    w = F.window(ts, size, step)
-    return stream.withWatermark(ts, LATE).groupBy(w, key).agg(F.count("*").alias("n")).select(
-        key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+    def each(rows: DataFrame, folder: str, before: str | None) -> None:
+        out, _, number = folder.rpartition("/batch=")
+        first = rows.groupBy(*keys).agg(F.min(ts).alias(ts)).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        if before:
+            known = rows.sparkSession.read.parquet(out).filter(F.col("batch") < int(number)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            first = first.join(known, same, "left_anti")
+        first.write.mode("overwrite").partitionBy("part").parquet(folder)
+
+    spark, out = run_batches(stream, each, root=root)
+    return spark.read.parquet(out).select(*keys, ts)
 
 
 def tumbling_counts(stream: DataFrame, ts: str, key: str, size: str = "1 day") -> DataFrame:
-    return sliding_counts(stream, ts, key, size, size)
+    return stream.withWatermark(ts, LATE).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n")).select(
+        key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+
+
+def sliding_counts(stream: DataFrame, ts: str, key: str, size: str = "24 hours", step: str = "1 hour") -> DataFrame:
+    """Counts per step first, so that a window's many steps are sums of counts and not copies of rows."""
+    steps = stream.withWatermark(ts, LATE).groupBy(F.window(ts, step).alias("w"), key).agg(F.count("*").alias("n"))
+    return steps.groupBy(F.window(F.window_time("w"), size, step), key).agg(F.sum("n").alias("n")).select(
+        key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
 def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataFrame:
@@ -132,19 +164,34 @@ def story_updates(stream: DataFrame, vocabulary: DataFrame, id_col: str, body: s
     spark = stream.sparkSession
 
     def each(rows: DataFrame, folder: str, before: str | None) -> None:
-        new = stories.coverage_variants(rows, id_col, body, language, ts).withColumn("story_id", F.col("variant"))
+        new = stories.coverage_variants(rows, id_col, body, language, ts).withColumn("story_id", F.col("variant")).withColumn("fresh", F.lit(True))
         if before:
-            newest = rows.agg(F.coalesce(F.max(F.unix_seconds(ts)), F.lit(0))).scalar()
-            old = spark.read.parquet(before).filter(F.col("last_s") >= newest - expiry_s)
-            new = new.unionByName(old.select(new.columns))
+            # Against the batch's oldest row: a batch may be longer than the expiry.
+            oldest = rows.agg(F.coalesce(F.min(F.unix_seconds(ts)), F.lit(0))).scalar()
+            old = spark.read.parquet(before).filter(F.col("last_s") >= oldest - expiry_s)
+            new = new.unionByName(old.withColumn("fresh", F.lit(False)).select(new.columns))
             new = new.groupBy("language", "span", "body").agg(
                 F.min("variant").alias("variant"), F.sum("copies").alias("copies"), F.min("first_s").alias("first_s"),
-                F.max("last_s").alias("last_s"), F.min("story_id").alias("story_id"))
+                F.max("last_s").alias("last_s"), F.min("story_id").alias("story_id"), F.max("fresh").alias("fresh"))
         new = cut_lineage(new)  # read three times below
-        pairs = stories.similar_coverage(new, vocabulary).select("a", "b")
+        pairs = stories.similar_coverage(new, vocabulary, fresh="fresh").select("a", "b")
         bonds = new.filter("variant <> story_id").select(F.col("variant").alias("a"), F.col("story_id").alias("b"))
         comp = graph.components(pairs.unionByName(bonds)).withColumnRenamed("id", "variant")
-        new.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component").write.mode(
+        new.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component", "fresh").write.mode(
             "overwrite").parquet(folder)
 
     return run_batches(stream, each, root=root)
+
+
+def stories_now(spark: SparkSession, out: str) -> DataFrame:
+    """Every variant once, as its newest version has it, with its story's present name.
+
+    A variant that has expired keeps the name its story had then; the versions' names are joined up to the least.
+    """
+    versions = spark.read.parquet(out)
+    newest = latest_by(versions, ["language", "span", "body"], ["batch"])
+    bonds = versions.filter("variant <> story_id").select(F.col("variant").alias("a"), F.col("story_id").alias("b"))
+    renamed = versions.join(newest.select("language", "span", "body", F.col("variant").alias("now")), ["language", "span", "body"]).filter(
+        "variant <> now").select(F.col("variant").alias("a"), F.col("now").alias("b"))
+    comp = graph.components(bonds.unionByName(renamed).distinct()).withColumnRenamed("id", "variant")
+    return newest.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component", "batch")

@@ -26,7 +26,7 @@ def test_stories_over_batches(spark):
     both = spark.createDataFrame(a + b, schema)
     vocab = stories.fit_vocabulary(both, "article_id", "body")
     _, out = jobs.story_updates(_stream(spark, [a, b], schema), vocab, "article_id", "body", "language", "published_at")
-    rows = spark.read.parquet(out).filter(F.col("batch") == 1).collect()
+    rows = jobs.stories_now(spark, out).collect()
     story = {r["variant"]: r["story_id"] for r in rows}
     assert story[1] == story[3] and len(set(story.values())) == 3
 
@@ -37,3 +37,33 @@ def test_bursts_over_batches(spark):
     spark_, out = jobs.run_batches(jobs.bursts(_stream(spark, parts, schema), "k", "ts"), jobs.save, mode="update")
     last = spark_.read.parquet(out).groupBy("key").agg(F.max_by("burst", "batch").alias("b")).collect()
     assert {r["key"]: r["b"] for r in last} == {1: 1.0, 2: 0.0}
+
+
+def test_dedup_does_not_depend_on_batches(spark):
+    schema = "user long, kind string, ts timestamp"
+    rows = [(k % 7, "ab"[k % 2], T0 + timedelta(hours=3 * k)) for k in range(60)]
+    late = [(3, "b", T0 - timedelta(days=2)), (None, "a", T0), (None, "a", T0 + timedelta(days=9))]
+    want = {(u, c) for u, c, _ in rows + late}
+    for parts in ([rows + late], [rows[k : k + 10] for k in range(0, 60, 10)] + [late, rows[:10]]):
+        got = [(r["user"], r["kind"]) for r in jobs.dedup(_stream(spark, parts, schema), "ts", ["user", "kind"]).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_a_restarted_dedup_knows_earlier_keys(spark):
+    import uuid
+
+    schema = "user long, ts timestamp"
+    root = jobs.fresh_folder(spark) + uuid.uuid4().hex
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for k in range(2):
+        spark.createDataFrame([(1, T0), (2 + k, T0)], schema).coalesce(1).write.parquet(f"{folder}/d{k}")
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+        got = sorted(r["user"] for r in jobs.dedup(s, "ts", ["user"], root=root).collect())
+    assert got == [1, 2, 3]
+
+
+def test_replay_is_in_order_of_time(spark):
+    df = spark.range(40).select(F.timestamp_seconds(F.col("id") * 7200).alias("ts"), "id")
+    _, out = jobs.run_batches(jobs.replay(df, "ts", 4), jobs.save)
+    got = spark.read.parquet(out).groupBy("batch").agg(F.min("id").alias("lo"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert [r["lo"] for r in got] == [0, 10, 20, 30] and [r["n"] for r in got] == [10] * 4
