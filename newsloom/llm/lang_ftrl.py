@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import as_row, held_out, per_batch
 
-SAMPLE, BITS, BLOCK, EPOCHS = 4000, 16, 1 << 20, 2
+SAMPLE, BITS, BLOCK, EPOCHS = 2000, 16, 1 << 20, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Odd multipliers of the n-gram hash, one per place.
 MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
@@ -59,9 +59,14 @@ def counts(text: str) -> np.ndarray | None:
     return out if seen else None
 
 
-def weigh(n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(n)
-    x = (1 + np.log(n[at])) * idf[at]
+def sparse(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of the n-grams a text has."""
+    at = np.flatnonzero(n).astype(np.int32)
+    return at, n[at].astype(np.int32)
+
+
+def weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = (1 + np.log(n)) * idf[at]
     size = np.linalg.norm(x)
     return at, (x / size if size else x)
 
@@ -76,6 +81,7 @@ class Regression:
         return self.b + x @ self.w[at]
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> Regression:
+        """Rows are places, counts and label; they are weighed when they are met, so that little is held."""
         k = len(self.names)
         z, s = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
         zb, sb = np.zeros(k), np.zeros(k)
@@ -86,7 +92,8 @@ class Regression:
         rng = np.random.default_rng(seed)
         for _ in range(EPOCHS):
             for r in rng.permutation(len(rows)):
-                at, x, y = rows[r]
+                at, x = weigh(*rows[r][:2], self.idf)
+                y = rows[r][2]
                 zi, si = z[at], s[at]
                 w, b = lead(zi, si, L1), lead(zb, sb, 0.0)
                 p = softmax(b + x @ w)
@@ -103,7 +110,7 @@ class Regression:
 
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Regression:
         """The temperature with the least log loss, by golden section over its logarithm."""
-        made = [(self.logits(at, x), y) for at, x, y in rows]
+        made = [(self.logits(*weigh(at, n, self.idf)), y) for at, n, y in rows]
 
         def loss(t: float) -> float:
             return -sum(math.log(max(1e-12, softmax(l / math.exp(t))[y])) for l, y in made) + 1e-3 * t * t
@@ -119,7 +126,7 @@ class Regression:
         n = counts(text) if text and self.names else None
         if n is None:
             return "und", 0.0
-        p = softmax(self.logits(*weigh(n, self.idf)) / self.heat)
+        p = softmax(self.logits(*weigh(*sparse(n), self.idf)) / self.heat)
         k = int(p.argmax())
         return self.names[k], float(p[k])
 
@@ -176,10 +183,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Regression:
 
     def make():
         def work(rows: dict) -> dict:
-            made = [counts(t) for t in rows["text"]]
-            at = [np.flatnonzero(n).astype(np.int32) if n is not None else np.zeros(0, np.int32) for n in made]
-            return {"lang": rows["lang"], "draw": rows["draw"], "at": [a.tobytes() for a in at],
-                    "n": [n[a].astype(np.int32).tobytes() if n is not None else b"" for n, a in zip(made, at, strict=True)]}
+            none = np.zeros(1 << BITS, np.int64)
+            made = [sparse(n if (n := counts(t)) is not None else none) for t in rows["text"]]
+            return {"lang": rows["lang"], "draw": rows["draw"], "at": [a.tobytes() for a, _ in made], "n": [n.tobytes() for _, n in made]}
 
         return work
 
@@ -187,10 +193,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Regression:
     code = {n: k for k, n in enumerate(names)}
     rows, back = [], []
     for r in sorted(got, key=lambda r: (r["draw"], r["lang"], r["at"])):
-        n = np.zeros(1 << BITS, np.int64)
-        n[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)
         if r["at"]:
-            (back if r["draw"] % 5 == 0 else rows).append((*weigh(n, model.idf), code[r["lang"]]))
+            (back if r["draw"] % 5 == 0 else rows).append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), code[r["lang"]]))
     return model.fit(rows).calibrate(back)
 
 

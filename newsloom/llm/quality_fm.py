@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import as_row, held_out, per_batch, stable_sample
 
-SAMPLE, BITS, FACTORS, EPOCHS, RATE, SHRINK = 6000, 17, 8, 6, 0.1, 1e-5
+SAMPLE, BITS, FACTORS, EPOCHS, RATE, SHRINK = 4000, 17, 8, 6, 0.1, 1e-5
 BINS = 24
 SYMBOLS = "#*$%&|<>{}[]\\^~@=_+!"
 
