@@ -218,3 +218,12 @@ def cjk_multiplier(ratio: Column) -> Column:
     for least, value in reversed(CJK_BANDS):
         out = F.when(ratio >= least, value).otherwise(out)
     return out
+
+
+def whole_sentences(c, limit: int) -> Column:
+    """The first sentences of a text that together, joined by blanks, have at most ``limit`` characters."""
+    parts = F.split(c, r"(?<=[.!?])\s+")
+    state = F.struct(F.lit(0).alias("n"), F.lit(-1).cast("bigint").alias("run"))
+    fold = F.aggregate(parts, state, lambda a, p: F.struct(
+        (a["n"] + F.when(a["run"] + 1 + F.length(p) <= limit, 1).otherwise(0)).alias("n"), (a["run"] + 1 + F.length(p)).alias("run")))
+    return F.slice(parts, F.lit(1), fold["n"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 from newsloom.operators import graph, vectors
 from newsloom.operators.ranking import top_k
+from newsloom.session import cut_lineage
 
 
 def distinct_events(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -76,17 +77,26 @@ def single_primary(links: DataFrame) -> DataFrame:
     return links.groupBy("article_id").agg(best.alias("event_id"))
 
 
-def merge(events: DataFrame, links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of similar events become their earliest member (first seen, then id).
+def canonical_events(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(event_id, last_seen_at, canonical)``: the earliest event of each component stands for it."""
+    comp = graph.components(pairs).withColumnRenamed("id", "event_id")
+    first = events.join(comp, "event_id").groupBy("component").agg(
+        F.min_by("event_id", F.struct("last_seen_at", "event_id")).alias("canonical"))
+    return cut_lineage(events.join(comp, "event_id", "left").join(first, "component", "left").select(
+        "event_id", "last_seen_at", F.coalesce("canonical", "event_id").alias("canonical")))
+
+
+def move_entities(entities: DataFrame, target: DataFrame) -> DataFrame:
+    """``(event_id, entity_id)``: the entity links of merged events, each once; ``target`` is from ``canonical_events``."""
+    return entities.join(target.select("event_id", "canonical"), "event_id").select(F.col("canonical").alias("event_id"), "entity_id").distinct()
+
+
+def merge(target: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of similar events become their earliest member (first seen, then id), as ``canonical_events`` says.
 
     Returns merged events ``(event_id, members, article_count, last_seen_at)`` and moved links with the highest
     relevance per article, primary if any of the moved links was.
     """
-    comp = graph.components(pairs).withColumnRenamed("id", "event_id")
-    first = events.join(comp, "event_id").groupBy("component").agg(
-        F.min_by("event_id", F.struct("last_seen_at", "event_id")).alias("canonical"))
-    target = events.join(comp, "event_id", "left").join(first, "component", "left").select(
-        "event_id", "last_seen_at", F.coalesce("canonical", "event_id").alias("canonical"))
     moved = links.join(target.select("event_id", "canonical"), "event_id").groupBy("article_id", "canonical").agg(
         F.max("relevance").alias("relevance"), F.max("is_primary").alias("is_primary"))
     counts = moved.groupBy("canonical").agg(F.count("*").alias("article_count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import cut_lineage
+from newsloom.session import cut_afresh, cut_lineage
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         roots = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        jumped = cut_lineage(step.join(roots, "label").select("id", "was", F.least("label", "root").alias("label")))
+        jumped = cut_afresh(step.join(roots, "label").select("id", "was", F.least("label", "root").alias("label")), "id")
         labels = jumped.select("id", "label")
         if jumped.filter(F.col("was") != F.col("label")).isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -48,10 +48,10 @@ def representatives(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFram
         rank = open_.select(F.col("id").alias("dst"), F.col("rank").alias("other"))
         rival = links.join(rank, "dst").groupBy(F.col("src").alias("id")).agg(F.max("other").alias("other"))
         won = open_.join(rival, "id", "left").filter(F.col("other").isNull() | (F.col("rank") > F.col("other"))).select("id", "rank")
-        won = cut_lineage(won)
+        won = cut_afresh(won, "id")
         kept = won if kept is None else kept.unionByName(won)
         beaten = links.join(won.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
-        open_ = cut_lineage(open_.join(won, "id", "left_anti").join(beaten, "id", "left_anti"))
+        open_ = cut_afresh(open_.join(won, "id", "left_anti").join(beaten, "id", "left_anti"), "id")
         if open_.isEmpty():
             break
     kept = cut_lineage(kept)

@@ -146,3 +146,17 @@ def unique_facts(articles: DataFrame, topic: str, content: str, k: int) -> DataF
     few = top_k(first, [topic], [F.asc("place")], k)
     pairs = F.array_sort(F.collect_list(F.struct("place", "fact")))
     return few.groupBy(topic).agg(F.transform(pairs, lambda x: x["fact"]).alias("facts"))
+
+
+def new_publications(articles: DataFrame, publications: DataFrame, id_col: str) -> DataFrame:
+    """``(publication_id, domain, first_doc, articles)``: one new dimension row per domain that neither id nor domain knows."""
+    open_ = articles.join(publications.select("publication_id"), "publication_id", "left_anti").join(publications.select("domain"), "domain", "left_anti")
+    new = open_.groupBy("domain").agg(F.min(id_col).alias("first_doc"), F.count("*").alias("articles"))
+    return new.select(F.concat(F.lit("new:"), "domain").alias("publication_id"), "domain", "first_doc", "articles")
+
+
+def spread_metadata(known: DataFrame, fed: DataFrame, kinds: list[str]) -> DataFrame:
+    """``(publication_id, kind, value)``: what publications have, and what their feeds bring, each once and in one pass."""
+    brought = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds]))
+    rows = fed.select("publication_id", *kinds).distinct().select("publication_id", brought.alias("x")).select("publication_id", "x.*")
+    return known.unionByName(rows).distinct()

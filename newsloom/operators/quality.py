@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import text
-from newsloom.operators.ranking import top_k
+from newsloom.operators.ranking import medians, top_k
 
 GOOD_F1, PARTIAL_F1, GOOD_MISSING, PARAGRAPH_MATCH = 0.80, 0.55, 1, 0.55
 GRADES = [(0.8, "EXCELLENT"), (0.5, "GOOD"), (0.2, "FAIR"), (-0.2, "POOR")]
@@ -76,17 +76,19 @@ def verdict(f1: Column, missing: Column, success: Column) -> Column:
 
 
 def extraction_report(scores: DataFrame) -> DataFrame:
-    """Per route over ``(route, success, f1, missing, verdict, cost)``; medians are exact."""
+    """Per route over ``(route, success, f1, missing, noise, verdict, cost)``; medians are exact, scores to six digits."""
     f1 = F.expr("IF(success, f1, NULL)")
 
     def share(*kinds: str) -> Column:
         return F.round(F.count_if(F.col("verdict").isin(*kinds)) / F.count("*") * 100.0, 4)
 
+    middle = medians(scores, ["route"], {"median_f1": F.round(f1, 6), "median_missing": F.col("missing").cast("double"), "median_noise": F.round("noise", 6)})
+    middle = middle.withColumn("median_f1", F.round(F.coalesce("median_f1", F.lit(0.0)), 6)).withColumn("median_noise", F.round("median_noise", 6))
     return scores.groupBy("route").agg(
-        F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.round(F.coalesce(F.median(f1), F.lit(0.0)), 6).alias("median_f1"),
+        F.count("*").alias("n"), F.count_if("success").alias("n_success"),
         F.round(F.coalesce(F.avg(f1), F.lit(0.0)), 6).alias("mean_f1"), F.round(F.coalesce(F.min(f1), F.lit(0.0)), 6).alias("min_f1"),
         share("good").alias("pct_good"), share("partial").alias("pct_partial"), share("bad", "failed").alias("pct_bad"),
-        F.round(F.sum("cost"), 6).alias("total_cost"), F.median("missing").alias("median_missing"))
+        F.round(F.sum("cost"), 6).alias("total_cost")).join(middle, "route")
 
 
 def prefilter(content_chars: Column, html_chars: Column, title: Column, paywall: Column, words: Column, blocks: Column) -> Column:
@@ -182,3 +184,10 @@ def stratified_sample(df: DataFrame, stratum: str, id_col: str, n: int, seed: st
     """``n`` rows of each stratum by seeded hash order, the same on every run."""
     h = F.md5(F.concat(F.lit(seed + ":"), F.col(id_col).cast("string")))
     return top_k(df.withColumn("_h", h), [stratum], [F.asc("_h"), F.asc(id_col)], n).drop("_h")
+
+
+def template_errors(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., template, mae, winner)``: mean absolute error per template, and the template with the least per key."""
+    m = rows.groupBy(*keys, "template").agg(F.round(F.avg("err"), 6).alias("mae"))
+    best = m.groupBy(*keys).agg(F.min_by("template", F.struct("mae", "template")).alias("best"))
+    return m.join(best, keys).select(*keys, "template", "mae", (F.col("template") == F.col("best")).alias("winner"))

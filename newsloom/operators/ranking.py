@@ -72,3 +72,19 @@ def as_of_join(probes: DataFrame, states: DataFrame, key: str, ts: str, valid_fr
     days = rows.groupBy("k", "b").agg(F.max("s").alias("day_s")).withColumn("carry", F.max("day_s").over(before)).select("k", "b", "carry")
     found = rows.withColumn("near", F.max("s").over(inside)).filter("id IS NOT NULL").join(days, ["k", "b"])
     return found.select(F.col("id").alias(id_col), F.col("k").alias(key), F.coalesce("near", "carry")["v"].alias(value))
+
+
+def medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """``(keys..., name...)``: exact medians from counts of equal values, nulls left out.
+
+    Rows are reduced to one per key and different value before anything is ordered, so a key with many rows costs as
+    many rows as it has different values; round the values to bound them.
+    """
+    out = df.select(*keys).distinct()
+    for name, value in values.items():
+        n = df.select(*keys, value.alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        n = n.withColumn("_upto", upto).join(n.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+        low, high = F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("_v"))), F.min(F.when(F.col("_upto") * 2 > F.col("_all"), F.col("_v")))
+        out = out.join(n.groupBy(*keys).agg(((low + high) / 2.0).alias(name)), keys, "left")
+    return out

@@ -23,13 +23,14 @@ def share_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return n.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 6))
 
 
-def success_report(df: DataFrame, status: str, keys: list[str], averages: dict[str, str]) -> DataFrame:
-    """Attempts, successes, failures, success rate and averages per key (or in all)."""
+def success_report(df: DataFrame, status: str, keys: list[str], averages: dict[str, str], flags: dict[str, str] | None = None) -> DataFrame:
+    """Attempts, successes, failures, success rate, averages and counts of flags per key (or in all)."""
     done = F.col(status) == "completed"
     return df.groupBy(*keys).agg(
         F.count("*").alias("attempts"), F.count_if(done).alias("succeeded"), F.count_if(F.col(status) == "failed").alias("failed"),
         F.round(F.count_if(done) * 100.0 / F.count("*"), 6).alias("success_rate"),
-        *[F.round(F.avg(c), 6).alias(name) for name, c in averages.items()])
+        *[F.round(F.avg(c), 6).alias(name) for name, c in averages.items()],
+        *[F.count_if(F.col(c)).alias(name) for name, c in (flags or {}).items()])
 
 
 def route_report(df: DataFrame, quality: str, cost: str) -> DataFrame:
@@ -88,8 +89,24 @@ def usage_cost(usage: DataFrame) -> DataFrame:
 
 
 def daily_metrics(df: DataFrame, ts: str) -> DataFrame:
-    """One row per day: volume, per-stage failures, cost and mean duration."""
+    """One row per day: volume, success rate, tokens (four characters each), per-stage failures and costs, mean duration."""
     return df.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("articles"), F.count_if(F.col("analyzer_status") == "completed").alias("analysed"),
         *[F.count_if(F.col(f"{s}_status") == "failed").alias(f"{s}_failures") for s in STAGES],
+        F.round(F.count_if(F.col("analyzer_status") == "completed") * 100.0 / F.count("*"), 6).alias("success_rate"),
+        F.sum(F.ceil(F.col("n_chars") / 4)).alias("tokens"), F.round(F.coalesce(F.sum("triage_cost"), F.lit(0.0)), 6).alias("triage_cost"),
         F.round(F.sum("process_cost"), 6).alias("cost"), F.round(F.avg("fetch_seconds"), 6).alias("avg_seconds"))
+
+
+def count_by(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``(key, value, n)``: rows per value of several keys, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in keys.items()]))
+    return df.select(pairs.alias("x")).select("x.*").groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+def nested_counters(df: DataFrame, json: str) -> DataFrame:
+    """``(issue, n, mean_score, most_common)`` over feedback texts ``{"review": {"issues": [...]}, "score": x}``."""
+    seen = df.select(F.from_json(json, "review struct<issues: array<string>>, score double").alias("f"))
+    n = seen.select(F.explode("f.review.issues").alias("issue"), F.col("f.score").alias("score")).groupBy("issue").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return n.withColumn("most_common", F.col("n") == n.agg(F.max("n")).scalar())

@@ -229,10 +229,10 @@ def _(t):
 
 
 @query("digest_strategy", uses="users user_topic arrivals art_evt", sql=f"""
-WITH e AS (SELECT {TOPIC_NO} AS topic_id, count(*) AS n FROM arrivals JOIN art_evt USING (article_id) WHERE topic <> 'view' GROUP BY 1), u AS (SELECT user_id, max(n) AS n FROM user_topic LEFT JOIN e USING (topic_id) GROUP BY user_id)
+WITH e AS (SELECT {TOPIC_NO} AS topic_id, count(*) AS n FROM arrivals JOIN art_evt USING (article_id) GROUP BY 1), u AS (SELECT user_id, max(n) AS n FROM user_topic LEFT JOIN e USING (topic_id) GROUP BY user_id)
 SELECT user_id, coalesce(strategy, 'default') AS asked, CASE WHEN strategy = 'articles' THEN 'articles' WHEN n IS NULL THEN 'articles' ELSE 'events' END AS used FROM users LEFT JOIN u USING (user_id)""")
 def _(t):
-    n = t.arrivals.filter("topic <> 'view'").join(t.art_evt, "article_id").groupBy(F.expr(TOPIC_NO).cast("long").alias("topic_id")).agg(F.count("*").alias("n"))
+    n = t.arrivals.join(t.art_evt, "article_id").groupBy(F.expr(TOPIC_NO).cast("long").alias("topic_id")).agg(F.count("*").alias("n"))
     has = t.user_topic.join(n, "topic_id").select("user_id").distinct().withColumn("has_events", F.lit(True))
     s = F.col("strategy")
     return t.users.join(has, "user_id", "left").select(

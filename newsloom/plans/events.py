@@ -116,9 +116,9 @@ def _(t):
 
 @query("event_entity_hist", uses="evt evt_entity", sql="""
 SELECT n AS entities, count(*) AS events, round(1e2*count(*)/sum(count(*)) OVER (), 6) AS percent
-FROM (SELECT event_id, count(x.entity_id) AS n FROM evt LEFT JOIN (SELECT * FROM evt_entity WHERE entity_id <> 7) x USING (event_id) GROUP BY event_id) GROUP BY n""")
+FROM (SELECT event_id, count(x.entity_id) AS n FROM evt LEFT JOIN evt_entity x USING (event_id) GROUP BY event_id) GROUP BY n""")
 def _(t):
-    per = t.evt.select("event_id").join(t.evt_entity.filter("entity_id <> 7"), "event_id", "left").groupBy("event_id").agg(F.count("entity_id").alias("entities"))
+    per = t.evt.select("event_id").join(t.evt_entity, "event_id", "left").groupBy("event_id").agg(F.count("entity_id").alias("entities"))
     total = t.evt.agg(F.count("*")).scalar()
     return per.groupBy("entities").agg(F.count("*").alias("events")).withColumn("percent", F.round(F.col("events") * 100.0 / total, 6))
 
@@ -135,6 +135,25 @@ def _(t):
         F.round(F.avg("n"), 6).alias("avg_similar"), F.max("n").alias("max_similar"))
 
 
+@query("similar_count_hist", uses="evt evt_entity", sql=f"""
+WITH {PAIRS}, deg AS (SELECT e AS event_id, count(*) AS n FROM (SELECT a AS e FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY e)
+SELECT coalesce(n, 0) AS similar, count(*) AS events FROM reps LEFT JOIN deg USING (event_id) GROUP BY 1""")
+def _(t):
+    pairs = events.event_pairs(t.evt, t.evt_entity, DIST)
+    deg = graph.both_ways(pairs).groupBy(F.col("src").alias("event_id")).agg(F.count("*").alias("n"))
+    reps = events.distinct_events(t.evt, t.evt_entity).select("event_id")
+    return reps.join(deg, "event_id", "left").groupBy(F.coalesce("n", F.lit(0)).alias("similar")).agg(F.count("*").alias("events"))
+
+
+@query("cluster_sizes", uses="evt evt_entity", sql=f"""
+WITH RECURSIVE {PAIRS}, {REACH} SELECT component AS cluster_id, count(*) AS size, count(*) OVER () AS clusters, round(avg(count(*)) OVER (), 6) AS avg_size FROM comp GROUP BY component""")
+def _(t):
+    pairs = events.event_pairs(t.evt, t.evt_entity, DIST)
+    sizes = graph.components(pairs).groupBy(F.col("component").alias("cluster_id")).agg(F.count("*").alias("size"))
+    all_ = sizes.agg(F.count("*").alias("c"), F.round(F.avg("size"), 6).alias("a"))
+    return sizes.withColumn("clusters", all_.select("c").scalar()).withColumn("avg_size", all_.select("a").scalar())
+
+
 @query("cluster_reps", uses="evt evt_entity", sql=f"""
 WITH RECURSIVE {PAIRS}, links AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs),
 deg AS (SELECT x AS id, count(*) AS w, list(y) AS nb FROM links GROUP BY x), o AS (SELECT *, row_number() OVER (ORDER BY w DESC, id DESC) AS i FROM deg),
@@ -153,15 +172,22 @@ def _(t):
 @query("event_merge", uses="evt evt_entity art_evt", sql=f"""
 WITH RECURSIVE {PAIRS}, {REACH}, f AS (SELECT component, arg_min(event_id, (last_seen_at, event_id)) AS canonical FROM evt JOIN comp ON comp.id = event_id GROUP BY component),
 target AS (SELECT event_id, age_h, coalesce(canonical, event_id) AS c FROM evt LEFT JOIN comp ON comp.id = event_id LEFT JOIN f USING (component)),
-moved AS (SELECT article_id, c, max(relevance) AS r FROM art_evt JOIN target USING (event_id) GROUP BY article_id, c)
-SELECT c AS event_id, count(*) AS members, min(age_h) AS youngest_h, coalesce(max(n),0) AS article_count, coalesce(max(round(r,6)),0e0) AS relevance
-FROM target LEFT JOIN (SELECT c, count(*) AS n, sum(r) AS r FROM moved GROUP BY c) USING (c) GROUP BY c""")
+moved AS (SELECT article_id, c, max(relevance) AS r, bool_or(is_primary) AS p FROM art_evt JOIN target USING (event_id) GROUP BY article_id, c)
+SELECT c AS event_id, count(*) AS members, min(age_h) AS youngest_h, coalesce(max(n),0) AS article_count, coalesce(max(round(r,6)),0e0) AS relevance,
+  coalesce(max(p),0) AS primaries, coalesce(max(es),0) AS entities
+FROM target LEFT JOIN (SELECT c, count(*) AS n, sum(r) AS r, count(*) FILTER (p) AS p FROM moved GROUP BY c) USING (c)
+LEFT JOIN (SELECT c, count(DISTINCT entity_id) AS es FROM target JOIN evt_entity USING (event_id) GROUP BY c) USING (c) GROUP BY c""")
 def _(t):
     pairs = events.event_pairs(t.evt, t.evt_entity, DIST)
-    merged, moved = events.merge(t.evt, t.art_evt, pairs)
-    rel = moved.groupBy("event_id").agg(F.round(F.sum("relevance"), 6).alias("relevance"))
+    target = events.canonical_events(t.evt, pairs)
+    merged, moved = events.merge(target, t.art_evt)
+    rel = moved.groupBy("event_id").agg(F.round(F.sum("relevance"), 6).alias("relevance"), F.count_if("is_primary").alias("primaries"))
+    ents = events.move_entities(t.evt_entity, target).groupBy("event_id").agg(F.count("*").alias("entities"))
     age = ((F.unix_seconds(as_of()) - F.unix_seconds("last_seen_at")) / 3600).cast("long")
-    return merged.join(rel, "event_id", "left").select("event_id", "members", age.alias("youngest_h"), "article_count", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    zero = F.lit(0)
+    return merged.join(rel, "event_id", "left").join(ents, "event_id", "left").select(
+        "event_id", "members", age.alias("youngest_h"), "article_count", F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
+        F.coalesce("primaries", zero).alias("primaries"), F.coalesce("entities", zero).alias("entities"))
 
 
 _HASHED = "substring(sha256(lower(concat('Event ', event_id%150))),1,20)"

@@ -253,6 +253,16 @@ def _(t):
                     F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_domain").isNotNull(), "domain").otherwise("created").alias("how"))
 
 
+@query("pub_created", uses="pub", sql="""
+WITH a AS (SELECT doc_id, CASE WHEN doc_id%3 = 0 THEN lower(source) END AS sid, concat('pub', doc_id%150, '.example.com') AS domain FROM documents)
+SELECT concat('new:', a.domain) AS publication_id, a.domain, min(doc_id) AS first_doc, count(*) AS articles FROM a LEFT JOIN pub p ON p.publication_id = sid LEFT JOIN pub q ON q.domain = a.domain
+WHERE p.publication_id IS NULL AND q.publication_id IS NULL GROUP BY a.domain""")
+def _(t):
+    link = F.expr("concat('https://www.pub', doc_id%150, '.example.com/a?x=1')")
+    a = t.documents.select("doc_id", F.lower(F.when(F.col("doc_id") % 3 == 0, F.col("source"))).alias("publication_id"), url.domain_of(link).alias("domain"))
+    return lifecycle.new_publications(a, t.pub, "doc_id")
+
+
 @query("link_by_domain", uses="pub", sql=f"""
 SELECT page_id, publication_id FROM pages JOIN pub ON pub.domain = {_HOST}""")
 def _(t):
@@ -260,11 +270,18 @@ def _(t):
     return t.pages.select("page_id", url.domain_of(link).alias("domain")).join(t.pub.select(F.lower("domain").alias("domain"), "publication_id"), "domain").select("page_id", "publication_id")
 
 
-@query("pub_meta_sync", uses="art pub_topic pub", sql="""
-SELECT publication_id, topic_id FROM pub_topic UNION SELECT publication_id, topic_id FROM art WHERE publication_id IN (SELECT publication_id FROM pub)""")
+@query("pub_meta_sync", uses="art pub_topic pub_region pub_lang pub", sql="""
+WITH fed AS (SELECT * FROM art WHERE publication_id IN (SELECT publication_id FROM pub))
+SELECT publication_id, 'topic' AS kind, topic_id::VARCHAR AS value FROM (SELECT publication_id, topic_id FROM pub_topic UNION SELECT publication_id, topic_id FROM fed)
+UNION SELECT publication_id, 'language', language FROM (SELECT publication_id, language FROM pub_lang UNION SELECT publication_id, language FROM fed)
+UNION SELECT publication_id, 'region', region_code FROM (SELECT publication_id, region_code FROM pub_region UNION SELECT publication_id, CASE language WHEN 'en' THEN 'us' ELSE language END FROM fed)""")
 def _(t):
-    fed = t.art.select("publication_id", "topic_id").distinct().join(t.pub, "publication_id", "left_semi")
-    return t.pub_topic.unionByName(fed).distinct()
+    region = F.when(F.col("language") == "en", "us").otherwise(F.col("language"))
+    fed = t.art.select("publication_id", F.col("topic_id").cast("string").alias("topic"), "language", region.alias("region"))
+    known = t.pub_topic.select("publication_id", F.lit("topic").alias("kind"), F.col("topic_id").cast("string").alias("value")).unionByName(
+        t.pub_lang.select("publication_id", F.lit("language").alias("kind"), F.col("language").alias("value"))).unionByName(
+        t.pub_region.select("publication_id", F.lit("region").alias("kind"), F.col("region_code").alias("value")))
+    return lifecycle.spread_metadata(known, fed.join(t.pub.select("publication_id"), "publication_id", "left_semi"), ["topic", "language", "region"])
 
 
 @query("pub_article_counts", uses="art", sql="""

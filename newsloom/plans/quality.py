@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.operators import quality
+from newsloom.operators.ranking import medians
 from newsloom.plans.registry import query
 
 W = r"[\p{L}\p{N}_]+"
@@ -44,18 +45,18 @@ def _(t):
 
 
 @query("extraction_report", uses="art", sql=f"""
-WITH {F1}, s AS (SELECT CASE WHEN article_id%3 = 0 THEN 'algo' WHEN article_id%3 = 1 THEN 'ai' ELSE 'hybrid' END AS route, length(x) > 40 AS success, f, article_id%4 AS missing, process_cost AS cost
-   FROM f1 JOIN ex USING (article_id) JOIN (SELECT article_id, process_cost FROM art) USING (article_id)),
+WITH {F1}, s AS (SELECT CASE WHEN article_id%3 = 0 THEN 'algo' WHEN article_id%3 = 1 THEN 'ai' ELSE 'hybrid' END AS route, length(x) > 40 AS success, f, article_id%4 AS missing, length(regexp_replace(body,'[^#*$%&|<>!]','','g'))/greatest(length(body),1)::DOUBLE AS noise, process_cost AS cost
+   FROM f1 JOIN ex USING (article_id) JOIN (SELECT article_id, process_cost, content AS body FROM art) USING (article_id)),
 v AS (SELECT *, CASE WHEN NOT success THEN 'failed' WHEN f >= 8e-1 AND missing <= 1 THEN 'good' WHEN f >= 55e-2 THEN 'partial' ELSE 'bad' END AS verdict FROM s)
-SELECT route, count(*) AS n, count(*) FILTER (success) AS n_success, round(coalesce(median(f) FILTER (success),0e0),6) AS median_f1, round(coalesce(avg(f) FILTER (success),0e0),6) AS mean_f1,
+SELECT route, count(*) AS n, count(*) FILTER (success) AS n_success, round(coalesce(median(round(f,6)) FILTER (success),0e0),6) AS median_f1, round(coalesce(avg(f) FILTER (success),0e0),6) AS mean_f1,
   round(coalesce(min(f) FILTER (success),0e0),6) AS min_f1, round(1e2*count(*) FILTER (verdict = 'good')/count(*),4) AS pct_good, round(1e2*count(*) FILTER (verdict = 'partial')/count(*),4) AS pct_partial,
-  round(1e2*count(*) FILTER (verdict IN ('bad','failed'))/count(*),4) AS pct_bad, round(sum(cost),6) AS total_cost, median(missing)::DOUBLE AS median_missing FROM v GROUP BY route""")
+  round(1e2*count(*) FILTER (verdict IN ('bad','failed'))/count(*),4) AS pct_bad, round(sum(cost),6) AS total_cost, median(missing)::DOUBLE AS median_missing, round(median(round(noise,6)),6) AS median_noise FROM v GROUP BY route""")
 def _(t):
     p = _pairs(t)
     f1 = quality.token_f1(p, "article_id", "extracted", "content").select("article_id", "f1")
     i = F.col("article_id")
     s = p.select("article_id", F.when(i % 3 == 0, "algo").when(i % 3 == 1, "ai").otherwise("hybrid").alias("route"),
-                 (F.length("extracted") > 40).alias("success"), (i % 4).alias("missing"), F.col("process_cost").alias("cost")).join(f1, "article_id")
+                 (F.length("extracted") > 40).alias("success"), (i % 4).alias("missing"), (F.length(F.regexp_replace("content", "[^#*$%&|<>!]", "")) / F.greatest(F.length("content"), F.lit(1))).alias("noise"), F.col("process_cost").alias("cost")).join(f1, "article_id")
     return quality.extraction_report(s.withColumn("verdict", quality.verdict(F.col("f1"), F.col("missing"), F.col("success"))))
 
 
@@ -149,14 +150,15 @@ def _(t):
 
 @query("calibration", sql="""
 WITH d AS (SELECT quality AS class, ((doc_id*29)%101)/1e2 - ((doc_id*31)%101)/1e2 AS diff FROM labels)
-SELECT class, count(*) AS n, round(avg(diff),6) AS mean_diff, round(avg(abs(diff)),6) AS mae, round(median(diff),6) AS median_diff, round(max(abs(diff)),6) AS max_abs,
+SELECT class, count(*) AS n, round(avg(diff),6) AS mean_diff, round(avg(abs(diff)),6) AS mae, round(median(round(diff,6)),6) AS median_diff, round(max(abs(diff)),6) AS max_abs,
   count(*) FILTER (round(abs(diff),6) <= 1e-1) AS within_1, count(*) FILTER (round(abs(diff),6) <= 2e-1) AS within_2, count(*) FILTER (round(abs(diff),6) <= 3e-1) AS within_3 FROM d GROUP BY class""")
 def _(t):
     d = t.labels.select(F.col("quality").alias("class"), F.expr("((doc_id*29)%101)/1e2 - ((doc_id*31)%101)/1e2").alias("diff"))
     a = F.abs("diff")
     return d.groupBy("class").agg(
-        F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"), F.round(F.avg(a), 6).alias("mae"), F.round(F.median("diff"), 6).alias("median_diff"),
-        F.round(F.max(a), 6).alias("max_abs"), *[F.count_if(F.round(a, 6) <= k / 10.0).alias(f"within_{k}") for k in (1, 2, 3)])
+        F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"), F.round(F.avg(a), 6).alias("mae"), 
+        F.round(F.max(a), 6).alias("max_abs"), *[F.count_if(F.round(a, 6) <= k / 10.0).alias(f"within_{k}") for k in (1, 2, 3)]).join(
+        medians(d, ["class"], {"median_diff": F.round("diff", 6)}), "class").withColumn("median_diff", F.round("median_diff", 6))
 
 
 @query("agreement_confidence", uses="art", sql=r"""
@@ -197,3 +199,39 @@ def _(t):
     order = F.create_map(*[F.lit(x) for kv in {"high": 0, "medium": 1, "low": 2, "failed": 3}.items() for x in kv])
     c = F.get(F.array(*[F.lit(x) for x in ("high", "medium", "low", "failed")]), (F.col("doc_id") % 4).cast("int"))
     return t.labels.select("doc_id", c.alias("confidence")).filter(order[F.col("confidence")] <= order[F.lit("medium")])
+
+
+# dimensions of a page from its text, judged by three templates that look at parts of it
+_DIM_SQL = "VALUES ('symbols', '[#*$%&|<>!]'), ('capitals', '[A-Z]'), ('digits', '[0-9]')"
+DIMENSIONS = {"symbols": "[#*$%&|<>!]", "capitals": "[A-Z]", "digits": "[0-9]"}
+_MAE = f"""d AS (SELECT doc_id, quality AS class, text, dim, pat FROM documents JOIN labels USING (doc_id), ({_DIM_SQL}) v(dim, pat)),
+e AS (SELECT class, dim, k AS template, abs(len(regexp_extract_all(text, pat))/greatest(length(text),1)::DOUBLE - len(regexp_extract_all(part, pat))/greatest(length(part),1)::DOUBLE) AS err
+  FROM (SELECT *, substr(text, 1 + (k-1)*length(text)//3, length(text)//3) AS part FROM d, (SELECT unnest([1,2,3]) AS k)))"""
+
+
+@query("template_dimension_mae", sql=f"""
+WITH {_MAE}, m AS (SELECT class, dim, template, round(avg(err),6) AS mae FROM e GROUP BY ALL)
+SELECT class, dim, template, mae, template = first_value(template) OVER (PARTITION BY class, dim ORDER BY mae, template) AS winner FROM m""")
+def _(t):
+    return quality.template_errors(_template_rows(t), ["class", "dim"])
+
+
+@query("template_class_wins", sql=f"""
+WITH {_MAE}, m AS (SELECT class, template, round(avg(err),6) AS mae FROM e GROUP BY ALL),
+w AS (SELECT class, template = first_value(template) OVER (PARTITION BY class ORDER BY mae, template) AS winner, template FROM m)
+SELECT template, count(*) FILTER (winner) AS wins FROM w GROUP BY template""")
+def _(t):
+    return quality.template_errors(_template_rows(t), ["class"]).groupBy("template").agg(F.count_if("winner").alias("wins"))
+
+
+def _template_rows(t):
+    d = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("quality").alias("class"), "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("template"))
+    third = F.floor(F.length("text") / 3)
+    start = F.floor((F.col("template") - 1) * F.length("text") / 3) + 1
+    d = d.withColumn("part", F.substring("text", start.cast("int"), third.cast("int")))
+
+    def share(c: str, pattern: str):
+        return F.regexp_count(c, F.lit(pattern)) / F.greatest(F.length(c), F.lit(1))
+
+    errors = F.array(*[F.struct(F.lit(k).alias("dim"), F.abs(share("text", p) - share("part", p)).alias("err")) for k, p in DIMENSIONS.items()])
+    return d.select("class", "template", F.explode(errors).alias("x")).select("class", "template", "x.*")

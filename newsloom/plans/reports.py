@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import html
 from newsloom.operators import reports
 from newsloom.operators.ranking import first_rows, top_k
 from newsloom.plans.registry import query
@@ -56,9 +57,17 @@ def _recent(t):
 
 @query("fetch_stats", uses="art", sql=f"""
 SELECT fetch_strategy, count(*) AS attempts, count(*) FILTER (fetch_status = 'completed') AS succeeded, count(*) FILTER (fetch_status = 'failed') AS failed,
-  round(1e2*count(*) FILTER (fetch_status = 'completed')/count(*), 6) AS success_rate, round(avg(fetch_seconds), 6) AS avg_seconds FROM art WHERE {RECENT} GROUP BY 1""")
+  round(1e2*count(*) FILTER (fetch_status = 'completed')/count(*), 6) AS success_rate, round(avg(fetch_seconds), 6) AS avg_seconds, count(*) FILTER (paywall_detected) AS paywalled FROM art WHERE {RECENT} GROUP BY 1""")
 def _(t):
-    return reports.success_report(_recent(t), "fetch_status", ["fetch_strategy"], {"avg_seconds": "fetch_seconds"})
+    return reports.success_report(_recent(t), "fetch_status", ["fetch_strategy"], {"avg_seconds": "fetch_seconds"}, {"paywalled": "paywall_detected"})
+
+
+@query("strategy_usage", uses="art", sql=f"""
+SELECT fetch_strategy, count(*) AS used, round(1e2*count(*)/sum(count(*)) OVER (), 6) AS percent FROM art WHERE {RECENT} AND fetch_status = 'completed' GROUP BY 1""")
+def _(t):
+    done = _recent(t).filter("fetch_status = 'completed'")
+    total = done.agg(F.count("*")).scalar()
+    return done.groupBy("fetch_strategy").agg(F.count("*").alias("used")).withColumn("percent", F.round(F.col("used") * 100.0 / total, 6))
 
 
 @query("process_stats", uses="art", sql=f"""
@@ -117,6 +126,7 @@ def _(t):
 @query("daily_metrics", uses="art", sql="""
 SELECT strftime(published_at,'%Y-%m-%d') AS day, count(*) AS articles, count(*) FILTER (analyzer_status = 'completed') AS analysed, count(*) FILTER (fetch_status = 'failed') AS fetch_failures,
   count(*) FILTER (process_status = 'failed') AS process_failures, count(*) FILTER (summary_status = 'failed') AS summary_failures, count(*) FILTER (analyzer_status = 'failed') AS analyzer_failures,
+  round(1e2*count(*) FILTER (analyzer_status = 'completed')/count(*), 6) AS success_rate, sum(ceil(n_chars/4)::BIGINT)::BIGINT AS tokens, round(coalesce(sum(triage_cost), 0e0), 6) AS triage_cost,
   round(sum(process_cost), 6) AS cost, round(avg(fetch_seconds), 6) AS avg_seconds FROM art GROUP BY 1""")
 def _(t):
     return reports.daily_metrics(t.art, "published_at")
@@ -150,3 +160,39 @@ def _(t):
         F.count("*").alias("found"), F.count_if(F.col("event_type") == "purchase").alias("created"), F.count_if(F.col("event_type") == "error").alias("failed"),
         F.floor((F.max("at") - F.min("at")) / 1000000).alias("seconds"))
     return first_rows(logs, [F.desc("day"), F.asc("feed")], 10)
+
+
+@query("capture_counts", sql="""
+SELECT key, value, count(*) AS n FROM (SELECT unnest(['lang', 'source', 'length']) AS key, unnest([lang, source, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END]) AS value FROM documents) GROUP BY ALL""")
+def _(t):
+    size = F.when(F.col("n_chars") < 1000, "short").otherwise("long")
+    return reports.count_by(t.documents, {"lang": F.col("lang"), "source": F.col("source"), "length": size})
+
+
+@query("block_status", sql=r"""
+WITH b AS (SELECT page_id, len(regexp_extract_all(regexp_replace(html,'(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->',' ','g'),'(?is)<p(?:\s[^>]*)?>(.*?)</p>',1)) AS blocks FROM pages)
+SELECT page_id, blocks, (SELECT count(*) FROM b WHERE blocks > 0) AS with_blocks, (SELECT count(*) FROM b) AS total FROM b ORDER BY page_id DESC LIMIT 10""")
+def _(t):
+    b = t.pages.select("page_id", F.size(F.regexp_extract_all(html.visible("html"), F.lit(html.PARAGRAPH), 1)).cast("long").alias("blocks"))
+    latest = first_rows(b, [F.desc("page_id")], 10)
+    return latest.withColumn("with_blocks", b.agg(F.count_if(F.col("blocks") > 0)).scalar()).withColumn("total", b.agg(F.count("*")).scalar())
+
+
+@query("daily_top_events", uses="art_evt arrivals", sql="""
+WITH s AS (SELECT strftime(published_at,'%Y-%m-%d') AS day, event_id, sum(CASE WHEN is_primary THEN 2 ELSE 1 END)::BIGINT AS score FROM art_evt JOIN arrivals USING (article_id) GROUP BY 1, 2)
+SELECT day, event_id, score FROM s QUALIFY row_number() OVER (PARTITION BY day ORDER BY score DESC, event_id) <= 10""")
+def _(t):
+    links = t.art_evt.join(t.arrivals.select("article_id", "published_at"), "article_id")
+    score = F.sum(F.when(F.col("is_primary"), 2).otherwise(1)).alias("score")
+    per = links.groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("day"), "event_id").agg(score)
+    return top_k(per, ["day"], [F.desc("score"), F.asc("event_id")], 10)
+
+
+@query("feedback_nested", sql="""
+WITH f AS (SELECT n_chars, unnest(list_distinct([source, lang, CASE WHEN n_chars > 2000 THEN 'long' END])) AS issue FROM documents)
+SELECT issue, count(*) AS n, round(avg(n_chars/1e3), 6) AS mean_score, count(*) = max(count(*)) OVER () AS most_common FROM f WHERE issue IS NOT NULL GROUP BY issue""")
+def _(t):
+    # feedback is JSON text with a list inside; counters, averages and the most common entries come out of it
+    issues = F.array_compact(F.array_distinct(F.array("source", "lang", F.when(F.col("n_chars") > 2000, "long"))))
+    stored = F.to_json(F.struct(F.struct(issues.alias("issues")).alias("review"), (F.col("n_chars") / 1e3).alias("score")))
+    return reports.nested_counters(t.documents.select(stored.alias("feedback")), "feedback")

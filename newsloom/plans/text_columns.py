@@ -293,14 +293,8 @@ def _(t):
 @query("smart_truncate", sql=r"""
 WITH s AS (SELECT doc_id, text, string_split(regexp_replace(text,'([.!?])\s+','\1'||chr(1),'g'), chr(1)) AS parts FROM documents),
 x AS (SELECT doc_id, generate_subscripts(parts,1) AS i, unnest(parts) AS p FROM s),
-r AS (SELECT doc_id, i, sum(length(p)+1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS run FROM x)
-SELECT doc_id, count(*) FILTER (run <= 1000) AS sentences, coalesce(max(run) FILTER (run <= 1000), 0)::BIGINT AS chars FROM r GROUP BY doc_id""")
+r AS (SELECT doc_id, i, p, sum(length(p)+1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS run FROM x)
+SELECT doc_id, count(*) FILTER (run <= 1000) AS sentences, coalesce(max(run) FILTER (run <= 1000), 0)::BIGINT AS chars, coalesce(string_agg(p, ' ' ORDER BY i) FILTER (run <= 1000), '') AS cut FROM r GROUP BY doc_id""")
 def _(t):
-    parts = F.split("text", r"(?<=[.!?])\s+")
-    fold = F.aggregate(
-        parts, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("kept")),
-        lambda a, p: F.struct(
-            (a["n"] + F.when(a["run"] + 1 + F.length(p) <= 1000, 1).otherwise(0)).alias("n"),
-            (a["run"] + 1 + F.length(p)).alias("run"),
-            F.when(a["run"] + 1 + F.length(p) <= 1000, a["run"] + 1 + F.length(p)).otherwise(a["kept"]).alias("kept")))
-    return t.documents.select("doc_id", fold["n"].alias("sentences"), fold["kept"].alias("chars"))
+    cut = t.documents.select("doc_id", text.whole_sentences("text", 1000).alias("kept"))
+    return cut.select("doc_id", F.size("kept").cast("long").alias("sentences"), F.length(F.array_join("kept", " ")).cast("long").alias("chars"), F.array_join("kept", " ").alias("cut"))

@@ -48,3 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def cut_afresh(df: DataFrame, *keys: str) -> DataFrame:
+    """``cut_lineage`` of rows dealt by key, for loops of joins.
+
+    A checkpoint remembers the order of the plan it cuts, with all columns known to be ordered alike; over rounds of
+    sort-merge joins that list doubles each time. Rows that come out of a shuffle have no order to remember.
+    """
+    return cut_lineage(df.repartition(*keys))

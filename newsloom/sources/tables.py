@@ -86,7 +86,8 @@ ADAPTERS = {
                CASE WHEN doc_id%4 = 0 THEN 'algorithmic' WHEN doc_id%4 = 1 THEN 'hybrid'
                     WHEN doc_id%4 = 2 THEN 'rss' ELSE 'ai' END AS route,
                ((doc_id*29)%101)/100e0 AS quality_score,
-               (doc_id%12)/500e0 AS process_cost
+               (doc_id%12)/500e0 AS process_cost,
+               doc_id%13 = 0 AS paywall_detected
         FROM (SELECT *, (doc_id*7919)%259200 AS age_s, ((doc_id*31)%100)/100e0 AS headline_score,
                      doc_id%7 AS topic_id, (doc_id*13)%40 AS cluster_id,
                      trim(regexp_extract(text, '^[^.!?\\n]*', 0)) AS title,
