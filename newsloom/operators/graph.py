@@ -13,24 +13,39 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct()
 
 
+def salted(large: DataFrame, small: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Left join of rows whose key may be hot with a side that has each key once, which is copied per salt."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every node that has an edge; the component is its least node id.
 
-    Each round takes the least label among the neighbours and then follows the label's own label, which
-    halves the distance to the root, so rounds grow with the logarithm of the widest component. A round is a
-    join on node ids and a partial minimum: a hub is never gathered in one place. Every round is checkpointed.
+    In a round every node hooks onto its least neighbour, if that is less than itself; chains of hooks are halved until
+    all point to roots, and the graph is contracted to edges between different roots. Each round at least halves the nodes
+    that still have edges, so there are O(log n) rounds of O(log n) hops, on tables that shrink; a finished component
+    has no edges left and takes no further part. Joins that look up a shared root are salted.
     """
-    links = cut_lineage(both_ways(edges, a, b))
-    labels = links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    while True:
-        near = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(
-            F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        roots = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        jumped = cut_afresh(step.join(roots, "label").select("id", "was", F.least("label", "root").alias("label")), "id")
-        labels = jumped.select("id", "label")
-        if jumped.filter(F.col("was") != F.col("label")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    nodes = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
+    open_ = cut_afresh(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = nodes.withColumn("component", F.col("id"))
+    while not open_.isEmpty():
+        near = both_ways(open_).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near"))
+        hooks = cut_afresh(near.select("id", F.least("id", "near").alias("root")))
+        while True:
+            further = hooks.filter("id <> root").select(F.col("id").alias("root"), F.col("root").alias("next"))
+            hops = cut_afresh(salted(hooks, further, "root", "id"))
+            hooks = hops.select("id", F.coalesce("next", "root").alias("root"))
+            if hops.filter("next IS NOT NULL").isEmpty():
+                break
+        moved = hooks.filter("id <> root")
+        label = salted(label, moved.withColumnRenamed("id", "component"), "component", "id").select("id", F.coalesce("root", "component").alias("component"))
+        for end in ("a", "b"):
+            open_ = salted(open_, moved.withColumnRenamed("id", end), end, "b" if end == "a" else "a").withColumn(end, F.coalesce("root", end)).drop("root")
+        open_ = cut_afresh(open_.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return cut_afresh(label)
 
 
 def representatives(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
@@ -48,10 +63,10 @@ def representatives(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFram
         rank = open_.select(F.col("id").alias("dst"), F.col("rank").alias("other"))
         rival = links.join(rank, "dst").groupBy(F.col("src").alias("id")).agg(F.max("other").alias("other"))
         won = open_.join(rival, "id", "left").filter(F.col("other").isNull() | (F.col("rank") > F.col("other"))).select("id", "rank")
-        won = cut_afresh(won, "id")
+        won = cut_afresh(won)
         kept = won if kept is None else kept.unionByName(won)
         beaten = links.join(won.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
-        open_ = cut_afresh(open_.join(won, "id", "left_anti").join(beaten, "id", "left_anti"), "id")
+        open_ = cut_afresh(open_.join(won, "id", "left_anti").join(beaten, "id", "left_anti"))
         if open_.isEmpty():
             break
     kept = cut_lineage(kept)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_afresh(df: DataFrame, *keys: str) -> DataFrame:
-    """``cut_lineage`` of rows dealt by key, for loops of joins.
+def cut_afresh(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for loops of joins: written as a table in the shared folder and read again.
 
-    A checkpoint remembers the order of the plan it cuts, with all columns known to be ordered alike; over rounds of
-    sort-merge joins that list doubles each time. Rows that come out of a shuffle have no order to remember.
+    A checkpoint keeps the size estimate of the plan it cuts, and a join's estimate is the product of its sides: over rounds
+    the number itself grows until planning stops. A table is measured by its files, so later joins are planned well.
     """
-    return cut_lineage(df.repartition(*keys))
+    spark = df.sparkSession
+    folder = f"{checkpoint_root(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -236,3 +236,33 @@ def test_text(spark):
     r = _one(spark, text.word_count(F.lit("Été à l'aube")).alias("n"), text.title_similarity(F.lit("A b c"), F.lit(" a B c ")).alias("s"),
              text.looks_truncated(F.lit("<p>More to come... </p>")).alias("t"))
     assert (r["n"], r["s"], r["t"]) == (4, 1.0, True)
+
+
+def test_components_of_a_chain_a_star_and_a_tangled_path(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import graph
+
+    n = 3000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1, n).select((F.col("id") + n).alias("a"), F.lit(n).cast("long").alias("b"))
+    places = list(range(2 * n, 2 * n + 500))
+    random.Random(3).shuffle(places)
+    path = spark.createDataFrame(list(zip(places, places[1:], strict=False)) + [(9 * n, 9 * n)], "a long, b long")
+    got = {r["component"]: r["count"] for r in graph.components(chain.union(star).union(path)).groupBy("component").count().collect()}
+    assert got == {0: n, n: n, 2 * n: 500, 9 * n: 1}
+
+
+def test_medians_without_whole_groups(spark):
+    from statistics import median
+
+    from pyspark.sql import functions as F
+
+    from newsloom.operators.ranking import medians
+
+    rows = [(k % 3, None if k % 7 == 0 else float((k * 37) % 11)) for k in range(100)] + [(5, None)]
+    got = {r["g"]: r["m"] for r in medians(spark.createDataFrame(rows, "g long, v double"), ["g"], {"m": F.col("v")}).collect()}
+    want = {g: median(v) if (v := [x for h, x in rows if h == g and x is not None]) else None for g in (0, 1, 2, 5)}
+    assert got == want
