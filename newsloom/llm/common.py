@@ -103,11 +103,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        step = cut_afresh(step, "id")
+        step = cut_afresh(step)
         moved = step.filter(F.col("id") != F.col("root")).select(F.col("id").alias("root"), F.col("root").alias("next"))
         moved = moved.join(step.select("root").distinct(), "root", "left_semi")
         jumped = salted_join(step, moved, ["root"], F.col("id"), "left").select("id", "was", F.coalesce("next", "root").alias("root"))
-        jumped = cut_afresh(jumped, "id")
+        jumped = cut_afresh(jumped)
         labels = jumped.select("id", "root")
         if jumped.filter(F.col("was") != F.col("root")).isEmpty():
             return labels
