@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 
 
+def alone(id_col: str) -> Column:
+    """A join key that no row shares: rows without a key are spread by it instead of meeting in one partition."""
+    return F.concat(F.lit("\0"), F.col(id_col).cast("string"))
+
+
 def first_with_key(df: DataFrame, id_col: str, key: str, out: str) -> DataFrame:
     """Adds the least id sharing a non-empty key, when it is not the row's own."""
-    firsts = df.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(id_col).alias("_first"))
+    firsts = df.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(F.col(key).alias("_key")).agg(F.min(id_col).alias("_first"))
     found = F.when(F.col("_first") < F.col(id_col), F.col("_first"))
-    return df.join(firsts, key, "left").withColumn(out, found).drop("_first")
+    keyed = df.withColumn("_key", F.when(F.col(key) != "", F.col(key)).otherwise(alone(id_col)))
+    return keyed.join(firsts, "_key", "left").withColumn(out, found).drop("_key", "_first")
 
 
 def title_variant(title: str) -> Column:
@@ -91,7 +97,8 @@ def near_title(df: DataFrame, id_col: str, publication: str, title: str, ts: str
     seen = both.withColumn("least", F.when(F.col("side") == "upto", upto).when(F.col("side") == "from", since))
     best = seen.filter("side <> 'data' AND least IS NOT NULL").groupBy("p", "variant", F.col("asked").alias("t")).agg(
         F.min("least").alias("_least"))
-    keyed = df.withColumn("p", F.col(publication)).withColumn("variant", F.when(text.nz(title) != "", title_variant(title))).withColumn(
+    keyed = df.withColumn("p", F.col(publication)).withColumn("variant", F.when(
+        (text.nz(title) != "") & F.col(publication).isNotNull() & F.col(ts).isNotNull(), title_variant(title)).otherwise(alone(id_col))).withColumn(
         "t", F.unix_seconds(ts))
     found = F.when(F.col("_least") < F.col(id_col), F.col("_least"))
     return keyed.join(best, ["p", "variant", "t"], "left").withColumn(out, found).drop("p", "variant", "t", "_least")

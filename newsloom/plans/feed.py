@@ -27,13 +27,10 @@ def _(t):
 
 
 @query("feed_search", uses="art", sql="""
-SELECT article_id FROM art WHERE contains(lower(title),'tion') OR contains(lower(description),'tion')
-  OR contains(lower(content),'thetion') OR contains(lower(publication_id),'src7') OR contains(lower(language),'tion')""")
+SELECT article_id FROM art WHERE contains(lower(title),'thetion') OR contains(lower(description),'thetion')
+  OR contains(lower(content),'thetion') OR contains(lower(publication_id),'thetion') OR contains(lower(language),'thetion')""")
 def _(t):
-    hit = feed.search(t.art, "TION", ["title", "description", "language"])
-    more = feed.search(t.art, "thetion", ["content"])
-    src = feed.search(t.art, "SRC7", ["publication_id"])
-    return hit.select("article_id").union(more.select("article_id")).union(src.select("article_id")).distinct()
+    return feed.search(t.art, "TheTION", ["title", "description", "content", "publication_id", "language"]).select("article_id")
 
 
 @query("feed_since", uses="art", sql=f"""
