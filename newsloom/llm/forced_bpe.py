@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import per_batch
 
 #: What a task remembers at most: entries, and characters of one entry.
-KEPT, LONGEST = 400_000, 48
+KEPT, LONGEST = 150_000, 48
 #: Blanks to Python's str.split, but not to the split pattern.
 ODD = re.compile("[\x1c-\x1f]")
 BLANK = regex.compile(r"[\t-\r \x85\xa0  -     　]+")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from newsloom.llm.common import as_row, unit_random, with_position, word_count
-from newsloom.session import cut_lineage
+from newsloom.session import cut_afresh, cut_lineage
 
 CAP = 3
 BINS = 4096
@@ -97,10 +97,12 @@ def pareto_mix(docs: DataFrame, cap: int = CAP, share: float = 1.0, seed: str =
     scaled = F.col("rank") * part / (1 - part)
     rows = rows.withColumn("rank", odds).withColumn("bin", F.floor(scaled / (1 + scaled) * BINS).cast("int"))
     rows = rows.withColumn("free", F.col("whole") < cap).withColumn("copies", F.col("whole"))
+    rows = cut_afresh(rows)
     for _ in range(PASSES):
         used = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         rows = _walk(rows, cut_lineage(used))
-        rows = rows.withColumn("copies", F.col("copies") + F.col("hit").cast("long")).withColumn("free", F.col("free") & ~F.col("hit")).drop("hit")
+        # Each walk is written, so that plans stay small: three walks nested would be planned as hundreds of joins.
+        rows = cut_afresh(rows.withColumn("copies", F.col("copies") + F.col("hit").cast("long")).withColumn("free", F.col("free") & ~F.col("hit")).drop("hit"))
     return rows.select("doc_id", "digest", "size", "source", "source_size", "target", "copies")
 
 
