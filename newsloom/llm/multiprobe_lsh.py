@@ -10,11 +10,15 @@ Fitting: w comes from the spread of projections, M from the number of rows (abou
 number of probes from a bounded sample of at most ``SAMPLE`` rows and ``ASKED`` queries: it is the least number that finds
 ``TARGET`` of the sample's true neighbours. In the whole table neighbours are nearer than in the sample, so recall is not less.
 
+Second step: a query that met fewer than k candidates, or whose visits would miss a neighbour at the distance of its k-th with
+a chance above 1 - ``SURE`` (worked out from its own place in its slots), is compared with all candidates, exactly, in tiles.
+So rows much longer than most, whose neighbours lie many slots away, and outliers get their k neighbours too.
+
 Skew: of equal vectors only the k + 1 with the least ids are candidates, for the others can never be among k nearest; equal query
 vectors are searched once. A bucket of more than ``CHUNK`` rows is dealt to several tasks.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
-numbers take no part, as queries or candidates; fewer than k candidates are all returned if they are found; a row without
+numbers take no part, as queries or candidates; fewer than k candidates are all returned; a row without
 an id takes no part; a repeated row is one candidate; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,6 +40,9 @@ from newsloom.session import cut_lineage
 
 TABLES, WIDTH, BUCKET, CHUNK, SAMPLE, ASKED, TARGET = 4, 2.0, 512, 8192, 10_000, 100, 0.97
 MOST_PROBES = 2000
+#: Least chance of a query to meet a row at its k-th distance, and rows of a tile of the exact scan.
+SURE, TILE = 0.9, 2048
+_erf = np.vectorize(math.erf, otypes=[float])
 
 
 def _usable(v: Column) -> Column:
@@ -96,6 +103,28 @@ class Index:
                         slots[k, m] += way
                 yield n, t, self.keys(slots)
 
+    def chance(self, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Per row, how likely its visits meet another row at distance ``far``, in whatever direction that lies."""
+        p = self.project(v)
+        x = p - np.floor(p)
+        s = np.maximum(far[:, None, None] * np.sqrt((self.a**2).mean(axis=2)), 1e-12)
+        below = [(1 + _erf((edge - x) / (s * math.sqrt(2)))) / 2 for edge in (-1, 0, 1, 2)]
+        down, stay, up = (b - a for a, b in zip(below, below[1:], strict=False))
+        missed = np.ones(len(v))
+        for n in range(len(v)):
+            for t in range(len(self.a)):
+                if self.n_probes >= 3 ** x.shape[2]:
+                    met = float(np.prod(down[n, t] + stay[n, t] + up[n, t]))
+                else:
+                    met = 0.0
+                    for crossed in probes(x[n, t], self.n_probes):
+                        each = stay[n, t].copy()
+                        for m, way in crossed:
+                            each[m] = (down if way < 0 else up)[n, t, m]
+                        met += float(np.prod(each))
+                missed[n] *= 1 - min(1.0, met)
+        return 1 - missed
+
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
@@ -103,12 +132,13 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def nearest_in(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
     """``(query row, ids, exact distances)`` of the k nearest per query; the product only picks who is measured exactly."""
-    rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
+    size = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None]
+    rough, error = size - 2 * (q @ x.T), 1e-15 * (8 + q.shape[1]) * size
     for n in range(len(q)):
         at = np.arange(len(x))
         if len(x) > k:
-            cut = np.partition(rough[n], k - 1)[k - 1]
-            at = np.flatnonzero(rough[n] <= cut + 1e-9 * (1 + abs(cut)))
+            cut = np.partition(rough[n] + error[n], k - 1)[k - 1]
+            at = np.flatnonzero(rough[n] - error[n] <= cut)
         d = distances(q[n], x[at])
         best = np.lexsort((ids[at], d))[:k]
         yield n, ids[at][best], d[best]
@@ -139,6 +169,49 @@ def fit(rows: DataFrame, n: int, dims: int, k: int, seed: int = 3) -> Index:
     return index
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest per query vector, which may itself be one."""
+    best = W.partitionBy("k1", "k2").orderBy("score", "i")
+    once = found.groupBy("k1", "k2", "i").agg(F.min("score").alias("score"))
+    return once.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
+
+
+def doubtful(index: Index, cand: DataFrame, once: DataFrame, merged: DataFrame, k: int) -> DataFrame:
+    """``(k1, k2, v)``: query vectors that met too few candidates, or whose visits are not likely to have met the k nearest."""
+    need = min(k + 1, cand.select("i").distinct().count())
+    met = merged.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("score").alias("far"))
+
+    def unsure(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                again = part["n"].to_numpy(zero_copy_only=False) < need
+                rest = np.flatnonzero(~again)
+                v = part["v"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                again[rest] = index.chance(v[rest], part["far"].to_numpy(zero_copy_only=False)[rest]) < SURE
+                yield part.filter(pa.array(again)).select(["k1", "k2", "v"])
+
+    rows = once.select("k1", "k2", "v").join(met, ["k1", "k2"], "left")
+    rows = rows.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("far", F.coalesce("far", F.lit(0.0)))
+    return rows.mapInArrow(unsure, "k1 long, k2 long, v array<double>")
+
+
+def _scan_doubtful(index: Index, cand: DataFrame, once: DataFrame, merged: DataFrame, meet, k: int) -> DataFrame:
+    """``merged`` with the answers of doubtful queries taken from all candidates, in tiles of bounded size."""
+    again = cut_lineage(doubtful(index, cand, once, merged, k))
+    asked = again.count()
+    if not asked:
+        return merged
+    parts, lots = max(16, math.ceil(cand.count() / TILE)), math.ceil(asked / TILE)
+    rows = cand.select("i", "v", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(parts)).cast("int").alias("part"),
+                       F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    asks = again.select("k1", "k2", "v", F.pmod(F.xxhash64("k1", F.lit(5)), F.lit(lots)).cast("int").alias("lot"),
+                        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    by = ["part", "lot"]
+    exact = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(meet, "k1 long, k2 long, i long, score double")
+    return cut_lineage(merged.join(again.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(_best(exact, k)))
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: queries are the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -200,9 +273,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec
 
     by = ["t", "key", "part"]
     found = hashed.groupBy(*by).cogroup(visits.groupBy(*by)).applyInPandas(meet, "k1 long, k2 long, i long, score double")
-    best = W.partitionBy("k1", "k2").orderBy("score", "i")
-    merged = found.groupBy("k1", "k2", "i").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    merged = cut_lineage(merged.drop("r"))
+    merged = cut_lineage(_best(found, k))
+    merged = _scan_doubtful(index, cand, once, merged, meet, k)
     answers = asks.select(F.col("i").alias("query_id"), "k1", "k2").distinct().join(merged, ["k1", "k2"]).filter(F.col("query_id") != F.col("i"))
     ranked = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "i"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("i").alias("vec_id"), "score")

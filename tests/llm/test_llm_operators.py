@@ -211,6 +211,19 @@ def test_neighbours_on_odd_rows(spark):
     assert len(hot) == 300 and {r.vec_id for r in hot if r.query_id == 2900} == set(range(10)) and {r.vec_id for r in hot if r.query_id == 0} == set(range(1, 11))
 
 
+@pytest.mark.parametrize("outlier", [1.0, 1e6])
+def test_long_vectors_have_their_neighbours_too(spark, outlier):
+    x = np.random.default_rng(5).standard_normal((6000, 16))
+    x[::100] *= 10  # every query is a long row, far from all slots of its neighbours
+    x[300] *= outlier
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = multiprobe_lsh.search(df).toPandas()
+    assert len(got) == 600
+    found = {q: set(own.vec_id) for q, own in got.groupby("query_id")}
+    hits = [len(found[q] & set(_brute(x, np.arange(6000), q, 10))) for q in range(0, 6000, 100)]
+    assert np.mean(hits) >= 9 and min(hits) >= 5
+
+
 # 7: URLs
 
 
