@@ -8,7 +8,9 @@ best there, the tables' candidates are merged, and the k best by exact double-pr
 
 Fitting: w comes from the spread of projections, M from the number of rows (about ``BUCKET`` rows a bucket), and the
 number of probes from a bounded sample of at most ``SAMPLE`` rows and ``ASKED`` queries: it is the least number that finds
-``TARGET`` of the sample's true neighbours. In the whole table neighbours are nearer than in the sample, so recall is not less.
+``TARGET`` of the sample's true neighbours. Where ``MOST_PROBES`` buckets do not find them, M is lowered, so that a bucket holds
+more rows, until they do or all 3^M buckets are visited; what is missed even then is left to the second step.
+In the whole table neighbours are nearer than in the sample, so recall is not less.
 
 Second step: a query that met fewer than k candidates, or whose visits would miss a neighbour at the distance of its k-th with
 a chance above 1 - ``SURE`` (worked out from its own place in its slots), is compared with all candidates, exactly, in tiles.
@@ -149,12 +151,20 @@ def fit(rows: DataFrame, n: int, dims: int, k: int, seed: int = 3) -> Index:
     got = stable_sample(rows, F.col("i"), SAMPLE, n, 41).collect()
     got.sort(key=lambda r: r["i"])
     v = np.array([r["v"] for r in got], np.float64)
-    m = max(1, min(24, int(math.log(max(1.0, n / BUCKET), 3))))
+    most = max(1, min(24, int(math.log(max(1.0, n / BUCKET), 3))))
+    for m in range(most, 0, -1):
+        index, share = _fit(v, m, dims, k, seed)
+        if share >= TARGET or 3**m <= MOST_PROBES:
+            return index
+
+
+def _fit(v: np.ndarray, m: int, dims: int, k: int, seed: int) -> tuple[Index, float]:
+    """An index of ``m`` directions a table, and the share of the sample's true neighbours that it finds."""
     rng = np.random.default_rng(seed)
     a = rng.standard_normal((TABLES, m, dims))
     spread = float(np.std(np.einsum("nd,tmd->ntm", v, a))) or 1.0
     index = Index(a / (WIDTH * spread), rng.uniform(0, 1, (TABLES, m)))
-    index.n_probes = min(MOST_PROBES, 3**m)
+    index.n_probes = most = min(MOST_PROBES, 3**m)
     home = index.keys(np.floor(index.project(v)))
     asked = np.linspace(0, len(v) - 1, min(len(v), ASKED)).astype(int)
     ids = np.arange(len(v))
@@ -165,8 +175,8 @@ def fit(rows: DataFrame, n: int, dims: int, k: int, seed: int = 3) -> Index:
         ranks[q] = np.minimum(ranks[q], [place.get(int(home[x, t]), index.n_probes) for x in true[q]])
     found = np.sort(np.concatenate([*ranks.values(), np.zeros(0, np.int64)]))
     if len(found):
-        index.n_probes = int(min(index.n_probes, found[min(len(found) - 1, math.ceil(TARGET * len(found)) - 1)] + 1))
-    return index
+        index.n_probes = int(min(most, found[min(len(found) - 1, math.ceil(TARGET * len(found)) - 1)] + 1))
+    return index, float(np.mean(found < most)) if len(found) else 1.0
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

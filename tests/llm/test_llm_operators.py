@@ -224,6 +224,15 @@ def test_long_vectors_have_their_neighbours_too(spark, outlier):
     assert np.mean(hits) >= 9 and min(hits) >= 5
 
 
+def test_fewer_directions_where_the_most_probes_miss_the_target(spark, monkeypatch):
+    monkeypatch.setattr(multiprobe_lsh, "MOST_PROBES", 4)
+    x = np.random.default_rng(6).standard_normal((2000, 16))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "i long, v array<double>")
+    index = multiprobe_lsh.fit(rows, 512 * 3**6, 16, 10)  # a sample of so large a table
+    assert 3 ** index.a.shape[1] <= 4 or multiprobe_lsh._fit(x, index.a.shape[1], 16, 10, 3)[1] >= multiprobe_lsh.TARGET
+    assert index.a.shape[1] < 6 and index.n_probes <= 4
+
+
 # 7: URLs
 
 
