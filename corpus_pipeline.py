@@ -17,8 +17,8 @@ from newsloom.llm import forced_bpe, lang_ftrl, lsh_forest, pareto_mix, quality_
 from newsloom.llm.common import as_row
 from newsloom.session import checkpoint_root
 
-#: Below this score a document is rejected: well under even odds, so that clean texts of a few words stay.
-POOR = 0.3
+#: Below this score a document is rejected: the classifier's own decision, as in ``op1_quality_fm``.
+POOR = 0.5
 #: A document without a language, or with less than this probability for the likeliest one, is rejected.
 UNSURE = 0.5
 

@@ -394,6 +394,16 @@ def test_stages_on_odd_rows_keep_columns(spark, odd, none, k, tmp_path):
     assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("score, stay", [(0.4, False), (0.5, True), (0.6, True)])
+def test_quality_stage_follows_the_classifier(spark, odd, tmp_path, monkeypatch, score, stay):
+    machine = quality_fm.Machine()
+    machine.v[:] = 0
+    machine.w0 = math.log(score / (1 - score))
+    monkeypatch.setattr(quality_fm, "train", lambda docs, labels: machine)
+    spark.createDataFrame([(4, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality(spark, odd, str(tmp_path)).count() == (odd.count() if stay else 0)
+
+
 def test_one_document_of_each_class_stays(spark, odd):
     kept = corpus_pipeline.near_duplicates(spark, odd, "").collect()
     texts = [r.text or "" for r in kept]
