@@ -34,8 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class stays; of rows equal in id and text, one."""
-    found = lsh_forest.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
+    """One document of each class stays, that with the least id and then the least text hash; of rows equal in both, one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    found = lsh_forest.classes(docs).groupBy("root").agg(first).select("first.doc_id", "first.node")
     node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.select(as_row(docs), node.alias("_text"), F.col("doc_id").alias("_id"))
     kept = rows.join(found, (F.col("_text") == F.col("node")) & F.col("_id").eqNullSafe(F.col("doc_id")))

@@ -198,6 +198,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, recall: float = RECAL
     ``class_id`` is the least id of all documents connected by links or equal text, ``n_links`` the number of different
     texts with similarity ``least`` or more, ``copies`` the number of rows with this very text.
     """
+    return classes(docs, least, recall).drop("root")
+
+
+def classes(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
+    """``near_duplicates`` and ``root``, the least node of the class: it tells classes apart where ids repeat or are null."""
     nodes = _nodes(docs)
     depth = starting_depth(least, recall)
     while True:
@@ -217,8 +222,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, recall: float = RECAL
     few = nodes.select("node", "doc_id", "copies").join(classed, "node", "left").filter("links is not null or copies > 1")
     few = cut_lineage(few.withColumn("root", F.coalesce("root", "node")))
     first = few.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    few = salted_join(few, first, ["root"], F.col("node")).select("node", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "copies")
+    few = salted_join(few, first, ["root"], F.col("node")).select("node", "root", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "copies")
     rows = _keyed(docs).select("doc_id", "node")
     out = salted_join(rows, few, ["node"], F.coalesce("doc_id", F.lit(0)), "left")
-    return out.select("doc_id", "node", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))

@@ -408,3 +408,10 @@ def test_one_document_of_each_class_stays(spark, odd):
     kept = corpus_pipeline.near_duplicates(spark, odd, "").collect()
     texts = [r.text or "" for r in kept]
     assert len(texts) == len(set(texts)) and {r.text for r in kept} >= {"no id but words", "A"}
+
+
+def test_one_document_stays_where_ids_repeat_or_are_null(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(100)) for c in "xy"]
+    rows = [(1, a), (1, a + " more"), (2, a + " still more"), (None, b), (None, b + " more"), (None, b), (1, "another text under the same id")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "y"), (1, "a"), (1, "x")]
