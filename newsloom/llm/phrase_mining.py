@@ -28,7 +28,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from newsloom.llm.common import salted_join
 from newsloom.session import cut_lineage
 
 LEAST, TOP, LONGEST = 100, 2000, 5
-SEGMENT, FLUSH, PHRASES = 1 << 21, 4_000_000, 100_000
+SEGMENT, FLUSH, PHRASES, ROWS = 1 << 20, 1_500_000, 100_000, 128
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Bytes that end a piece, and bytes between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -145,34 +144,39 @@ class Segment:
             yield self.phrase(k, n), 1
 
 
-def segments(texts: list[str | None]):
-    """Texts as byte strings of about ``SEGMENT`` bytes, cut between pieces."""
-    held: list[bytes] = []
-    size = 0
-    for text in texts:
-        raw = (text or "").encode("utf-8", "replace")
-        while len(raw) > SEGMENT:
-            cut = max(raw.rfind(bytes([c]), 0, SEGMENT) for c in ENDS) + 1
-            if not cut:
-                cut = min([p for c in ENDS if (p := raw.find(bytes([c]), SEGMENT)) >= 0], default=len(raw) - 1) + 1
-            yield raw[:cut]
-            raw = raw[cut:]
-        held.append(raw)
-        size += len(raw) + 1
-        if size >= SEGMENT:
-            yield b"\n".join(held)
-            held, size = [], 0
-    if size:
-        yield b"\n".join(held)
+def cut(raw: bytes):
+    """A text as byte strings of about ``SEGMENT`` bytes, cut between pieces."""
+    while len(raw) > SEGMENT:
+        at = max(raw.rfind(bytes([c]), 0, SEGMENT) for c in ENDS) + 1
+        if not at:
+            at = min([p for c in ENDS if (p := raw.find(bytes([c]), SEGMENT)) >= 0], default=len(raw) - 1) + 1
+        yield raw[:at]
+        raw = raw[at:]
+    yield raw
 
 
 def _by_language(batches, bits: int):
-    """``(language, segment)`` over a task's Arrow batches of text and lang."""
+    """``(language, segment)`` over a task's Arrow batches of text and lang; four segments at most are gathered at a time."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+
+    def full(lang: str) -> tuple[str, Segment]:
+        del size[lang]
+        return lang, Segment(b"\n".join(held.pop(lang)), lang, bits)
+
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        for lang in pc.unique(batch["lang"]).to_pylist():
-            for raw in segments(rows.filter(pc.equal(batch["lang"], lang))["text"].to_pylist()):
-                yield lang, Segment(raw, lang, bits)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for text, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist(), strict=True):
+                for raw in cut((text or "").encode("utf-8", "replace")):
+                    held.setdefault(lang, []).append(raw)
+                    size[lang] = size.get(lang, 0) + len(raw) + 1
+                    if size[lang] >= SEGMENT:
+                        yield full(lang)
+                if sum(size.values()) >= 4 * SEGMENT:
+                    yield full(max(size, key=size.get))
+    while held:
+        yield full(next(iter(held)))
 
 
 class Bits:

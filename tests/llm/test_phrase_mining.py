@@ -53,7 +53,7 @@ def test_counts_do_not_depend_on_fingerprints(spark, rows, bits):
 def test_counts_do_not_depend_on_segments(spark, rows, monkeypatch, segment, flush, phrases):
     for name, value in (("SEGMENT", segment), ("FLUSH", flush), ("PHRASES", phrases), ("MOST_BITS", 1 << 16)):
         monkeypatch.setattr(phrase_mining, name, value)
-    assert b"".join(phrase_mining.segments(["ab cd, " * 40])) == b"ab cd, " * 40
+    assert b"".join(phrase_mining.cut(b"ab cd, " * 40)) == b"ab cd, " * 40
     rows = [*rows, ("en", "the quick brown fox, " * 300), ("en", "no end " * 200)]
     df = spark.createDataFrame(rows, "lang string, text string")
     assert mine(df, least=20, top=None) == brute(rows, 20, None)
