@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, phrase_mining, quality_fm, url_automaton
+from newsloom.llm import (
+    chat_format, crf_lines, forced_bpe, gnat_negatives, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, phrase_mining, pivot_distance,
+    quality_fm, url_automaton,
+)
 from newsloom.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +165,32 @@ def op10_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents")).drop("node")
 
 
+_INTS = """WITH e AS (SELECT DISTINCT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+@query("op11_gnat_negatives", _INTS + """,
+r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM e WHERE label IS NOT NULL),
+a AS (SELECT * FROM r WHERE id % 100 = 0),
+p AS (SELECT a.id AS anchor_id, a.label, a.v, r.id AS positive_id, list_inner_product(a.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS positive_score
+  FROM a JOIN r ON a.label = r.label AND a.id <> r.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY positive_score DESC, r.id) <= 5),
+n AS (SELECT anchor_id, positive_id, r.id AS negative_id, positive_score, list_inner_product(p.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS negative_score
+  FROM p JOIN r ON p.label <> r.label)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank, negative_id,
+  positive_score, negative_score FROM n WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score QUALIFY rank <= 10""")
+def op11_gnat_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat_negatives.mine(table(spark, folder, "embeddings"), label=label)
+
+
+@query("op12_pivot_distance", _INTS + """,
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
+def op12_pivot_distance(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_distance.search(table(spark, folder, "embeddings"))
+
+
 _PHRASES = """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
   SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
