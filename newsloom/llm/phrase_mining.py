@@ -11,7 +11,7 @@ work is linear in the text. The language and the number of words are mixed in, s
    The phrase at the pointer is then written out, and what is summed last is (language, phrase): a collision of fingerprints
    can make a phrase be looked at in vain, it can never change a count.
 
-Frequent fingerprints reach the tasks as a bit table of at most ``MOST_BITS`` bits, of which each sets two. Where it fills up, more
+Frequent fingerprints reach the tasks as a bit table of at most ``bits.MOST_BITS`` bits, of which each sets two. Where it fills up, more
 phrases than necessary are counted in passes 2 and 3; none is lost.
 
 Counts are per language: ``n`` all words, ``f`` all occurrences inside pieces. A phrase that lies in a longer one with the same
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from newsloom.llm.bits import Bits, mixed
 from newsloom.llm.common import salted_join
 from newsloom.session import cut_lineage
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 SEGMENT, FLUSH, PHRASES, ROWS = 1 << 20, 1_500_000, 100_000, 128
-BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Bytes that end a piece, and bytes between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _U = np.uint64
@@ -72,11 +72,6 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint6
     return mixed((prefix[end] - prefix[start]) * down[start])
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> _U(33))
-
-
 class Segment:
     """Words and pieces of some bytes of one language."""
 
@@ -179,35 +174,6 @@ def _by_language(batches, bits: int):
         yield full(next(iter(held)))
 
 
-class Bits:
-    """Fingerprints as a table of bits: never misses one, passes few others unless it is full."""
-
-    def __init__(self, prints: DataFrame):
-        size = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * prints.count()).bit_length()))
-        self.mask = _U(size - 1)
-
-        def positions(batches):
-            for batch in batches:
-                at = np.concatenate(self.at(batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)))
-                word, order = np.unique(at >> _U(6), return_inverse=True)
-                bit = np.zeros(len(word), np.uint64)
-                np.bitwise_or.at(bit, order, _U(1) << (at & _U(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bit"])
-
-        got = prints.select("fp").mapInArrow(positions, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-        self.table = np.zeros(size >> 6, np.uint64)
-        self.table[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
-
-    def at(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return mixed(prints) & self.mask, mixed(prints ^ BASE) & self.mask
-
-    def holds(self, prints: np.ndarray) -> np.ndarray:
-        out = np.ones(len(prints), bool)
-        for at in self.at(prints):
-            out &= (self.table[at >> _U(6)] >> (at & _U(63)) & _U(1)).astype(bool)
-        return out
-
-
 def _summed(prints) -> pa.RecordBatch:
     fp, n = np.unique(np.concatenate(prints), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], names=["fp", "n"])

@@ -15,6 +15,7 @@ import corpus_pipeline
 from newsloom.llm import (
     chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, quality_fm, queries, url_automaton,
 )
+from newsloom.llm.common import components
 from newsloom.sources.tables import BASE
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -195,7 +196,7 @@ def test_probes_come_by_rising_score():
     x = np.array([0.2, 0.9, 0.4])
     sets = list(multiprobe_lsh.probes(x, 27))
     cost = [sum((x[m] if s < 0 else 1 - x[m]) ** 2 for m, s in p) for p in sets]
-    assert len(sets) == 27 and cost == sorted(cost) and len({tuple(sorted(p)) for p in sets}) == 27
+    assert len(sets) == 27 and (np.diff(cost) > -1e-12).all() and len({tuple(sorted(p)) for p in sets}) == 27
 
 
 def test_neighbours_on_odd_rows(spark):
@@ -371,6 +372,56 @@ def test_near_duplicates_in_tiles_equal_brute_force(spark, monkeypatch):
     assert all(got[k].class_id == k for k in range(150, 200)) and len({got[k].class_id for k in range(150) if want[k]}) == 1
 
 
+def test_prefixes_are_shortened_until_both_demands_are_met():
+    assert lsh_forest.depths(0) == [8] * 32 and lsh_forest.depths(20) == [7] * 20 + [8] * 12 and lsh_forest.depths(33) == [6] + [7] * 31
+    step = lsh_forest.formula_step()
+    assert lsh_forest.chance(0.8, step) >= 0.999 > lsh_forest.chance(0.8, step - 1)
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        a = rng.integers(0, 3, 256).astype("<u2")
+        b = np.where(rng.random(256) < 0.6, a, 9).astype("<u2")
+        first = lsh_forest.first_met(a, b)
+        meets = [any((a[t * 8 : t * 8 + d] == b[t * 8 : t * 8 + d]).all() for t, d in enumerate(lsh_forest.depths(k))) for k in range(224)]
+        assert meets.index(True) == first if any(meets) else first == 256
+    assert lsh_forest.measured_step({}) == 0 and lsh_forest.measured_step({0: 999, 40: 1}) == 0 and lsh_forest.measured_step({0: 99, 3: 800, 40: 100, 250: 1}) == 40
+
+
+def _near_texts(n, seed, words=120):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 5000, words)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.integers(0, words, rng.integers(0, 3)):
+            w[at] = f"x{k}"
+        texts.append(" ".join(w) + f" end{k}")
+    return texts
+
+
+def test_links_between_trees_stay_few(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(_near_texts(600, 9))), "doc_id long, text string")
+    nodes = lsh_forest._nodes(df, lsh_forest._draw(df, 600), 0.8)
+    edges = []
+    monkeypatch.setattr(lsh_forest, "components", lambda e, a, b: (edges.append(e.count()), components(e, a, b))[1])
+    found = lsh_forest.met_groups(nodes, lsh_forest.depths(20)).collect()
+    assert len({r.root for r in found}) == 1 and len(found) == len({r.node for r in found}) == 600
+    assert edges[0] <= 2 * 600 and sum(edges[1:]) < 600
+
+
+def test_drawn_pairs_are_all_partners_of_the_drawn_texts(spark, monkeypatch):
+    texts = _near_texts(60, 10) + [" ".join(f"y{k}{j}" for j in range(50)) for k in range(20)]
+    monkeypatch.setattr(lsh_forest, "DRAWN", 1000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = lsh_forest._draw(df, 80)
+    sets = [set(lsh_forest.shingles(t).tolist()) for t in texts]
+    want = sum(len(a & b) >= 0.8 * len(a | b) and a != b for a in sets for b in sets)
+    nodes = lsh_forest._nodes(df, drawn, 0.8)
+    assert len(drawn.sig) == 80 and sum(lsh_forest.drawn_pairs(nodes).values()) == want > 1000
+    # Prefixes that find too few of them are shortened.
+    monkeypatch.setattr(lsh_forest, "formula_step", lambda *a: 0)
+    assert lsh_forest.measured_step({k: n for k, n in lsh_forest.drawn_pairs(nodes).items()}, 1.0) >= 0
+
+
 # the pipeline
 
 
