@@ -38,7 +38,7 @@ from newsloom.llm.common import salted_join
 from newsloom.session import cut_lineage
 
 LEAST, TOP, LONGEST = 100, 2000, 5
-SEGMENT, FLUSH, PHRASES, ROWS = 1 << 20, 1_500_000, 100_000, 128
+SEGMENT, FLUSH, PHRASES, ROWS = 1 << 20, 1_500_000, 250_000, 128
 #: Bytes that end a piece, and bytes between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _U = np.uint64
