@@ -293,6 +293,37 @@ def test_shards_with_a_hot_text_and_odd_rows(spark, odd, none):
     assert np.mean(kept) > 0.95 and "Python" not in df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("groups, size", [(30, 2), (50, 6), (7, 40), (16, 20), (5, 1)])
+def test_groups_that_fit_a_shard_are_kept_whole(spark, groups, size):
+    rows = [(g * size + k, f"text {g}") for g in range(groups) for k in range(size)]
+    got = _check_shards(label_shards.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")), groups * size)
+    home = {r.doc_id: r.shard for r in got}
+    whole = sum(len({home[g * size + k] for k in range(size)}) == 1 for g in range(groups))
+    total = groups * size
+    room = [total // 16 + (s < total % 16) for s in range(16)]
+    assert whole == min(groups, sum(x // size for x in room))
+
+
+def test_few_links_are_cut_on_mixed_groups(spark):
+    rng = np.random.default_rng(6)
+    rows, k = [], 0
+    for g, n in enumerate([*rng.integers(1, 30, 60).tolist(), 90]):
+        rows += [(k + j, f"text {g}") for j in range(n)]
+        k += n
+    got = {r.doc_id: r.shard for r in _check_shards(label_shards.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")), k)}
+    homes: dict = {}
+    for i, t in rows:
+        homes.setdefault(t, Counter())[got[i]] += 1
+    cut = {t: sum(h.values()) - max(h.values()) for t, h in homes.items()}
+    # Largest first into the emptiest shard, as one machine would do it: no more rows away from their group than a tenth above that.
+    room, lost = [k // 16 + (s < k % 16) for s in range(16)], 0
+    for n in sorted((sum(h.values()) for h in homes.values()), reverse=True):
+        s = max(range(16), key=lambda x: room[x])
+        lost += max(0, n - room[s])
+        room[s] -= min(n, room[s])
+    assert sum(cut.values()) <= lost + k // 10
+
+
 # 9: line labels
 
 
