@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from newsloom.llm.common import as_row, unit_random, with_position, word_count
+from newsloom.llm.common import as_row, salted_join, unit_random, with_position, word_count
 from newsloom.session import cut_afresh, cut_lineage
 
 CAP = 3
@@ -53,21 +53,23 @@ def _digest() -> Column:
     return F.md5(F.concat_ws("|", *part))
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def _by_source(rows: DataFrame, one: DataFrame, how: str = "left") -> DataFrame:
+    """Joins one row per source; a source may hold most rows, so they are dealt by a salt as well."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("none")).alias("_s")
+    return salted_join(rows.select("*", key), one.select(key, *[c for c in one.columns if c != "source"]), ["_s"], F.col("digest"), how).drop("_s")
 
 
 def _walk(rows: DataFrame, gap: DataFrame) -> DataFrame:
     """Flags with ``hit`` the head of each source's ranking whose words fit into ``gap(source, gap)``."""
-    rows = rows.join(gap.withColumnRenamed("source", "_s"), _same("source", "_s"), "left").drop("_s")
+    rows = _by_source(rows, gap)
     fits = (F.col("free")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
     rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
     bins = rows.filter("fits").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     by_bin = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most BINS rows of a source
     ends = bins.withColumn("before", F.coalesce(F.sum("words").over(by_bin), F.lit(0))).filter(
-        F.col("before") + F.col("words") > F.col("gap")).groupBy(F.col("source").alias("_s")).agg(
+        F.col("before") + F.col("words") > F.col("gap")).groupBy("source").agg(
         F.min(F.struct(F.col("bin").alias("last"), "before")).alias("end"))
-    rows = rows.join(cut_lineage(ends), _same("source", "_s"), "left").drop("_s")
+    rows = _by_source(rows, cut_lineage(ends))
     edge = F.coalesce(F.col("fits") & (F.col("bin") == F.col("end.last")), F.lit(False))
     inside = rows.filter(~edge).withColumn("hit", F.col("fits") & (F.col("end").isNull() | (F.col("bin") < F.col("end.last"))))
     upto = W.partitionBy("source").orderBy("rank", "digest").rowsBetween(W.unboundedPreceding, 0)
@@ -87,7 +89,7 @@ def pareto_mix(docs: DataFrame, cap: int = CAP, share: float = 1.0, seed: str =
     rows = rows.withColumn("u", unit_random(F.col("digest"), salt=seed))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("mass"))
     aim = cut_lineage(source_targets(sums, cap, share))
-    rows = rows.join(aim.withColumnRenamed("source", "_s"), _same("source", "_s")).drop("_s")
+    rows = _by_source(rows, aim, "inner")
     mean = F.when(F.col("mass") > 0, F.col("target") * F.col("w") / F.col("mass")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(F.least(mean, F.lit(float(cap)))).cast("long"))
     rows = rows.withColumn("p", F.least(mean, F.lit(float(cap))) - F.col("whole"))
@@ -109,10 +111,18 @@ def pareto_mix(docs: DataFrame, cap: int = CAP, share: float = 1.0, seed: str =
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with the columns they came with.
 
-    Rows equal in id, source and text are numbered, so that n equal rows meet their n numbers and not n * n.
+    Rows equal in id, source and text share what the mix takes of them evenly. They are numbered for that by their place in an
+    order that may cut them anywhere, so no task needs all of them.
     """
-    mix = pareto_mix(docs, **how).select(F.col("digest").alias("_digest"), "copies")
-    mix = mix.withColumn("_k", F.row_number().over(W.partitionBy("_digest").orderBy(F.desc("copies")))).filter("copies > 0")
-    rows = docs.select(as_row(docs), _digest().alias("_digest"))
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_digest").orderBy(F.lit(1))))
-    return rows.join(mix, ["_digest", "_k"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    mix = pareto_mix(docs, **how).groupBy(F.col("digest").alias("_digest")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_n"))
+    mix = cut_lineage(mix)
+    rows = docs.select(as_row(docs), _digest().alias("_digest")).join(mix.filter("_all > 0"), "_digest")
+    if mix.filter("_n > 1").isEmpty():
+        copies = F.col("_all")
+    else:
+        at = with_position(rows.withColumn("_row", F.monotonically_increasing_id()), [F.asc("_digest"), F.asc("_row")], "_place")
+        first = at.filter("_n > 1").groupBy("_digest").agg(F.min("_place").alias("_first"))
+        rows = at.join(first, "_digest", "left")
+        copies = F.expr("_all div _n") + F.coalesce(F.col("_place") - F.col("_first") < F.expr("_all % _n"), F.lit(False)).cast("int")
+    taken = rows.select("row", copies.cast("int").alias("_copies")).filter("_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
