@@ -31,7 +31,7 @@ def main() -> None:
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    for warm in ("stage_status", "title_ratio"):  # JVM, parquet reader and Python workers; not timed
+    for warm in ("stage_status", "page_blocks"):  # JVM, parquet reader and Python workers; not timed
         registry.QUERIES[warm](spark, folder).write.format("noop").mode("overwrite").save()
     took: dict[str, float] = {}
     for n in names:

@@ -38,19 +38,15 @@ def related_counts(events: DataFrame, links: DataFrame, as_of: Column, max_dist:
     """
     recent = events.filter(F.col("last_seen_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS")).select("event_id", "embedding")
     reps = recent.groupBy("embedding").agg(F.min("event_id").alias("rep"), F.count("*").alias("copies"))
-    member = recent.join(reps, "embedding").select("event_id", "rep", "copies")
-    pairs = vectors.similar_pairs(reps, "rep", "embedding", [], 1.0 - max_dist)
-    both = graph.both_ways(pairs)
-    around = both.join(reps.select(F.col("rep").alias("dst"), "copies"), "dst").groupBy(F.col("src").alias("rep")).agg(
-        F.sum("copies").alias("near"))
-    one = links.select("article_id", "event_id").join(member.select("event_id", "rep"), "event_id")
-    other = one.select("article_id", F.col("event_id").alias("other"), F.col("rep").alias("other_rep"))
-    together = one.join(other, "article_id").filter("event_id <> other").select("event_id", "other", "rep", "other_rep").distinct()
-    alike = together.filter("rep = other_rep").select("event_id").unionByName(
-        together.join(both.select(F.col("src").alias("rep"), F.col("dst").alias("other_rep")), ["rep", "other_rep"], "left_semi").select("event_id"))
-    shared = alike.groupBy("event_id").agg(F.count("*").alias("joint"))
+    member = recent.join(reps, "embedding").select("event_id", "rep", "copies", "embedding")
+    around = vectors.similar_counts(reps, "rep", "embedding", "copies", 1.0 - max_dist).withColumnRenamed("id", "rep")
+    one = links.select("article_id", "event_id").join(member.select("event_id", "rep", "embedding"), "event_id")
+    other = one.select("article_id", F.col("event_id").alias("other"), F.col("rep").alias("other_rep"), F.col("embedding").alias("other_v"))
+    together = one.join(other, "article_id").filter("event_id <> other")
+    alike = (F.col("rep") == F.col("other_rep")) | (F.round(vectors.cosine("embedding", "other_v"), 6) >= 1.0 - max_dist)
+    shared = together.filter(alike).select("event_id", "other").distinct().groupBy("event_id").agg(F.count("*").alias("joint"))
     n = F.coalesce("near", F.lit(0)) + F.col("copies") - 1 - F.coalesce("joint", F.lit(0))
-    return member.join(around, "rep", "left").join(shared, "event_id", "left").select("event_id", n.alias("related"))
+    return member.drop("embedding").join(around, "rep", "left").join(shared, "event_id", "left").select("event_id", n.alias("related"))
 
 
 def event_groups(links: DataFrame) -> DataFrame:
@@ -116,13 +112,13 @@ def resolve_events(incoming: DataFrame, base: DataFrame, entities: DataFrame, ma
     step = incoming.join(hashes, "event_hash", "left")
     open_ = step.filter("by_hash IS NULL")
     ent = entities.select("event_id", "entity_id")
-    left = open_.select("event_id", "embedding").join(ent, "event_id")
-    right = base.select("event_id", "embedding").join(ent, "event_id")
-    near = vectors.similar_between(left, right, "event_id", "embedding", ["entity_id"], 1.0 - max_dist).select("a", "b", "similarity").distinct()
-    seen_a = open_.select(F.col("event_id").alias("a"), F.col("last_seen_at").alias("at_a"))
-    seen_b = base.select(F.col("event_id").alias("b"), F.col("last_seen_at").alias("at_b"))
-    near = near.join(seen_a, "a").join(seen_b, "b").filter(F.col("at_b") >= F.col("at_a") - F.expr(f"INTERVAL {hours} HOURS"))
-    best = near.groupBy(F.col("a").alias("event_id")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("by_vector"))
+    seen = F.unix_micros("last_seen_at")
+    left = open_.select("event_id", "embedding", (seen - hours * 3_600_000_000).alias("since"))
+    # What was last seen before the window of every newcomer is not looked at.
+    begin = left.agg(F.coalesce(F.min("since"), F.lit((1 << 63) - 1))).scalar()
+    right = base.select("event_id", "embedding", seen.alias("since")).filter(F.col("since") >= begin)
+    near = vectors.nearest_between(left.join(ent, "event_id"), right.join(ent, "event_id"), "event_id", "embedding", ["entity_id"], 1.0 - max_dist, since="since")
+    best = near.select(F.col("a").alias("event_id"), F.col("b").alias("by_vector"))
     fresh = open_.select("event_id", "embedding").join(best, "event_id", "left_anti")
     pairs = event_pairs(fresh, ent.join(fresh, "event_id", "left_semi"), max_dist)
     comp = graph.components(pairs).withColumnRenamed("id", "event_id").withColumnRenamed("component", "by_batch")
@@ -142,9 +138,8 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     known = aliases.groupBy(F.col("alias").alias("canonical_name")).agg(F.min("entity_id").alias("by_alias"))
     step = m.join(names, "canonical_name", "left").join(known, "canonical_name", "left")
     open_ = step.filter("by_name IS NULL AND by_alias IS NULL").select(F.col("mention_id").alias("i"), "type", "embedding")
-    near = vectors.similar_between(open_, entities.select(F.col("entity_id").alias("i"), "type", "embedding"), "i", "embedding",
-                                   ["type"], 1.0 - max_dist)
-    best = near.groupBy(F.col("a").alias("mention_id")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("by_vector"))
+    near = vectors.nearest_between(open_, entities.select(F.col("entity_id").alias("i"), "type", "embedding"), "i", "embedding", ["type"], 1.0 - max_dist)
+    best = near.select(F.col("a").alias("mention_id"), F.col("b").alias("by_vector"))
     step = step.join(best, "mention_id", "left")
     unknown = step.filter("by_name IS NULL AND by_alias IS NULL AND by_vector IS NULL")
     new = unknown.groupBy("canonical_name").agg(F.min("mention_id").alias("by_new"))

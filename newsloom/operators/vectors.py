@@ -1,21 +1,33 @@
-"""Exact cosine search over arrays: matrix products on bounded tiles that Spark shuffles and schedules.
+"""Exact cosine search over arrays with a metric pivot index: tiles that can hold a pair above the threshold meet, others do not.
 
-A block (shared entity, type, or the whole table) of n vectors is cut into ceil(n / tile) random tiles and
-every pair of tiles is one task group of at most about two tiles of rows, however large the block is. Only
-pairs that pass the threshold leave a task.
+A block (shared entity, type, or the whole table) that fits one tile is one matrix product. Larger blocks are cut by their rows'
+nearest pivot, and by a hash inside a pivot, into tiles of about ``tile`` rows. Every tile knows the range of the angles
+between its rows and every pivot; by the triangle inequality, two tiles whose ranges lie farther apart at any pivot than the
+threshold's angle have no pair above it, and their rows are not shuffled to each other. Pivots come from a sample of
+bounded size; they decide how much is left out, never what is found.
+
+What leaves a task is what the question needs: pairs above the threshold, the k best per row, or counts per row.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators.ranking import top_k
+from newsloom.session import cut_lineage
 
 TILE = 2048
+#: Rows of the sample that pivots are chosen from, and pivots at most.
+SAMPLE, PIVOTS = 4096, 32
+ROUNDING = 1e-6
 
 
 def dot(a, b) -> Column:
@@ -38,108 +50,182 @@ def as_arrays(long: DataFrame, key: str) -> DataFrame:
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("centroid"))
 
 
-def _tiled(df: DataFrame, id_col: str, block: list[str], tile: int) -> DataFrame:
-    """Adds ``tiles`` (how many the row's block has) and ``tile``."""
-    size = df.groupBy(*block).agg(F.count("*").alias("_n")) if block else df.agg(F.count("*").alias("_n"))
-    if block:
-        rows = df.join(size, block)
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.full_like(v, np.nan), where=n > 0)
+
+
+def choose_pivots(v: np.ndarray, n: int) -> np.ndarray:
+    """Rows far from each other, one after the other the farthest from those before it."""
+    chosen = [0]
+    near = v @ v[0]
+    while len(chosen) < n and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, v @ v[chosen[-1]])
+    return v[chosen]
+
+
+def _pivots(rows: DataFrame, total: int, n: int) -> np.ndarray:
+    share = F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, total))))
+    got = rows.filter(F.pmod(F.xxhash64("i", F.lit(19)), F.lit(1 << 30)) < share).select("i", "v").orderBy("i", "v").toArrow()
+    v = np.array(got["v"].to_pylist(), np.float64).reshape(len(got), -1)
+    v = _unit(v)
+    v = v[~np.isnan(v).any(axis=1)] if len(v) else v
+    return choose_pivots(v, n) if len(v) else np.zeros((0, 0))
+
+
+def _in_tiles(rows: DataFrame, block: list[str], tile: int) -> tuple[DataFrame, int]:
+    """Rows with their tile ``t``, written out; and the number of pivots, 0 where every block is one tile."""
+    rows = cut_lineage(rows.filter(F.col("v").isNotNull()))
+    sizes = rows.groupBy(*block).count().agg(F.max("count"), F.sum("count")).first()
+    largest, total = sizes[0] or 0, sizes[1] or 0
+    if largest <= tile:
+        return rows.withColumn("t", F.lit(0).cast("long")), 0
+    pivots = _pivots(rows, total, min(PIVOTS, max(2, math.ceil(largest / tile))))
+    if not len(pivots):
+        return rows.filter("false").withColumn("t", F.lit(0).cast("long")), 0
+
+    def place(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                v = _unit(np.array(part["v"].to_pylist(), np.float64).reshape(part.num_rows, -1))
+                ok = ~np.isnan(v).any(axis=1)  # without a length there is no similarity
+                angle = np.arccos(np.clip(v[ok] @ pivots.T, -1, 1))
+                home = pa.array(angle.argmin(axis=1), pa.int32())
+                lists = pa.ListArray.from_arrays(np.arange(0, angle.size + 1, len(pivots), dtype=np.int32), pa.array(angle.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.filter(pa.array(ok)).columns, home, lists], names=[*part.schema.names, "pivot", "angles"])
+
+    schema = T.StructType([*rows.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angles", T.ArrayType(T.DoubleType()))])
+    placed = cut_lineage(rows.mapInArrow(place, schema))
+    parts = placed.groupBy(*block, "pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("i", F.lit(23)), F.lit(16)).cast("int")
+    copies = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    placed = placed.withColumn("_salt", salt).join(copies, [*block, "pivot", "_salt"]).drop("_salt")
+    t = F.shiftleft(F.col("pivot").cast("long"), 32) + F.pmod(F.xxhash64("i", F.lit(17)), F.col("parts"))
+    return cut_lineage(placed.withColumn("t", t).drop("parts", "pivot")), len(pivots)
+
+
+def meetings(placed: DataFrame, block: list[str], n_pivots: int, min_sim: float, two_sided: bool) -> DataFrame:
+    """``(block..., lo, hi)``: pairs of tiles whose rows can be as similar as ``min_sim``, from one row per tile."""
+    far = math.acos(max(-1.0, min_sim - ROUNDING)) + ROUNDING
+    ranges = [f(F.col("angles")[k]).alias(f"{n}{k}") for k in range(n_pivots) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    tiles = placed.groupBy(*block, "side", "t").agg(*ranges)
+    tiles = cut_lineage(tiles.select(*block, "side", "t", F.array(*[f"lo{k}" for k in range(n_pivots)]).alias("least"),
+                                     F.array(*[f"hi{k}" for k in range(n_pivots)]).alias("most")).withColumn("_one", F.lit(1)))
+    a = tiles.filter("side = 0").select(*block, "_one", F.col("t").alias("lo"), F.col("least").alias("a0"), F.col("most").alias("a1"))
+    b = tiles.filter(f"side = {int(two_sided)}").select(*block, "_one", F.col("t").alias("hi"), F.col("least").alias("b0"), F.col("most").alias("b1"))
+    pairs = a.join(b, [*block, "_one"])
+    if not two_sided:
+        pairs = pairs.filter("lo <= hi")
+    gap = F.array_max(F.concat(F.zip_with("a0", "b1", lambda x, y: x - y), F.zip_with("b0", "a1", lambda x, y: x - y)))
+    return pairs.filter(gap <= far).select(*block, "lo", "hi")
+
+
+def _products(rows: DataFrame, block: list[str], min_sim: float, tile: int, two_sided: bool, emit: Callable, schema: str) -> DataFrame:
+    """Runs ``emit(x, y, sim, same)`` on every meeting of tiles; x and y are frames of rows, and ``same`` says that they are one tile.
+
+    ``rows(block..., side, i, v, ...)``. Returns the block's columns and ``schema``.
+    """
+    placed, n = _in_tiles(rows, block, tile)
+    extra = [c for c in rows.columns if c not in (*block, "side", "i", "v")]
+    if n:
+        pairs = cut_lineage(meetings(placed, block, n, min_sim, two_sided))
+        first = placed.filter("side = 0").withColumnRenamed("t", "lo").join(pairs, [*block, "lo"])
+        other = placed.filter(f"side = {int(two_sided)}").withColumnRenamed("t", "hi").join(pairs if two_sided else pairs.filter("lo <> hi"), [*block, "hi"])
+        columns = [*block, "lo", "hi", "role", "i", "v", *extra]
+        spread = first.withColumn("role", F.lit(0)).select(*columns).unionByName(other.withColumn("role", F.lit(1)).select(*columns))
     else:
-        rows = df.withColumn("_n", size.scalar())
-    rows = rows.withColumn("tiles", F.ceil(F.col("_n") / tile).cast("int")).drop("_n")
-    return rows.withColumn("tile", F.pmod(F.xxhash64(id_col, F.lit(17)), F.col("tiles")).cast("int"))
+        spread = placed.withColumnRenamed("side", "role").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).drop("t")
+    out = T.StructType([*[rows.schema[k] for k in block], *T.StructType.fromDDL(schema)])
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        same = not two_sided and pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        y = x if same else y
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in out.names})
+        u = _unit(np.stack(x["v"].to_numpy()).astype(np.float64))
+        w = u if same else _unit(np.stack(y["v"].to_numpy()).astype(np.float64))
+        found = emit(x, y, np.round(u @ w.T, 6), same)
+        for k in block:
+            found[k] = pdf[k].iat[0]
+        return found
 
+    return spread.groupBy(*block, "lo", "hi").applyInPandas(product, out)
 
-def _unit(pdf: pd.DataFrame) -> np.ndarray:
-    m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+
+def _rows(df: DataFrame, id_col: str, vec: str, block: list[str], side: int = 0, **extra: str) -> DataFrame:
+    return df.select(*block, F.lit(side).alias("side"), F.col(id_col).cast("long").alias("i"), F.col(vec).alias("v"), *[F.col(c).alias(n) for n, c in extra.items()])
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec: str, block: list[str], min_sim: float, tile: int = TILE) -> DataFrame:
     """``(block..., a, b, similarity)`` with a < b and rounded similarity at or above ``min_sim``."""
-    rows = _tiled(df.select(*block, F.col(id_col).alias("i"), F.col(vec).alias("v")), "i", block, tile)
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(
-        F.least(k, F.col("tile")).alias("lo"), F.greatest(k, F.col("tile")).alias("hi"))))
-    spread = rows.withColumn("m", meet).select(*block, "m.lo", "m.hi", "tile", "i", "v")
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        left, right = pdf[pdf["tile"] == lo], pdf[pdf["tile"] == hi]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in [*block, "a", "b", "similarity"]})
-        sim = np.round(_unit(left) @ _unit(right).T, 6)
+    def pairs(x, y, sim, same):
         r, c = np.nonzero(sim >= min_sim)
-        x, y, s = left["i"].to_numpy()[r], right["i"].to_numpy()[c], sim[r, c]
-        ok = x < y if lo == hi else x != y
-        out = pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok], "similarity": s[ok]})
-        for k in block:
-            out[k] = pdf[k].iat[0]
-        return out
+        a, b = x["i"].to_numpy()[r], y["i"].to_numpy()[c]
+        ok = a < b if same else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": sim[r, c][ok]})
 
-    schema = T.StructType([*[df.schema[k] for k in block], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                           T.StructField("similarity", T.DoubleType())])
-    return spread.groupBy(*block, "lo", "hi").applyInPandas(product, schema)
+    return _products(_rows(df, id_col, vec, block), block, min_sim, tile, False, pairs, "a long, b long, similarity double")
 
 
-def similar_between(left: DataFrame, right: DataFrame, id_col: str, vec: str, block: list[str], min_sim: float,
-                    tile: int = TILE) -> DataFrame:
-    """``(block..., a, b, similarity)`` with a from ``left`` and b from ``right``."""
+def _best(ids: np.ndarray, others: np.ndarray, sim: np.ndarray, may: np.ndarray, k: int) -> pd.DataFrame:
+    r, c = np.nonzero(may)
+    out = pd.DataFrame({"id": ids[r], "neighbour": others[c], "similarity": sim[r, c]})
+    return out.sort_values(["id", "similarity", "neighbour"], ascending=[True, False, True]).groupby("id").head(k)
 
-    def side(df: DataFrame) -> DataFrame:
-        return _tiled(df.select(*block, F.col(id_col).alias("i"), F.col(vec).alias("v")), "i", block, tile)
 
-    ls, rs = side(left), side(right)
-    if block:
-        lt = ls.groupBy(*block).agg(F.max("tiles").alias("ot"))
-        rt = rs.groupBy(*block).agg(F.max("tiles").alias("ot"))
-        ls, rs = ls.join(rt, block), rs.join(lt, block)
-    else:
-        ls, rs = ls.withColumn("ot", rs.agg(F.max("tiles")).scalar()), rs.withColumn("ot", ls.agg(F.max("tiles")).scalar())
-    others = F.explode(F.sequence(F.lit(0), F.col("ot") - 1))
-    both = ls.select(*block, F.lit(0).alias("side"), F.col("tile").alias("lo"), others.alias("hi"), "i", "v").unionByName(
-        rs.select(*block, F.lit(1).alias("side"), others.alias("lo"), F.col("tile").alias("hi"), "i", "v"))
+def nearest(df: DataFrame, id_col: str, vec: str, k: int = 5, min_sim: float = 0.22, block: tuple = (), earlier: bool = False, tile: int = TILE) -> DataFrame:
+    """``(block..., id, neighbour, similarity, position)``: the k most similar other rows of every row, or of those with smaller ids.
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if x.empty or y.empty:
-            return pd.DataFrame({c: [] for c in [*block, "a", "b", "similarity"]})
-        sim = np.round(_unit(x) @ _unit(y).T, 6)
-        r, c = np.nonzero(sim >= min_sim)
-        out = pd.DataFrame({"a": x["i"].to_numpy()[r], "b": y["i"].to_numpy()[c], "similarity": sim[r, c]})
-        for k in block:
-            out[k] = pdf[k].iat[0]
-        return out
+    A meeting of tiles keeps its own k best per row, so what is shuffled for the final cut is k rows per row
+    and meeting, never all pairs.
+    """
 
-    schema = T.StructType([*[left.schema[k] for k in block], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                           T.StructField("similarity", T.DoubleType())])
-    return both.groupBy(*block, "lo", "hi").applyInPandas(product, schema)
+    def best(x, y, sim, same):
+        a, b = x["i"].to_numpy(), y["i"].to_numpy()
+        near = sim >= min_sim
+        one = _best(a, b, sim, near & (b[None] < a[:, None] if earlier else b[None] != a[:, None]), k)
+        if same:
+            return one
+        return pd.concat([one, _best(b, a, sim.T, near.T & (a[None] < b[:, None] if earlier else a[None] != b[:, None]), k)])
+
+    cand = _products(_rows(df, id_col, vec, list(block)), list(block), min_sim, tile, False, best, "id long, neighbour long, similarity double")
+    return top_k(cand, [*block, "id"], [F.desc("similarity"), F.asc("neighbour")], k, rank="position")
 
 
-def nearest(df: DataFrame, id_col: str, vec: str, k: int = 5, min_sim: float = 0.22, tile: int = TILE) -> DataFrame:
-    """``(id, neighbour, similarity, position)``: the k most similar other rows of every row.
+def nearest_between(left: DataFrame, right: DataFrame, id_col: str, vec: str, block: list[str], min_sim: float, k: int = 1, since: str | None = None,
+                    tile: int = TILE) -> DataFrame:
+    """``(a, b, similarity)``: for every row a of ``left`` its k most similar rows b of ``right`` in any of its blocks.
 
-    Each pair of tiles keeps its own k best per row, so what is shuffled for the final cut is k rows per row
-    and tile, never all pairs.
+    ``since`` names a number on both sides; a row of the right with a smaller one than the left's does not count.
     """
-    rows = _tiled(df.select(F.col(id_col).alias("i"), F.col(vec).alias("v")), "i", [], tile)
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
-        F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi"))))
-    spread = rows.withColumn("m", meet).select("m.lo", "m.hi", "tile", "i", "v")
+    extra = {"since": since} if since else {}
+    rows = _rows(left, id_col, vec, block, 0, **extra).unionByName(_rows(right, id_col, vec, block, 1, **extra))
 
-    def best(ids: np.ndarray, others: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
-        r, c = np.nonzero((sim >= min_sim) & (ids[:, None] != others[None, :]))
-        out = pd.DataFrame({"id": ids[r], "neighbour": others[c], "similarity": sim[r, c]})
-        out = out.sort_values(["id", "similarity", "neighbour"], ascending=[True, False, True])
-        return out.groupby("id").head(k)
+    def best(x, y, sim, same):
+        may = sim >= min_sim
+        if since:
+            may &= y["since"].to_numpy()[None] >= x["since"].to_numpy()[:, None]
+        return _best(x["i"].to_numpy(), y["i"].to_numpy(), sim, may, k)
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        x, y = pdf[pdf["tile"] == lo], pdf[pdf["tile"] == hi]
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        sim = np.round(_unit(x) @ _unit(y).T, 6)
-        a, b = x["i"].to_numpy(), y["i"].to_numpy()
-        return best(a, b, sim) if lo == hi else pd.concat([best(a, b, sim), best(b, a, sim.T)])
+    found = _products(rows, block, min_sim, tile, True, best, "id long, neighbour long, similarity double")
+    once = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    return top_k(once, ["id"], [F.desc("similarity"), F.asc("neighbour")], k).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "similarity")
+
+
+def similar_counts(df: DataFrame, id_col: str, vec: str, weight: str, min_sim: float, tile: int = TILE) -> DataFrame:
+    """``(id, near)``: the summed weight of all other rows at or above ``min_sim``; one row per row and meeting leaves a task."""
+
+    def count(x, y, sim, same):
+        near = sim >= min_sim
+        if same:
+            np.fill_diagonal(near, False)
+        one = pd.DataFrame({"id": x["i"].to_numpy(), "near": near @ y["weight"].to_numpy().astype(np.int64)})
+        if not same:
+            one = pd.concat([one, pd.DataFrame({"id": y["i"].to_numpy(), "near": near.T @ x["weight"].to_numpy().astype(np.int64)})])
+        return one[one["near"] > 0]
 
-    cand = spread.groupBy("lo", "hi").applyInPandas(product, "id long, neighbour long, similarity double")
-    return top_k(cand, ["id"], [F.desc("similarity"), F.asc("neighbour")], k, rank="position")
+    return _products(_rows(df, id_col, vec, [], weight=weight), [], min_sim, tile, False, count, "id long, near long").groupBy("id").agg(F.sum("near").alias("near"))

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.functions import text
 from newsloom.operators import events, graph, vectors
@@ -57,9 +53,8 @@ SELECT b.event_id AS entity, a.event_id AS nearest_earlier, {COS} AS similarity
 WHERE {COS} >= 25e-2 QUALIFY row_number() OVER (PARTITION BY b.event_id ORDER BY {COS} DESC, a.event_id) = 1""")
 def _(t):
     typed = t.evt.select("event_id", "embedding", (F.col("entity_id") % 4).alias("type"))
-    pairs = vectors.similar_pairs(typed, "event_id", "embedding", ["type"], 1 - DIST)
-    return top_k(pairs, ["b"], [F.desc("similarity"), F.asc("a")], 1).select(
-        F.col("b").alias("entity"), F.col("a").alias("nearest_earlier"), "similarity")
+    near = vectors.nearest(typed, "event_id", "embedding", k=1, min_sim=1 - DIST, block=("type",), earlier=True)
+    return near.select(F.col("id").alias("entity"), F.col("neighbour").alias("nearest_earlier"), "similarity")
 
 
 RELATED = f"""recent AS (SELECT * FROM evt WHERE age_h <= 48), together AS (SELECT DISTINCT x.event_id AS e, y.event_id AS o FROM art_evt x JOIN art_evt y USING (article_id) WHERE x.event_id <> y.event_id),
@@ -285,15 +280,3 @@ def _(t):
     hit = t.arrivals.select("article_id", F.date_format("published_at", "yyyy-MM-dd").alias("day")).join(t.art_evt, "article_id").join(t.evt_entity, "event_id")
     n = hit.groupBy("day", "entity_id").agg(F.countDistinct("article_id").alias("articles"))
     return top_k(n, ["day"], [F.desc("articles"), F.asc("entity_id")], 20, rank="position").withColumn("position", F.col("position").cast("long"))
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two strings (no built-in equals it)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-
-@query("title_ratio")
-def _(t):
-    a = F.lower(F.split_part("description", F.lit("."), F.lit(1)))
-    return t.art.select("article_id", F.round(sequence_ratio(F.lower("title"), a), 6).alias("ratio"))

@@ -81,14 +81,6 @@ def _(t):
     return r.select("article_id", F.coalesce(replies.event_error(F.col("r.events")), F.lit("ok")).alias("verdict"))
 
 
-@query("event_near_dups")
-def _(t):
-    i = F.col("article_id")
-    r = _article(t).select("article_id", replies.parse(_events_json(i), "events " + replies.EVENT.simpleString()).alias("r"))
-    ok = r.filter(replies.event_error(F.col("r.events")).isNull())
-    return ok.select("article_id", replies.near_duplicate_events(F.col("r.events")).alias("same_occurrence"))
-
-
 _BULLETS = f"list_transform({LINES}, lambda x, i: concat(CASE (i-1)%6 WHEN 0 THEN '[FACT] ' WHEN 1 THEN '[STAT] ' WHEN 2 THEN '[QUOTE] ' WHEN 3 THEN '[OPINION] ' WHEN 4 THEN '[CONTEXT] ' ELSE CASE WHEN article_id%7 = 0 THEN '' ELSE '[FACT] ' END END, x))"
 
 

@@ -5,6 +5,7 @@ import re
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import replies, scoring, text, url
@@ -104,10 +105,60 @@ def test_similar_pairs_are_exact_across_tiles(spark):
         best = sorted((-round(float(u[i] @ u[j]), 6), j) for j in range(60) if j != i)[:3]
         assert [r["neighbour"] for r in sorted((r for r in near if r["id"] == i), key=lambda r: r["position"])] == [j for _, j in best]
     left, right = df.filter("id < 25"), df.filter("id >= 25")
-    got = {(r["a"], r["b"]) for r in vectors.similar_between(left, right, "id", "v", ["g"], 0.5, tile=7).collect()}
+    got = {(r["a"], r["b"]) for r in vectors.nearest_between(left, right, "id", "v", ["g"], 0.5, k=99, tile=7).collect()}
     assert got == {(i, j) for i, j in want if i < 25 <= j}
 
 
+def _clustered(n, dims, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dims))
+    m = centres[rng.integers(0, 6, n)] + 0.05 * rng.normal(size=(n, dims))
+    m[:5] = 0  # without a length
+    return m
+
+
+@pytest.mark.parametrize("tile", [10, 2048])
+def test_vector_questions_equal_brute_force(spark, tile):
+    n, least = 120, 0.9
+    m = _clustered(n, 5, 6)
+    rows = [(i, i % 3, 1 + i % 4, i * 7 % 50, [float(x) for x in m[i]]) for i in range(n)] + [(n, 0, 1, 0, None)]
+    df = spark.createDataFrame(rows, "id long, g int, w int, t int, v array<double>")
+    u = m / np.where((norm := np.linalg.norm(m, axis=1, keepdims=True)) > 0, norm, np.nan)
+    sim = np.round(u @ u.T, 6)
+    ok = lambda i, j: i != j and sim[i, j] >= least
+    counts = {r["id"]: r["near"] for r in vectors.similar_counts(df, "id", "v", "w", least, tile=tile).collect()}
+    assert counts == {i: w for i in range(n) if (w := sum(1 + j % 4 for j in range(n) if ok(i, j)))}
+    got = {r["id"]: r["neighbour"] for r in vectors.nearest(df, "id", "v", k=1, min_sim=least, block=("g",), earlier=True, tile=tile).collect()}
+    best = {i: min(c)[1] for i in range(n) if (c := [(-sim[i, j], j) for j in range(i) if ok(i, j) and i % 3 == j % 3])}
+    assert got == best
+    left, right = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    found = {r["a"]: r["b"] for r in vectors.nearest_between(left, right, "id", "v", ["g"], least, since="t", tile=tile).collect()}
+    assert found == {i: min(c)[1] for i in range(0, n, 2) if (c := [(-sim[i, j], j) for j in range(1, n, 2) if ok(i, j) and i % 3 == j % 3 and j * 7 % 50 >= i * 7 % 50])}
+
+
+def test_tiles_out_of_reach_are_never_shuffled(spark, monkeypatch):
+    m = _clustered(600, 8, 7)
+    df = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(600)], "id long, v array<double>")
+    seen = {}
+
+    def met(placed, *rest):
+        seen["tiles"] = placed.select("t").distinct().count()
+        seen["pairs"] = (pairs := meetings(placed, *rest)).count()
+        return pairs
+
+    meetings = vectors.meetings
+    monkeypatch.setattr(vectors, "meetings", met)
+    got = vectors.similar_pairs(df, "id", "v", [], 0.95, tile=20)
+    u = m[5:] / np.linalg.norm(m[5:], axis=1, keepdims=True)
+    sim = np.triu(np.round(u @ u.T, 6) >= 0.95, 1)
+    assert got.count() == int(sim.sum()) > 1000
+    every = seen["tiles"] * (seen["tiles"] + 1) // 2
+    assert seen["tiles"] > 20 and seen["pairs"] < 0.35 * every
+    # A row is sent once per meeting of its tile, and to no other.
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_similar_coverage_prefix_filter_is_exact(spark):
     rnd = random.Random(6)
     words = [f"term{i}" for i in range(25)]
