@@ -62,56 +62,75 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "section", "article", "footer", "header", "nav", "figure"}
 
 
+HOLDS_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class _Walker(HTMLParser):
-    """Rows (kind, id, ids, tags, marks, text, src, width, height) of one page, in document order; a mark is class, tab, id."""
+    """Rows of one page in document order, as a tree of intervals: the nodes below an element are those from ``seq`` to ``last``.
+
+    ``prose`` is the innermost heading or paragraph around a node. Rows are lists, as an element's end is known when it closes.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows, self.stack, self.next_id = [], [], 0
+        self.rows, self.stack = [], []
 
-    def _row(self, kind: str, extra: tuple | None, body: str = "", src: str = "", width: int = 0, height: int = 0) -> None:
-        path = self.stack + ([extra] if extra else [])
-        self.rows.append((kind, [x[0] for x in path], [x[1] for x in path], [x[2] for x in path], body, src, width, height))
+    def _row(self, kind: str, tag: str = "", names: tuple = ("", ""), body: str = "", src: str = "", width: int = 0, height: int = 0) -> list:
+        seq = len(self.rows)
+        prose = next((x for x in reversed(self.stack) if x[4] in HOLDS_PROSE), None)
+        row = [seq, seq, self.stack[-1][0] if self.stack else None, kind, tag, *names, prose and prose[0], prose and prose[4], body, src, width, height]
+        self.rows.append(row)
+        return row
+
+    def _close(self, at: int) -> None:
+        for x in self.stack[at:]:
+            x[1] = len(self.rows) - 1
+        del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in CLOSES_P and any(x[1] == "p" for x in self.stack):
+        if tag in CLOSES_P and any(x[4] == "p" for x in self.stack):
             self.handle_endtag("p")
-        node = (self.next_id, tag, "\t".join(" ".join((a.get(k) or "").split()) for k in ("class", "id")))
-        self.next_id += 1
 
         def size(k: str) -> int:
             v = a.get(k) or ""
-            return int(v) if v.isdigit() else 0
+            return int(v) if v.isdigit() and len(v) < 9 else 0
 
-        self._row("element", node, a.get("alt") or "", a.get("src") or a.get("data-src") or "", size("width"), size("height"))
+        names = [" ".join((a.get(k) or "").split()) for k in ("class", "id")]
+        row = self._row("element", tag, names, a.get("alt") or "", a.get("src") or a.get("data-src") or "", size("width"), size("height"))
         if tag not in VOID:
-            self.stack.append(node)
+            self.stack.append(row)
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][1] == tag:
-                del self.stack[i:]
-                return
+            if self.stack[i][4] == tag:
+                return self._close(i)
 
     def handle_data(self, data):
         if data.strip():
-            self._row("text", None, data)
+            self._row("text", body=data)
 
     def handle_comment(self, data):
-        self._row("comment", None)
+        self._row("comment")
+
+    def close(self):
+        super().close()
+        self._close(0)
 
 
 #: Nodes that leave the walker together, so that a batch of pages is never held as one table.
 NODES_AT_ONCE = 20_000
-NODE_SCHEMA = ("page_id long, seq int, kind string, ids array<int>, tags array<string>, marks array<string>, body string, "
-               "src string, width int, height int")
+NODE_SCHEMA = ("page_id long, seq int, last int, parent int, kind string, tag string, class string, name string, prose int, prose_tag string, "
+               "body string, src string, width int, height int")
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row per element, text node and comment of ``pages(page_id, html)``, each with the path that leads to it."""
+    """One row per element, text node and comment of ``pages(page_id, html)``, numbered in document order."""
+    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
-    names = ["page_id", "seq", "kind", "ids", "tags", "marks", "body", "src", "width", "height"]
+    def frame(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"parent": "Int32", "prose": "Int32"})
 
     def walk(batches):
         for pdf in batches:
@@ -120,10 +139,11 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                 w = _Walker()
                 w.feed(source or "")
                 w.close()
-                out.extend((page_id, i, *r) for i, r in enumerate(w.rows))
+                out.extend((page_id, *r) for r in w.rows)
                 if len(out) >= NODES_AT_ONCE:
-                    yield pd.DataFrame(out, columns=names)
+                    yield frame(out)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield frame(out)
 
     return pages.select("page_id", "html").mapInPandas(walk, NODE_SCHEMA)

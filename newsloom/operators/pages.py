@@ -20,6 +20,7 @@ AGAINST = (
 )
 NEVER = "instapaper_ignore|skip-to-content|visually-hidden|sr-only"
 FOR = "article|body|content|entry|hentry|main|page|post|text|blog|story"
+# Heading elements, sources of tracking pixels, promotional phrases, and signs of advertising or portraits.
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 TRACKERS = ["pixel", "tracking", "beacon", "/1x1.", "doubleclick", "googletagmanager"]
 PROMO = ["click here", "learn more", "read more", "subscribe", "follow us", "share this", "advertisement", "sponsored"]
@@ -30,26 +31,51 @@ AD_ALT = ["advertisement", "sponsored", "promo", "ad ", "banner"]
 PORTRAITS = ["headshot", "profile", "avatar", "author", "byline", "contributor"]
 
 
+# --- the tree as intervals: a page's nodes are numbered, and those below an element are a run of numbers ---
+
+
+def _in_order() -> W:
+    return W.partitionBy("page_id").orderBy("seq")
+
+
+def under(which: Column) -> Column:
+    """Whether a node is one of these elements or below one: intervals nest, so the farthest end so far tells."""
+    return F.coalesce(F.max(F.when(which, F.col("last"))).over(_in_order().rowsBetween(W.unboundedPreceding, 0)) >= F.col("seq"), F.lit(False))
+
+
+def outermost(which: Column) -> Column:
+    """``(seq, tag)`` of the outermost of these elements around a node, itself included; null when there is none."""
+    far = F.max(F.when(which, F.struct("last", (-F.col("seq")).alias("s"), "tag"))).over(_in_order().rowsBetween(W.unboundedPreceding, 0))
+    return F.when(far["last"] >= F.col("seq"), F.struct((-far["s"]).alias("seq"), far["tag"].alias("tag")))
+
+
+def below(nodes: DataFrame, **values: Column) -> DataFrame:
+    """Adds, per node, sums of values over it and all nodes below it: a difference of prefix sums at the interval's ends."""
+    upto = _in_order().rowsBetween(W.unboundedPreceding, 0)
+    run = nodes.withColumns({f"_v_{k}": v for k, v in values.items()})
+    run = run.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(upto) for k in values})
+    ends = run.select(F.col("page_id").alias("_page"), F.col("seq").alias("_end"), *[F.col(f"_s_{k}").alias(f"_e_{k}") for k in values])
+    out = run.join(ends, (F.col("page_id") == F.col("_page")) & (F.col("last") == F.col("_end")))
+    return out.select(*nodes.columns, *[(F.col(f"_e_{k}") - F.col(f"_s_{k}") + F.col(f"_v_{k}")).alias(k) for k in values])
+
+
 def blocks(nodes: DataFrame) -> DataFrame:
     """``(page_id, position, type, content, src, width, height)``: headings, paragraphs, quotes, list items, images.
 
     A text node belongs to the outermost quote or list around it, else to its innermost heading or paragraph.
     Grouping is by (page, block), so a task never holds more than one block's pieces.
     """
-    inside = nodes.filter(~F.arrays_overlap("tags", F.array(*[F.lit(x) for x in DROP_TAGS])))
-    path = F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag"))
-    steps = F.filter(path, lambda p: p["tag"].isin("blockquote", "ul", "ol", "p", *HEADINGS))
-    outer = F.filter(steps, lambda p: p["tag"].isin("blockquote", "ul", "ol"))
-    own = F.coalesce(F.get(outer, F.lit(0)), F.try_element_at(steps, F.lit(-1)))
-    kind = (F.when(F.col("own.tag") == "blockquote", "quote").when(F.col("own.tag").isin("ul", "ol"), "list")
-            .when(F.col("own.tag") == "p", "paragraph").otherwise("heading"))
-    texts = inside.filter("kind = 'text'").withColumn("own", own).filter("own IS NOT NULL").withColumn("type", kind)
-    said = texts.groupBy("page_id", "own.id", "type").agg(
+    marked = nodes.select("*", under(F.col("tag").isin(DROP_TAGS)).alias("dropped"), outermost(F.col("tag").isin("blockquote", "ul", "ol")).alias("group"))
+    inside = marked.filter("not dropped")
+    own, tag = F.coalesce("group.seq", "prose"), F.coalesce("group.tag", "prose_tag")
+    kind = F.when(tag == "blockquote", "quote").when(tag.isin("ul", "ol"), "list").when(tag == "p", "paragraph").otherwise("heading")
+    texts = inside.filter("kind = 'text'").select("page_id", "seq", own.alias("own"), kind.alias("type"), "body").filter("own IS NOT NULL")
+    said = texts.groupBy("page_id", "own", "type").agg(
         F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("parts")).select(
         "page_id", "seq", "type", text.squeeze(F.array_join(F.transform("parts", lambda p: p["body"]), " ")).alias("content"),
         F.lit("").alias("src"), F.lit(0).alias("width"), F.lit(0).alias("height"))
     tracker = text.contains_any(F.lower("src"), TRACKERS) | ((F.col("width") > 0) & (F.col("width") <= 2) & (F.col("height") <= 2))
-    images = inside.filter((F.col("kind") == "element") & (F.element_at("tags", -1) == "img") & (F.col("src") != "") & ~tracker).select(
+    images = inside.filter((F.col("tag") == "img") & (F.col("src") != "") & ~tracker).select(
         "page_id", "seq", F.lit("image").alias("type"), F.col("body").alias("content"), "src", "width", "height")
     both = said.filter("content <> ''").unionByName(images)
     place = F.row_number().over(W.partitionBy("page_id").orderBy("seq")) - 1  # one page's blocks
@@ -74,60 +100,42 @@ def keep_media(kind: Column, src: Column, alt: Column, width: Column, height: Co
     return F.when(kind == "image", image).when(kind.isin("video", "video_embed"), video).otherwise(F.lit(True))
 
 
-def _names(mark: Column) -> list[Column]:
-    """Class and id of a node's mark."""
-    return [F.split_part(mark, F.lit("\t"), F.lit(k)) for k in (1, 2)]
-
-
-def _named(mark: Column, pattern: str) -> Column:
-    a, b = _names(mark)
-    return a.rlike("(?i)" + pattern) | b.rlike("(?i)" + pattern)
-
-
-def _elements(nodes: DataFrame) -> DataFrame:
-    """Text, link text, paragraphs and protected children of every element with text, from the surviving nodes."""
-    n = F.length(F.trim("body"))
-    link = F.array_contains("tags", "a")
-    seen = nodes.filter("kind = 'text'").select(
-        "page_id", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag"), F.col("marks").alias("mark"))).alias("e"),
-        n.alias("n"), F.when(link, n).otherwise(0).alias("ln"),
-        F.try_element_at(F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag")), lambda p: p["tag"] == "p"), F.lit(-1))["id"].alias("pid"),
-        F.arrays_overlap("tags", F.array(F.lit("article"), F.lit("main"))).alias("guarded"))
-    return seen.groupBy("page_id", F.col("e.id").alias("id")).agg(
-        F.first("e.tag").alias("tag"), F.first("e.mark").alias("mark"), F.sum("n").alias("chars"), F.sum("ln").alias("link_chars"),
-        F.countDistinct("pid").alias("n_p"), F.max("guarded").alias("guarded"))
+def _named(pattern: str) -> Column:
+    """Whether an element's class or id matches."""
+    return F.col("class").rlike("(?i)" + pattern) | F.col("name").rlike("(?i)" + pattern)
 
 
-def _without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    """Nodes with none of the removed elements on their path; pages without removals pass untouched."""
-    lists = gone.groupBy("page_id").agg(F.collect_set("id").alias("_gone"))  # elements of one page
-    return nodes.join(lists, "page_id", "left").filter(F.col("_gone").isNull() | ~F.arrays_overlap("ids", "_gone")).drop("_gone")
+def _text_below(nodes: DataFrame, gone: Column) -> DataFrame:
+    """Adds ``chars``, ``link_chars``, ``n_p`` (paragraphs with text) and ``guarded`` (text inside an article) of what is not ``gone``."""
+    flagged = nodes.select("*", gone.alias("gone"), under(F.col("tag") == "a").alias("linked"), under(F.col("tag").isin("article", "main")).alias("in_article"))
+    alive = (F.col("kind") == "text") & ~F.col("gone")
+    n = F.when(alive, F.length(F.trim("body"))).otherwise(0)
+    first = F.min(F.when(alive & (F.col("prose_tag") == "p"), F.col("seq"))).over(W.partitionBy("page_id", "prose"))
+    flagged = flagged.withColumn("opens_p", F.coalesce((F.col("seq") == first) & F.col("prose").isNotNull(), F.lit(False)))
+    out = below(flagged, chars=n, link_chars=F.when(F.col("linked"), n).otherwise(0), n_p=F.col("opens_p").cast("int"),
+                guarded=F.when(F.col("in_article"), n).otherwise(0))
+    return out.drop("linked", "in_article", "opens_p")
 
 
 def clean(nodes: DataFrame, link_density: float = 0.6, min_link_text: int = 60) -> tuple[DataFrame, DataFrame]:
     """Subtractive cleaning: ``(surviving text nodes, removals(page_id, reason, n))``.
 
     Unwanted tags and comments first, then elements whose class or id speaks against them (unless they hold an
-    article, or real prose), then link lists.
+    article, or real prose), then link lists. Nothing leaves the table before the end: what goes is flagged.
     """
-    tag_hit = F.arrays_overlap("tags", F.array(*[F.lit(x) for x in DROP_TAGS]))
-    own_tag = F.element_at("tags", -1)
-    step = nodes.filter((F.col("kind") == "text") & ~tag_hit).select("page_id", "seq", "kind", "ids", "tags", "marks", "body")
-    by_tag = nodes.filter((F.col("kind") == "element") & own_tag.isin(DROP_TAGS)).groupBy("page_id").agg(F.lit("tag").alias("reason"), F.count("*").alias("n"))
-    by_comment = nodes.filter("kind = 'comment'").groupBy("page_id").agg(F.lit("comment").alias("reason"), F.count("*").alias("n"))
-    e = _elements(step)
+    unwanted = F.col("tag").isin(DROP_TAGS)
+    e = _text_below(nodes, under(unwanted))
     prose = (F.col("chars") >= 200) & (F.col("n_p") >= 2)
-    against = _named(F.col("mark"), NEVER) | (
-        _named(F.col("mark"), AGAINST) & ~F.col("tag").isin("article", "main") & ~F.col("guarded") & ~prose)
-    marked = e.filter(against).select("page_id", "id")
-    step = _without(step, marked)
-    lists = _elements(step).filter(
-        F.col("tag").isin("div", "section", "ul", "ol") & (F.col("chars") >= min_link_text) & (F.col("link_chars") / F.col("chars") >= link_density)).select("page_id", "id")
-    step = _without(step, lists)
-    counts = by_tag.unionByName(by_comment)
-    for reason, gone in (("mark", marked), ("links", lists)):
-        counts = counts.unionByName(gone.groupBy("page_id").agg(F.lit(reason).alias("reason"), F.count("*").alias("n")))
-    return step, counts
+    guarded = F.col("guarded") > 0
+    against = (F.col("kind") == "element") & (F.col("chars") > 0) & (_named(NEVER) | (_named(AGAINST) & ~F.col("tag").isin("article", "main") & ~guarded & ~prose))
+    e = e.withColumn("against", against).drop("chars", "link_chars", "n_p", "guarded")
+    e = _text_below(e.withColumnRenamed("gone", "gone_before"), F.col("gone_before") | under(F.col("against")))
+    links = F.col("tag").isin("div", "section", "ul", "ol") & (F.col("chars") >= min_link_text) & (F.col("link_chars") / F.col("chars") >= link_density)
+    e = e.withColumn("links", F.coalesce(links, F.lit(False)))
+    e = e.withColumn("gone", F.col("gone") | under(F.col("links")))
+    reason = F.explode(F.array_compact(F.array(F.when(unwanted, "tag"), F.when(F.col("kind") == "comment", "comment"), F.when(F.col("against"), "mark"), F.when(F.col("links"), "links"))))
+    counts = e.select("page_id", reason.alias("reason")).groupBy("page_id", "reason").agg(F.count("*").alias("n"))
+    return e.filter("kind = 'text' AND NOT gone").select("page_id", "seq", "body"), counts
 
 
 def best_container(nodes: DataFrame, power: float = 1.25, min_chars: int = 20) -> DataFrame:
@@ -135,25 +143,26 @@ def best_container(nodes: DataFrame, power: float = 1.25, min_chars: int = 20) -
     scripts that say more in fewer characters, by the share of such characters in the container's text.
 
     Every text node of 20 or more characters gives length^1.25 to each container around it, times a multiplier
-    for what the containers on its path are called.
+    for what the containers on its path are called: the sum of their weights, which is what has opened so far less what has closed.
     """
-    nodes_ok = nodes.filter((F.col("kind") == "text") & (F.length("body") >= min_chars))
-    boxes = F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag")), lambda p: p["tag"].isin("div", "section", "article", "main", "td"))
-    depth = F.transform(boxes, lambda b: F.struct(b["id"].alias("id"), b["tag"].alias("tag"),
-                        F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("tags").alias("tag"), F.col("marks").alias("mark")), lambda p: p["id"] <= b["id"]).alias("up")))
-    dense = F.regexp_count("body", F.lit(text.CJK)).alias("dense")
-    rows = nodes_ok.select("page_id", F.length("body").alias("n"), dense, F.explode(depth).alias("b")).select("page_id", "n", "dense", "b.*")
-
-    def weight(p: Column) -> Column:
-        m = F.lit(0.0)
-        for name in _names(p["mark"]):  # class and id count one by one
-            m = m + F.when(name.rlike("(?i)" + FOR), 0.5).otherwise(0.0) - F.when(name.rlike("(?i)" + AGAINST), 0.75).otherwise(0.0)
-        m = m + F.when(p["tag"].isin("article", "main"), 0.75).otherwise(0.0)
-        return m - F.when(p["tag"].isin("nav", "aside", "header", "footer"), 0.75).otherwise(0.0)
-
-    mult = F.greatest(F.lit(0.1), F.aggregate(F.col("up"), F.lit(1.0), lambda s, p: s + weight(p)))
-    score = F.sum(F.pow(F.col("n").cast("double"), F.lit(power)) * F.col("mult")) * text.cjk_multiplier(F.sum("dense") / F.sum("n"))
-    scored = rows.withColumn("mult", mult).groupBy("page_id", "id", "tag").agg(score.alias("score"))
+    w = F.lit(0.0)
+    for name in ("class", "name"):  # class and id count one by one
+        w = w + F.when(F.col(name).rlike("(?i)" + FOR), 0.5).otherwise(0.0) - F.when(F.col(name).rlike("(?i)" + AGAINST), 0.75).otherwise(0.0)
+    w = w + F.when(F.col("tag").isin("article", "main"), 0.75).otherwise(0.0)
+    w = w - F.when(F.col("tag").isin("nav", "aside", "header", "footer"), 0.75).otherwise(0.0)
+    ok = (F.col("kind") == "text") & (F.length("body") >= min_chars)
+    n = F.when(ok, F.length("body")).otherwise(0)
+    rows = nodes.select("page_id", "seq", "last", "tag", n.alias("n"), F.when(ok, F.regexp_count("body", F.lit(text.CJK))).otherwise(0).alias("dense"),
+                        F.when(F.col("kind") == "element", w).otherwise(0.0).alias("w"))
+    closing = rows.filter("w <> 0").groupBy("page_id", F.col("last").alias("seq")).agg(F.sum("w").alias("shut"))
+    opened = F.sum("w").over(_in_order().rowsBetween(W.unboundedPreceding, 0))
+    closed = F.coalesce(F.sum("shut").over(_in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.join(closing, ["page_id", "seq"], "left").withColumn("mult", F.greatest(F.lit(0.1), 1.0 + opened - closed))
+    # Exact sums, so that a difference of prefix sums is what the sum of the parts would be.
+    said = F.pow(F.col("n").cast("double"), F.lit(power)).cast("decimal(24,6)")
+    boxes = below(rows, said=said, all_n=F.col("n"), all_dense=F.col("dense")).filter(F.col("tag").isin("div", "section", "article", "main", "td") & (F.col("all_n") > 0))
+    score = F.col("said").cast("double") * F.col("mult") * text.cjk_multiplier(F.col("all_dense") / F.col("all_n"))
+    scored = boxes.select("page_id", F.col("seq").alias("id"), "tag", score.alias("score"))
     return latest_by(scored, ["page_id"], ["score", "id"]).select("page_id", "id", "tag", "score")
 
 
@@ -166,13 +175,44 @@ PAYWALL_PATTERNS = ["subscription.*required", "premium.*content", "subscriber.*o
 CUT_PATTERNS = [r"\.{3,}", "read.*more", "continue.*below", r"\[.*continued.*\]"]
 FRAMEWORKS = ["react", "angular", "vue", "ember", "backbone", "knockout", "jquery"]
 LOADERS = ["data-.*url", "lazy.*load", "infinite.*scroll", "load.*more", "ajax"]
-CLASS_RULES = [("grid|flex|column", 5, 0.3), ("content|article|main", 3, 0.2), ("sidebar|aside|related", 2, 0.2),
-               ("nav|menu|breadcrumb", 3, 0.1), ("modal|overlay|popup|lightbox", 0, 0.2)]
-
-
-def complexity(page: Column, source: Column, complex_sources: list[str], simple_sources: list[str]) -> dict[str, Column]:
-    """Six features in [0, 1] of a page's source."""
-    low, one = F.lower(page), F.lit(1.0)
+#: Tags (any, if none) and class words of elements, how many are needed at least, and what they add.
+LAYOUT_RULES = [([], "grid|flex|column", 6, 0.3), (["section", "article", "div"], "content|article|main", 4, 0.2), (["aside", "div"], "sidebar|aside|related", 3, 0.2),
+                (["nav", "div"], "nav|menu|breadcrumb", 4, 0.1), ([], "modal|overlay|popup|lightbox", 1, 0.2)]
+EMBEDS = ["iframe", "video", "embed", "object"]
+SOCIAL = [r"twitter\.com", r"instagram\.com", r"facebook\.com", r"youtube\.com", r"vimeo\.com", r"tiktok\.com"]
+ACTIVE = "interactive|chart|graph|widget"
+NOISE_TAGS = ["nav", "header", "footer"]
+NOISE_CLASSES = ["ad|advertisement|banner|promo", "social|share|follow", "comment|discussion"]
+
+
+def _element_features(nodes: DataFrame) -> DataFrame:
+    """Per page: what its elements say about layout, media, scripts, empty containers and noise."""
+    hidden = under(F.col("tag").isin("script", "style", "template"))
+    n = F.when((F.col("kind") == "text") & ~F.col("hidden"), F.length(F.regexp_replace("body", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))).otherwise(0)
+    e = below(nodes.select("page_id", "seq", "last", "kind", "tag", "class", "src", "body", hidden.alias("hidden")).withColumn("n", n).drop("body"), chars=F.col("n"))
+    tag, on = F.col("tag"), F.col("kind") == "element"
+
+    def called(words: str) -> Column:
+        return F.col("class").rlike("(?i)" + words)
+
+    layout = [F.count_if(on & called(words) & (tag.isin(tags) if tags else F.lit(True))).alias(f"layout{k}") for k, (tags, words, _, _) in enumerate(LAYOUT_RULES)]
+    noise = F.when(tag.isin(NOISE_TAGS), F.col("chars")).otherwise(0)
+    for words in NOISE_CLASSES:
+        noise = noise + F.when(called(words), F.col("chars")).otherwise(0)
+    return e.groupBy("page_id").agg(
+        *layout, F.count_if(tag.isin(EMBEDS)).alias("embeds"), F.count_if((tag == "iframe") & F.col("src").rlike("(?i)" + "|".join(SOCIAL))).alias("social"),
+        F.count_if(on & called(ACTIVE)).alias("active"), F.count_if(tag == "script").alias("scripts"),
+        F.count_if(tag.isin("div", "section") & called("content|article|main") & (F.col("chars") < 50)).alias("empty"),
+        F.sum("n").alias("shown"), F.sum(F.when(on, noise).otherwise(0)).alias("noise"))
+
+
+def complexity(pages: DataFrame, nodes: DataFrame, complex_sources: list[str], simple_sources: list[str]) -> DataFrame:
+    """``(page_id, paywall, layout, media, dynamic, noise, source)``: six features in [0, 1].
+
+    ``pages(page_id, html, source, paywalled, signs)``: ``paywalled`` is the stored flag, ``signs`` the number of stored indicators.
+    Patterns are looked for in the page's source, everything else is counted per element.
+    """
+    low, one, zero = F.lower("html"), F.lit(1.0), F.lit(0)
 
     def hits(patterns: list[str], value: float) -> Column:
         total = F.lit(0.0)
@@ -180,28 +220,21 @@ def complexity(page: Column, source: Column, complex_sources: list[str], simple_
             total = total + F.when(low.rlike(p), value).otherwise(0.0)
         return total
 
-    def classes(words: str) -> Column:
-        return F.regexp_count(low, F.lit(rf'class="[^"]*(?:{words})'))
-
-    def count(tag: str) -> Column:
-        return F.regexp_count(low, F.lit(rf"<{tag}[\s>]"))
+    def some(c: str) -> Column:
+        return F.coalesce(F.col(c), zero)
 
+    flag = F.when(F.col("paywalled"), 0.4 + F.least(F.lit(0.3), some("signs") * 0.1)).otherwise(0.0)
     layout = F.lit(0.0)
-    for words, limit, value in CLASS_RULES:
-        layout = layout + F.when(classes(words) > limit, value).otherwise(0.0)
-    embeds = count("iframe") + count("video") + count("embed") + count("object")
-    scripts = count("script")
-    shown = F.length(text.squeeze(text.strip_tags(low)))
-    frame = F.length(text.squeeze(text.strip_tags(F.array_join(F.regexp_extract_all(low, F.lit(r"(?s)(<(?:nav|header|footer)[\s>].*?</(?:nav|header|footer)>)"), 1), " "))))
-    ads = F.length(text.squeeze(text.strip_tags(F.array_join(F.regexp_extract_all(low, F.lit(r'(?s)(<div class="[^"]*(?:ad|banner|promo|social|share|comment)[^"]*">.*?</div>)'), 1), " "))))
-    return {
-        "paywall": F.least(one, hits(PAYWALL_PATTERNS, 0.1) + hits(CUT_PATTERNS, 0.05)),
-        "layout": F.least(one, layout),
-        "media": F.least(one, F.least(F.lit(0.4), embeds * 0.1) + F.least(F.lit(0.3), classes("interactive|chart|graph|widget") * 0.1)),
-        "dynamic": F.least(one, F.when(scripts > 10, 0.3).when(scripts > 5, 0.2).otherwise(0.0) + hits(FRAMEWORKS, 0.1) + hits(LOADERS, 0.05)),
-        "noise": F.when(shown == 0, 1.0).otherwise(F.least(one, (frame + ads) / shown)),
-        "source": F.when(text.contains_any(F.lower(source), complex_sources), 0.8).when(text.contains_any(F.lower(source), simple_sources), 0.2).otherwise(0.5),
-    }
+    for k, (_, _, least, value) in enumerate(LAYOUT_RULES):
+        layout = layout + F.when(some(f"layout{k}") >= least, value).otherwise(0.0)
+    scripts = F.when(some("scripts") > 10, 0.3).when(some("scripts") > 5, 0.2).otherwise(0.0)
+    name = F.lower(F.coalesce("source", F.lit("")))
+    return pages.join(_element_features(nodes), "page_id", "left").select(
+        "page_id", F.least(one, flag + hits(PAYWALL_PATTERNS, 0.1) + hits(CUT_PATTERNS, 0.05)).alias("paywall"), F.least(one, layout).alias("layout"),
+        F.least(one, F.least(F.lit(0.4), some("embeds") * 0.1) + some("social") * 0.1 + F.least(F.lit(0.3), some("active") * 0.1)).alias("media"),
+        F.least(one, scripts + hits(FRAMEWORKS, 0.1) + hits(LOADERS, 0.05) + F.when(some("empty") > 2, 0.2).otherwise(0.0)).alias("dynamic"),
+        F.when(some("shown") == 0, 1.0).otherwise(F.least(one, some("noise") / some("shown"))).alias("noise"),
+        F.when(text.contains_any(name, complex_sources), 0.8).when(text.contains_any(name, simple_sources), 0.2).otherwise(0.5).alias("source"))
 
 
 def route(score: Column, model: float = 0.6, hybrid: float = 0.8) -> Column:

@@ -52,46 +52,114 @@ def _(t):
     return p.select("page_id", F.col("n").cast("long").alias("signs"), (F.col("n") >= 2).alias("paywalled"))
 
 
-def _hits(ps, v):
-    return "(" + " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {v} ELSE 0e0 END" for p in ps) + ")"
+# Pages built from the lines of documents, so that SQL knows every element without reading HTML.
+HEAD = '<html><head><title>T</title><script>var react = 1</script></head><body class="home"><!-- c --><nav class="menu"><a href="/">Home page of the day</a></nav>'
+OPENS = ['<article class="story">', '<section class="content">', '<div class="wrap grid">']
+SHUTS = ["</article>", "</section>", "</div>"]
+IMAGE = '<img src="https://cdn.example.com/i.jpg" alt="pic" width="640" height="480">'
+KINDS = [(7, "<ul><li>", "</li></ul>", "list"), (5, "<blockquote><p>", "</p></blockquote>", "quote"), (11, "<h2>", "</h2>", "heading"), (13, '<div class="promo-box">', "</div>", "promo")]
+#: Elements planted after the article, and of how many the id of the page decides.
+PLANTED = [('<i class="column"></i>', 8), ('<div class="main-part"></div>', 6), ('<aside class="related">x</aside>', 4), ('<div class="breadcrumb"></div>', 5),
+           ('<iframe src="https://twitter.com/e"></iframe>', 3), ("<video></video>", 2), ('<u class="chart"></u>', 5), ("<script>1</script>", 12)]
+POPUP = '<b class="popup">hi</b>'
+
+
+def _build(t):
+    """``(page_id, l, html)``: lines and the page made of them."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), text.squeeze), lambda x: x != "")
+    safe = F.transform(lines, lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+
+    def element(x, k):
+        i = k + 1
+        out = F.concat(F.lit("<p>"), x, F.lit("</p>"))
+        for n, a, b, _ in reversed(KINDS):
+            out = F.when(i % n == 0, F.concat(F.lit(a), x, F.lit(b))).otherwise(out)
+        return F.concat(out, F.when(i % 9 == 0, IMAGE).otherwise(""))
+
+    i, first, end = F.col("page_id"), F.coalesce(F.get("s", F.lit(0)), F.lit("")), F.coalesce(F.try_element_at("s", F.lit(-1)), F.lit(""))
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (i % 3).cast("int"))
+    page = F.concat(F.lit(HEAD), pick(OPENS), F.array_join(F.transform("s", element), ""), pick(SHUTS),
+                    F.lit('<div class="sidebar"><p>'), first, F.lit("</p><p>"), end, F.lit('</p></div><div class="more"><a href="/x">'), first, F.lit("</a></div><footer>Contact us</footer>"),
+                    *[F.repeat(F.lit(x), (i % n).cast("int")) for x, n in PLANTED], F.when(i % 10 == 3, POPUP).otherwise(""), F.lit("</body></html>"))
+    rows = t.documents.select(F.col("doc_id").alias("page_id"), lines.alias("l"), safe.alias("s"))
+    return rows.select("page_id", "l", page.alias("html"))
+
+
+_KIND = "CASE " + " ".join(f"WHEN i%{n} = 0 THEN '{k}'" for n, _, _, k in KINDS) + " ELSE 'paragraph' END"
+_ELEMENT = "CASE " + " ".join(f"WHEN i%{n} = 0 THEN concat('{a}', x, '{b}')" for n, a, b, _ in KINDS) + f" ELSE concat('<p>', x, '</p>') END || CASE WHEN i%9 = 0 THEN '{IMAGE}' ELSE '' END"
+_PICK = lambda xs: f"CASE page_id%3 WHEN 0 THEN '{xs[0]}' WHEN 1 THEN '{xs[1]}' ELSE '{xs[2]}' END"
+BUILT = rf"""b0 AS (SELECT doc_id AS page_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x,'[\s ]+',' ','g'))), lambda x: x <> '') AS l FROM documents),
+b1 AS (SELECT *, list_transform(l, lambda x: replace(replace(replace(x,'&','&amp;'),'<','&lt;'),'>','&gt;')) AS s FROM b0),
+built AS (SELECT page_id, l, concat('{HEAD}', {_PICK(OPENS)}, array_to_string(list_transform(s, lambda x, i: {_ELEMENT}), ''), {_PICK(SHUTS)}, '<div class="sidebar"><p>', coalesce(s[1],''), '</p><p>', coalesce(s[-1],''),
+  '</p></div><div class="more"><a href="/x">', coalesce(s[1],''), '</a></div><footer>Contact us</footer>', {", ".join(f"repeat('{x}', (page_id%{n})::INT)" for x, n in PLANTED)},
+  CASE WHEN page_id%10 = 3 THEN '{POPUP}' ELSE '' END, '</body></html>') AS html FROM b1),
+ln AS (SELECT page_id, i, n, x, {_KIND} AS kind, length(x) AS c FROM (SELECT page_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM built)),
+pg AS (SELECT page_id, l, html, coalesce(length(l[1]),0) AS c1, coalesce(length(l[1]),0) + coalesce(length(l[-1]),0) AS c2 FROM built),
+sums AS (SELECT page_id, sum(c) AS c, coalesce(sum(c) FILTER (kind = 'promo'),0) AS promo, count(*) FILTER (kind = 'promo') AS promos FROM ln GROUP BY page_id),
+p AS (SELECT page_id, l, html, c1, c2, coalesce(c,0)::BIGINT AS c, coalesce(promo,0)::BIGINT AS promo, coalesce(promos,0) AS promos FROM pg LEFT JOIN sums USING (page_id))"""
 
 
-def _n(pat):
-    return f"len(regexp_extract_all(low, '{pat}'))"
+def _hits(ps, v):
+    return "(" + " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {v} ELSE 0e0 END" for p in ps) + ")"
 
 
-def _cls(w):
-    return _n(f'class="[^"]*(?:{w})')
+@query("page_complexity", sql=rf"""
+WITH {BUILT}, q AS (SELECT *, lower(html) AS low, page_id AS i FROM p),
+f AS (SELECT page_id, least(1e0, CASE WHEN i%4 = 0 THEN 4e-1 + least(3e-1, (i%5)*1e-1) ELSE 0e0 END + {_hits(pages.PAYWALL_PATTERNS, '1e-1')} + {_hits(pages.CUT_PATTERNS, '5e-2')}) AS paywall,
+  least(1e0, CASE WHEN i%8 + (i%3 = 2)::INT >= 6 THEN 3e-1 ELSE 0e0 END + CASE WHEN i%6 + (i%3 = 1)::INT >= 4 THEN 2e-1 ELSE 0e0 END + CASE WHEN i%4 + 1 >= 3 THEN 2e-1 ELSE 0e0 END
+    + CASE WHEN i%5 + 1 >= 4 THEN 1e-1 ELSE 0e0 END + CASE WHEN i%10 = 3 THEN 2e-1 ELSE 0e0 END) AS layout,
+  least(1e0, least(4e-1, (i%3 + i%2)*1e-1) + (i%3)*1e-1 + least(3e-1, (i%5)*1e-1)) AS media,
+  least(1e0, CASE WHEN 1 + i%12 > 10 THEN 3e-1 WHEN 1 + i%12 > 5 THEN 2e-1 ELSE 0e0 END + {_hits(pages.FRAMEWORKS, '1e-1')} + {_hits(pages.LOADERS, '5e-2')}
+    + CASE WHEN i%6 + (i%3 = 1 AND c < 50)::INT > 2 THEN 2e-1 ELSE 0e0 END) AS dynamic,
+  least(1e0, (30 + promo)/(31 + c + c2 + c1 + i%4 + CASE WHEN i%10 = 3 THEN 2 ELSE 0 END)::DOUBLE) AS noise,
+  CASE i%3 WHEN 0 THEN 8e-1 WHEN 1 THEN 2e-1 ELSE 5e-1 END AS source FROM q),
+s AS (SELECT *, round(paywall*25e-2 + layout*2e-1 + media*15e-2 + dynamic*15e-2 + noise*15e-2 + source*1e-1, 6) AS score FROM f)
+SELECT page_id, round(paywall,6) AS paywall, round(layout,6) AS layout, round(media,6) AS media, round(dynamic,6) AS dynamic, round(noise,6) AS noise, source, score,
+  CASE WHEN score >= 8e-1 THEN 'hybrid' WHEN score >= 6e-1 THEN 'llm_enhanced' ELSE 'algorithmic' END AS route FROM s""")
+def _(t):
+    i = F.col("page_id")
+    p = cut_lineage(_build(t).select("page_id", "html", F.concat(F.lit("Site"), (i % 3).cast("string"), F.lit(".example")).alias("source"),
+                                     (i % 4 == 0).alias("paywalled"), (i % 5).alias("signs")))
+    out = pages.complexity(p, html.page_nodes(p), ["site0."], ["site1."])
+    score = F.round(sum((F.col(k) * w for k, w in pages.WEIGHTS.items()), F.lit(0.0)), 6)
+    return out.withColumn("score", score).select("page_id", *[F.round(k, 6).alias(k) for k in ("paywall", "layout", "media", "dynamic", "noise")], "source", "score",
+                                                 pages.route(F.col("score")).alias("route"))
 
 
-def _len(expr):
-    return rf"length({STRIP.replace('X', expr)})"
+@query("built_blocks", sql=f"""
+WITH {BUILT}, o AS (SELECT page_id, 2*i AS o, kind AS type, x FROM ln WHERE kind <> 'promo' UNION ALL SELECT page_id, 2*i + 1, 'image', 'pic' FROM ln WHERE i%9 = 0
+ UNION ALL SELECT page_id, 1000000000, 'paragraph', l[1] FROM p WHERE len(l) > 0 UNION ALL SELECT page_id, 1000000001, 'paragraph', l[-1] FROM p WHERE len(l) > 0)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::INT AS position, type, length(x)::INT AS chars, md5(x) AS content_md5 FROM o""")
+def _(t):
+    return pages.blocks(html.page_nodes(_build(t))).select("page_id", "position", "type", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
-_LAY = " + ".join(f"CASE WHEN {_cls(w)} > {k} THEN {v}::DOUBLE ELSE 0e0 END" for w, k, v in pages.CLASS_RULES)
-_FRAME = r"array_to_string(regexp_extract_all(low, '(?s)(<(?:nav|header|footer)[\s>].*?</(?:nav|header|footer)>)', 1), ' ')"
-_ADS = r"""array_to_string(regexp_extract_all(low, '(?s)(<div class="[^"]*(?:ad|banner|promo|social|share|comment)[^"]*">.*?</div>)', 1), ' ')"""
+@query("built_clean", sql="WITH " + BUILT + """, k AS (SELECT *, len(l) > 0 AS side, c2 >= 200 AS prose, page_id%3 = 0 AS guarded, c1 >= 60 AS links FROM p)
+SELECT page_id, length(html)::INT AS html_chars, (c - CASE WHEN guarded THEN 0 ELSE promo END + CASE WHEN prose THEN c2 ELSE 0 END + CASE WHEN links THEN 0 ELSE c1 END)::BIGINT AS kept_chars,
+  (5 + page_id%4 + page_id%3 + page_id%12)::BIGINT AS removed_tag, 1::BIGINT AS removed_comment,
+  (CASE WHEN guarded THEN 0 ELSE promos END + (side AND NOT prose)::INT + (page_id%10 = 3)::INT)::BIGINT AS removed_mark, links::BIGINT AS removed_links FROM k""")
+def _(t):
+    p = cut_lineage(_build(t))
+    kept, removed = pages.clean(html.page_nodes(p))
+    n = kept.groupBy("page_id").agg(F.sum(F.length("body")).alias("kept_chars"))
+    r = removed.groupBy("page_id").agg(*[F.sum(F.when(F.col("reason") == k, F.col("n")).otherwise(0)).alias(f"removed_{k}") for k in ("tag", "comment", "mark", "links")])
+    return p.select("page_id", F.length("html").alias("html_chars")).join(n, "page_id", "left").join(r, "page_id", "left").fillna(0)
 
 
-def _sq(x):
-    return rf"length(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '[\s ]+', ' ', 'g')))"
+_BOX = """sum(CASE WHEN c >= 20 THEN pow(c::DOUBLE, 125e-2) ELSE 0e0 END::DECIMAL(24,6)) AS said, sum(CASE WHEN c >= 20 THEN c ELSE 0 END) AS n,
+  sum(CASE WHEN c >= 20 THEN len(regexp_extract_all(x, '{CJK}')) ELSE 0 END) AS dense""".replace("{CJK}", text.CJK)
 
 
-@query("page_complexity", sql=rf"""
-WITH l AS (SELECT page_id, url, lower(html) AS low FROM (SELECT page_id, url, {TEASED} AS html FROM pages)),
-f AS (SELECT page_id, least(1e0, {_hits(pages.PAYWALL_PATTERNS, '1e-1')} + {_hits(pages.CUT_PATTERNS, '5e-2')}) AS paywall, least(1e0, {_LAY}) AS layout,
-  least(1e0, least(4e-1, ({_n('<iframe[\\s>]')} + {_n('<video[\\s>]')} + {_n('<embed[\\s>]')} + {_n('<object[\\s>]')})*1e-1) + least(3e-1, {_cls('interactive|chart|graph|widget')}*1e-1)) AS media,
-  least(1e0, CASE WHEN {_n('<script[\\s>]')} > 10 THEN 3e-1 WHEN {_n('<script[\\s>]')} > 5 THEN 2e-1 ELSE 0e0 END + {_hits(pages.FRAMEWORKS, '1e-1')} + {_hits(pages.LOADERS, '5e-2')}) AS dynamic,
-  CASE WHEN {_sq('low')} = 0 THEN 1e0 ELSE least(1e0, ({_sq(_FRAME)} + {_sq(_ADS)})/{_sq('low')}::DOUBLE) END AS noise,
-  CASE WHEN contains(url, 'spam-farm') THEN 8e-1 WHEN contains(url, 'blog.') THEN 2e-1 ELSE 5e-1 END AS source FROM l),
-s AS (SELECT *, round(paywall*25e-2 + layout*2e-1 + media*15e-2 + dynamic*15e-2 + noise*15e-2 + source*1e-1, 6) AS score FROM f)
-SELECT page_id, round(paywall,6) AS paywall, round(layout,6) AS layout, round(dynamic,6) AS dynamic, round(noise,6) AS noise, score, CASE WHEN score >= 8e-1 THEN 'hybrid' WHEN score >= 6e-1 THEN 'llm_enhanced' ELSE 'algorithmic' END AS route FROM s""")
+@query("built_containers", sql="WITH " + BUILT + f""", w AS (SELECT *, CASE page_id%3 WHEN 0 THEN 225e-2 WHEN 1 THEN 15e-1 ELSE 1e0 END AS m, CASE page_id%3 WHEN 0 THEN 'article' WHEN 1 THEN 'section' ELSE 'div' END AS wrap FROM ln),
+box AS (SELECT page_id, 0 AS id, any_value(wrap) AS tag, any_value(m) AS m, {_BOX} FROM w GROUP BY page_id
+ UNION ALL SELECT page_id, i, 'div', m - 75e-2, {_BOX} FROM w WHERE kind = 'promo' GROUP BY page_id, i, m
+ UNION ALL SELECT page_id, 1000000000, 'div', 25e-2, {_BOX} FROM (SELECT page_id, c, x FROM ln WHERE i = 1 UNION ALL SELECT page_id, c, x FROM ln WHERE i = n) GROUP BY page_id
+ UNION ALL SELECT page_id, 1000000001, 'div', 1e0, {_BOX} FROM ln WHERE i = 1 GROUP BY page_id),
+sc AS (SELECT page_id, id, tag, said::DOUBLE * m * CASE WHEN dense/n >= 8e-1 THEN 36e-1 WHEN dense/n >= 5e-1 THEN 3e0 WHEN dense/n >= 2e-1 THEN 15e-1 ELSE 1e0 END AS score FROM box WHERE n > 0)
+SELECT page_id, tag, round(score, 4) AS score, score >= 1600 AS good_enough FROM sc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, id DESC) = 1""")
 def _(t):
-    p = t.pages.select("page_id", "url", F.expr(TEASED).alias("html"))
-    feats = pages.complexity(F.col("html"), F.col("url"), ["spam-farm"], ["blog."])
-    p = p.select("page_id", *[c.alias(k) for k, c in feats.items()])
-    score = F.round(sum((F.col(k) * w for k, w in pages.WEIGHTS.items()), F.lit(0.0)), 6)
-    return p.withColumn("score", score).select("page_id", *[F.round(k, 6).alias(k) for k in ("paywall", "layout", "dynamic", "noise")], "score", pages.route(F.col("score")).alias("route"))
+    out = pages.best_container(html.page_nodes(_build(t)))
+    return out.select("page_id", "tag", F.round("score", 4).alias("score"), (F.col("score") >= 1600).alias("good_enough"))
 
 
 @query("page_blocks")

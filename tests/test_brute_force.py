@@ -277,12 +277,6 @@ def test_page_rows(spark):
     assert {r["reason"]: r["n"] for r in removed.collect()}["comment"] == 1
 
 
-def test_same_occurrence(spark):
-    shape = "array<struct<title:string,abstract:string>>"
-    df = spark.createDataFrame([([("Storm hits Lisbon coast", "A"), ("Storm hits Lisbon coasts", "B")],), ([("Storm hits Lisbon", "wind"), ("Bank cuts rates", "money")],)], f"e {shape}")
-    assert [r["x"] for r in df.select(replies.near_duplicate_events(F.col("e")).alias("x")).collect()] == [True, False]
-
-
 def test_text(spark):
     r = _one(spark, text.word_count(F.lit("Été à l'aube")).alias("n"), text.title_similarity(F.lit("A b c"), F.lit(" a B c ")).alias("s"),
              text.looks_truncated(F.lit("<p>More to come... </p>")).alias("t"))
@@ -317,3 +311,74 @@ def test_medians_without_whole_groups(spark):
     got = {r["g"]: r["m"] for r in medians(spark.createDataFrame(rows, "g long, v double"), ["g"], {"m": F.col("v")}).collect()}
     want = {g: median(v) if (v := [x for h, x in rows if h == g and x is not None]) else None for g in (0, 1, 2, 5)}
     assert got == want
+
+
+def _random_page(rng, deep=0):
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        tag = rng.choice(["div", "section", "article", "ul", "blockquote", "p", "h2", "a", "span", "nav", "aside", "main", "td"])
+        names = rng.choice(["", ' class="sidebar"', ' class="story content"', ' id="promo"', ' class="sr-only"', ' class="wrap" id="main"'])
+        words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(1, 30)))
+        inner = _random_page(rng, deep + 1) if deep < 4 and tag not in ("p", "h2") and rng.random() < 0.6 else ""
+        out.append(rng.choice(["<!-- c -->", words, '<img src="https://x/a.jpg">', "<br>", ""]) + f"<{tag}{names}>{words if rng.random() < 0.7 else ''}{inner}</{tag}>")
+    return "".join(out)
+
+
+def _tree(rows):
+    """Children by the recorded parents, to be walked the plain way."""
+    node = {r["seq"]: {**r.asDict(), "kids": []} for r in rows}
+    for n in node.values():
+        if n["parent"] is not None:
+            node[n["parent"]]["kids"].append(n)
+    return node
+
+
+def test_intervals_answer_what_a_walk_of_the_tree_does(spark):
+    rng = random.Random(11)
+    sources = [(k, _random_page(rng)) for k in range(25)]
+    nodes = html.page_nodes(spark.createDataFrame(sources, "page_id long, html string")).cache()
+    kept, removed = pages.clean(nodes)
+    kept = {k: sorted(r["seq"] for r in kept.collect() if r["page_id"] == k) for k in range(25)}
+    gone = {(r["page_id"], r["reason"]): r["n"] for r in removed.collect()}
+    best = {r["page_id"]: (r["id"], r["score"]) for r in pages.best_container(nodes).collect()}
+    sums = {(r["page_id"], r["seq"]): r["x"] for r in pages.below(nodes, x=F.length("body")).collect()}
+    for k in range(25):
+        node = _tree([r for r in nodes.collect() if r["page_id"] == k])
+        up = lambda n: [] if n["parent"] is None else [node[n["parent"]], *up(node[n["parent"]])]
+        inside = lambda n: [n, *[x for c in n["kids"] for x in inside(c)]]
+        for n in node.values():
+            assert [x["seq"] for x in sorted(inside(n), key=lambda x: x["seq"])] == list(range(n["seq"], n["last"] + 1))
+            assert sums[k, n["seq"]] == sum(len(x["body"]) for x in inside(n))
+        alive = {n["seq"] for n in node.values() if n["kind"] == "text" and not any(x["tag"] in pages.DROP_TAGS for x in up(n))}
+        named = lambda n, p: any(re.search(p, n[c], re.I) for c in ("class", "name"))
+
+        def facts(n):
+            texts = [x for x in inside(n) if x["seq"] in alive]
+            paragraphs = {next((y["seq"] for y in up(x) if y["tag"] == "p"), None) for x in texts} - {None}
+            linked = [x for x in texts if any(y["tag"] == "a" for y in up(x))]
+            guarded = any(y["tag"] in ("article", "main") for x in texts for y in up(x))
+            return sum(len(x["body"].strip(" ")) for x in texts), sum(len(x["body"].strip(" ")) for x in linked), len(paragraphs), guarded
+
+        marks = []
+        for n in node.values():
+            chars, _, n_p, guarded = facts(n)
+            if n["kind"] == "element" and chars and (named(n, pages.NEVER) or named(n, pages.AGAINST) and n["tag"] not in ("article", "main") and not guarded
+                                                     and not (chars >= 200 and n_p >= 2)):
+                marks.append(n)
+        alive -= {x["seq"] for n in marks for x in inside(n)}
+        links = [n for n in node.values() if n["tag"] in ("div", "section", "ul", "ol") and facts(n)[0] >= 60 and facts(n)[1] / facts(n)[0] >= 0.6]
+        alive -= {x["seq"] for n in links for x in inside(n)}
+        assert kept[k] == sorted(alive) and gone.get((k, "mark"), 0) == len(marks) and gone.get((k, "links"), 0) == len(links)
+
+        def weight(n):
+            w = sum(0.5 * bool(re.search(pages.FOR, n[c], re.I)) - 0.75 * bool(re.search(pages.AGAINST, n[c], re.I)) for c in ("class", "name"))
+            return w + 0.75 * (n["tag"] in ("article", "main")) - 0.75 * (n["tag"] in ("nav", "aside", "header", "footer"))
+
+        scores = []
+        for n in node.values():
+            said = [len(x["body"]) for x in inside(n) if x["kind"] == "text" and len(x["body"]) >= 20]
+            if n["tag"] in ("div", "section", "article", "main", "td") and said:
+                scores.append((max(0.1, 1 + sum(map(weight, [n, *up(n)]))) * sum(x**1.25 for x in said), n["seq"]))
+        if scores:
+            assert best[k][0] == max(scores)[1] and best[k][1] == pytest.approx(max(scores)[0], abs=1e-3)
+    nodes.unpersist()
