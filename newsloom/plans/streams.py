@@ -1,4 +1,4 @@
-"""Streaming queries. Windowed ones emit what the watermark has closed, two hours behind the newest event."""
+"""Streaming queries in four micro-batches and, for windows, sessions and waits, a closing one that moves the watermark past all of them."""
 
 from __future__ import annotations
 
@@ -8,19 +8,22 @@ from newsloom.operators import stories, triage
 from newsloom.operators.ranking import as_of_join
 from newsloom.plans.registry import ORACLES, query
 from newsloom.plans.stories import PAIRS
-from newsloom.plans.triage import day_start
+from newsloom.plans.triage import ADJ, PUB, SC, TADJ, TOP, day_start
 from newsloom.streaming import jobs
 
-CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 2 HOURS"
-CLOSED_ACCEPTED = "(SELECT max(ts) FROM events WHERE event_id%3 <> 2) - INTERVAL 2 HOURS"
+CLOSE = "5 days"
 
 
 def _events(t):
     return jobs.replay(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts")
 
 
+def _closed(rows, *closing):
+    return jobs.replay(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", close=CLOSE, closing=closing or ({},))
+
+
 def _accepted(t):
-    return _events(t).filter("event_id % 3 <> 2")
+    return _closed(t.events.filter("event_id % 3 <> 2"))
 
 
 def _seconds(df):
@@ -32,34 +35,34 @@ def _(t):
     return jobs.dedup(_events(t), "ts", ["user_id", "event_type", "props"]).select("user_id", "event_type", "props")
 
 
-@query("st_publisher_counts", sql=f"""
+@query("st_publisher_counts", sql="""
 WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (k) HOUR AS s FROM events, (SELECT unnest(range(24)) AS k) WHERE event_id%3 <> 2)
-SELECT user_id, count(*) AS n, epoch(s)::BIGINT AS start_s, epoch(s)::BIGINT + 86400 AS end_s FROM w WHERE s + INTERVAL 24 HOURS <= {CLOSED_ACCEPTED} GROUP BY user_id, s""")
+SELECT user_id, count(*) AS n, epoch(s)::BIGINT AS start_s, epoch(s)::BIGINT + 86400 AS end_s FROM w GROUP BY user_id, s""")
 def _(t):
     return _seconds(jobs.run_to_table(jobs.sliding_counts(_accepted(t), "ts", "user_id")))
 
 
-@query("st_topic_daily", sql=f"""
+@query("st_topic_daily", sql="""
 SELECT event_type, count(*) AS n, epoch(date_trunc('day', ts))::BIGINT AS start_s, epoch(date_trunc('day', ts))::BIGINT + 86400 AS end_s FROM events
-WHERE event_id%3 <> 2 AND date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED_ACCEPTED} GROUP BY event_type, date_trunc('day', ts)""")
+WHERE event_id%3 <> 2 GROUP BY event_type, date_trunc('day', ts)""")
 def _(t):
     return _seconds(jobs.run_to_table(jobs.tumbling_counts(_accepted(t), "ts", "event_type")))
 
 
-@query("st_sessions", sql=f"""
+@query("st_sessions", sql="""
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, count(*) AS n, epoch_us(min(ts))//1000000 AS start_s, (epoch_us(max(ts)) + 1800000000)//1000000 AS end_s FROM s GROUP BY user_id, sid
-HAVING max(ts) + INTERVAL 30 MINUTES <= {CLOSED}""")
+SELECT user_id, count(*) AS n, epoch_us(min(ts))//1000000 AS start_s, (epoch_us(max(ts)) + 1800000000)//1000000 AS end_s FROM s GROUP BY user_id, sid""")
 def _(t):
-    return _seconds(jobs.run_to_table(jobs.sessions(_events(t), "ts", "user_id")))
+    return _seconds(jobs.run_to_table(jobs.sessions(_closed(t.events), "ts", "user_id")))
 
 
-@query("st_timeout", sql=f"""
-SELECT user_id, event_id AS item_id FROM events p WHERE event_type = 'view' AND ts + INTERVAL 1 HOUR < {CLOSED} AND NOT EXISTS (
+@query("st_timeout", sql="""
+SELECT user_id, event_id AS item_id FROM events p WHERE event_type = 'view' AND NOT EXISTS (
   SELECT 1 FROM events r WHERE r.event_type <> 'view' AND r.user_id = p.user_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 1 HOUR)""")
 def _(t):
-    e = _events(t).withColumn("item_id", F.col("event_id"))
+    # with a key: the join drops rows without one before it reads their time
+    e = _closed(t.events, {"event_type": "view", "user_id": -1}, {"event_type": "end", "user_id": -1}).withColumn("item_id", F.col("event_id"))
     return jobs.run_to_table(jobs.timeouts(e.filter("event_type = 'view'"), e.filter("event_type <> 'view'"), "user_id", "ts")).select("user_id", "item_id")
 
 
@@ -96,16 +99,32 @@ def _(t):
     return jobs.stories_now(spark, out).select("variant", "language", "copies", "story_id")
 
 
-@query("st_triage", sql=ORACLES["triage_tier1"])
+# The same four slices in time, one after the other: what a slice accepts counts for the slices after it.
+def _slices() -> str:
+    parts = [f"""WITH {PUB}, {TOP}, s0 AS (SELECT *, 1706659200 - (article_id*7919)%259200 AS t FROM art), b AS (SELECT min(t)*1000000 AS lo, (max(t) - min(t))*1000000//4 + 1 AS width FROM s0),
+s1 AS (SELECT s0.*, ((t*1000000 - lo)//width)::INT AS slot FROM s0, b), ats AS (SELECT slot, max(t) AS decided_at FROM s1 GROUP BY slot),
+u0 AS (SELECT NULL::BIGINT AS article_id, NULL::VARCHAR AS publication_id, 0e0 AS s, 0e0 AS headline_score, 0e0 AS title_adj, 0e0 AS topic_adj, 0e0 AS pub_adj, '' AS status, 0::BIGINT AS decided_at WHERE false)"""]
+    for k in range(1, 5):
+        at = f"(SELECT decided_at FROM ats WHERE slot = {k - 1})"
+        parts.append(f"""pc{k} AS (SELECT publication_id, sum(n) AS accepted_24h FROM (SELECT publication_id, accepted_24h AS n FROM pc
+  UNION ALL SELECT publication_id, count(*) FROM u{k - 1} WHERE status = 'accepted' AND publication_id IS NOT NULL AND decided_at > {at} - 86400 GROUP BY publication_id) GROUP BY publication_id),
+tc{k} AS (SELECT topic_id, sum(n) AS accepted_today FROM (SELECT topic_id, accepted_today AS n FROM tc
+  UNION ALL SELECT topic_id, count(*) FROM u{k - 1} JOIN art_topic USING (article_id) WHERE status = 'accepted' AND decided_at//86400 = {at}//86400 GROUP BY topic_id) GROUP BY topic_id),
+{TADJ.replace("ta AS (", f"ta{k} AS (", 1).replace("JOIN tc", f"JOIN tc{k}")},
+{ADJ.replace("adj AS (", f"adj{k} AS (", 1).replace("FROM art a LEFT JOIN ta USING", f"FROM (SELECT * FROM s1 WHERE slot = {k - 1}) a LEFT JOIN ta{k} USING").replace("LEFT JOIN pc USING", f"LEFT JOIN pc{k} USING")},
+d{k} AS (SELECT *, {SC} AS s FROM adj{k}),
+u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT article_id, publication_id, s, headline_score, title_adj, topic_adj, pub_adj,
+  CASE WHEN pub_adj <= -1e0 THEN 'rejected' WHEN s >= 5e-1 THEN 'accepted' WHEN s < 25e-2 THEN 'rejected' ELSE 'pending_llm' END, {at} FROM d{k})""")
+    reason = ORACLES["triage_tier1"].split("END AS status,", 1)[1].rsplit("FROM s", 1)[0]
+    return ",\n".join(parts) + f"\nSELECT article_id, publication_id, round(s,6) + 0e0 AS triage_score, status, {reason} FROM u4"
+
+
+@query("st_triage", uses="art art_topic", sql=_slices())
 def _(t):
     topics = triage.accepted_by_topic(t.art, t.art_topic, day_start())
     pubs = triage.accepted_by_publisher(t.art, day_start())
-
-    def decide(rows, folder, before):
-        adjusted = triage.with_adjustments(rows, t.art_topic, topics, pubs)
-        triage.tier1(adjusted).write.mode("overwrite").parquet(folder)
-
-    spark, out = jobs.run_batches(_doc_stream(t).select("article_id", "publication_id", "title", "headline_score"), decide)
+    rows = _doc_stream(t).select("article_id", "publication_id", "title", "headline_score", "published_at")
+    spark, out = jobs.triage_updates(rows, t.art_topic, pubs, topics, "published_at")
     return spark.read.parquet(out).select("article_id", "publication_id", F.round("triage_score", 6).alias("triage_score"), "status", "reason")
 
 

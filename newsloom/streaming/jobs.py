@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from newsloom.operators import graph, stories
+from newsloom.operators import graph, stories, triage
 from newsloom.operators.ranking import latest_by
 from newsloom.session import checkpoint_root, cut_lineage
 
 LATE = "2 hours"
+#: Files of a replayed slice, where it has rows enough for all of them.
+SLICE_FILES = 4
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,34 +63,52 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, str, str | None],
     return spark, f"{root}/out"
 
 
-def replay(df: DataFrame, ts: str, batches: int = 4, root: str | None = None) -> DataFrame:
-    """A table as a stream of that many micro-batches in order of time: one written slice is one batch."""
+def replay(df: DataFrame, ts: str, batches: int = 4, root: str | None = None, close: str | None = None, closing: tuple[dict, ...] = ({},)) -> DataFrame:
+    """A table as a stream of that many micro-batches in order of time: the files of one written slice are one batch.
+
+    ``close`` ends the input: a last batch holds rows, null but for their time (this long after the newest) and the values in ``closing``,
+    that move the watermark past every window, session and wait still open. What they open themselves stays open.
+    """
     spark = df.sparkSession
     folder = f"{root or fresh_folder(spark)}/in"
     lo, hi = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
     width = ((hi or 0) - (lo or 0)) // batches + 1
     slot = F.coalesce(F.floor((F.unix_micros(ts) - F.lit(lo or 0)) / width), F.lit(0))
+    sizes = {r[0]: r[1] for r in df.groupBy(slot).count().collect()}
+    files = SLICE_FILES if min(sizes.values(), default=0) >= 10_000 * SLICE_FILES else 1
     for k in range(batches):
-        df.filter(slot == k).coalesce(1).write.parquet(f"{folder}/slice{k:04d}")
-    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+        if k in sizes:
+            df.filter(slot == k).repartition(files).write.parquet(f"{folder}/slice{k:04d}")
+    if close:
+        end = F.timestamp_micros(F.lit(hi or 0)) + F.expr(f"INTERVAL {close}")
+        rows = [spark.range(1).select(*[(end if f.name == ts else F.lit(c.get(f.name))).cast(f.dataType).alias(f.name) for f in df.schema]) for c in closing]
+        last = rows[0]
+        for r in rows[1:]:
+            last = last.unionByName(r)
+        last.coalesce(1).write.parquet(f"{folder}/slice{batches:04d}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def save(rows: DataFrame, folder: str, before: str | None = None) -> None:
     rows.write.mode("overwrite").parquet(folder)
 
 
-def dedup(stream: DataFrame, ts: str, keys: list[str], root: str | None = None, parts: int = 16) -> DataFrame:
+def dedup(stream: DataFrame, ts: str, keys: list[str], root: str | None = None, parts: int = 64) -> DataFrame:
     """First arrival of every key ever, however late a copy comes and however the input is cut into batches.
 
     What earlier batches let through is the table of known keys, kept in the shared folder by hash of the key; a batch is
-    reduced to its own first arrivals and joined against it. A batch that runs again reads earlier batches only.
+    reduced to its own first arrivals and joined against it, reading only folders whose hash it has. A batch that runs
+    again reads earlier batches only.
     """
 
     def each(rows: DataFrame, folder: str, before: str | None) -> None:
         out, _, number = folder.rpartition("/batch=")
         first = rows.groupBy(*keys).agg(F.min(ts).alias(ts)).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
         if before:
-            known = rows.sparkSession.read.parquet(out).filter(F.col("batch") < int(number)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            first = cut_lineage(first)
+            present = [r[0] for r in first.select("part").distinct().collect()]
+            known = rows.sparkSession.read.parquet(out).filter((F.col("batch") < int(number)) & F.col("part").isin(present))
+            known = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
             same = F.lit(True)
             for k in keys:
                 same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -130,7 +150,14 @@ def timeouts(pending: DataFrame, resolved: DataFrame, key: str, ts: str, wait: s
 
 def bursts(stream: DataFrame, key: str, ts: str) -> DataFrame:
     """Three earliest arrivals of each key and the burst they make; the state is three times, whatever the key
-    holds, and goes twelve hours after the key's last arrival."""
+    holds, and goes twelve hours after the key's last arrival. Of the rows of a key that lie in one Arrow batch three and the newest
+    are shuffled, so a hot key does not bring all its rows to one worker."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values("t", kind="stable")
+            per = pdf.groupby("key", dropna=False)
+            yield pdf[(per.cumcount() < 3) | (per.cumcount(ascending=False) == 0)]
 
     def fold(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -148,7 +175,8 @@ def bursts(stream: DataFrame, key: str, ts: str) -> DataFrame:
         score = 0.0 if gap is None else 1.0 if gap < 3600 else 0.8 if gap < 7200 else 0.0
         yield pd.DataFrame({"key": [k[0]], "first_us": [best[0]], "burst": [score]})
 
-    rows = stream.withWatermark(ts, LATE).select(F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("t"))
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).alias("at"), F.unix_micros(ts).alias("t"))
+    rows = rows.mapInPandas(heads, "key long, at timestamp, t long").withWatermark("at", LATE)
     return rows.groupBy("key").applyInPandasWithState(
         fold, "key long, first_us long, burst double", "a long, b long, c long", "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -195,3 +223,39 @@ def stories_now(spark: SparkSession, out: str) -> DataFrame:
         "variant <> now").select(F.col("variant").alias("a"), F.col("now").alias("b"))
     comp = graph.components(bonds.unionByName(renamed).distinct()).withColumnRenamed("id", "variant")
     return newest.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component", "batch")
+
+
+def triage_updates(stream: DataFrame, links: DataFrame, pub_counts: DataFrame, topic_counts: DataFrame, ts: str,
+                   root: str | None = None) -> tuple[SparkSession, str]:
+    """Tier 1 by micro-batch, each batch seeing what the batches before it accepted.
+
+    A batch decides as of its newest row. The state is a small table of what was accepted per publisher and topic and when, one
+    version per batch in the shared folder: a batch reads the version before its own, adds counts of the last 24 hours per publisher
+    and of the day per topic to the given ones, decides, and writes the next version. A batch that runs again writes the same.
+    """
+    spark = stream.sparkSession
+    root = root or fresh_folder(spark)
+    day = 24 * 3600
+
+    def each(rows: DataFrame, folder: str, before: str | None) -> None:
+        now = rows.agg(F.max(F.unix_seconds(ts))).first()[0]
+        pubs, topics = pub_counts, topic_counts
+        state = None
+        if before:
+            state = spark.read.parquet(before.replace("/out/", "/state/"))
+            if now is not None:
+                state = state.filter((F.col("at") > now - day) | (F.floor(F.col("at") / day) == now // day))
+                pubs = pubs.unionByName(state.filter((F.col("kind") == "publisher") & (F.col("at") > now - day)).select(
+                    F.col("key").cast(pubs.schema["publication_id"].dataType).alias("publication_id"), F.col("n").alias("accepted_24h")))
+                topics = topics.unionByName(state.filter((F.col("kind") == "topic") & (F.floor(F.col("at") / day) == now // day)).select(
+                    F.col("key").cast(topics.schema["topic_id"].dataType).alias("topic_id"), F.col("n").alias("accepted_today")))
+                pubs = pubs.groupBy("publication_id").agg(F.sum("accepted_24h").alias("accepted_24h"))
+                topics = topics.groupBy("topic_id").agg(F.sum("accepted_today").alias("accepted_today"))
+        triage.tier1(triage.with_adjustments(rows, links, topics, pubs)).withColumn("decided_at", F.lit(now).cast("long")).write.mode("overwrite").parquet(folder)
+        taken = spark.read.parquet(folder).filter("status = 'accepted'").select("article_id", "publication_id")
+        new = taken.filter("publication_id IS NOT NULL").groupBy(F.lit("publisher").alias("kind"), F.col("publication_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+        new = new.unionByName(links.join(taken, "article_id").groupBy(F.lit("topic").alias("kind"), F.col("topic_id").cast("string").alias("key")).agg(F.count("*").alias("n")))
+        new = new.withColumn("at", F.lit(now).cast("long"))
+        (new if state is None else new.unionByName(state.select(new.columns))).write.mode("overwrite").parquet(folder.replace("/out/", "/state/"))
+
+    return run_batches(stream, each, root=root)

@@ -1,5 +1,6 @@
 """Micro-batches give what one batch gives."""
 
+import random
 import tempfile
 from datetime import datetime, timedelta
 
@@ -67,3 +68,70 @@ def test_replay_is_in_order_of_time(spark):
     _, out = jobs.run_batches(jobs.replay(df, "ts", 4), jobs.save)
     got = spark.read.parquet(out).groupBy("batch").agg(F.min("id").alias("lo"), F.count("*").alias("n")).orderBy("batch").collect()
     assert [r["lo"] for r in got] == [0, 10, 20, 30] and [r["n"] for r in got] == [10] * 4
+
+
+def test_a_closing_batch_ends_windows_and_sessions(spark):
+    rows = [(k % 3, T0 + timedelta(minutes=37 * k)) for k in range(120)]
+    df = spark.createDataFrame(rows, "user long, ts timestamp")
+    days = jobs.run_to_table(jobs.tumbling_counts(jobs.replay(df, "ts", close="3 days"), "ts", "user")).collect()
+    assert sum(r["n"] for r in days) == 120 and all(r["user"] is not None for r in days)
+    runs = jobs.run_to_table(jobs.sessions(jobs.replay(df, "ts", close="3 days"), "ts", "user", "2 hours")).collect()
+    assert sum(r["n"] for r in runs) == 120 and len(runs) == 3
+
+
+def test_a_hot_key_sends_three_rows_to_its_state(spark):
+    schema = "k long, ts timestamp"
+    parts = [[(1, T0 + timedelta(seconds=s)) for s in range(3000, 0, -1)] + [(2, T0)], [(1, T0 + timedelta(hours=1)), (2, T0 + timedelta(minutes=90)), (2, T0 + timedelta(minutes=91))]]
+    spark_, out = jobs.run_batches(jobs.bursts(_stream(spark, parts, schema), "k", "ts"), jobs.save, mode="update")
+    last = {r["key"]: (r["x"]["first_us"], r["x"]["burst"]) for r in spark_.read.parquet(out).groupBy("key").agg(
+        F.max_by(F.struct("first_us", "burst"), "batch").alias("x")).collect()}
+    zero = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert last == {1: (zero + 1_000_000, 1.0), 2: (zero, 0.8)}
+
+
+def _triage(spark, batches, root=None):
+    schema = "article_id long, publication_id string, title string, headline_score double, published_at timestamp"
+    links = spark.createDataFrame([(k, k % 2) for k in range(200)], "article_id long, topic_id long")
+    pubs = spark.createDataFrame([("p", 20)], "publication_id string, accepted_24h long")
+    topics = spark.createDataFrame([(0, 10), (1, 10)], "topic_id long, accepted_today long")
+    return jobs.triage_updates(_stream(spark, batches, schema), links, pubs, topics, "published_at", root=root)
+
+
+def test_triage_sees_what_earlier_batches_accepted(spark):
+    title = "A plain headline of some words"
+    batches = [[(10 * b + k, "p", title, 0.95, T0 + timedelta(hours=h, minutes=k)) for k in range(6)] for b, h in enumerate((0, 1, 30))]
+    spark_, out = _triage(spark, batches)
+    status = {}
+    for r in spark_.read.parquet(out).collect():
+        status.setdefault(r["article_id"] // 10, set()).add(r["status"])
+    # 20 before and 6 in the first batch fill the publisher; a day later those 6 no longer count.
+    assert status == {0: {"accepted"}, 1: {"rejected"}, 2: {"accepted"}}
+
+
+def test_triage_over_batches_equals_a_sequential_model(spark):
+    from newsloom.operators import triage
+
+    rng = random.Random(3)
+    title = "A plain headline of some words"
+    batches = [[(50 * b + k, rng.choice("pqr"), title, rng.choice([0.3, 0.45, 0.55, 0.7]), T0 + timedelta(hours=10 * b, minutes=k)) for k in range(50)] for b in range(4)]
+    spark_, out = _triage(spark, batches)
+    got = {r["article_id"]: r["status"] for r in spark_.read.parquet(out).collect()}
+    bonus = spark.createDataFrame([(title,)], "t string").select(triage.scoring.title_quality("t")).first()[0]
+    taken: list = []
+    for rows in batches:
+        now = max(r[4] for r in rows)
+        pubs, topics = {"p": 20}, {0: 10, 1: 10}
+        for i, p, at in taken:
+            if at > now - timedelta(hours=24):
+                pubs[p] = pubs.get(p, 0) + 1
+            if at.date() == now.date():
+                topics[i % 2] += 1
+        for i, p, _, score, _ in rows:
+            topic = 0.1 if topics[i % 2] < 5 else -0.05 if topics[i % 2] > 30 else 0.0
+            base, n = score + bonus + topic, pubs.get(p, 0)
+            total = base - (max(n - 10, 0) * 0.02)
+            want = "rejected" if n >= 25 else "accepted" if total >= 0.5 else "rejected" if total < 0.25 else "pending_llm"
+            assert got[i] == want or abs(total - 0.5) < 1e-9 or abs(total - 0.25) < 1e-9
+            if got[i] == "accepted":
+                taken.append((i, p, now))
+    assert len(set(got.values())) == 3
