@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 
 # Words ignored by feed keywords.
-KEYWORD_STOPWORDS = (
-    "a an the and or but in on at to for with by "
-    "de da do dos das em no na um uma que com para por sobre como"
-).split()
+KEYWORD_STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "with", "by", "de", "da", "do", "dos", "das",
+    "em", "no", "na", "um", "uma", "que", "com", "para", "por", "sobre", "como",
+]
 
 # Endings that mark a teaser body.
 TRUNCATION_MARKERS = [
@@ -88,15 +90,43 @@ def strip_tags(c, gap: str = " ") -> Column:
     return F.regexp_replace(nz(c), "<[^>]+>", gap)
 
 
-# The character entities decoded without a parser, ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# Named character references come from the standard library's table of the HTML standard; those without a semicolon may be
+# followed by anything, the longest name first. Numbers from 128 to 159 mean what they do in Windows-1252.
+_NAMED = html5
+_SHORT = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_WINDOWS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+_REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.map_from_arrays(F.split(F.lit("\t".join(table)), "\t"), F.split(F.lit("\x01".join(table.values())), "\x01")), key)
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a number in a reference: null where the number is no number."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | ((n % 65536) >= 65534)
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n.between(128, 159), F.coalesce(
+        _lookup({str(k): v for k, v in _WINDOWS.items()}, n.cast("string")), plain)).when(none, "").otherwise(plain))
+
+
+def _reference(p: Column) -> Column:
+    """One piece of a text: a reference decoded, anything else as it is."""
+    digits = F.regexp_extract(p, r"^&#([0-9]+)", 1)
+    hexes = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+)", 1)
+    # Longer numbers than any character's are cut to one that is out of range as well.
+    number = F.when(digits != "", F.substring(F.regexp_replace(digits, "^0+(?=[0-9])", ""), 1, 9).cast("long")).otherwise(
+        F.conv(F.substring(F.regexp_replace(hexes, "^0+(?=.)", ""), 1, 8), 16, 10).cast("long"))
+    name = F.substring(p, 2, 100)
+    short = F.regexp_extract(p, "^&(" + "|".join(_SHORT) + ")", 1)
+    named = F.coalesce(_lookup(_NAMED, name), F.when(short != "", F.concat(_lookup(_NAMED, short), F.substring(p, F.length(short) + 2, F.length(p)))), p)
+    return F.when(F.startswith(p, F.lit("&#")) & (F.length(p) > 2), _code_point(number)).when(F.startswith(p, F.lit("&")) & (F.length(p) > 1), named).otherwise(p)
 
 
 def unescape(c) -> Column:
-    out = nz(c)
-    for seen, meant in ENTITIES:
-        out = F.replace(out, F.lit(seen), F.lit(meant))
-    return out
+    """Character references decoded, named ones by table and numeric ones by code point; a text without one is passed by."""
+    pieces = F.transform(F.regexp_extract_all(nz(c), F.lit(_REFERENCE), 0), _reference)
+    return F.when(F.contains(nz(c), F.lit("&")), F.array_join(pieces, "")).otherwise(nz(c))
 
 
 def squeeze(c) -> Column:

@@ -8,6 +8,7 @@ does not grow with the number of users, and the join meets a bounded number of r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators.events import event_scores
@@ -158,3 +159,33 @@ def needs_enhancing(stored: DataFrame, current: DataFrame, stored_at: DataFrame,
         F.count_if(F.col("was").isNull() | F.col("now").isNull()).alias("changed"))
     fresh = (F.col("changed") == 0) & (as_of_s - F.col("stored_s") < hours * 3600)
     return diff.join(stored_at, "event_id", "left").select("event_id", (~F.coalesce(fresh, F.lit(False))).alias("needed"))
+
+
+#: Facts and opinions that an article of each tier may give; null for all.
+EVIDENCE_LIMITS = {"PRIMARY": (None, None), "SECONDARY": (None, None), "RELATED": (2, 1)}
+
+
+def evidence(links: DataFrame, summaries: DataFrame, limits: dict = EVIDENCE_LIMITS) -> DataFrame:
+    """``(event_id, kind, ordinal, tier, body)``: facts and opinions of an event's articles, the first time each is said.
+
+    Tiers follow each other, articles by id within a tier, and what an article says in its order. A partial minimum finds where
+    something is said first, so neither an event's articles nor its repeats meet in one task before they are one row.
+    ``links(event_id, article_id, tier)``, ``summaries(article_id, facts, opinions)``.
+    """
+    tiers = list(limits)
+    rank = F.coalesce(*[F.when(F.col("tier") == x, F.lit(k)) for k, x in enumerate(tiers)])
+
+    def cut(c: str, which: int):
+        out = F.col(c)
+        for x, most in limits.items():
+            if most[which] is not None:
+                out = F.when(F.col("tier") == x, F.slice(c, 1, most[which])).otherwise(out)
+        return out
+
+    rows = links.join(summaries, "article_id").withColumn("rank", rank)
+    said = rows.select("event_id", "rank", "article_id", F.explode(F.array(
+        F.struct(F.lit("fact").alias("kind"), cut("facts", 0).alias("xs")), F.struct(F.lit("opinion").alias("kind"), cut("opinions", 1).alias("xs")))).alias("s"))
+    said = said.select("event_id", "rank", "article_id", F.col("s.kind").alias("kind"), F.posexplode("s.xs").alias("at", "body"))
+    first = said.groupBy("event_id", "kind", F.md5("body").alias("h")).agg(F.min(F.struct("rank", "article_id", "at", "body")).alias("f"))
+    ordinal = F.row_number().over(W.partitionBy("event_id", "kind").orderBy("f.rank", "f.article_id", "f.at"))
+    return first.select("event_id", "kind", ordinal.alias("ordinal"), F.get(F.array(*[F.lit(x) for x in tiers]), F.col("f.rank")).alias("tier"), F.col("f.body").alias("body"))

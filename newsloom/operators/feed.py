@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import scoring
-from newsloom.operators.ranking import first_rows, top_k
+from newsloom.operators.ranking import first_rows, placed, rows_between, top_k
 
 FEED_COLUMNS = ["article_id", "publication_id", "language", "title", "topic_id", "cluster_id",
                 "published_at", "headline_score", "is_top_headline", "image_url"]
@@ -140,13 +140,23 @@ def diversified_page(articles: DataFrame, order: list[Column], page: int, size:
     return kept.filter(F.col("position") <= size)
 
 
-def page_slice(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """A page with its number clamped to the pages there are, plus the page count."""
+#: Rows up to which a page is cut from the front of the order by every task; deeper ones are found by place.
+SHALLOW = 1000
+
+
+def page_slice(df: DataFrame, order: list[Column], page: int, size: int, shallow: int = SHALLOW) -> DataFrame:
+    """A page with its number clamped to the pages there are, plus the page count.
+
+    A deep page is found from the counts of a range-partitioned order, and only the partitions it lies in are read.
+    """
     total = df.count()
     pages = max(-(-total // size), 1)
     number = min(max(page, 1), pages)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size).select(
-        "*", F.lit(number).cast("long").alias("page"), F.lit(pages).cast("long").alias("total_pages"))
+    if number * size <= shallow:
+        rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    else:
+        rows = rows_between(*placed(df, order), (number - 1) * size, number * size)
+    return rows.select("*", F.lit(number).cast("long").alias("page"), F.lit(pages).cast("long").alias("total_pages"))
 
 
 def personal_feeds(articles: DataFrame, links: DataFrame, user_topic: DataFrame, user_lang: DataFrame,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import text
 from newsloom.functions.stopwords import ENGLISH
@@ -299,18 +304,34 @@ def sentence_rank(docs: DataFrame, id_col: str, c: str, ratio: float = 0.3, whol
     the sum of all unit vectors, less one.
     """
     parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    s = docs.select(id_col, parts.alias("parts")).select(
-        id_col, F.size("parts").alias("n_s"), F.posexplode("parts").alias("sentence", "s"))
-    words = F.filter(text.tokens("s"), lambda w: F.length(w).between(2, 15) & ~w.isin(stop_words))
-    tf = s.select(id_col, "sentence", "n_s", F.explode_outer(words).alias("w")).groupBy(id_col, "n_s", "sentence", "w").agg(F.count("*").alias("tf"))
-    per_word, per_sentence = W.partitionBy(id_col, "w"), W.partitionBy(id_col, "sentence")
-    x = F.when(F.col("w").isNotNull(), F.col("tf") * F.log2(F.col("n_s") / F.count("*").over(per_word))).otherwise(0.0)
-    v = tf.withColumn("x", x).withColumn("len", F.sqrt(F.sum(F.col("x") * F.col("x")).over(per_sentence)))
-    u = v.withColumn("u", F.when(F.col("len") > 0, F.col("x") / F.col("len")).otherwise(0.0)).withColumn("all", F.sum("u").over(per_word))
-    score = F.when(F.max("len") > 0, F.sum(F.col("u") * F.col("all")) - 1.0).otherwise(0.0)
-    ranked = u.groupBy(id_col, "n_s", "sentence").agg(F.round(score, 6).alias("score"))
-    place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), F.asc("sentence")))  # one document's sentences
-    return ranked.withColumn("kept", (F.col("n_s") < whole_below) | (place <= F.greatest(F.lit(1), F.floor(F.col("n_s") * F.lit(ratio))))).select(id_col, "sentence", "score", "kept")
+    words = F.transform(parts, lambda s: F.filter(text.tokens(s), lambda w: F.length(w).between(2, 15) & ~w.isin(stop_words)))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+    schema = T.StructType([rows.schema["id"], T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+    def score(batches):
+        for batch in batches:
+            scores = pa.array([_sentence_scores(w.as_py() or []) for w in batch["words"]], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch["id"], scores], names=["id", "scores"])
+
+    scored = rows.mapInArrow(score, schema).withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))
+    best = F.transform(F.array_sort(F.transform("scores", lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), lambda x: x["i"])
+    scored = scored.withColumn("best", F.slice(best, 1, F.greatest(F.lit(1), F.floor(F.size("scores") * F.lit(ratio))).cast("int")))
+    each = scored.select(F.col("id").alias(id_col), "best", F.size("scores").alias("n_s"), F.posexplode("scores").alias("sentence", "score"))
+    return each.select(id_col, "sentence", "score", ((F.col("n_s") < whole_below) | F.array_contains("best", F.col("sentence"))).alias("kept"))
+
+
+def _sentence_scores(sentences: list[list[str]]) -> list[float]:
+    """Summed cosine of each sentence's TF-IDF vector to the others'."""
+    tf = [Counter(s) for s in sentences]
+    df = Counter(w for s in tf for w in s)
+    n, every, units = len(tf), Counter(), []
+    for s in tf:
+        x = {w: k * math.log2(n / df[w]) for w, k in s.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        units.append({w: v / length for w, v in x.items()} if length else {})
+        for w, v in units[-1].items():
+            every[w] += v
+    return [sum(v * every[w] for w, v in u.items()) - 1.0 if u else 0.0 for u in units]
 
 
 def section_budget(sections: DataFrame, id_col: str, budget: int) -> DataFrame:

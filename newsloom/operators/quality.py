@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,20 +21,26 @@ def long_tokens(c) -> Column:
     return F.filter(text.tokens(c), lambda w: F.length(w) > 1)
 
 
+def _shared(batches):
+    """Sizes of two token lists and of what they share, repeats counted, row by row."""
+    for batch in batches:
+        made = [[], [], []]
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            a, b = a.as_py(), b.as_py()
+            x, y = Counter(a), Counter(b)
+            for out, n in zip(made, (sum(min(k, y[w]) for w, k in x.items()), len(a), len(b)), strict=True):
+                out.append(n)
+        yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(m, pa.int64()) for m in made]], names=["id", "both", "na", "nb"])
+
+
 def token_f1(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:
-    """``(id, precision, recall, f1)`` over token multisets. Rows are hashed by id once; counting words per row and
-    summing per row both keep that layout, so the exploded words are never shuffled."""
-    def marked(c: str, a: int, b: int) -> Column:
-        return F.transform(long_tokens(c), lambda w: F.struct(w.alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-
-    both = df.select(id_col, extracted, truth).repartition(id_col)
-    words = both.select(id_col, F.explode(F.concat(marked(extracted, 1, 0), marked(truth, 0, 1))).alias("x")).select(id_col, "x.*").groupBy(
-        id_col, "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = words.groupBy(id_col).agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    p, r = F.col("both") / F.col("na"), F.col("both") / F.col("nb")
-    some = F.coalesce(F.col("both") > 0, F.lit(False))
-    return df.select(id_col).join(sums, id_col, "left").select(
-        id_col, F.when(some, p).otherwise(0.0).alias("precision"), F.when(some, r).otherwise(0.0).alias("recall"),
+    """``(id, precision, recall, f1)`` over token multisets, counted inside the row: neither texts nor words are shuffled."""
+    rows = df.select(F.col(id_col).alias("id"), long_tokens(extracted).alias("a"), long_tokens(truth).alias("b"))
+    schema = T.StructType([rows.schema["id"], *[T.StructField(c, T.LongType()) for c in ("both", "na", "nb")]])
+    p, r = F.col("both") / F.nullif("na", F.lit(0)), F.col("both") / F.nullif("nb", F.lit(0))
+    some = F.col("both") > 0
+    return rows.mapInArrow(_shared, schema).select(
+        F.col("id").alias(id_col), F.when(some, p).otherwise(0.0).alias("precision"), F.when(some, r).otherwise(0.0).alias("recall"),
         F.when(some, p * r * 2.0 / (p + r)).otherwise(0.0).alias("f1"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from newsloom.session import cut_lineage
+
 
 def top_k(df: DataFrame, keys: list, order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of each key. ``row_number() <= k`` lets Spark cut each key to k rows before the
@@ -22,6 +24,27 @@ def first_rows(df: DataFrame, order: list[Column], k: int, rank: str | None = No
     return out.withColumn(rank, F.row_number().over(W.orderBy(*order))) if rank else out
 
 
+def placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[int]]:
+    """Rows dealt by range and sorted within their range, written out, with ``_part`` and their place ``_at`` in it; and rows per part.
+
+    Only one number per range partition is collected.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
+    sizes = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}
+    return dealt, [sizes.get(k, 0) for k in range(max(sizes, default=-1) + 1)]
+
+
+def rows_between(dealt: DataFrame, sizes: list[int], first: int, last: int) -> DataFrame:
+    """Rows whose place in the whole order is in [first, last): only the parts that hold such places are read."""
+    keep, start = F.lit(False), 0
+    for k, n in enumerate(sizes):
+        if start < last and start + n > first:
+            keep = keep | ((F.col("_part") == k) & (F.col("_at") >= first - start) & (F.col("_at") < last - start))
+        start += n
+    return dealt.filter(keep).drop("_part", "_at")
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, as a partial aggregate: no sort, no whole group in a task."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -100,7 +100,7 @@ def _(t):
 WITH {SELECTED}, d AS (SELECT topic, event_id, strftime(min(published_at),'%Y-%m-%d') AS first_day, strftime(max(published_at),'%Y-%m-%d') AS last_day FROM arrivals JOIN art_evt USING (article_id) GROUP BY 1, 2),
 s AS (SELECT topic, topic_score, topic_position, list({{'event_id': event_id, 'score': score::BIGINT, 'first_day': first_day, 'last_day': last_day}} ORDER BY event_position) AS stories FROM sel JOIN d USING (topic, event_id) GROUP BY ALL)
 SELECT topic_position, to_json({{'topic': topic, 'score': topic_score::BIGINT, 'stories': stories}})::VARCHAR AS document FROM s""")
-def _(t):
+def _nested(t):
     # at most four topics of three stories: the lists are bounded by the selection
     sel = _selected(t)
     days = t.arrivals.join(t.art_evt, "article_id").join(sel.select("topic", "event_id"), ["topic", "event_id"], "left_semi").groupBy("topic", "event_id").agg(
@@ -153,6 +153,26 @@ def _(t):
     return own.unionByName(_related(t).filter("position <= 2").select("event_id", "article_id", F.lit("RELATED").alias("tier")))
 
 
+_SAID = "list_filter(string_split(content, chr(10)), lambda x: length(trim(x)) {})"
+
+
+@query("evidence_facts", uses="evt evt_entity art_evt art", sql=f"""
+WITH {REL_ART}, ev AS (SELECT event_id, article_id, CASE WHEN is_primary THEN 0 ELSE 1 END AS tier FROM art_evt UNION ALL SELECT event_id, article_id, 2 FROM rel WHERE position <= 2),
+fx AS (SELECT article_id, {_SAID.format(">= 40")}[1:6] AS facts, {_SAID.format("BETWEEN 1 AND 39")}[1:4] AS opinions FROM art),
+xs AS (SELECT event_id, tier, article_id, 'fact' AS kind, CASE WHEN tier = 2 THEN facts[1:2] ELSE facts END AS x FROM ev JOIN fx USING (article_id)
+ UNION ALL SELECT event_id, tier, article_id, 'opinion', CASE WHEN tier = 2 THEN opinions[1:1] ELSE opinions END FROM ev JOIN fx USING (article_id)),
+it AS (SELECT event_id, tier, article_id, kind, unnest(x) AS body, generate_subscripts(x, 1) AS pos FROM xs),
+one AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY event_id, kind, body ORDER BY tier, article_id, pos) = 1)
+SELECT event_id, kind, (row_number() OVER (PARTITION BY event_id, kind ORDER BY tier, article_id, pos))::INT AS ordinal, ['PRIMARY','SECONDARY','RELATED'][tier + 1] AS tier, md5(body) AS body_md5 FROM one""")
+def _(t):
+    own = t.art_evt.select("event_id", "article_id", F.when(F.col("is_primary"), "PRIMARY").otherwise("SECONDARY").alias("tier"))
+    links = own.unionByName(_related(t).filter("position <= 2").select("event_id", "article_id", F.lit("RELATED").alias("tier")))
+    lines = F.split("content", "\n")
+    n = lambda x: F.length(F.trim(x))
+    said = t.art.select("article_id", F.slice(F.filter(lines, lambda x: n(x) >= 40), 1, 6).alias("facts"), F.slice(F.filter(lines, lambda x: n(x).between(1, 39)), 1, 4).alias("opinions"))
+    return digest.evidence(links, said).select("event_id", "kind", "ordinal", "tier", F.md5("body").alias("body_md5"))
+
+
 @query("enhance_needed", uses="art_evt", sql="""
 WITH st AS (SELECT event_id, article_id FROM art_evt WHERE relevance <= 9e-1 OR event_id < 300), d AS (SELECT event_id, count(*) FILTER (s.article_id IS NULL) AS changed FROM art_evt c LEFT JOIN st s USING (event_id, article_id) GROUP BY event_id)
 SELECT event_id, NOT (changed = 0 AND (event_id%12) < 6) AS needed FROM d""")
@@ -247,8 +267,20 @@ def _(t):
     return t.conversations.groupBy("conv_id").agg(n.alias("words"), F.greatest(F.lit(1), F.bround(n / 200.0, 0)).cast("long").alias("minutes"))
 
 
-@query("digest_metrics", uses="usage", sql="""
-SELECT conv_id, count(*) AS stories, count(DISTINCT role) AS topics, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens, max(turn) AS last_turn FROM usage GROUP BY conv_id""")
+@query("digest_metrics", uses="arrivals art_evt art", sql=f"""
+WITH {SELECTED}, used AS (SELECT DISTINCT topic, event_id, article_id FROM sel JOIN art_evt USING (event_id) JOIN (SELECT article_id, topic FROM arrivals) a USING (article_id, topic)),
+c AS (SELECT DISTINCT topic, article_id, process_cost FROM used JOIN (SELECT article_id, process_cost FROM art) p USING (article_id)),
+k AS (SELECT coalesce(topic, 'all') AS topic, round(sum(process_cost), 6) AS cost FROM c GROUP BY GROUPING SETS ((topic), ())),
+e AS (SELECT coalesce(topic, 'all') AS topic, count(*) AS stories, sum(score)::BIGINT AS score FROM sel GROUP BY GROUPING SETS ((topic), ())),
+u AS (SELECT coalesce(topic, 'all') AS topic, count(DISTINCT article_id) AS articles FROM used GROUP BY GROUPING SETS ((topic), ()))
+SELECT topic, stories, score, articles, cost FROM e JOIN u USING (topic) JOIN k USING (topic)""")
 def _(t):
-    return t.usage.groupBy("conv_id").agg(F.count("*").alias("stories"), F.countDistinct("role").alias("topics"),
-                                          F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.max("turn").alias("last_turn"))
+    # from the digest documents themselves
+    shape = "topic string, score long, stories array<struct<event_id:long,score:long,first_day:string,last_day:string>>"
+    doc = _nested(t).select(F.from_json("document", shape).alias("d")).select("d.topic", F.explode("d.stories").alias("s")).select("topic", "s.event_id", F.col("s.score").alias("score"))
+    used = doc.join(t.art_evt.select("event_id", "article_id"), "event_id").join(t.arrivals.select("article_id", "topic"), ["article_id", "topic"])
+    used = used.select("topic", "article_id").distinct().join(t.art.select("article_id", "process_cost"), "article_id", "left")
+    total = F.coalesce("topic", F.lit("all")).alias("topic")
+    stories = doc.rollup("topic").agg(F.count("*").alias("stories"), F.sum("score").alias("score")).select(total, "stories", "score")
+    articles = used.rollup("topic").agg(F.countDistinct("article_id").alias("articles"), F.round(F.sum("process_cost"), 6).alias("cost")).select(total, "articles", "cost")
+    return stories.join(articles, "topic")

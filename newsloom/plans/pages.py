@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import html, text
 from newsloom.functions.stopwords import ENGLISH
 from newsloom.operators import pages, quality
 from newsloom.plans.registry import query
-from newsloom.session import cut_lineage
-from newsloom.sources.entries import project
+from newsloom.session import checkpoint_root, cut_lineage
+from newsloom.sources.entries import project, read_entries, read_fixture, write_report
 from newsloom.sources.tables import as_of
 
-STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(X,'<[^>]+>',' ','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&#x27;',''''),'&nbsp;',' '),'&amp;','&'),'[\s ]+',' ','g'))"""
+STRIP = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(X,'<[^>]+>',' ','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&#x27;',''''),'&nbsp;',' '),'&copy;','©'),'&middot;','·'),'&amp;?','&','g'),'[\s ]+',' ','g'))"""
 VIS = r"regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g')"
 PARAS = rf"list_filter(list_transform(regexp_extract_all({VIS}, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda p: {STRIP.replace('X', 'p')}), lambda p: p <> '')"
 
@@ -343,3 +345,22 @@ def _(t):
     e = t.art.select("article_id", F.from_json(raw, shape).alias("e"))
     return project(e, "article_id", "e", as_of()).select("article_id", "title", "description", F.md5("content").alias("content_md5"),
                                                           F.coalesce("image_url", F.lit("")).alias("image_url"), F.unix_seconds("published_at").alias("published_s"))
+
+
+@query("report_round_trip", uses="art pub", sql="""
+SELECT publication_id, authority, count(*) AS articles, sum(length(title))::BIGINT AS title_chars, count(*) AS from_json FROM art JOIN pub USING (publication_id) GROUP BY publication_id, authority""")
+def _(t):
+    # in: JSON arrays of publications, a thousand or so a file, and entries as JSON lines; out: a report as JSON and as parquet; both read back
+    folder = f"{checkpoint_root(t.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    lots = max(1, t.pub.count() // 1000)
+    pubs = t.pub.groupBy(F.pmod(F.xxhash64("publication_id"), F.lit(lots)).alias("lot")).agg(F.to_json(F.collect_list(F.struct("publication_id", "authority"))).alias("value"))
+    pubs.write.partitionBy("lot").text(f"{folder}/publications")
+    t.art.select("title", F.col("description").alias("summary"), F.array(F.struct(F.col("publication_id").alias("term"))).alias("tags")).write.json(f"{folder}/entries")
+    landed = read_entries(t.spark, f"{folder}/entries").select(F.get("tags", F.lit(0))["term"].alias("publication_id"), F.length("title").alias("n"))
+    counts = landed.groupBy("publication_id").agg(F.count("*").alias("articles"), F.sum("n").alias("title_chars"))
+    report = read_fixture(t.spark, f"{folder}/publications").select("publication_id", "authority").join(counts, "publication_id")
+    write_report(report, f"{folder}/report.json")
+    write_report(report, f"{folder}/report.parquet", "parquet")
+    again = t.spark.read.schema("publication_id string, articles long").json(f"{folder}/report.json").withColumnRenamed("articles", "from_json")
+    return t.spark.read.schema(report.schema).parquet(f"{folder}/report.parquet").join(again, "publication_id").select(
+        "publication_id", "authority", "articles", "title_chars", "from_json")

@@ -38,13 +38,23 @@ def _(t):
 
 
 @query("strip_html", sql=r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(html,'<[^>]+>',' ','g'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&#x27;',''''),
-  '&nbsp;',' '),'&amp;','&'),'[\s ]+',' ','g')) AS plain FROM pages""")
+  '&nbsp;',' '),'&copy;','©'),'&middot;','·'),'&amp;?','&','g'),'[\s ]+',' ','g')) AS plain FROM pages""")
 def _(t):
     return t.pages.select("page_id", text.strip_html("html").alias("plain"))
 
 
+@query("char_references", sql=f"""
+SELECT doc_id, concat(w[1], 'é', w[2], ' € 😀 &lt; ©2020 ¬it; ♥ € � &bogus; &;', 'Á', w[3], ' ≂̸') AS plain FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE len(w) >= 3""")
+def _(t):
+    # words of the texts around planted references
+    w = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w")).filter(F.size("w") >= 3)
+    said = F.concat(F.get("w", F.lit(0)), F.lit("&eacute;"), F.get("w", F.lit(1)), F.lit(" &#8364; &#x1F600; &amp;lt; &copy2020 &notit; &hearts; &#128; &#0; &bogus; &;&Aacute"),
+                    F.get("w", F.lit(2)), F.lit(" &NotEqualTilde;"))
+    return w.select("doc_id", text.unescape(said).alias("plain"))
+
+
 @query("clean_text", sql=r"""
 SELECT doc_id, trim(regexp_replace(text,'\s+',' ','g')) AS clean FROM documents""")
 def _(t):
