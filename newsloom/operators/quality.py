@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,21 +54,19 @@ def paragraph_words(c) -> Column:
     return F.transform(wide, lambda p: F.array_distinct(long_tokens(p)))
 
 
-@F.pandas_udf(T.LongType())
-def greedy_matches(extracted: pd.Series, truth: pd.Series) -> pd.Series:
-    """How many truth paragraphs, taken in order, find a free extracted one that overlaps enough (best first)."""
+def greedy_matches(extracted: Column, truth: Column) -> Column:
+    """How many truth paragraphs, taken in order, find a free extracted one that overlaps enough (best first, then the first):
+    a fold whose state is the places already used."""
 
-    def one(have, want) -> int:
-        free = {j: set(h) for j, h in enumerate(have)}
-        n = 0
-        for w in map(set, want):
-            overlap = [(len(w & h) / len(w | h), -j) for j, h in free.items() if w and h]
-            if overlap and max(overlap)[0] >= PARAGRAPH_MATCH:
-                del free[-max(overlap)[1]]
-                n += 1
-        return n
+    def best(used: Column, w: Column) -> Column:
+        return F.array_max(F.transform(extracted, lambda h, j: F.struct(
+            F.when(F.array_contains(used, j), -1.0).otherwise(text.jaccard(w, h)).alias("s"), (-j).alias("j"))))
 
-    return pd.Series([one(a, b) for a, b in zip(extracted, truth)])
+    def take(used: Column, w: Column) -> Column:
+        # bound once by folding over an array of one
+        return F.aggregate(F.array(best(used, w)), used, lambda u, x: F.when(x["s"] >= PARAGRAPH_MATCH, F.concat(u, F.array(-x["j"]))).otherwise(u))
+
+    return F.size(F.aggregate(truth, F.array().cast("array<int>"), take)).cast("long")
 
 
 def paragraph_diff(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:

@@ -39,9 +39,22 @@ def _(t):
     return p.select("article_id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("paragraph_diff")
-def _(t):
-    return quality.paragraph_diff(_pairs(t), "article_id", "extracted", "content")
+_PARTS = f"""list_transform(list_filter(CASE WHEN len(list_filter(string_split(X, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S'))) > 1 THEN list_filter(string_split(X, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S'))
+  ELSE list_filter(regexp_split_to_array(X, '\\r\\n|\\r|\\n'), lambda p: regexp_matches(p, '\\S')) END, lambda p: len(regexp_extract_all(p, '\\S+')) >= 10), lambda p: list_distinct({TOK.replace("X", "p").replace("lambda w:", "lambda v:").replace("length(w)", "length(v)")}))"""
+_SHARE = "CASE WHEN len(h) = 0 OR len(w) = 0 THEN 0e0 ELSE len(list_intersect(h, w))/(len(h) + len(w) - len(list_intersect(h, w)))::DOUBLE END"
+
+
+@query("paragraph_diff", uses="art", sql=f"""
+WITH RECURSIVE px AS (SELECT article_id, {_PARTS.replace("X", "x")} AS xs, {_PARTS.replace("X", "content")} AS ys FROM (SELECT article_id, content, {EXTRACT} AS x FROM art)),
+e AS (SELECT article_id, k, j, {_SHARE} AS share FROM (SELECT article_id, k, w, unnest(xs) AS h, generate_subscripts(xs, 1) AS j FROM (SELECT article_id, xs, unnest(ys) AS w, generate_subscripts(ys, 1) AS k FROM px))),
+o AS (SELECT article_id, k, list(j ORDER BY share DESC, j) AS js FROM e WHERE share >= 55e-2 GROUP BY article_id, k),
+walk AS (SELECT article_id, 0::BIGINT AS k, []::BIGINT[] AS used, len(ys) AS n FROM px
+ UNION ALL SELECT w.article_id, w.k + 1, CASE WHEN len(list_filter(coalesce(o.js, []), lambda j: NOT list_contains(w.used, j))) > 0 THEN list_append(w.used, list_filter(o.js, lambda j: NOT list_contains(w.used, j))[1]) ELSE w.used END, n
+ FROM walk w LEFT JOIN o ON o.article_id = w.article_id AND o.k = w.k + 1 WHERE w.k < n)
+SELECT article_id, len(ys) - len(used) AS missing, len(xs) - len(used) AS noise, len(used) AS matched FROM px JOIN walk USING (article_id) WHERE k = n""")
+def _(t):
+    return quality.paragraph_diff(_pairs(t), "article_id", "extracted", "content").select(
+        "article_id", F.col("missing").cast("long").alias("missing"), F.col("noise").cast("long").alias("noise"), "matched")
 
 
 @query("extraction_report", uses="art", sql=f"""

@@ -136,10 +136,29 @@ def _(t):
         F.when(i % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("content"))).alias("embedding_text"))
 
 
-@query("json_repair")
+_RAW = "CASE WHEN article_id%11 = 5 THEN 'none' WHEN article_id%3 = 0 THEN left(whole, (length(whole)*(30 + article_id%70)//100)::INT) WHEN article_id%3 = 1 THEN concat('```json', chr(10), whole, chr(10), '```') ELSE whole END"
+
+
+@query("json_repair", uses="art", sql=rf"""
+WITH w AS (SELECT article_id, concat('{{"headline":', to_json(title), ',"facts":', to_json(string_split(content, chr(10))), ',"more":{{"words":[1,2,{{"n":', length(content), '}}]}}}}') AS whole FROM art),
+r AS (SELECT article_id, trim({_RAW}, ' ' || chr(10)) AS raw FROM w),
+t AS (SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^```json', ''), '^```', ''), '```$', ''), ' ' || chr(10)) AS t FROM r),
+s AS (SELECT *, regexp_extract(t, '(?s)[{{\[].*') AS u FROM t), b AS (SELECT *, regexp_replace(regexp_replace(u, '(?s)\\.', '', 'g'), '"[^"]*"', '', 'g') AS bare FROM s),
+k AS (SELECT *, list_reduce(list_prepend('', regexp_extract_all(split_part(bare, '"', 1), '[\[\]{{}}]')), lambda acc, x: CASE x WHEN '{{' THEN concat('}}', acc) WHEN '[' THEN concat(']', acc) ELSE substr(acc, 2) END) AS tail,
+  concat(u, CASE WHEN contains(bare, '"') THEN '"' ELSE '' END) AS o FROM b),
+c AS (SELECT *, list_filter([concat(o, tail), concat(regexp_replace(regexp_replace(o, '\s+$', ''), ',+$', ''), tail), concat(regexp_replace(regexp_replace(regexp_replace(o, '\s+$', ''), ':+$', ''), '\s+$', ''), ': null', tail),
+  concat(regexp_replace(o, '(?s),[^,]*$', ''), tail)], lambda x: json_valid(x))[1] AS fixed FROM k)
+SELECT article_id, CASE WHEN json_valid(t) THEN 'valid' WHEN fixed IS NOT NULL THEN 'repaired' ELSE 'broken' END AS state, md5(CASE WHEN json_valid(t) THEN t ELSE coalesce(fixed, '') END) AS text_md5 FROM c""".replace("\\\\", "\\"))
 def _(t):
+    whole = F.concat(F.lit('{"headline":'), _json_text("title"), F.lit(',"facts":['), F.array_join(F.transform("lines", _json_text), ","),
+                     F.lit('],"more":{"words":[1,2,{"n":'), F.length("content").cast("string"), F.lit("}]}}"))
     i = F.col("article_id")
-    whole = F.to_json(F.struct(F.col("title").alias("headline"), F.col("lines").alias("facts")))
-    cut = F.when(i % 3 == 0, F.substring(whole, F.lit(1), (F.length(whole) * 0.7).cast("int"))).when(i % 11 == 0, F.lit("none")).otherwise(whole)
-    r = _article(t).select("article_id", replies.repair_json(cut).alias("r"))
-    return r.select("article_id", "r.state", F.length("r.text").alias("chars"))
+    cut = (F.when(i % 11 == 5, F.lit("none")).when(i % 3 == 0, F.substring(F.col("whole"), F.lit(1), F.expr("length(whole) * (30 + article_id % 70) div 100").cast("int")))
+           .when(i % 3 == 1, F.concat(F.lit("```json\n"), F.col("whole"), F.lit("\n```"))).otherwise(F.col("whole")))
+    r = _article(t).withColumn("whole", whole).select("article_id", cut.alias("cut")).select("article_id", replies.repair_json(F.col("cut")).alias("r"))
+    return r.select("article_id", "r.state", F.md5("r.text").alias("text_md5"))
+
+
+def _json_text(c):
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x") if hasattr(c, "alias") else F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
