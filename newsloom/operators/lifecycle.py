@@ -66,20 +66,30 @@ def budgeted(rows: DataFrame, day_start: Column, budget: int = 200) -> DataFrame
     fresh = ~started
     for s in STAGES:
         fresh = fresh & (F.col(f"{s}_status") == "pending")
-    # the budget bounds this list
+    # at most ``budget`` rows: the one side that is broadcast, and no row of the table is shuffled for it
     new = first_rows(rows.filter(fresh).select("article_id", "headline_score", "published_at"), candidate_order(), budget, rank="place")
-    new = new.filter(F.col("place") <= F.greatest(F.lit(0), F.lit(budget) - used)).select("article_id", F.lit("new").alias("entry"))
-    running = rows.filter(started).select("article_id", F.lit("in_flight").alias("entry"))
-    return rows.join(running.unionByName(new), "article_id")
-
-
-def stage_candidates(selected: DataFrame, stage: str, body: str, limit: int) -> DataFrame:
-    """The best rows waiting for a stage whose predecessor is done and whose text is long enough."""
-    i = STAGES.index(stage)
-    cond = (F.col(f"{stage}_status") == "pending") & (F.col(f"{stage}_attempts") < MAX_ATTEMPTS)
-    if i > 0:
-        cond = cond & (F.col(f"{STAGES[i - 1]}_status") == "completed") & (F.length(body) >= [0, 50, 200, 200][i])
-    return first_rows(selected.filter(cond), candidate_order(), limit)
+    new = new.filter(F.col("place") <= F.greatest(F.lit(0), F.lit(budget) - used)).select("article_id", F.lit("new").alias("_new"))
+    entry = F.when(started, "in_flight").otherwise(F.col("_new"))
+    return rows.join(F.broadcast(new), "article_id", "left").withColumn("entry", entry).filter("entry IS NOT NULL").drop("_new")
+
+
+#: Least length of the text for a stage.
+STAGE_CHARS = [0, 50, 200, 200]
+
+
+def stage_candidates(selected: DataFrame, chars: str, limit: int) -> DataFrame:
+    """``(article_id, stage)``: for every stage the best rows waiting for it whose predecessor is done and whose text is long enough.
+
+    One pass: a row names the stages it waits for, and each stage is cut to its limit before the shuffle.
+    """
+    waits = []
+    for i, s in enumerate(STAGES):
+        cond = (F.col(f"{s}_status") == "pending") & (F.col(f"{s}_attempts") < MAX_ATTEMPTS)
+        if i > 0:
+            cond = cond & (F.col(f"{STAGES[i - 1]}_status") == "completed") & (F.col(chars) >= STAGE_CHARS[i])
+        waits.append(F.when(cond, s))
+    rows = selected.select("article_id", "headline_score", "published_at", F.explode(F.array_compact(F.array(*waits))).alias("stage"))
+    return top_k(rows, ["stage"], candidate_order(), limit).select("article_id", "stage")
 
 
 def fail_exhausted(rows: DataFrame) -> DataFrame:

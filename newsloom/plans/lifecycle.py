@@ -29,7 +29,8 @@ sel AS (SELECT article_id, 'in_flight' AS entry FROM running UNION ALL SELECT ar
 
 
 def _selected(t):
-    rows = lifecycle.eligible(t.art.select(*STATE), t.pub_region, ["us", "br"], as_of())
+    slim = [c for c in STATE if c != "content"]
+    rows = lifecycle.eligible(t.art.select(*slim, F.length("content").alias("chars")), t.pub_region, ["us", "br"], as_of())
     return lifecycle.budgeted(rows, day_start(), 110)
 
 
@@ -78,11 +79,7 @@ s AS (SELECT article_id, 'summary' AS stage FROM r WHERE summary_status = 'pendi
 a AS (SELECT article_id, 'analyzer' AS stage FROM r WHERE analyzer_status = 'pending' AND analyzer_attempts < 3 AND summary_status = 'completed' AND length(content) >= 200 ORDER BY {ORDER} LIMIT 15)
 SELECT * FROM f UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s UNION ALL SELECT * FROM a""")
 def _(t):
-    sel, out = _selected(t), None
-    for s in lifecycle.STAGES:
-        part = lifecycle.stage_candidates(sel, s, "content", 15).select("article_id", F.lit(s).alias("stage"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return lifecycle.stage_candidates(_selected(t), "chars", 15)
 
 
 @query("fail_exhausted", uses="art", sql="""

@@ -382,3 +382,47 @@ def test_intervals_answer_what_a_walk_of_the_tree_does(spark):
         if scores:
             assert best[k][0] == max(scores)[1] and best[k][1] == pytest.approx(max(scores)[0], abs=1e-3)
     nodes.unpersist()
+
+
+def test_deep_pages_are_found_by_place(spark):
+    rows = [(k, k * 7919 % 1000) for k in range(1003)]
+    df = spark.createDataFrame(rows, "id long, x long")
+    order = [F.desc("x"), F.asc("id")]
+    want = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    for page in (1, 2, 57, 101, 500):
+        got = feed.page_slice(df, order, page, 10, shallow=20)
+        n = min(page, 101)
+        assert [r["id"] for r in got.orderBy(*order).collect()] == want[(n - 1) * 10 : n * 10] and {r["page"] for r in got.collect()} == {n}
+        if page > 2:
+            assert "TakeOrderedAndProject" not in got._jdf.queryExecution().toString()
+    assert feed.page_slice(df.filter("id < 0"), order, 3, 10, shallow=0).collect() == []
+
+
+def test_counts_inside_the_row_need_no_exchange(spark):
+    df = spark.createDataFrame([(1, "aa bb bb cc. dd ee ff", "bb bb bb cc"), (2, None, "x"), (3, "", "")], "id long, a string, b string")
+    for out in (quality.token_f1(df, "id", "a", "b"), quality.paragraph_diff(df, "id", "a", "b"), pages.sentence_rank(df, "id", "a")):
+        out.collect()
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    f1 = {r["id"]: (r["precision"], r["recall"]) for r in quality.token_f1(df, "id", "a", "b").collect()}
+    assert f1 == {1: (3 / 7, 3 / 4), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+
+
+def test_character_references_equal_the_standard_library(spark):
+    import html as standard
+    from html.entities import html5
+
+    rng, names = random.Random(4), sorted(html5)
+    said = ["&amp;lt;", "&copy2020", "&notit;", "&#8364;&#x1F600;", "&#0;&#128;&#xD800;&#99999999999;&#1;&#13;&#xFFFF;", "&& &; &#; &#x; &bogus; &ampx", ""]
+    said += ["".join(rng.choice([f"&{rng.choice(names)}", f"&#{rng.randint(0, 0x110100)};", f"&#x{rng.randint(0, 70000):x}", " x", "&", ";"]) for _ in range(6)) for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    assert [r["u"] for r in df.select(text.unescape("s").alias("u")).collect()] == [standard.unescape(x) for x in said]
+
+
+def test_what_was_said_first_by_tier_and_article(spark):
+    links = spark.createDataFrame([(1, 10, "RELATED"), (1, 11, "SECONDARY"), (1, 12, "PRIMARY"), (1, 13, "RELATED"), (2, 10, "PRIMARY")], "event_id long, article_id long, tier string")
+    said = spark.createDataFrame([(10, ["a", "b", "c"], ["o", "p"]), (11, ["b", "d"], []), (12, ["d", "e", "d"], ["p"]), (13, ["f", "a", "g"], ["q", "r"])],
+                                 "article_id long, facts array<string>, opinions array<string>")
+    got = {}
+    for r in digest.evidence(links, said).orderBy("ordinal").collect():
+        got.setdefault((r["event_id"], r["kind"]), []).append(r["body"])
+    assert got == {(1, "fact"): ["d", "e", "b", "a", "f"], (1, "opinion"): ["p", "o", "q"], (2, "fact"): ["a", "b", "c"], (2, "opinion"): ["o", "p"]}
