@@ -7,8 +7,10 @@ A document is kept if it passes the base rules and content lines hold at least `
 Nothing says which lines are boilerplate, only ``labels.quality`` says which documents are poor. So the field is trained
 in rounds: in good documents every line counts as content, in poor ones at first every line as boilerplate, then what the
 field itself decodes there, but at least its worst line. The sample is bounded: about ``SAMPLE`` labelled documents that
-are not held out, chosen by a hash of the id; their inputs are made by Spark and fitted on the driver. All documents are judged
-whole, in one pass without a shuffle.
+are not held out, chosen by a hash of the id; their inputs are made by Spark and fitted on the driver. A text of more than
+``MOST_LINES`` lines gives the fit stretches of ``STRETCH`` lines, evenly spaced over all of it, ``MOST_LINES`` in all, and the fit reads every text in
+stretches of that length, so that neither its memory nor its steps grow with the longest text. All documents are judged whole, in
+one pass without a shuffle.
 
 Defined results: null text has no words and fails the base rules; lines without a word have no label; equal rows get equal
 verdicts; without labels every line is content; an empty table gives no rows; other columns are not returned.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import held_out, per_batch, stable_sample
 
 SAMPLE, KEEP, ROUNDS, STEPS, RATE, SHRINK = 2500, 0.5, 3, 60, 0.15, 1e-3
+STRETCH, MOST_LINES = 256, 2048
 BINS, STATS = 8, 11
 CONTENT, BOILER = 0, 1
 BLANK = " \t\n\x0b\x0c\r"
@@ -140,7 +143,9 @@ class Field:
         return np.array(out[::-1], np.int8)
 
     def fit(self, texts: list[np.ndarray], labels: list[np.ndarray], weights: list[float]) -> Field:
-        """Adam on the log likelihood; all texts advance line by line together, the longest first."""
+        """Adam on the log likelihood; all stretches of texts advance line by line together, the longest first."""
+        cut = [(k, at) for k, t in enumerate(texts) for at in range(0, len(t), STRETCH)]
+        texts, labels, weights = [texts[k][at : at + STRETCH] for k, at in cut], [labels[k][at : at + STRETCH] for k, at in cut], [weights[k] for k, _ in cut]
         order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
         texts, labels = [texts[k] for k in order], [labels[k] for k in order]
         w = np.array([weights[k] for k in order])
@@ -188,13 +193,21 @@ class Field:
         return self
 
 
+def stretches(bins: np.ndarray) -> np.ndarray:
+    """All lines of a text, or of a long one stretches over all of it."""
+    if len(bins) <= MOST_LINES:
+        return bins
+    first = np.linspace(0, len(bins) - STRETCH, MOST_LINES // STRETCH).astype(int)
+    return np.concatenate([bins[k : k + STRETCH] for k in first])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     chosen = stable_sample(known, F.col("doc_id"), sample, known.count(), 31).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
 
     def make():
         def work(rows: dict) -> dict:
-            return {"doc_id": rows["doc_id"], "y": rows["y"], "bins": [line_inputs(t or "")[0].tobytes() for t in rows["text"]]}
+            return {"doc_id": rows["doc_id"], "y": rows["y"], "bins": [stretches(line_inputs(t or "")[0]).tobytes() for t in rows["text"]]}
 
         return work
 

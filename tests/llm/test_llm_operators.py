@@ -15,7 +15,7 @@ import corpus_pipeline
 from newsloom.llm import (
     chat_format, crf_lines, forced_bpe, label_shards, lang_ftrl, lsh_forest, multiprobe_lsh, pareto_mix, quality_fm, queries, url_automaton,
 )
-from newsloom.llm.common import components
+from newsloom.llm.common import components, held_out
 from newsloom.sources.tables import BASE
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -497,3 +497,96 @@ def test_one_document_stays_where_ids_repeat_or_are_null(spark):
     rows = [(1, a), (1, a + " more"), (2, a + " still more"), (None, b), (None, b + " more"), (None, b), (1, "another text under the same id")]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "y"), (1, "a"), (1, "x")]
+
+
+# edges named in review
+
+
+def test_ftrl_steps_equal_the_plain_rule():
+    from newsloom.llm.lang_ftrl import ALPHA, BETA, EPOCHS, L1, L2, Regression
+
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)).astype(np.int32), rng.integers(1, 5, 4).astype(np.int32), int(rng.integers(0, 3))) for _ in range(15)]
+    idf = np.ones(1 << lang_ftrl.BITS)
+    idf[:12] = rng.uniform(1, 3, 12)
+    model = Regression(["a", "b", "c"], idf).fit(rows)
+    z, n = {}, {}
+
+    def weight(key, l1):
+        zi, ni = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((BETA + math.sqrt(ni)) / ALPHA + L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(EPOCHS):
+        for r in order.permutation(len(rows)):
+            at, count, y = rows[r]
+            x = [(1 + math.log(c)) * idf[i] for i, c in zip(at, count)]
+            size = math.sqrt(sum(v * v for v in x))
+            inputs = [*((int(i), v / size, L1) for i, v in zip(at, x)), (-1, 1.0, 0.0)]
+            score = [sum(weight((i, k), l1) * v for i, v, l1 in inputs) for k in range(3)]
+            top = [math.exp(s - max(score)) for s in score]
+            for k in range(3):
+                error = top[k] / sum(top) - (k == y)
+                for i, v, l1 in inputs:
+                    g, w, old = error * v, weight((i, k), l1), n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / ALPHA * w
+                    n[i, k] = old + g * g
+    for i in range(12):
+        assert model.w[i] == pytest.approx([weight((i, k), L1) for k in range(3)], abs=1e-5)
+    assert model.b == pytest.approx([weight((-1, k), 0.0) for k in range(3)], abs=1e-9)
+
+
+def test_temperature_is_the_best_of_a_grid():
+    model = lang_ftrl.Regression(["a", "b"], np.ones(1 << lang_ftrl.BITS))
+    model.w[0], model.w[1] = [8.0, -8.0], [-8.0, 8.0]
+    rows = [(np.array([k % 2], np.int32), np.array([1], np.int32), k % 2 if k % 5 else 1 - k % 2) for k in range(50)]
+    heat = model.calibrate(rows).heat
+    loss = lambda t: -sum(math.log(lang_ftrl.softmax(np.array([16.0, 0.0]) / t)[0 if k % 5 else 1]) for k in range(50)) + 1e-3 * math.log(t) ** 2
+    grid = np.exp(np.linspace(math.log(0.05), math.log(20), 4000))
+    assert heat > 1 and loss(heat) <= min(map(loss, grid)) + 1e-3
+
+
+def test_one_very_long_text_does_not_stall_the_fit(spark):
+    import time
+
+    text = "\n".join(f"line {k} of a text that goes on | | | 123" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "A short text.\nOf two lines."), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    known = [r.doc_id for r in labels.filter(~held_out(F.col("doc_id"))).collect()]
+    assert 1 in known
+    began = time.time()
+    field = crf_lines.train(docs, labels)
+    assert time.time() - began < 120
+    judged = {r.doc_id: r for r in crf_lines.judge_documents(docs, field).collect()}
+    assert len(judged[1].labels) == 100_000 and judged[1].n_words > 1_000_000
+    bins = np.arange(5000 * crf_lines.STATS, dtype=np.int16).reshape(5000, -1)
+    cut = crf_lines.stretches(bins)
+    assert len(cut) == crf_lines.MOST_LINES and (cut[0] == bins[0]).all() and (cut[-1] == bins[-1]).all() and crf_lines.stretches(bins[:9]) is not cut
+
+
+def test_url_columns_that_clash_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "http://x.net/es/1"), (2, "http://x.net/es/1"), (2, "http://x.net/es/1")], "page_id long, url string")
+    for c in ("row", "judged", "_v", "rule", "verdict", "path"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = url_automaton.judge_urls(df)
+    assert sorted(out.columns) == sorted(["page_id", "url", "row", "judged", "_v", "host", "path", "rule", "verdict"])
+    assert [(r.row, r.judged, r._v, r.path, r.rule, r.verdict) for r in out.collect()] == [("mine", "mine", "mine", "/es/1", "net/es/", "block")] * 3
+    assert url_automaton.judge_urls(df.limit(0)).collect() == []
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_chats(none).collect() == []
+
+
+def test_a_hot_source_and_equal_rows_are_mixed_whole(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("source"),
+        F.concat(F.lit("some words "), F.repeat(F.lit("x "), (F.col("id") % 7).cast("int"))).alias("text"))
+    rows = pareto_mix.pareto_mix(docs).collect()
+    for s in ("hot", "cold", None):
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0].target) <= 9 and max(r["copies"] for r in mine) <= 3
+    same = docs.select(F.lit(1).alias("doc_id"), F.lit("a").alias("source"), F.lit("two words").alias("text"), F.col("doc_id").alias("other")).limit(300)
+    other = docs.filter("doc_id < 40").select((F.col("doc_id") + 10).alias("doc_id"), F.lit("b").alias("source"), F.lit("three short words").alias("text"), F.lit(-1).alias("other"))
+    mixed = pareto_mix.apply_mix(same.unionByName(other))
+    per = Counter(r.other for r in mixed.filter("source = 'a'").collect())
+    want = sum(r["copies"] for r in pareto_mix.pareto_mix(same.unionByName(other)).filter("source = 'a'").collect())
+    assert sum(per.values()) == want and max(per.values()) - min([per.get(k, 0) for k in range(300)]) <= 1
