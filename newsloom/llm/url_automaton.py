@@ -5,11 +5,12 @@ For each byte value a mask says which symbols accept it and another which stars
 ``D' = (D << 1) & accept[c] | D & wait[c]`` advances every rule at once. A batch of URLs is advanced together: the longest
 come first, so that at each byte position the URLs still running are a head of the batch.
 
-A URL is read as host, a boundary byte, path. ``*`` stands for any run and ``?`` for one byte, neither crosses the
+A URL is read as host (in lower case), a boundary byte, path (as it stands). ``*`` stands for any run and ``?`` for one byte, neither crosses the
 boundary, so a host rule cannot be met inside a path.
 
 Defined results: host and path of a null url, or one without ``://``, are empty, fit no rule and are allowed; very long
-urls cost one step per byte; other columns are kept.
+urls cost one step per byte; equal rows get equal verdicts; an empty table gives no rows; other columns are kept, but for
+columns named host, path, rule or verdict, whose place the results take.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import as_row
+
 EDGE = 0x0A
 #: Fixed values: (verdict, host, path) of the rules that hold for a host and all its subdomains.
 RULES = [
@@ -119,5 +122,6 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, blocked=BLOCKED)
             built.append(Globs(globs))
         return built[0]
 
-    rows = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    return rows.withColumn("_v", judged("host", "path")).withColumn("rule", F.col("_v.rule")).withColumn("verdict", F.col("_v.verdict")).drop("_v")
+    rows = pages.select(as_row(pages), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("judged", judged("host", "path"))
+    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return rows.select(*kept, "host", "path", "judged.rule", "judged.verdict")
