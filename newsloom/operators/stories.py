@@ -50,10 +50,15 @@ def tfidf(df: DataFrame, id_col: str, c: str, vocabulary: DataFrame) -> DataFram
 
 
 def coverage_variants(df: DataFrame, id_col: str, c: str, language: str, ts: str, window_s: int = 6 * 3600) -> DataFrame:
-    """Identical texts of a language inside one window span as a single row with its copies and first/last time."""
+    """Identical texts of a language inside one window span as a single row with its copies and first/last time; ``h`` is the text's hash."""
     t = F.unix_seconds(ts)
-    return df.groupBy(F.col(language).alias("language"), F.floor(t / window_s).alias("span"), F.col(c).alias("body")).agg(
-        F.min(id_col).alias("variant"), F.count("*").alias("copies"), F.min(t).alias("first_s"), F.max(t).alias("last_s"))
+    return df.groupBy(F.col(language).alias("language"), F.floor(t / window_s).alias("span"), text_key(c).alias("h")).agg(
+        F.first(c).alias("body"), F.min(id_col).alias("variant"), F.count("*").alias("copies"), F.min(t).alias("first_s"), F.max(t).alias("last_s"))
+
+
+def text_key(c: str) -> Column:
+    """What stands for a text in keys of groups and joins."""
+    return F.md5(F.col(c))
 
 
 def similar_coverage(variants: DataFrame, vocabulary: DataFrame, threshold: float = 0.45, window_s: int = 6 * 3600,
@@ -67,26 +72,38 @@ def similar_coverage(variants: DataFrame, vocabulary: DataFrame, threshold: floa
     boolean column of the variants, pairs of two rows that are not fresh are left out before the join.
     """
     weights = cut_lineage(tfidf(variants, "variant", "body", vocabulary))  # read four times below
+    pairs = candidates(weights, variants, threshold, window_s, fresh).distinct()
+    wa = weights.select(F.col("variant").alias("a"), "term", F.col("weight").alias("wa"))
+    wb = weights.select(F.col("variant").alias("b"), "term", F.col("weight").alias("wb"))
+    scored = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(
+        F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)
+
+
+def candidates(weights: DataFrame, variants: DataFrame, threshold: float, window_s: int, fresh: str | None = None, bound: bool = True) -> DataFrame:
+    """``(a, b)``, once per shared term at which the pair can still reach the threshold.
+
+    Were a term the rarest that two vectors share, their product could be at most this term's part and the product of the lengths of what
+    comes after it in both. Below the threshold the row goes at once: a pair that reaches it has a row at its rarest shared term.
+    """
     onward = W.partitionBy("variant").orderBy(F.asc("idf"), F.desc("term")).rowsBetween(W.unboundedPreceding, W.currentRow)
     tail = F.sum(F.col("weight") * F.col("weight")).over(onward)
-    heads = weights.withColumn("tail", tail).filter(F.col("tail") >= threshold * threshold - 1e-9).select("variant", "term")
+    heads = weights.withColumn("tail", tail).filter(F.col("tail") >= threshold * threshold - 1e-9)
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.col("tail") - F.col("weight") * F.col("weight")))
+    heads = heads.select("variant", "term", "weight", rest.alias("rest"))
     new = F.col(fresh) if fresh else F.lit(True)
     heads = heads.join(variants.select("variant", "language", "span", "first_s", "last_s", new.alias("new")), "variant")
     left = heads.withColumn("meet", F.explode(F.array(F.col("span"), F.col("span") + 1)))
-    right = heads.select("language", F.col("span").alias("meet"), "term", F.col("variant").alias("v2"), F.col("span").alias("span2"),
-                         F.col("first_s").alias("first2"), F.col("last_s").alias("last2"), F.col("new").alias("new2"))
+    right = heads.select("language", F.col("span").alias("meet"), "term", F.col("variant").alias("v2"), F.col("span").alias("span2"), F.col("weight").alias("weight2"),
+                         F.col("rest").alias("rest2"), F.col("first_s").alias("first2"), F.col("last_s").alias("last2"), F.col("new").alias("new2"))
     later = (F.col("span2") > F.col("span")) | (F.col("variant") < F.col("v2"))
     close = F.greatest(F.col("first2") - F.col("last_s"), F.col("first_s") - F.col("last2")) <= window_s
+    reach = F.col("weight") * F.col("weight2") + F.col("rest") * F.col("rest2") >= threshold - 1e-6 if bound else F.lit(True)
     met = left.filter("new").join(right, ["language", "meet", "term"])
     if fresh:
         met = met.unionByName(left.filter("NOT new").join(right.filter("new2"), ["language", "meet", "term"]))
-    pairs = met.filter(later & close & (F.col("variant") != F.col("v2"))).select(
-        F.least("variant", "v2").alias("a"), F.greatest("variant", "v2").alias("b")).distinct()
-    wa = weights.select(F.col("variant").alias("a"), "term", F.col("weight").alias("wa"))
-    wb = weights.select(F.col("variant").alias("b"), "term", F.col("weight").alias("wb"))
-    scored = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(
-        F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold)
+    return met.filter(later & close & reach & (F.col("variant") != F.col("v2"))).select(
+        F.least("variant", "v2").alias("a"), F.greatest("variant", "v2").alias("b"))
 
 
 def story_clusters(df: DataFrame, variants: DataFrame, pairs: DataFrame, id_col: str, c: str, language: str, ts: str,
@@ -94,9 +111,9 @@ def story_clusters(df: DataFrame, variants: DataFrame, pairs: DataFrame, id_col:
     """``(id, story_id)``: components of similar coverage, named by their earliest id."""
     comp = graph.components(pairs).withColumnRenamed("id", "variant")
     named = variants.join(comp, "variant", "left").select(
-        F.col("language").alias(language), "span", F.col("body").alias(c), F.coalesce("component", "variant").alias("story_id"))
-    keyed = df.withColumn("span", F.floor(F.unix_seconds(ts) / window_s))
-    return keyed.join(named, [language, "span", c]).select(id_col, "story_id")
+        F.col("language").alias(language), "span", "h", F.coalesce("component", "variant").alias("story_id"))
+    keyed = df.select(id_col, language, F.floor(F.unix_seconds(ts) / window_s).alias("span"), text_key(c).alias("h"))
+    return keyed.join(named, [language, "span", "h"]).select(id_col, "story_id")
 
 
 def burst_scores(df: DataFrame, cluster: str, ts: str) -> DataFrame:

@@ -198,8 +198,8 @@ def story_updates(stream: DataFrame, vocabulary: DataFrame, id_col: str, body: s
             oldest = rows.agg(F.coalesce(F.min(F.unix_seconds(ts)), F.lit(0))).scalar()
             old = spark.read.parquet(before).filter(F.col("last_s") >= oldest - expiry_s)
             new = new.unionByName(old.withColumn("fresh", F.lit(False)).select(new.columns))
-            new = new.groupBy("language", "span", "body").agg(
-                F.min("variant").alias("variant"), F.sum("copies").alias("copies"), F.min("first_s").alias("first_s"),
+            new = new.groupBy("language", "span", "h").agg(
+                F.first("body").alias("body"), F.min("variant").alias("variant"), F.sum("copies").alias("copies"), F.min("first_s").alias("first_s"),
                 F.max("last_s").alias("last_s"), F.min("story_id").alias("story_id"), F.max("fresh").alias("fresh"))
         new = cut_lineage(new)  # read three times below
         pairs = stories.similar_coverage(new, vocabulary, fresh="fresh").select("a", "b")
@@ -217,9 +217,9 @@ def stories_now(spark: SparkSession, out: str) -> DataFrame:
     A variant that has expired keeps the name its story had then; the versions' names are joined up to the least.
     """
     versions = spark.read.parquet(out)
-    newest = latest_by(versions, ["language", "span", "body"], ["batch"])
+    newest = latest_by(versions.drop("body"), ["language", "span", "h"], ["batch"])
     bonds = versions.filter("variant <> story_id").select(F.col("variant").alias("a"), F.col("story_id").alias("b"))
-    renamed = versions.join(newest.select("language", "span", "body", F.col("variant").alias("now")), ["language", "span", "body"]).filter(
+    renamed = versions.join(newest.select("language", "span", "h", F.col("variant").alias("now")), ["language", "span", "h"]).filter(
         "variant <> now").select(F.col("variant").alias("a"), F.col("now").alias("b"))
     comp = graph.components(bonds.unionByName(renamed).distinct()).withColumnRenamed("id", "variant")
     return newest.join(comp, "variant", "left").withColumn("story_id", F.coalesce("component", "story_id")).drop("component", "batch")

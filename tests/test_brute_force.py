@@ -179,6 +179,18 @@ def test_similar_coverage_prefix_filter_is_exact(spark):
                 if round(sum(x * w.get(b, {}).get(t, 0.0) for t, x in w.get(a, {}).items()), 6) >= 0.45:
                     want.add((a, b))
     assert got == want and want
+    weights = stories.tfidf(v, "variant", "body", vocab)
+    every, bounded = ({(r["a"], r["b"]) for r in stories.candidates(weights, v, 0.45, 6 * 3600, bound=b).collect()} for b in (False, True))
+    assert want <= bounded < every
+    # Where vectors are long and share little, most candidates go before they are made distinct.
+    words = [f"w{k}" for k in range(400)]
+    df = spark.createDataFrame([(i, "en", T0 + timedelta(minutes=i), " ".join(rnd.choices(words, k=25))) for i in range(150)], "id long, lang string, ts timestamp, body string")
+    v = stories.coverage_variants(df, "id", "body", "lang", "ts")
+    weights = stories.tfidf(v, "variant", "body", stories.fit_vocabulary(df, "id", "body"))
+    every, bounded = (stories.candidates(weights, v, 0.45, 6 * 3600, bound=b).distinct().count() for b in (False, True))
+    assert bounded * 2 < every
+    plan = stories.similar_coverage(v, stories.fit_vocabulary(df, "id", "body"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*body", plan)
 
 
 def test_diversify_fold_keeps_what_windows_drop(spark):
