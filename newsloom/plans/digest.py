@@ -273,7 +273,7 @@ c AS (SELECT DISTINCT topic, article_id, process_cost FROM used JOIN (SELECT art
 k AS (SELECT coalesce(topic, 'all') AS topic, round(sum(process_cost), 6) AS cost FROM c GROUP BY GROUPING SETS ((topic), ())),
 e AS (SELECT coalesce(topic, 'all') AS topic, count(*) AS stories, sum(score)::BIGINT AS score FROM sel GROUP BY GROUPING SETS ((topic), ())),
 u AS (SELECT coalesce(topic, 'all') AS topic, count(DISTINCT article_id) AS articles FROM used GROUP BY GROUPING SETS ((topic), ()))
-SELECT topic, stories, score, articles, cost FROM e JOIN u USING (topic) JOIN k USING (topic)""")
+SELECT topic, stories, score, articles, cost FROM e JOIN u USING (topic) LEFT JOIN k USING (topic)""")
 def _(t):
     # from the digest documents themselves
     shape = "topic string, score long, stories array<struct<event_id:long,score:long,first_day:string,last_day:string>>"
