@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +20,18 @@ def long_tokens(c) -> Column:
 
 
 def _shared(batches):
-    """Sizes of two token lists and of what they share, repeats counted, row by row."""
+    """Sizes of two token lists and of what they share, repeats counted, row by row; a batch's words are numbered and sorted at once."""
     for batch in batches:
-        made = [[], [], []]
-        for a, b in zip(batch["a"], batch["b"], strict=True):
-            a, b = a.as_py(), b.as_py()
-            x, y = Counter(a), Counter(b)
-            for out, n in zip(made, (sum(min(k, y[w]) for w, k in x.items()), len(a), len(b)), strict=True):
-                out.append(n)
-        yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(m, pa.int64()) for m in made]], names=["id", "both", "na", "nb"])
+        a, b = batch["a"].flatten(), batch["b"].flatten()
+        sizes = [np.diff(c.offsets.to_numpy()) for c in (batch["a"], batch["b"])]
+        words = pa.concat_arrays([a, b]).dictionary_encode()
+        n = max(1, len(words.dictionary))
+        rows = np.concatenate([np.repeat(np.arange(batch.num_rows), s) for s in sizes])
+        keys = rows * n + words.indices.to_numpy(zero_copy_only=False)
+        (x, nx), (y, ny) = (np.unique(k, return_counts=True) for k in (keys[: len(a)], keys[len(a) :]))
+        same, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        both = np.bincount(same // n, weights=np.minimum(nx[i], ny[j]), minlength=batch.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(both), *[pa.array(s.astype(np.int64)) for s in sizes]], names=["id", "both", "na", "nb"])
 
 
 def token_f1(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:
