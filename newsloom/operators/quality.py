@@ -19,19 +19,32 @@ def long_tokens(c) -> Column:
     return F.filter(text.tokens(c), lambda w: F.length(w) > 1)
 
 
+#: Words of both texts that are numbered together; a pair of texts with more of them goes alone.
+WORDS_AT_ONCE = 1 << 18
+
+
 def _shared(batches):
-    """Sizes of two token lists and of what they share, repeats counted, row by row; a batch's words are numbered and sorted at once."""
+    """Sizes of two token lists and of what they share, repeats counted, row by row; a bounded number of words is numbered and sorted at once."""
     for batch in batches:
-        a, b = batch["a"].flatten(), batch["b"].flatten()
-        sizes = [np.diff(c.offsets.to_numpy()) for c in (batch["a"], batch["b"])]
-        words = pa.concat_arrays([a, b]).dictionary_encode()
-        n = max(1, len(words.dictionary))
-        rows = np.concatenate([np.repeat(np.arange(batch.num_rows), s) for s in sizes])
-        keys = rows * n + words.indices.to_numpy(zero_copy_only=False)
-        (x, nx), (y, ny) = (np.unique(k, return_counts=True) for k in (keys[: len(a)], keys[len(a) :]))
-        same, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = np.bincount(same // n, weights=np.minimum(nx[i], ny[j]), minlength=batch.num_rows).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(both), *[pa.array(s.astype(np.int64)) for s in sizes]], names=["id", "both", "na", "nb"])
+        words = sum(c.offsets.to_numpy() - c.offsets[0].as_py() for c in (batch["a"], batch["b"]))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(words, words[at] + WORDS_AT_ONCE, "right")) - 1)
+            yield _shared_words(batch.slice(at, stop - at))
+            at = stop
+
+
+def _shared_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    a, b = batch["a"].flatten(), batch["b"].flatten()
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (batch["a"], batch["b"])]
+    words = pa.concat_arrays([a, b]).dictionary_encode()
+    n = max(1, len(words.dictionary))
+    rows = np.concatenate([np.repeat(np.arange(batch.num_rows), s) for s in sizes])
+    keys = rows * n + words.indices.to_numpy(zero_copy_only=False)
+    (x, nx), (y, ny) = (np.unique(k, return_counts=True) for k in (keys[: len(a)], keys[len(a) :]))
+    same, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = np.bincount(same // n, weights=np.minimum(nx[i], ny[j]), minlength=batch.num_rows).astype(np.int64)
+    return pa.RecordBatch.from_arrays([batch["id"], pa.array(both), *[pa.array(s.astype(np.int64)) for s in sizes]], names=["id", "both", "na", "nb"])
 
 
 def token_f1(df: DataFrame, id_col: str, extracted: str, truth: str) -> DataFrame:
