@@ -9,6 +9,7 @@ from newsloom.operators.ranking import as_of_join
 from newsloom.plans.registry import ORACLES, query
 from newsloom.plans.stories import PAIRS
 from newsloom.plans.triage import ADJ, PUB, SC, TADJ, TOP, day_start
+from newsloom.session import cut_lineage
 from newsloom.streaming import jobs
 
 CLOSE = "5 days"
@@ -93,7 +94,8 @@ reach AS (SELECT variant AS x, variant AS y FROM variants UNION SELECT r.x, l.y
 SELECT variant, language, copies, story_id FROM variants JOIN comp USING (variant)""")
 def _(t):
     bodies = t.art.select("article_id", F.concat("title", F.lit(" "), "description").alias("body"))
-    vocab = stories.fit_vocabulary(bodies, "article_id", "body")
+    texts = bodies.groupBy(stories.text_key("body").alias("h")).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    vocab = stories.fit_vocabulary(cut_lineage(texts), "h", "body", copies="copies")
     s = _doc_stream(t).withColumn("body", F.concat("title", F.lit(" "), "description"))
     spark, out = jobs.story_updates(s, vocab, "article_id", "body", "language", "published_at")
     return jobs.stories_now(spark, out).select("variant", "language", "copies", "story_id")
