@@ -1,18 +1,18 @@
-"""Collocations: frequent phrases of two to five words, counted through Rabin-Karp fingerprints.
+"""Collocations: frequent phrases of two to five words, counted by the numbers of their words.
 
-Three passes over the texts, each a numpy job over segments of about ``SEGMENT`` bytes. Prefix polynomials of the bytes give
-every word a fingerprint, prefix polynomials of the words give one to every phrase: a difference of two prefix sums, so the
-work is linear in the text. The language and the number of words are mixed in, so a fingerprint is all that is shuffled.
+Three passes over the texts, each a numpy job over segments of about ``SEGMENT`` bytes.
 
-1. Fingerprints of words and pairs of words are counted: sorted and summed in the task, summed again after the shuffle.
-2. A longer phrase is counted only where all its pairs are frequent.
-3. Occurrences of frequent fingerprints are held against the text. A task keeps one pointer per fingerprint, to an occurrence
-   in its segment; words are compared byte by byte, phrases word by word, with the pointer's. Those that differ are told apart.
-   The phrase at the pointer is then written out, and what is summed last is (language, phrase): a collision of fingerprints
-   can make a phrase be looked at in vain, it can never change a count.
+1. Words are counted by their text: told apart in a segment, summed in the task and again after the shuffle. The frequent ones are numbered.
+2. Pairs of frequent words are counted. A key is the numbers of a phrase's words, four bytes each, so it is the phrase and no hash
+   of it: what is summed needs no second look at the text.
+3. A longer phrase is counted only where all its pairs are frequent.
 
-Frequent fingerprints reach the tasks as a bit table of at most ``bits.MOST_BITS`` bits, of which each sets two. Where it fills up, more
-phrases than necessary are counted in passes 2 and 3; none is lost.
+A frequent phrase is spelled out once, after it has been counted, from the numbered words; no task gives out texts of phrases while it reads.
+
+A word finds its number through a Rabin-Karp fingerprint (prefix polynomials of the bytes, a difference of two prefix sums, so the work
+is linear in the text) and is then held against the numbered word byte by byte: a collision of fingerprints costs a look into
+a dictionary, it can never change a count. Tasks hold the frequent words (their bytes and 36 more for each) and the frequent pairs, these as a bit table
+of at most ``bits.MOST_BITS`` bits, of which each sets two. Where it fills up, more phrases than necessary are counted in pass 3; none is lost.
 
 Counts are per language: ``n`` all words, ``f`` all occurrences inside pieces. A phrase that lies in a longer one with the same
 count (a longer one is never more frequent) is dropped; as counts fall along chains of extensions, longer by one word is enough.
@@ -49,6 +49,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(ENDS)] = 1, 2
+COUNTED = "key binary, n long"
 
 
 @lru_cache(maxsize=4)
@@ -72,6 +73,11 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint6
     return mixed((prefix[end] - prefix[start]) * down[start])
 
 
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start``, ``start + 1``, ... of every run, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Segment:
     """Words and pieces of some bytes of one language."""
 
@@ -112,8 +118,7 @@ class Segment:
         same = size == size[model]
         at = np.flatnonzero(same & (model != np.arange(len(size))))
         length = size[at]
-        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        unlike = self.bytes[np.repeat(self.start[at], length) + step] != self.bytes[np.repeat(self.start[model[at]], length) + step]
+        unlike = self.bytes[places(self.start[at], length)] != self.bytes[places(self.start[model[at]], length)]
         same[np.repeat(at, length)[unlike]] = False
         known: dict[bytes, int] = {}
         for k in np.flatnonzero(~same):
@@ -123,20 +128,65 @@ class Segment:
     def phrase(self, at: int, n: int) -> str:
         return b" ".join(self.bytes[self.start[k] : self.end[k]].tobytes() for k in range(at, at + n)).decode()
 
-    def counted(self, n: int, at: np.ndarray, prints: np.ndarray, ids: np.ndarray):
-        """``(phrase, count)``: occurrences of one fingerprint are held, word by word, against its first one."""
-        if not len(at):
-            return
-        _, first, group, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-        model = at[first[group]]
-        unlike = np.zeros(len(at), bool)
-        for k in range(n):
-            unlike |= ids[at + k] != ids[model + k]
-        count = count - np.bincount(group[unlike], minlength=len(count))
-        for pointer, times in zip(at[first].tolist(), count.tolist(), strict=True):
-            yield self.phrase(pointer, n), times
-        for k in at[unlike].tolist():
-            yield self.phrase(k, n), 1
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """``(word, count)``, each word once."""
+        ids = self.ids()
+        count = np.bincount(ids)
+        first = np.empty(len(count), np.int64)
+        first[ids[::-1]] = np.arange(len(ids))[::-1]
+        size = self.end[first] - self.start[first]
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(self.bytes[places(self.start[first], size)])), count
+
+
+class Numbers:
+    """Numbers of words, from 1, by ``(lang, phrase)``; 0 is any other word."""
+
+    def __init__(self, words: pa.Table, bits: int):
+        words = words.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        self.bits, raw = bits, [w.encode() for w in words["phrase"].to_pylist()]
+        self.size = np.array([0, *map(len, raw)], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.of_lang: dict[str, tuple] = {}
+        self.lang = pa.array([None, *words["lang"].to_pylist()], pa.string()).dictionary_encode()
+        begins = np.flatnonzero(np.diff(self.lang.indices[1:].to_numpy(), prepend=-1))
+        for begin, end in zip(begins, [*begins[1:], len(raw)], strict=False):
+            self._add(self.lang[int(begin) + 1].as_py(), raw[begin:end], int(begin) + 1)
+
+    def _add(self, lang: str, raw: list[bytes], number: int) -> None:
+        """Words of one language, numbered from ``number``: by fingerprint, and by their bytes where one before them has the same."""
+        prints = np.concatenate([Segment(part, lang, self.bits).prints(1)[1] for part in cut(b"\n".join(raw))])
+        fp, first = np.unique(prints, return_index=True)
+        more = np.setdiff1d(np.arange(len(raw)), first).tolist()
+        self.of_lang[lang] = fp, first + number, {raw[k]: k + number for k in more}
+
+    def of(self, lang: str, seg: Segment) -> np.ndarray:
+        """The number of every word of a segment of one language."""
+        out = np.zeros(len(seg.words), np.uint64)
+        if lang not in self.of_lang:
+            return out
+        fp, number, more = self.of_lang[lang]
+        prints = seg.prints(1)[1]
+        at = np.minimum(np.searchsorted(fp, prints), len(fp) - 1)
+        hit = np.flatnonzero(fp[at] == prints)
+        found = number[at[hit]]
+        size = self.size[found]
+        same = seg.end[hit] - seg.start[hit] == size
+        alike, length = np.flatnonzero(same), size[same]
+        unlike = seg.bytes[places(seg.start[hit[alike]], length)] != self.bytes[places(self.start[found[alike]], length)]
+        same[np.repeat(alike, length)[unlike]] = False
+        out[hit[same]] = found[same]
+        for k in hit[~same].tolist():
+            out[k] = more.get(seg.bytes[seg.start[k] : seg.end[k]].tobytes(), 0)
+        return out
+
+    def spelled(self, keys: list[bytes]) -> tuple[pa.Array, list[str]]:
+        """Language and text of phrases by their keys."""
+        numbers = [np.frombuffer(k, ">u4").tolist() for k in keys]
+        word = lambda k: self.bytes[self.start[k] : self.start[k] + self.size[k]].tobytes()
+        texts = [b" ".join(map(word, ks)).decode() for ks in numbers]
+        return self.lang.take(pa.array([ks[0] for ks in numbers], pa.int64())).cast(pa.string()), texts
 
 
 def cut(raw: bytes):
@@ -174,77 +224,104 @@ def _by_language(batches, bits: int):
         yield full(next(iter(held)))
 
 
-def _summed(prints) -> pa.RecordBatch:
-    fp, n = np.unique(np.concatenate(prints), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], names=["fp", "n"])
+def count_words(rows: DataFrame, least: int) -> DataFrame:
+    """``(lang, phrase, f)`` of words with ``f >= least``; ``phrase`` is null for all words of the language."""
 
-
-def count_prints(rows: DataFrame, least: int, frequent: Bits | None, bits: int) -> DataFrame:
-    """``(fp, n)`` with ``n >= least``: words and pairs, or, given the frequent ones of these, what is longer."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    def summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        out = pa.concat_tables(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        return out.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()
 
     def run(batches):
-        known, held, size = shared.value, [], 0
-        for _, seg in _by_language(batches, bits):
-            if known is None:
-                made = [seg.prints(n)[1] for n in (1, 2)]
-            else:
-                at, fp = seg.prints(2)
-                made = [seg.prints(n, at)[1] for n, at in seg.longer(at[known.holds(fp)])]
-            held += made
-            size += sum(len(m) for m in made)
-            if size >= FLUSH:
-                yield _summed(held)
+        held, size = [], 0
+        for lang, seg in _by_language(batches, 64):
+            if not len(seg.words):
+                continue
+            word, count = seg.distinct()
+            word, count = pa.concat_arrays([word, pa.nulls(1, pa.string())]), np.append(count, len(seg.words))
+            held.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(word)), "phrase": word, "f": count}))
+            size += len(word)
+            if size >= PHRASES:
+                yield from summed(held)
                 held, size = [], 0
-        if size:
-            yield _summed(held)
+        if held:
+            yield from summed(held)
+
+    found = rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return cut_lineage(found.filter(F.col("phrase").isNull() | (F.col("f") >= least)))
+
 
-    found = rows.mapInArrow(run, "fp long, n long")
-    return cut_lineage(found.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+def _packed(numbers: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The numbers of phrases of n words that begin at the words ``at``, two to a column."""
+    return [numbers[at + k] << _U(32) | (numbers[at + k + 1] if k + 1 < n else _U(0)) for k in range(0, n, 2)]
 
 
-def count_phrases(rows: DataFrame, least: int, frequent: Bits, bits: int) -> DataFrame:
-    """``(lang, phrase, f)`` with ``f >= least``, by the text itself; ``phrase`` is null for all words of the language."""
+def _summed(n: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Keys of phrases of n words, sorted, and how often each is there."""
+    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+    if len(cols) == 1:
+        cols[0], count = np.unique(cols[0], return_counts=True)
+    else:
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        first = np.flatnonzero(np.any([np.diff(c, prepend=~c[:1]) != 0 for c in cols], axis=0))
+        count = np.diff(first, append=len(order))
+        cols = [c[first] for c in cols]
+    raw = np.ascontiguousarray(np.stack(cols, 1).astype(">u8").view(np.uint8)[:, : 4 * n])
+    ends = np.arange(len(count) + 1, dtype=np.int32) * np.int32(4 * n)
+    keys = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([keys, pa.array(count, pa.int64())], names=["key", "n"])
+
+
+def count_keys(rows: DataFrame, least: int, numbers, frequent: Bits | None) -> DataFrame:
+    """``(key, n)`` with ``n >= least``: pairs of numbered words, or, given the frequent ones, what is longer."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
-    def batch(held: dict) -> pa.RecordBatch:
-        lang, phrase = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "f"])
+    def run(batches):
+        words, known = numbers.value, shared.value
+        held: dict[int, list] = {}
+        size = 0
+        for lang, seg in _by_language(batches, words.bits):
+            number = words.of(lang, seg)
+            at = np.flatnonzero((seg.piece[:-1] == seg.piece[1:]) & (number[:-1] > 0) & (number[1:] > 0))
+            pairs = _packed(number, at, 2)
+            made = [(2, pairs)] if known is None else [(n, _packed(number, at, n)) for n, at in seg.longer(at[known.holds(pairs[0])])]
+            for n, cols in made:
+                if len(cols[0]):
+                    held.setdefault(n, []).append(cols)
+                    size += len(cols[0])
+            if size >= FLUSH:
+                yield from (_summed(n, held.pop(n)) for n in sorted(held))
+                size = 0
+        yield from (_summed(n, held.pop(n)) for n in sorted(held))
+
+    found = rows.mapInArrow(run, COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+    return cut_lineage(found.filter(F.col("n") >= least))
+
+
+def spell(keys: DataFrame, numbers) -> DataFrame:
+    """``(lang, phrase, f)`` of counted keys, each once."""
 
     def run(batches):
-        known = shared.value
-        held: dict[tuple, int] = {}
-        for lang, seg in _by_language(batches, bits):
-            if not len(seg.words):
-                continue
-            ids = seg.ids()
-            held[lang, None] = held.get((lang, None), 0) + len(ids)
-            begins = [(n, *seg.prints(n)) for n in (1, 2)]
-            begins += [(n, *seg.prints(n, at)) for n, at in seg.longer(begins[1][1][known.holds(begins[1][2])])]
-            for n, at, fp in begins:
-                hit = known.holds(fp)
-                for phrase, times in seg.counted(n, at[hit], fp[hit], ids):
-                    held[lang, phrase] = held.get((lang, phrase), 0) + times
-            if len(held) >= PHRASES:
-                yield batch(held)
-                held = {}
-        if held:
-            yield batch(held)
+        for batch in batches:
+            lang, phrase = numbers.value.spelled(batch["key"].to_pylist())
+            yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.string()), batch["n"]], names=["lang", "phrase", "f"])
 
-    found = rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return cut_lineage(found.filter(F.col("phrase").isNull() | (F.col("f") >= least)))
+    return cut_lineage(keys.select("key", "n").mapInArrow(run, "lang string, phrase string, f long"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, bits: int = 64) -> DataFrame:
-    """``(lang, rank, phrase, a, l, r, n, score)``; ``bits`` is the length of the fingerprints."""
+    """``(lang, rank, phrase, a, l, r, n, score)``; ``bits`` is the length of the words' fingerprints."""
     rows = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    short = count_prints(rows, least, None, bits)
-    long = count_prints(rows, least, Bits(short), bits)
-    counts = count_phrases(rows, least, Bits(short.unionByName(long)), bits)
-
+    counts = count_words(rows, least)
     words = counts.filter("phrase is null").select("lang", F.col("f").alias("n"))
-    known = counts.filter("phrase is not null")
-    phrases = known.withColumn("w", F.split("phrase", " ")).filter(F.size("w") > 1)
+    known = counts.filter("phrase is not null").filter(F.col("f") >= least)
+    numbers = rows.sparkSession.sparkContext.broadcast(Numbers(known.select("lang", "phrase").toArrow(), bits))
+    pairs = count_keys(rows, least, numbers, None)
+    longer = count_keys(rows, least, numbers, Bits(pairs.select(F.conv(F.hex("key"), 16, 10).cast("long").alias("fp"))))
+
+    phrases = spell(pairs.unionByName(longer), numbers)
+    known = known.unionByName(phrases)
+    phrases = phrases.withColumn("w", F.split("phrase", " "))
     part = lambda at, n: F.array_join(F.slice("w", at, n), " ")
     inner = phrases.filter(F.size("w") > 2).select("lang", "f", F.explode(F.array(part(1, F.size("w") - 1), part(2, F.size("w") - 1))).alias("phrase"))
     phrases = phrases.join(inner.distinct(), ["lang", "phrase", "f"], "left_anti")

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,35 @@ def test_phrases_on_odd_rows(spark, odd, none):
     assert got == brute([(r.lang, r.text) for r in odd.collect()], 3, None) and got
     assert phrase_mining.collocations(none).collect() == []
     assert mine(odd.withColumn("text", F.lit(None).cast("string"))) == []
+
+
+def test_phrases_are_spelled_once_however_many_tasks_read(spark, rows, monkeypatch):
+    made = []
+    df = spark.createDataFrame(rows, "lang string, text string")
+    real = type(df).mapInArrow
+
+    def spied(self, run, schema, *more):
+        out = real(self, run, schema, *more)
+        made.append((schema, out))
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", spied)
+    seen = {}
+    for tasks in (1, 6):
+        made.clear()
+        assert mine(df.repartition(tasks), least=20, top=None) == brute(rows, 20, None)
+        spelled = [out.filter("phrase like '% %'") for schema, out in made if "phrase" in schema]
+        seen[tasks] = sum(out.count() for out in spelled), sum(out.distinct().count() for out in spelled)
+    assert seen[1] == seen[6] and seen[1][0] == seen[1][1] > 30
+
+
+@pytest.mark.parametrize("bits, segment", [(64, 1 << 20), (2, 1 << 20), (64, 7)])
+def test_words_have_one_number_whatever_their_fingerprints(monkeypatch, bits, segment):
+    monkeypatch.setattr(phrase_mining, "SEGMENT", segment)
+    known = [("de", "same"), ("en", "same"), ("en", "word"), ("en", "words"), ("en", "école")]
+    numbers = phrase_mining.Numbers(pa.table({"lang": [k[0] for k in known], "phrase": [k[1] for k in known]}), bits)
+    text = "Same WORD, wordy words word sam école"
+    seen = {lang: numbers.of(lang, phrase_mining.Segment(text.encode(), lang, bits)).tolist() for lang in ("en", "de", "fr")}
+    assert seen == {"en": [2, 3, 0, 4, 3, 0, 5], "de": [1, 0, 0, 0, 0, 0, 0], "fr": [0] * 7}
+    langs, texts = numbers.spelled([b"\0\0\0\2\0\0\0\3", b"\0\0\0\1\0\0\0\1\0\0\0\1"])
+    assert (langs.to_pylist(), texts) == (["en", "de"], ["same word", "same same same"])
